@@ -191,17 +191,19 @@ def alt_feature_columns(c="text", categories=lx.KEYWORD_CATEGORIES,
 
 # --- F16–F18: cleaning, hard terms, hashing ----------------------------------------------
 
-# Latin letters with diacritics → ASCII base letter.  Built from a rule (Unicode decomposition of
-# the Latin-1 Supplement and Latin Extended-A blocks), not from a copied table.
+# Latin letters with diacritics → ASCII base letter.  Built from a rule, not a copied table:
+# every code point of the Latin blocks whose canonical decomposition (NFD) is one ASCII letter
+# followed only by combining marks.
 def _latin_fold_table() -> tuple[str, str]:
     import unicodedata
     src, dst = [], []
-    for cp in list(range(0xC0, 0x100)) + list(range(0x100, 0x180)):
+    for cp in list(range(0xC0, 0x250)) + list(range(0x1E00, 0x1F00)):
         ch = chr(cp)
-        base = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
-        if len(base) == 1 and base != ch:
+        nfd = unicodedata.normalize("NFD", ch)
+        if (len(nfd) > 1 and nfd[0].isascii() and nfd[0].isalpha()
+                and all(unicodedata.category(m) == "Mn" for m in nfd[1:])):
             src.append(ch)
-            dst.append(base)
+            dst.append(nfd[0])
     return "".join(src), "".join(dst)
 
 
