@@ -94,7 +94,7 @@ def a1_moderation_stats(spark, sf_dir):
 
 
 @register("o1_pending_reviews", with_views("""
-SELECT user_id, message, confidence AS score, ts, to_json(map(['channel_id'], [CAST(channel_id AS VARCHAR)])) AS metadata
+SELECT user_id, message, confidence AS score, ts, CAST(to_json(map(['channel_id'], [CAST(channel_id AS VARCHAR)])) AS VARCHAR) AS metadata
 FROM action_log WHERE severity = 'UNCERTAIN' OR action_taken = 'FLAGGED_REVIEW'
 ORDER BY ts DESC, msg_id DESC LIMIT 50""", "action_log"))
 def o1_pending_reviews(spark, sf_dir):
@@ -106,7 +106,7 @@ def o1_pending_reviews(spark, sf_dir):
 
 @register("k7_action_log_rows", with_views("""
 SELECT msg_id, user_id, substring(message, 1, 500) AS message, confidence AS toxicity_score, severity, action_taken,
-       to_json(map(['channel_id'], [CAST(channel_id AS VARCHAR)])) AS metadata
+       CAST(to_json(map(['channel_id'], [CAST(channel_id AS VARCHAR)])) AS VARCHAR) AS metadata
 FROM action_log WHERE severity <> 'SAFE'""", "action_log"))
 def k7_action_log_rows(spark, sf_dir):
     """K7 projection: the rows an action-log append writes (500-char message, JSON metadata)."""
