@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as lx
 
-TOKEN = f"[^{lx.WS_CLASS}]"
+TOKEN = f"[^{lx.WS_CLASS_JAVA}]"
 # A token boundary: start of text or whitespace before, end of text or whitespace after.
 _TOK_START = f"(?<!{TOKEN})"
 _TOK_END = f"(?!{TOKEN})"
@@ -76,7 +76,9 @@ def token_in_list_count(c, words: Sequence[str], lower: bool = True) -> Column:
     """tokens (lower-cased) equal to one of ``words``."""
     t = F.lower(safe_text(c)) if lower else safe_text(c)
     alt = "|".join(_rx_quote(w) for w in sorted(words, key=len, reverse=True))
-    return F.regexp_count(t, F.lit(f"{_TOK_START}(?:{alt}){_TOK_END}")).cast("bigint")
+    # Cheap first-character guard before the look-behind: most positions fail on it at once.
+    firsts = "".join(sorted({_rx_quote(w[0]) for w in words if w}))
+    return F.regexp_count(t, F.lit(f"(?=[{firsts}]){_TOK_START}(?:{alt}){_TOK_END}")).cast("bigint")
 
 
 def personal_pronoun_count(c, words: Sequence[str] = lx.PERSONAL_PRONOUNS) -> Column:
@@ -90,7 +92,7 @@ def char_repetition(c) -> Column:
 
 def all_caps_words(c) -> Column:
     """F8: tokens of length > 1 with an upper-case letter and no lower/title-case letter."""
-    no_lower = rf"[^{lx.WS_CLASS}\p{{IsLowercase}}\p{{IsTitlecase}}]"
+    no_lower = rf"[^{lx.WS_CLASS_JAVA}\p{{IsLowercase}}\p{{IsTitlecase}}]"
     rx = rf"{_TOK_START}(?={TOKEN}{{2}}){no_lower}*\p{{IsUppercase}}{no_lower}*{_TOK_END}"
     return F.regexp_count(safe_text(c), F.lit(rx)).cast("bigint")
 
@@ -217,7 +219,7 @@ def ascii_fold(c) -> Column:
 
 def clean_text(c, leet: dict[str, str] = lx.LEET_MAP) -> Column:
     """F16: fold → remove all whitespace → leet map → lower → trim."""
-    t = F.regexp_replace(ascii_fold(safe_text(c)), F.lit(f"[{lx.WS_CLASS}]+"), F.lit(""))
+    t = F.regexp_replace(ascii_fold(safe_text(c)), F.lit(f"[{lx.WS_CLASS_JAVA}]+"), F.lit(""))
     t = F.translate(t, "".join(leet.keys()), "".join(leet.values()))
     return F.trim(F.lower(t))
 
@@ -250,7 +252,7 @@ def non_letter_pct(c) -> Column:
     """percentage of code points that are neither letters nor whitespace."""
     t = safe_text(c)
     n = F.length(t)
-    other = F.regexp_count(t, F.lit(rf"[^\p{{L}}{lx.WS_CLASS}]"))
+    other = F.regexp_count(t, F.lit(rf"[^\p{{L}}{lx.WS_CLASS_JAVA}]"))
     return F.when(n > 0, other * 100.0 / n).otherwise(F.lit(0.0))
 
 
