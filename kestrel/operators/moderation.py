@@ -84,6 +84,9 @@ def strike_history(df: DataFrame, *, user: str = "user_id", ts: str = "ts", id_c
     else:
         d = df.withColumn("__epoch", F.lit(0))
     w = Window.partitionBy(user, "__epoch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if reset:  # a reset event is not a message: it never counts as a strike
+        is_reset = F.coalesce(F.col(reset).cast("boolean"), F.lit(False))
+        b, r = F.when(is_reset, 0).otherwise(b), F.when(is_reset, 0).otherwise(r)
     d = d.withColumns({"__b": b, "__r": r})
     d = d.withColumn("__B", F.coalesce(F.sum("__b").over(w), F.lit(0)))
     d = d.withColumn("__rr", F.when(F.col("__B") >= 2, F.col("__r")).otherwise(0))
