@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-CORPUS_SCHEMA = StructType.fromDDL("Message STRING, Label INT")
+CORPUS_SCHEMA = "Message STRING, Label INT"
 
 
 def read_corpus_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -18,33 +18,40 @@ def read_corpus_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumnsRenamed({"Message": "text", "Label": "label"})
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType,
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str,
                corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
     """S3: JSON lines, tolerant: returns (good rows, quarantined raw lines).
 
     A missing path yields two empty DataFrames instead of an error.
     """
-    full = schema.add(corrupt_col, "string") if corrupt_col not in schema.fieldNames() else schema
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    full = StructType(list(schema.fields))
+    if corrupt_col not in full.fieldNames():
+        full = full.add(corrupt_col, "string")
+    # Text lines parsed with from_json: malformed lines keep their raw text in the corrupt column.
     try:
-        df = (spark.read.schema(full).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", corrupt_col).json(path))
+        lines = spark.read.text(path)
     except Exception as e:  # noqa: BLE001 — Spark raises AnalysisException for absent paths
         if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
             raise
-        df = spark.createDataFrame([], full)
-    # Cache-free split: the corrupt column is only read through this projection.
-    good = df.filter(F.col(corrupt_col).isNull()).drop(corrupt_col)
-    bad = df.filter(F.col(corrupt_col).isNotNull()).select(corrupt_col)
+        lines = spark.createDataFrame([], "value string")
+    parsed = (lines.filter(F.trim("value") != "")
+              .select(F.from_json("value", full, {"mode": "PERMISSIVE",
+                                                   "columnNameOfCorruptRecord": corrupt_col}).alias("r"))
+              .select("r.*"))
+    good = parsed.filter(F.col(corrupt_col).isNull()).drop(corrupt_col)
+    bad = parsed.filter(F.col(corrupt_col).isNotNull()).select(corrupt_col)
     return good, bad
 
 
-def union_sources(spark: SparkSession, paths: Sequence[str], schema: StructType) -> DataFrame:
+def union_sources(spark: SparkSession, paths: Sequence[str], schema: StructType | str) -> DataFrame:
     """Union of every readable source, columns aligned by name (missing → null)."""
     out = None
     for p in paths:
         good, _ = read_jsonl(spark, p, schema)
         out = good if out is None else out.unionByName(good, allowMissingColumns=True)
-    return out if out is not None else spark.createDataFrame([], schema)
+    return out if out is not None else read_jsonl(spark, "/nonexistent-path", schema)[0]
 
 
 LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) - (\S+) - (\w+) - (.*)$"

@@ -24,12 +24,12 @@ from pyspark.sql.types import StructType
 from ..functions import text as T
 from ..operators import serving as S
 
-MESSAGE_SCHEMA = StructType.fromDDL(
+MESSAGE_SCHEMA = (
     "msg_id BIGINT, user_id BIGINT, channel_id BIGINT, ts TIMESTAMP_NTZ, label INT, hard_term INT, "
     "confidence DOUBLE, text STRING")
 
 
-def message_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType = MESSAGE_SCHEMA,
+def message_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str = MESSAGE_SCHEMA,
                    max_files_per_trigger: int | None = None) -> DataFrame:
     """File-source stream with a declared schema (no inference on streams)."""
     r = spark.readStream.format(fmt).schema(schema)
@@ -52,9 +52,10 @@ def enrich_stream(stream: DataFrame, store: DataFrame, key: str = "user_id") ->
 
 # --- X4: per-user strike state ---------------------------------------------------------------
 
-STRIKE_OUT = StructType.fromDDL(
+STRIKE_OUT = (
     "msg_id BIGINT, user_id BIGINT, prior_violations BIGINT, severity STRING, action_taken STRING, late BOOLEAN")
-STRIKE_STATE = StructType.fromDDL("violations BIGINT, last_ts TIMESTAMP_NTZ")
+STRIKE_STATE = "violations BIGINT, last_ts TIMESTAMP_NTZ"
+STRIKE_COLS = ["msg_id", "user_id", "prior_violations", "severity", "action_taken", "late"]
 
 
 def _severity(hard: bool, toxic: bool, p: float, prior: int) -> str:
@@ -105,7 +106,7 @@ def _strike_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
         if last_ts is None or r.ts > last_ts:
             last_ts = r.ts
     state.update((count, last_ts))
-    yield pd.DataFrame(out, columns=[f.name for f in STRIKE_OUT.fields])
+    yield pd.DataFrame(out, columns=STRIKE_COLS)
 
 
 def strike_stream(stream: DataFrame) -> DataFrame:
@@ -121,21 +122,27 @@ def append_sink(df: DataFrame, path: str, checkpoint: str, fmt: str = "json"):
     return df.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
+def _event_time(stream: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need TIMESTAMP; naive times are read as UTC (the session zone)."""
+    return stream.withColumn("event_time", F.col(ts).cast("timestamp"))
+
+
 def live_counters(stream: DataFrame, ts: str = "ts", every: str = "5 seconds", watermark: str = "1 hour") -> DataFrame:
     """X6 (A12–A14 live): per window and label — messages, toxic count, mean confidence."""
-    return (stream.withWatermark(ts, watermark)
-            .groupBy(F.window(ts, every).alias("w"), "label")
+    return (_event_time(stream, ts).withWatermark("event_time", watermark)
+            .groupBy(F.window("event_time", every).alias("w"), "label")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("hard_term").alias("hard_terms"),
                  F.avg("confidence").alias("mean_confidence"))
-            .select(F.col("w.start").alias("window_start"), "label", "n", "hard_terms", "mean_confidence"))
+            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "label", "n", "hard_terms",
+                    "mean_confidence"))
 
 
 def hourly_user_counts(stream: DataFrame, ts: str = "ts", watermark: str = "1 hour") -> DataFrame:
     """Hourly tumbling (user, hour) message and bad counts; a 7-day ratio is the sum of the last 168."""
-    return (stream.withWatermark(ts, watermark)
-            .groupBy("user_id", F.window(ts, "1 hour").alias("w"))
+    return (_event_time(stream, ts).withWatermark("event_time", watermark)
+            .groupBy("user_id", F.window("event_time", "1 hour").alias("w"))
             .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad"))
-            .select("user_id", F.col("w.start").alias("hour"), "n", "bad"))
+            .select("user_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "bad"))
 
 
 def trailing_from_hourly(hourly: DataFrame, as_of, hours: int = 168) -> DataFrame:
@@ -148,7 +155,7 @@ def trailing_from_hourly(hourly: DataFrame, as_of, hours: int = 168) -> DataFram
 
 def dedupe_stream(stream: DataFrame, key: str = "text_hash", ts: str = "ts", watermark: str = "1 hour") -> DataFrame:
     """X8 raw side: drop duplicate hashes seen within the watermark."""
-    return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+    return _event_time(stream, ts).withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([key])
 
 
 def ingest_batches(master_path: str, key: str = "text_hash", order_col: str = "ts"):
