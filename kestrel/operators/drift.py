@@ -187,3 +187,35 @@ def quick_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str], label:
                       F.lit(mean_threshold).alias("threshold")) for f in features]
     out = m.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     return out.withColumn("drifted", F.col("change") > F.col("threshold"))
+
+
+def tokens(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Lower-cased tokens of whole texts, one row per (id, token) occurrence."""
+    from ..functions.lexicons import WS_CLASS_JAVA
+    return (df.select(id_col, F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), f"[{WS_CLASS_JAVA}]+"))
+                      .alias("token")).filter(F.col("token") != ""))
+
+
+def vocabulary(ref: DataFrame, id_col: str, text: str, min_count: int = 2) -> DataFrame:
+    """vocabulary = tokens of the reference side seen at least ``min_count`` times."""
+    return (tokens(ref, id_col, text).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") >= min_count).select("token"))
+
+
+def oov_share(df: DataFrame, id_col: str, text: str, vocab: DataFrame) -> DataFrame:
+    """per text, share of tokens outside the vocabulary.
+
+    Tokens are first counted per (text, token), so a frequent word is one row per text before
+    the join; the join itself is a plain equi-join that AQE may broadcast or split when skewed.
+    """
+    per = tokens(df, id_col, text).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("k"))
+    j = per.join(vocab.withColumn("__in", F.lit(1)), "token", "left")
+    return j.groupBy(id_col).agg((F.sum(F.when(F.col("__in").isNull(), F.col("k")).otherwise(0)) / F.sum("k"))
+                                 .alias("oov_share"))
+
+
+def lexicon_score(df: DataFrame, id_col: str, text: str, lexicon: DataFrame) -> DataFrame:
+    """F23 (re-aimed sentiment): sum of (word, weight) lexicon weights over a text's tokens."""
+    per = tokens(df, id_col, text).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("k"))
+    j = per.join(lexicon.withColumnRenamed("word", "token"), "token", "inner")
+    return j.groupBy(id_col).agg(F.sum(F.col("k") * F.col("weight")).alias("lexicon_score"))

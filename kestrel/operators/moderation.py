@@ -23,6 +23,11 @@ from pyspark.sql import functions as F
 SEVERITIES = ["SAFE", "UNCERTAIN", "LOW", "MEDIUM", "HIGH"]
 
 
+def human_guild_messages(df: DataFrame, is_bot: str = "author_is_bot", guild: str = "guild_id") -> DataFrame:
+    """Drop messages written by bots and direct messages (no guild)."""
+    return df.filter(~F.coalesce(F.col(is_bot), F.lit(False)) & F.col(guild).isNotNull())
+
+
 def fold_confidence(p: Column) -> Column:
     """Report the confidence of the predicted class, max(p, 1 − p)."""
     return F.greatest(p, F.lit(1.0) - p)

@@ -115,3 +115,18 @@ def m4_standard_scale(spark, sf_dir):
     m = messages(spark, sf_dir).select("msg_id", "confidence")
     z = ML.standard_scale(m, ["confidence"], "_z")
     return z.select("msg_id", F.round("confidence_z", 9).alias("confidence_z"))
+
+
+@register("m7_train_score")
+def m7_train_score(spark, sf_dir):
+    """M3 + M5 + M7 + M17: PCA → assemble → weighted logistic regression; score the test split.
+
+    Rows-only check (learned weights have no SQL oracle); metrics M10–M13 apply to the output.
+    """
+    from ..operators import training as TR
+    from ..sources.tables import read_table
+    emb = TR.embeddings_frame(read_table(spark, sf_dir, "embeddings"))
+    split = ML.stratified_split(emb, "label", "vec_id")
+    train = TR.with_class_weights(split.filter(F.col("split") == "train"))
+    model = TR.training_pipeline("vec", [], k=16).fit(train)
+    return TR.score(model, split.filter(F.col("split") == "test")).select("vec_id", "label", "prediction", "confidence")

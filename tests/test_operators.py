@@ -298,3 +298,25 @@ def test_quality_report_flags(spark):
     rep = {(r["check"], r["column"]): r["failed"] for r in I.quality_report(df, "label", ("msg_len",)).collect()}
     assert rep[("value_range", "const")] and rep[("minority_ratio", "label")]
     assert not rep[("outlier_share", "msg_len")]
+
+
+def test_oov_and_lexicon(spark):
+    ref = spark.createDataFrame([(1, "the cat sat"), (2, "the cat ran")], "id int, text string")
+    cur = spark.createDataFrame([(3, "The dog sat the")], "id int, text string")
+    vocab = D.vocabulary(ref, "id", "text", 2)
+    assert sorted(r[0] for r in vocab.collect()) == ["cat", "the"]
+    assert D.oov_share(cur, "id", "text", vocab).first()["oov_share"] == pytest.approx(0.5)
+    lex = spark.createDataFrame([("the", 0.5), ("dog", -1.0)], "word string, weight double")
+    assert D.lexicon_score(cur, "id", "text", lex).first()["lexicon_score"] == pytest.approx(0.0)
+
+
+def test_bot_and_dm_filter(spark):
+    df = spark.createDataFrame([(1, False, 10), (2, True, 10), (3, False, None)], "id int, author_is_bot boolean, guild_id long")
+    assert [r["id"] for r in M.human_guild_messages(df).collect()] == [1]
+
+
+def test_training_pipeline_scores(spark):
+    from kestrel.plans.ml import m7_train_score
+    out = m7_train_score(spark, "/root/testdata/sf0.001")
+    rows = out.collect()
+    assert rows and all(r["confidence"] >= 0.5 for r in rows)
