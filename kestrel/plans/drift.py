@@ -200,3 +200,35 @@ def d14_drift_history(spark, sf_dir):
     w = Window.orderBy("day")
     return daily.withColumn("prev_rate", F.lag("toxic_rate").over(w)).withColumn(
         "rate_change", F.col("toxic_rate") - F.col("prev_rate"))
+
+
+DESCRIPTORS = ["msg_len", "non_letter_pct", "has_trigger_word", "emphasis"]
+
+_DESC_SELECT = f"""CAST(length(coalesce(text, '')) AS DOUBLE) AS msg_len,
+         CASE WHEN length(coalesce(text, '')) > 0
+              THEN length(regexp_replace(text, '[\\p{{L}}{lx.WS_CLASS}]', '', 'g')) * 100.0 / length(text)
+              ELSE 0.0 END AS non_letter_pct,
+         CAST(len(list_intersect({_tokens("lower(coalesce(text, ''))")}, [{', '.join("'" + w + "'" for w in lx.TRIGGER_WORDS)}])) > 0 AS DOUBLE) AS has_trigger_word,
+         CAST(regexp_matches(coalesce(text, ''), '[!?]{{2,}}') AS DOUBLE) AS emphasis
+  FROM texts),"""
+
+
+def _descriptor_sql() -> str:
+    a = _FEAT_CTE.index("CAST(length(coalesce(text, '')) AS DOUBLE) AS msg_len,")
+    b = _FEAT_CTE.index("FROM texts),") + len("FROM texts),")
+    body = _FEAT_CTE[:a] + _DESC_SELECT + _FEAT_CTE[b:]
+    body = body.replace("ON msg_len, caps_ratio, slur_count, word_count",
+                        "ON msg_len, non_letter_pct, has_trigger_word, emphasis")
+    return with_views(body, "texts") + f"""
+SELECT feature, ks_statistic, round(psi, {R9}) AS psi, drifted FROM fd"""
+
+
+@register("d10_descriptor_drift", _descriptor_sql())
+def d10_descriptor_drift(spark, sf_dir):
+    """Text-descriptor drift — length, non-letter share, trigger words, emphasis through KS and PSI."""
+    t = texts(spark, sf_dir).withColumns({
+        "msg_len": T.msg_len("text"), "non_letter_pct": T.non_letter_pct("text"),
+        "has_trigger_word": T.has_trigger_word("text").cast("double"), "emphasis": T.emphasis("text").cast("double")})
+    is_ref = F.substring("source", 4, 10).cast("int") < 10
+    fd = D.feature_drift(t.filter(is_ref), t.filter(~is_ref), DESCRIPTORS)
+    return fd.select("feature", "ks_statistic", F.round("psi", R9).alias("psi"), "drifted")
