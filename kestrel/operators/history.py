@@ -189,3 +189,29 @@ def first_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[tuple
 def latest_per_key(df: DataFrame, key: str | Sequence[str], ts: str, tie: str) -> DataFrame:
     """Newest row per key by ``ts``, ties broken by the larger ``tie``."""
     return first_per_key(df, key, [(micros(ts), False), (F.col(tie), False)])
+
+
+def running_sum(df: DataFrame, key: Sequence[str], ts: str, tie: str, values: dict[str, str],
+                strategy: str = "window", bucket_us: int = US_PER_DAY, inclusive: bool = False) -> DataFrame:
+    """Running sums per key in (ts, tie) order: ``out = Σ value`` over earlier rows (or up to this one).
+
+    ``window``: one ordered window per key.  ``prefix``: the same sums as bucket offsets plus a
+    local prefix inside (key, time bucket) — the per-bucket totals are pre-aggregated (small), so
+    no task ever holds more than one bucket of one key, however hot the key.
+    """
+    key = list(key)
+    end = 0 if inclusive else -1
+    if strategy == "window":
+        w = Window.partitionBy(*key).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, end)
+        return df.withColumns({o: F.coalesce(F.sum(v).over(w), F.lit(0)) for o, v in values.items()})
+    if strategy != "prefix":
+        raise ValueError(strategy)
+    d = df.withColumn("__rb", F.floor(micros(ts) / F.lit(bucket_us)))
+    tot = d.groupBy(*key, "__rb").agg(*[F.sum(v).alias(f"__t_{o}") for o, v in values.items()])
+    wk = Window.partitionBy(*key).orderBy("__rb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*key, "__rb", *[F.coalesce(F.sum(f"__t_{o}").over(wk), F.lit(0)).alias(f"__o_{o}")
+                                      for o in values])
+    wl = Window.partitionBy(*key, "__rb").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, end)
+    j = d.join(offs, [*key, "__rb"], "inner")
+    return j.withColumns({o: F.col(f"__o_{o}") + F.coalesce(F.sum(v).over(wl), F.lit(0))
+                          for o, v in values.items()}).drop("__rb", *[f"__o_{o}" for o in values])

@@ -50,12 +50,12 @@ strikes AS (
 _STRIKES_SQL = with_views(_WALK_CTES + "\nSELECT * FROM strikes", "messages")
 
 
-def _strikes(spark, sf_dir):
+def _strikes(spark, sf_dir, strategy="window"):
     m = messages(spark, sf_dir)
     scored = m.select("msg_id", "user_id", "ts", "hard_term",
                       (F.col("label") == 1).alias("is_toxic"),
                       M.fold_confidence(F.col("confidence")).alias("confidence"))
-    return M.strike_history(scored)
+    return M.strike_history(scored, strategy=strategy)
 
 
 @register("h9_strike_history", _STRIKES_SQL)
@@ -64,6 +64,13 @@ def h9_strike_history(spark, sf_dir):
     return _strikes(spark, sf_dir).select("msg_id", "user_id", "prior_violations", "severity", "action_taken")
 
 
+@register("h9_strike_history_prefix", _STRIKES_SQL)
+def h9_strike_history_prefix(spark, sf_dir):
+    """H9 through bucketed running sums (skew-proof for a user holding a large share of rows)."""
+    return _strikes(spark, sf_dir, "prefix").select("msg_id", "user_id", "prior_violations", "severity",
+                                                    "action_taken")
+
+
 @register("a11_user_profiles", with_views(_WALK_CTES + """
 SELECT s.user_id,
        CAST(count(*) FILTER (WHERE severity IN ('MEDIUM', 'HIGH')) AS BIGINT) AS violations,

@@ -163,9 +163,10 @@ def test_strike_closed_form_equals_fold(spark):
             rows.append((mid, user, T0 + dt.timedelta(minutes=k), hard, toxic, p, reset))
     df = spark.createDataFrame(rows, "msg_id long, user_id long, ts timestamp_ntz, hard_term boolean, "
                                      "is_toxic boolean, confidence double, is_reset boolean")
-    out = M.strike_history(df, reset="is_reset")
-    got = {r["msg_id"]: (r["prior_violations"], r["severity"]) for r in out.collect()}
-    assert got == exp
+    for strategy in ("window", "prefix"):
+        out = M.strike_history(df, reset="is_reset", strategy=strategy, bucket_us=3 * 60_000_000)
+        got = {r["msg_id"]: (r["prior_violations"], r["severity"]) for r in out.collect()}
+        assert got == exp, strategy
 
 
 def test_severity_borders(spark):
