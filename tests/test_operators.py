@@ -321,3 +321,15 @@ def test_training_pipeline_scores(spark):
     out = m7_train_score(spark, "/root/testdata/sf0.001")
     rows = out.collect()
     assert rows and all(r["confidence"] >= 0.5 for r in rows)
+
+
+def test_asof_strict_ties_and_buckets(spark):
+    left = spark.createDataFrame([(1, 1, T0), (2, 1, T0 + dt.timedelta(minutes=5)), (3, 1, T0 + dt.timedelta(days=3)),
+                                  (4, 2, T0)], "id int, k int, ts timestamp_ntz")
+    right = spark.createDataFrame([(1, T0, "a"), (1, T0 + dt.timedelta(minutes=1), "b"), (1, T0 + dt.timedelta(days=2), None)],
+                                  "k int, ts timestamp_ntz, v string")
+    for strategy in ("window", "prefix"):
+        out = S.asof_join(left, right, "k", "ts", "ts", ["v"], strategy=strategy, bucket_us=60_000_000)
+        got = {r["id"]: r["v"] for r in out.collect()}
+        # id 1 ties with "a" (strict → nothing); id 3 sees the newer right row whose v is null.
+        assert got == {1: None, 2: "b", 3: None, 4: None}, strategy
