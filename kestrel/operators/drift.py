@@ -35,22 +35,46 @@ def side_counts(long: DataFrame) -> DataFrame:
     return long.groupBy("feature").agg(F.count_if(_is(REF)).alias("n_ref"), F.count_if(_is(CUR)).alias("n_cur"))
 
 
-def ks_statistic(long: DataFrame) -> DataFrame:
+def ks_statistic(long: DataFrame, strategy: str = "window", buckets: int = 1024) -> DataFrame:
     """Two-sample KS statistic per feature, sup |F_ref − F_cur| over all observed values.
 
-    Rows are first reduced to one per (feature, value); the running sums then sort distinct
-    values only, one window partition per feature.
+    Rows are first reduced to one per (feature, value).  ``window``: the running sums sort the
+    distinct values of a feature in one task.  ``prefix``: approximate quantile cut points split
+    every feature into ``buckets`` value ranges (cut lists are bounded and one per feature, so
+    broadcasting them is safe); bucket totals give offsets and a local window adds the rest, so
+    a continuous feature with billions of distinct values is spread over many tasks.  Cut
+    points only decide the split — the sums, and so the statistic, stay exact.
     """
     n = side_counts(long)
     g = long.groupBy("feature", "value").agg(F.count_if(_is(REF)).alias("r"), F.count_if(_is(CUR)).alias("c"))
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumns({"cr": F.sum("r").over(w), "cc": F.sum("c").over(w)})
+    if strategy == "window":
+        w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        g = g.withColumns({"cr": F.sum("r").over(w), "cc": F.sum("c").over(w)})
+    elif strategy == "prefix":
+        g = _bucketed_cdf(g, buckets)
+    else:
+        raise ValueError(strategy)
     g = g.join(F.broadcast(n), "feature")
     d = F.abs(F.col("cr") / F.col("n_ref") - F.col("cc") / F.col("n_cur"))
     return g.groupBy("feature").agg(F.max(d).alias("ks_statistic"), F.first("n_ref").alias("n_ref"),
                                     F.first("n_cur").alias("n_cur"))
 
 
+def _bucketed_cdf(g: DataFrame, buckets: int) -> DataFrame:
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = g.groupBy("feature").agg(F.percentile_approx("value", probs, 10_000).alias("__cuts"))
+    d = g.join(F.broadcast(cuts), "feature").withColumn(
+        "__b", F.size(F.filter("__cuts", lambda c: c < F.col("value")))).drop("__cuts")
+    tot = d.groupBy("feature", "__b").agg(F.sum("r").alias("__tr"), F.sum("c").alias("__tc"))
+    wk = Window.partitionBy("feature").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("feature", "__b", F.coalesce(F.sum("__tr").over(wk), F.lit(0)).alias("__or"),
+                      F.coalesce(F.sum("__tc").over(wk), F.lit(0)).alias("__oc"))
+    wl = Window.partitionBy("feature", "__b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    j = d.join(offs, ["feature", "__b"])
+    return j.withColumns({"cr": F.col("__or") + F.sum("r").over(wl),
+                          "cc": F.col("__oc") + F.sum("c").over(wl)}).drop("__b", "__or", "__oc")
+
+
 def kolmogorov_sf(lam: Column, terms: int = 100) -> Column:
     """Asymptotic Kolmogorov survival function 2 Σ (−1)^(k−1) exp(−2 k² λ²), clipped to [0, 1]."""
     series = F.aggregate(

@@ -92,6 +92,12 @@ def d1_ks(spark, sf_dir):
     return D.ks_statistic(_long(spark, sf_dir))
 
 
+@register("d1_ks_prefix", _q("SELECT feature, ks_statistic, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur FROM ks"))
+def d1_ks_prefix(spark, sf_dir):
+    """D1 through value buckets from approximate quantiles (bounded tasks per feature, exact statistic)."""
+    return D.ks_statistic(_long(spark, sf_dir), strategy="prefix", buckets=64)
+
+
 @register("d2_ks_pvalue", _q(f"SELECT feature, round(ks_p_value, {R9}) AS ks_p_value, ks_p_value < 0.05 AS ks_drifted FROM ksp"))
 def d2_ks_pvalue(spark, sf_dir):
     """Asymptotic KS p-value and the 5 % drift flag."""

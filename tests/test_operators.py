@@ -194,6 +194,7 @@ def test_psi_and_ks_against_numpy(spark):
     ks = np.max(np.abs(np.searchsorted(np.sort(ref), allv, "right") / len(ref)
                        - np.searchsorted(np.sort(cur), allv, "right") / len(cur)))
     assert D.ks_statistic(long).first()["ks_statistic"] == pytest.approx(ks)
+    assert D.ks_statistic(long, strategy="prefix", buckets=16).first()["ks_statistic"] == pytest.approx(ks)
     same = D.unpivot(r, r, ["x"])
     assert D.psi(same).first()["psi"] == pytest.approx(0.0, abs=1e-12)
 
