@@ -130,3 +130,14 @@ def m7_train_score(spark, sf_dir):
     train = TR.with_class_weights(split.filter(F.col("split") == "train"))
     model = TR.training_pipeline("vec", [], k=16).fit(train)
     return TR.score(model, split.filter(F.col("split") == "test")).select("vec_id", "label", "prediction", "confidence")
+
+
+@register("m1_embed_documents")
+def m1_embed_documents(spark, sf_dir):
+    """M1: 64-d hashed, L2-normalised embedding of every whole document (native encoder; rows-only)."""
+    from ..operators.embedding import embed_hashing
+    from ..sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return embed_hashing(d, "text", 64).select("doc_id", F.size("embedding").alias("dim"),
+                                              F.aggregate("embedding", F.lit(0.0),
+                                                          lambda a, x: a + x * x).alias("norm_sq"))

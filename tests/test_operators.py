@@ -334,3 +334,30 @@ def test_asof_strict_ties_and_buckets(spark):
         got = {r["id"]: r["v"] for r in out.collect()}
         # id 1 ties with "a" (strict → nothing); id 3 sees the newer right row whose v is null.
         assert got == {1: None, 2: "b", 3: None, 4: None}, strategy
+
+
+def test_embeddings_and_cache(spark):
+    import tempfile
+    from kestrel.operators import embedding as EM
+    df = spark.createDataFrame([(1, "Hello world"), (2, "hello   WORLD"), (3, None), (4, "other words")],
+                               "id int, text string")
+    h = {r["id"]: r["embedding"] for r in EM.embed_hashing(df, "text", 16).collect()}
+    assert h[1] == h[2] and len(h[1]) == 16 and abs(sum(x * x for x in h[1]) - 1) < 1e-5
+    assert sum(h[3]) == 0
+
+    def loader():
+        def encode(texts):
+            return np.array([[len(t), t.count("o")] for t in texts], dtype=float)
+        return encode
+    m = {r["id"]: r["embedding"] for r in EM.embed_with_model(df, "text", loader, dim=2, batch_size=3).collect()}
+    assert m[4] == [11.0, 2.0] and m[3] == [0.0, 0.0]
+    path = tempfile.mkdtemp(prefix="kestrel-emb-") + "/cache"
+
+    def emb(x):
+        return EM.embed_with_model(x, "text", loader, dim=2)
+    first = EM.cached_embeddings(spark, df, path, "toy-v1", emb)
+    assert first.count() == 4
+    n_cache = spark.read.parquet(path).count()
+    second = EM.cached_embeddings(spark, df, path, "toy-v1", emb)
+    assert spark.read.parquet(path).count() == n_cache  # nothing re-embedded
+    assert sorted(map(str, first.orderBy("id").collect())) == sorted(map(str, second.orderBy("id").collect()))
