@@ -9,6 +9,7 @@ features, fixed at plan time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -243,3 +244,75 @@ def lexicon_score(df: DataFrame, id_col: str, text: str, lexicon: DataFrame) ->
     per = tokens(df, id_col, text).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("k"))
     j = per.join(lexicon.withColumnRenamed("word", "token"), "token", "inner")
     return j.groupBy(id_col).agg(F.sum(F.col("k") * F.col("weight")).alias("lexicon_score"))
+
+
+# --- χ² p-values without scipy: regularized upper incomplete gamma as column expressions -----
+
+# Lanczos approximation (g = 7, nine coefficients) — standard published constants.
+_LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313,
+            -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6,
+            1.5056327351493116e-7]
+
+
+def lgamma(x: Column) -> Column:
+    """log Γ(x) for x ≥ 0.5 (Lanczos)."""
+    z = x - 1
+    a = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:], start=1):
+        a = a + F.lit(c) / (z + i)
+    t = z + 7.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(a)
+
+
+def gamma_q(s: Column, x: Column, terms: int = 300) -> Column:
+    """Q(s, x) = Γ(s, x) / Γ(s): series for x < s + 1, Lentz continued fraction otherwise."""
+    pref = F.exp(-x + s * F.log(x) - lgamma(s))
+    seq = F.sequence(F.lit(1), F.lit(terms))
+    series = F.aggregate(seq, F.struct((F.lit(1.0) / s).alias("term"), (F.lit(1.0) / s).alias("sum")),
+                         lambda acc, n: F.struct((acc["term"] * x / (s + n)).alias("term"),
+                                                 (acc["sum"] + acc["term"] * x / (s + n)).alias("sum")))
+    p_series = series["sum"] * pref
+    tiny = F.lit(1e-300)
+
+    def step(acc, i):
+        an = -i * (i - s)
+        b = acc["b"] + 2
+        d = an * acc["d"] + b
+        d = F.when(F.abs(d) < 1e-300, tiny).otherwise(d)
+        c = b + an / acc["c"]
+        c = F.when(F.abs(c) < 1e-300, tiny).otherwise(c)
+        d = F.lit(1.0) / d
+        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
+    b0 = x + 1 - s
+    cf = F.aggregate(seq, F.struct(b0.alias("b"), (F.lit(1.0) / tiny).alias("c"), (F.lit(1.0) / b0).alias("d"),
+                                   (F.lit(1.0) / b0).alias("h")), step)
+    q = F.when(x < s + 1, F.lit(1.0) - p_series).otherwise(cf["h"] * pref)
+    return F.when(x <= 0, F.lit(1.0)).otherwise(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))
+
+
+def chi2_sf(stat: Column, dof: Column) -> Column:
+    """Survival function of the χ² distribution."""
+    return gamma_q(dof / 2.0, stat / 2.0)
+
+
+def dataset_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
+                  alpha: float = 0.05, share_threshold: float = 0.3) -> DataFrame:
+    """Per column — KS for numeric, χ² homogeneity for categorical — with p-values and a
+    dataset verdict (share of drifted columns above the threshold) on every row."""
+    parts = []
+    if numeric:
+        ks = ks_test(unpivot(ref, cur, numeric), alpha)
+        parts.append(ks.select(F.col("feature").alias("column"), F.lit("ks").alias("test"),
+                               F.col("ks_statistic").alias("statistic"), F.col("ks_p_value").alias("p_value")))
+    for c in categorical:
+        x = chi_square(ref, cur, c)
+        parts.append(x.select(F.lit(c).alias("column"), F.lit("chi2").alias("test"),
+                              F.col("chi2_statistic").alias("statistic"),
+                              chi2_sf(F.col("chi2_statistic"), F.col("dof").cast("double")).alias("p_value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.withColumn("drifted", F.col("p_value") < alpha)
+    everything = Window.partitionBy()  # over the per-column result (one row per column)
+    share = F.avg(F.col("drifted").cast("double")).over(everything)
+    return out.withColumns({"drift_share": share, "dataset_drift": share > share_threshold})

@@ -238,3 +238,12 @@ def d10_descriptor_drift(spark, sf_dir):
     is_ref = F.substring("source", 4, 10).cast("int") < 10
     fd = D.feature_drift(t.filter(is_ref), t.filter(~is_ref), DESCRIPTORS)
     return fd.select("feature", "ks_statistic", F.round("psi", R9).alias("psi"), "drifted")
+
+
+@register("d12_dataset_drift")
+def d12_dataset_drift(spark, sf_dir):
+    """All-column drift — KS on the numeric text features, χ² on language and label (rows-only)."""
+    ref, cur = _sides(spark, sf_dir)
+    ref = ref.withColumn("label", F.col("label").cast("string"))
+    cur = cur.withColumn("label", F.col("label").cast("string"))
+    return D.dataset_drift(ref, cur, FEATURES, ["lang", "label"])

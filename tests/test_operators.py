@@ -361,3 +361,14 @@ def test_embeddings_and_cache(spark):
     second = EM.cached_embeddings(spark, df, path, "toy-v1", emb)
     assert spark.read.parquet(path).count() == n_cache  # nothing re-embedded
     assert sorted(map(str, first.orderBy("id").collect())) == sorted(map(str, second.orderBy("id").collect()))
+
+
+def test_chi2_survival_against_tables(spark):
+    # Tabulated χ² critical values at 5 % and 1 %, and exact closed forms for dof 2.
+    rows = [(3.841459, 1.0, 0.05), (5.991465, 2.0, 0.05), (11.070498, 5.0, 0.05), (18.307038, 10.0, 0.05),
+            (6.634897, 1.0, 0.01), (43.772972, 30.0, 0.05), (0.5, 2.0, math.exp(-0.25)), (40.0, 2.0, math.exp(-20))]
+    df = spark.createDataFrame(rows, "x double, k double, p double")
+    for r in df.select("p", D.chi2_sf(F.col("x"), F.col("k")).alias("q")).collect():
+        assert r["q"] == pytest.approx(r["p"], rel=1e-5)
+    lg = spark.range(1).select(D.lgamma(F.lit(5.0)).alias("a"), D.lgamma(F.lit(0.5)).alias("b")).first()
+    assert lg["a"] == pytest.approx(math.log(24)) and lg["b"] == pytest.approx(math.log(math.sqrt(math.pi)))
