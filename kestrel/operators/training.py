@@ -53,3 +53,76 @@ def coefficient_importance(model, names: Sequence[str], n: int = 20) -> DataFram
 def embeddings_frame(emb: DataFrame) -> DataFrame:
     """Embeddings table → (vec_id, vector, label % 2) for training."""
     return emb.select("vec_id", array_to_vector("embedding").alias("vec"), (F.col("label") % 2).alias("label"))
+
+
+def _f2_on(pred: DataFrame, threshold: float = 0.5) -> float:
+    """F2 of a scored frame (one aggregate; a single scalar comes back)."""
+    from .ml import classification_metrics
+    return float(classification_metrics(pred, threshold, "label", "p_toxic").first()["f2_score"])
+
+
+def _learner(kind: str, params: dict):
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    common = dict(featuresCol="features", labelCol="label", weightCol="weight")
+    if kind == "logistic":
+        return LogisticRegression(probabilityCol="probability", maxIter=50, **common, **params)
+    if kind == "random_forest":
+        return RandomForestClassifier(seed=42, **common, **params)
+    if kind == "gbt":
+        return GBTClassifier(seed=42, **common, **params)
+    raise ValueError(kind)
+
+
+SEARCH_SPACE = {
+    "logistic": {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]},
+    "random_forest": {"numTrees": [20, 50], "maxDepth": [3, 5, 8]},
+    "gbt": {"maxIter": [20, 50], "maxDepth": [2, 3, 4]},
+}
+
+
+def search(train: DataFrame, val: DataFrame, kind: str, trials: int = 4, seed: int = 42,
+           vec_col: str = "vec", k: int = 16) -> tuple[dict, float, object]:
+    """M8: seeded random search over ``SEARCH_SPACE[kind]`` maximising F2 on the validation split.
+
+    Each trial is a distributed Spark ML fit; only the trial's F2 (a scalar) reaches the driver.
+    """
+    import itertools
+    import random
+    space = SEARCH_SPACE[kind]
+    grid = [dict(zip(space, combo)) for combo in itertools.product(*space.values())]
+    random.Random(seed).shuffle(grid)
+    best = (None, -1.0, None)
+    for params in grid[:trials]:
+        pipe = Pipeline(stages=[PCA(k=k, inputCol=vec_col, outputCol="reduced"),
+                                VectorAssembler(inputCols=["reduced"], outputCol="features"),
+                                _learner(kind, params)])
+        model = pipe.fit(train)
+        f2 = _f2_on(score(model, val))
+        if f2 > best[1]:
+            best = (params, f2, model)
+    return best
+
+
+def tournament(train: DataFrame, val: DataFrame, test: DataFrame, kinds=("logistic", "random_forest", "gbt"),
+               trials: int = 2) -> DataFrame:
+    """M15 + O9: search each model type, skip failures, rank survivors by test F2 (all failed → error)."""
+    from pyspark.sql import SparkSession
+    from .ml import best_threshold, threshold_sweep
+    rows = []
+    for kind in kinds:
+        try:
+            params, val_f2, model = search(train, val, kind, trials)
+            val_scored = score(model, val).select("label", F.col("p_toxic").alias("score"))
+            thr = float(best_threshold(threshold_sweep(val_scored)).first()["threshold"])
+            test_f2 = _f2_on(score(model, test), thr)
+            rows.append((kind, str(params), val_f2, thr, test_f2, None))
+        except Exception as e:  # noqa: BLE001 — a failing model type is skipped, as in the original
+            rows.append((kind, None, None, None, None, f"{type(e).__name__}: {str(e)[:200]}"))
+    if all(r[-1] is not None for r in rows):
+        raise RuntimeError("every model type failed")
+    spark = SparkSession.getActiveSession()
+    board = spark.createDataFrame(rows, "model string, params string, val_f2 double, threshold double, "
+                                        "test_f2 double, error string")
+    from pyspark.sql import Window
+    w = Window.orderBy(F.desc_nulls_last("test_f2"), "model")  # a handful of rows, one per model type
+    return board.withColumn("rank", F.row_number().over(w))

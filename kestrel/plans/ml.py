@@ -141,3 +141,15 @@ def m1_embed_documents(spark, sf_dir):
     return embed_hashing(d, "text", 64).select("doc_id", F.size("embedding").alias("dim"),
                                               F.aggregate("embedding", F.lit(0.0),
                                                           lambda a, x: a + x * x).alias("norm_sq"))
+
+
+@register("m15_tournament")
+def m15_tournament(spark, sf_dir):
+    """M8 + M15 + O9: seeded search per model type on the embeddings, leaderboard by test F2 (rows-only)."""
+    from ..operators import training as TR
+    from ..sources.tables import read_table
+    emb = TR.embeddings_frame(read_table(spark, sf_dir, "embeddings"))
+    split = ML.stratified_split(emb, "label", "vec_id")
+    train = TR.with_class_weights(split.filter(F.col("split") == "train"))
+    return TR.tournament(train, split.filter(F.col("split") == "val"), split.filter(F.col("split") == "test"),
+                         trials=1)

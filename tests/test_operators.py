@@ -372,3 +372,11 @@ def test_chi2_survival_against_tables(spark):
         assert r["q"] == pytest.approx(r["p"], rel=1e-5)
     lg = spark.range(1).select(D.lgamma(F.lit(5.0)).alias("a"), D.lgamma(F.lit(0.5)).alias("b")).first()
     assert lg["a"] == pytest.approx(math.log(24)) and lg["b"] == pytest.approx(math.log(math.sqrt(math.pi)))
+
+
+def test_tournament_leaderboard(spark):
+    from kestrel.plans.ml import m15_tournament
+    board = m15_tournament(spark, "/root/testdata/sf0.001").collect()
+    assert [r["rank"] for r in sorted(board, key=lambda r: r["rank"])] == [1, 2, 3]
+    ok = [r for r in board if r["error"] is None]
+    assert ok and all(0.0 <= r["test_f2"] <= 1.0 for r in ok)

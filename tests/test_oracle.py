@@ -32,7 +32,7 @@ def test_query_matches_oracle(spark, con, name):
 def test_every_query_has_docstring_and_runs_rows_only(spark):
     for name, fn in QUERIES.items():
         assert fn.__doc__, name
-        if name not in ORACLE:
+        if name not in ORACLE and name != "m15_tournament":  # the tournament has its own test
             assert fn(spark, SF001).count() >= 0
 
 

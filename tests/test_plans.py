@@ -17,7 +17,7 @@ def _plan(df) -> str:
 def test_no_python_in_batch_plans(spark):
     reg = load_all()
     for name, spec in reg.items():
-        if name == "m7_train_score":
+        if name in ("m7_train_score", "m15_tournament"):  # Spark ML fits: eager by nature
             continue
         plan = _plan(spec.build(spark, SF001))
         assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
