@@ -75,8 +75,13 @@ def _prefix_sums(df: DataFrame, key: Sequence[str], ts_us: str, id_col: str, wid
 
 def trailing_counts(df: DataFrame, key: str | Sequence[str], ts: str, width_us: int,
                     values: dict[str, Column], count_name: str, *, id_col: str = "msg_id",
-                    strategy: str = "window", bucket_us: int = US_PER_HOUR) -> DataFrame:
-    """Append ``count_name`` = rows in ``[ts − width, ts)`` and ``values`` summed over the same frame."""
+                    strategy: str = "window", bucket_us: int = US_PER_HOUR,
+                    hot_min_rows: int = 5_000_000) -> DataFrame:
+    """Append ``count_name`` = rows in ``[ts − width, ts)`` and ``values`` summed over the same frame.
+
+    ``strategy``: ``window`` (one ordered window per key), ``prefix`` (bucketed prefix sums for
+    every key) or ``auto`` (keys with at least ``hot_min_rows`` rows take ``prefix``).
+    """
     key = [key] if isinstance(key, str) else list(key)
     tcol = "__ts_us"
     d = df.withColumn(tcol, micros(ts))
@@ -85,6 +90,9 @@ def trailing_counts(df: DataFrame, key: str | Sequence[str], ts: str, width_us:
         out = _window_sums(d, key, tcol, width_us, values, names)
     elif strategy == "prefix":
         out = _prefix_sums(d, key, tcol, id_col, width_us, values, names, bucket_us)
+    elif strategy == "auto":
+        return trailing_counts_skew_aware(df, key, ts, width_us, values, count_name, id_col=id_col,
+                                          hot_min_rows=hot_min_rows, bucket_us=bucket_us)
     else:
         raise ValueError(strategy)
     return out.drop(tcol)
@@ -102,7 +110,8 @@ def hot_keys(df: DataFrame, key: str | Sequence[str], min_rows: int, max_keys: i
 
 def trailing_counts_skew_aware(df: DataFrame, key: str | Sequence[str], ts: str, width_us: int,
                                values: dict[str, Column], count_name: str, *, id_col: str = "msg_id",
-                               hot_min_rows: int = 5_000_000, bucket_us: int = US_PER_HOUR) -> DataFrame:
+                               hot_min_rows: int = 5_000_000, bucket_us: int = US_PER_HOUR,
+                               materialize: bool = True) -> DataFrame:
     """Route hot keys through the prefix strategy and all other keys through one plain window.
 
     The hot-key list is capped (see ``hot_keys``) and broadcast; keys beyond the cap are still
@@ -116,7 +125,15 @@ def trailing_counts_skew_aware(df: DataFrame, key: str | Sequence[str], ts: str,
                                 count_name, id_col=id_col, strategy="window")
     hot_part = trailing_counts(tagged.filter(is_hot).drop("__hot"), key, ts, width_us, values,
                                count_name, id_col=id_col, strategy="prefix", bucket_us=bucket_us)
-    return cold_part.unionByName(hot_part)
+    out = cold_part.unionByName(hot_part)
+    if not materialize:
+        return out
+    # Both branches read the same input; chained routed steps would recompute it once per branch
+    # and level.  A reliable checkpoint in the shared checkpoint folder cuts the lineage (and
+    # survives executor loss).
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return out.checkpoint(eager=True)
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -126,19 +143,18 @@ def _ratio(num: Column, den: Column) -> Column:
 def user_channel_features(msgs: DataFrame, *, user: str = "user_id", channel: str = "channel_id",
                           ts: str = "ts", label: str = "label", id_col: str = "msg_id",
                           default_gap_hours: float = 24.0, new_to_channel_max: int = 3,
-                          strategy: str = "window") -> DataFrame:
+                          strategy: str = "window", hot_min_rows: int = 5_000_000) -> DataFrame:
     """H1–H8: the complete per-message history feature set.
 
     Plain strategy: two exchanges (channel, user); the (user, channel) running number reuses
     the user partitioning.  Missing values become 0 only at the end (Q2).
     """
     lab = F.col(label).cast("bigint")
+    kw = dict(id_col=id_col, strategy=strategy, hot_min_rows=hot_min_rows)
     d = trailing_counts(msgs, channel, ts, US_PER_DAY, {"channel_24h_bad_count": lab},
-                        "channel_24h_msg_count", id_col=id_col, strategy=strategy)
-    d = trailing_counts(d, user, ts, 7 * US_PER_DAY, {"user_7d_bad_count": lab},
-                        "user_7d_msg_count", id_col=id_col, strategy=strategy)
-    d = trailing_counts(d, user, ts, 30 * US_PER_DAY, {"user_30d_bad_count": lab},
-                        "user_30d_msg_count", id_col=id_col, strategy=strategy)
+                        "channel_24h_msg_count", **kw)
+    d = trailing_counts(d, user, ts, 7 * US_PER_DAY, {"user_7d_bad_count": lab}, "user_7d_msg_count", **kw)
+    d = trailing_counts(d, user, ts, 30 * US_PER_DAY, {"user_30d_bad_count": lab}, "user_30d_msg_count", **kw)
     tsu = micros(ts)
     wu = Window.partitionBy(user).orderBy(tsu, F.col(id_col))
     wuc = Window.partitionBy(user, channel).orderBy(tsu, F.col(id_col))
