@@ -112,22 +112,52 @@ def _score_groups(scores: DataFrame, label: str, score: str) -> DataFrame:
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def roc_auc(scores: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def ordered_sums(g: DataFrame, order: str, sums: dict[str, str], inclusive: bool, descending: bool = False,
+                 strategy: str = "window", buckets: int = 1024) -> DataFrame:
+    """Running sums over the whole table in ``order`` (one row per distinct value).
+
+    ``window`` sorts everything in one task.  ``prefix`` splits the value range at approximate
+    quantile cut points (a bounded list, broadcast), adds bucket offsets from a ≤ ``buckets``-row
+    table and finishes with a window inside each bucket — exact sums, bounded tasks.
+    """
+    end = 0 if inclusive else -1
+    o = F.col(order).desc() if descending else F.col(order).asc()
+    if strategy == "window":
+        w = Window.orderBy(o).rowsBetween(Window.unboundedPreceding, end)
+        return g.withColumns({out: F.coalesce(F.sum(v).over(w), F.lit(0)) for out, v in sums.items()})
+    probs = [i / buckets for i in range(1, buckets)]
+    # The cut list is bounded by ``buckets``: bring it to the driver and inline it as a literal.
+    cuts = g.agg(F.percentile_approx(order, probs, 10_000).alias("c")).first()["c"] or []
+    arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    b = F.size(F.filter(arr, lambda c: c < F.col(order)))
+    d = g.withColumn("__b", (F.lit(buckets) - b) if descending else b)
+    tot = d.groupBy("__b").agg(*[F.sum(v).alias(f"__t_{out}") for out, v in sums.items()])
+    wk = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # ≤ buckets rows
+    offs = tot.select("__b", *[F.coalesce(F.sum(f"__t_{out}").over(wk), F.lit(0)).alias(f"__o_{out}")
+                               for out in sums])
+    wl = Window.partitionBy("__b").orderBy(o).rowsBetween(Window.unboundedPreceding, end)
+    j = d.join(offs, "__b")
+    return j.withColumns({out: F.col(f"__o_{out}") + F.coalesce(F.sum(v).over(wl), F.lit(0))
+                          for out, v in sums.items()}).drop("__b", *[f"__o_{out}" for out in sums])
+
+
+def roc_auc(scores: DataFrame, label: str = "label", score: str = "score", strategy: str = "window",
+            buckets: int = 1024) -> DataFrame:
     """ROC-AUC with ties (trapezoid = Mann–Whitney), over one row per distinct score."""
     g = _score_groups(scores, label, score)
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    g = ordered_sums(g, "s", {"neg_below": "neg"}, inclusive=False, strategy=strategy, buckets=buckets)
     return g.agg(((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)))
                   / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
 
 
-def average_precision(scores: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+def average_precision(scores: DataFrame, label: str = "label", score: str = "score",
+                      strategy: str = "window", buckets: int = 1024) -> DataFrame:
     """Step-wise AP = Σ (R_n − R_{n−1}) · P_n over distinct scores, highest first."""
     g = _score_groups(scores, label, score)
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w),
-                       "P": F.sum("pos").over(Window.partitionBy())})
-    return g.agg(F.sum((F.col("pos") / F.col("P")) * (F.col("tp") / (F.col("tp") + F.col("fp"))))
+    g = ordered_sums(g, "s", {"tp": "pos", "fp": "neg"}, inclusive=True, descending=True,
+                     strategy=strategy, buckets=buckets)
+    # Σ (pos/P) · precision = (1/P) · Σ pos · precision: P comes out of the same aggregate.
+    return g.agg((F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))) / F.sum("pos"))
                  .alias("avg_precision"))
 
 

@@ -75,28 +75,48 @@ def m10_metrics(spark, sf_dir):
     return m.select(*[F.round(c, 12).alias(c) for c in m.columns])
 
 
-@register("m11_roc_auc", with_views("""
+_AUC_SQL = with_views("""
 SELECT round((sum(r) FILTER (WHERE label = 1) - P * (P + 1) / 2.0) / (P * N), 12) AS roc_auc
 FROM (SELECT label, rank() OVER (ORDER BY confidence) + (count(*) OVER (PARTITION BY confidence) - 1) / 2.0 AS r,
              count(*) FILTER (WHERE label = 1) OVER () AS P, count(*) FILTER (WHERE label <> 1) OVER () AS N
       FROM messages)
-GROUP BY P, N""", "messages"))
+GROUP BY P, N""", "messages")
+
+
+@register("m11_roc_auc", _AUC_SQL)
 def m11_roc_auc(spark, sf_dir):
     """ROC-AUC with tied scores (oracle: Mann–Whitney average ranks)."""
     return ML.roc_auc(_scores(spark, sf_dir)).select(F.round("roc_auc", 12).alias("roc_auc"))
 
 
-@register("m12_avg_precision", with_views("""
+@register("m11_roc_auc_prefix", _AUC_SQL)
+def m11_roc_auc_prefix(spark, sf_dir):
+    """M11 through score buckets from approximate quantiles (bounded tasks, exact value)."""
+    return ML.roc_auc(_scores(spark, sf_dir), strategy="prefix", buckets=16).select(
+        F.round("roc_auc", 12).alias("roc_auc"))
+
+
+_AP_SQL = with_views("""
 SELECT round(sum(pos / P * tp / (tp + fp)), 12) AS avg_precision FROM (
   SELECT pos, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS P FROM (
     SELECT confidence AS s, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
     FROM messages GROUP BY confidence)
-  WINDOW w AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""", "messages"))
+  WINDOW w AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""", "messages")
+
+
+@register("m12_avg_precision", _AP_SQL)
 def m12_avg_precision(spark, sf_dir):
     """Step-wise average precision (not interpolated)."""
     return ML.average_precision(_scores(spark, sf_dir)).select(F.round("avg_precision", 12).alias("avg_precision"))
 
 
+@register("m12_avg_precision_prefix", _AP_SQL)
+def m12_avg_precision_prefix(spark, sf_dir):
+    """M12 through score buckets (bounded tasks, exact value)."""
+    return ML.average_precision(_scores(spark, sf_dir), strategy="prefix", buckets=16).select(
+        F.round("avg_precision", 12).alias("avg_precision"))
+
+
 @register("m13_confusion_matrix", with_views("""
 SELECT label, CAST(count(*) FILTER (WHERE confidence < 0.5) AS BIGINT) AS pred_0,
        CAST(count(*) FILTER (WHERE confidence >= 0.5) AS BIGINT) AS pred_1

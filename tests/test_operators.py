@@ -239,7 +239,11 @@ def test_auc_ap(spark):
     auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert ML.roc_auc(df).first()["roc_auc"] == pytest.approx(auc)
     # AP steps at .9 (P=1,R=1/3), .8 (P=2/3,R=2/3), .3 (P=3/5,R=1)
-    assert ML.average_precision(df).first()["avg_precision"] == pytest.approx(1 / 3 * 1 + 1 / 3 * 2 / 3 + 1 / 3 * 3 / 5)
+    ap = 1 / 3 * 1 + 1 / 3 * 2 / 3 + 1 / 3 * 3 / 5
+    assert ML.average_precision(df).first()["avg_precision"] == pytest.approx(ap)
+    for b in (2, 4):
+        assert ML.roc_auc(df, strategy="prefix", buckets=b).first()["roc_auc"] == pytest.approx(auc)
+        assert ML.average_precision(df, strategy="prefix", buckets=b).first()["avg_precision"] == pytest.approx(ap)
 
 
 def test_split_proportions(spark):
