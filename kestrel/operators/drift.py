@@ -36,13 +36,13 @@ def side_counts(long: DataFrame) -> DataFrame:
     return long.groupBy("feature").agg(F.count_if(_is(REF)).alias("n_ref"), F.count_if(_is(CUR)).alias("n_cur"))
 
 
-def ks_statistic(long: DataFrame, strategy: str = "window", buckets: int = 1024) -> DataFrame:
+def ks_statistic(long: DataFrame, strategy: str = "window", buckets: int = 256) -> DataFrame:
     """Two-sample KS statistic per feature, sup |F_ref − F_cur| over all observed values.
 
     Rows are first reduced to one per (feature, value).  ``window``: the running sums sort the
     distinct values of a feature in one task.  ``prefix``: approximate quantile cut points split
-    every feature into ``buckets`` value ranges (cut lists are bounded and one per feature, so
-    broadcasting them is safe); bucket totals give offsets and a local window adds the rest, so
+    every feature into ``buckets`` value ranges (one bounded cut list per feature, inlined as a
+    search tree); bucket totals give offsets and a local window adds the rest, so
     a continuous feature with billions of distinct values is spread over many tasks.  Cut
     points only decide the split — the sums, and so the statistic, stay exact.
     """
@@ -62,10 +62,15 @@ def ks_statistic(long: DataFrame, strategy: str = "window", buckets: int = 1024)
 
 
 def _bucketed_cdf(g: DataFrame, buckets: int) -> DataFrame:
+    from .ml import _count_below
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = g.groupBy("feature").agg(F.percentile_approx("value", probs, 10_000).alias("__cuts"))
-    d = g.join(F.broadcast(cuts), "feature").withColumn(
-        "__b", F.size(F.filter("__cuts", lambda c: c < F.col("value")))).drop("__cuts")
+    # One bounded cut list per feature (features × buckets values) → a CASE search tree per feature.
+    rows = g.groupBy("feature").agg(F.percentile_approx("value", probs, 10_000).alias("c")).collect()
+    bucket = F.lit(0)
+    for r in rows:
+        bucket = F.when(F.col("feature") == r["feature"],
+                        _count_below(F.col("value"), sorted(float(c) for c in (r["c"] or [])))).otherwise(bucket)
+    d = g.withColumn("__b", bucket)
     tot = d.groupBy("feature", "__b").agg(F.sum("r").alias("__tr"), F.sum("c").alias("__tc"))
     wk = Window.partitionBy("feature").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("feature", "__b", F.coalesce(F.sum("__tr").over(wk), F.lit(0)).alias("__or"),

@@ -112,8 +112,18 @@ def _score_groups(scores: DataFrame, label: str, score: str) -> DataFrame:
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
+def _count_below(v: Column, cuts: list[float], lo: int = 0, hi: int | None = None) -> Column:
+    """Number of ``cuts`` (sorted) strictly below ``v`` as a balanced CASE tree (depth log₂ n)."""
+    if hi is None:
+        hi = len(cuts)
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(v > F.lit(cuts[mid]), _count_below(v, cuts, mid + 1, hi)).otherwise(_count_below(v, cuts, lo, mid))
+
+
 def ordered_sums(g: DataFrame, order: str, sums: dict[str, str], inclusive: bool, descending: bool = False,
-                 strategy: str = "window", buckets: int = 1024) -> DataFrame:
+                 strategy: str = "window", buckets: int = 256) -> DataFrame:
     """Running sums over the whole table in ``order`` (one row per distinct value).
 
     ``window`` sorts everything in one task.  ``prefix`` splits the value range at approximate
@@ -126,10 +136,9 @@ def ordered_sums(g: DataFrame, order: str, sums: dict[str, str], inclusive: bool
         w = Window.orderBy(o).rowsBetween(Window.unboundedPreceding, end)
         return g.withColumns({out: F.coalesce(F.sum(v).over(w), F.lit(0)) for out, v in sums.items()})
     probs = [i / buckets for i in range(1, buckets)]
-    # The cut list is bounded by ``buckets``: bring it to the driver and inline it as a literal.
-    cuts = g.agg(F.percentile_approx(order, probs, 10_000).alias("c")).first()["c"] or []
-    arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    b = F.size(F.filter(arr, lambda c: c < F.col(order)))
+    # The cut list is bounded by ``buckets``: bring it to the driver and inline it as a search tree.
+    cuts = sorted(float(c) for c in (g.agg(F.percentile_approx(order, probs, 10_000).alias("c")).first()["c"] or []))
+    b = _count_below(F.col(order), cuts)
     d = g.withColumn("__b", (F.lit(buckets) - b) if descending else b)
     tot = d.groupBy("__b").agg(*[F.sum(v).alias(f"__t_{out}") for out, v in sums.items()])
     wk = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # ≤ buckets rows
@@ -142,7 +151,7 @@ def ordered_sums(g: DataFrame, order: str, sums: dict[str, str], inclusive: bool
 
 
 def roc_auc(scores: DataFrame, label: str = "label", score: str = "score", strategy: str = "window",
-            buckets: int = 1024) -> DataFrame:
+            buckets: int = 256) -> DataFrame:
     """ROC-AUC with ties (trapezoid = Mann–Whitney), over one row per distinct score."""
     g = _score_groups(scores, label, score)
     g = ordered_sums(g, "s", {"neg_below": "neg"}, inclusive=False, strategy=strategy, buckets=buckets)
@@ -151,7 +160,7 @@ def roc_auc(scores: DataFrame, label: str = "label", score: str = "score", strat
 
 
 def average_precision(scores: DataFrame, label: str = "label", score: str = "score",
-                      strategy: str = "window", buckets: int = 1024) -> DataFrame:
+                      strategy: str = "window", buckets: int = 256) -> DataFrame:
     """Step-wise AP = Σ (R_n − R_{n−1}) · P_n over distinct scores, highest first."""
     g = _score_groups(scores, label, score)
     g = ordered_sums(g, "s", {"tp": "pos", "fp": "neg"}, inclusive=True, descending=True,
