@@ -65,11 +65,14 @@ def batch_lookup(requests: DataFrame, store: DataFrame, group: str, version: str
 
 def enrich(requests: DataFrame, store: DataFrame, group: str, version: str, key: str,
            defaults: dict = SERVING_DEFAULTS) -> DataFrame:
-    """Fetched values override request values; absent everywhere → defaults."""
+    """Fetched values override request values; absent everywhere → defaults.
+
+    One left join of the requests (a batch or a stream) with the store partition, so on a
+    stream it is a stream–static join.
+    """
     fields = list(defaults)
-    fetched = batch_lookup(requests.drop(*[f for f in fields if f in requests.columns]).select(key).distinct(),
-                           store, group, version, key, fields)
-    fetched = fetched.select(key, *[F.col(f).alias(f"__f_{f}") for f in fields])
+    part = store.filter((F.col("feature_group") == group) & (F.col("version") == version))
+    fetched = part.select(F.col("entity_id").alias(key), *[F.col(f).alias(f"__f_{f}") for f in fields])
     j = requests.join(fetched, key, "left")
     cols = {}
     for f, dflt in defaults.items():
@@ -130,3 +133,28 @@ def _asof_bucketed(u: DataFrame, key: str, bucket_us: int) -> DataFrame:
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     j = u.join(carry, [key, "__b"], "inner")
     return j.withColumn("__last", F.coalesce(F.last("__r", ignorenulls=True).over(wl), F.col("__carry")))
+
+
+def write_feature_group(store: DataFrame, root: str) -> None:
+    """K6 on disk: Parquet partitioned by (feature_group, version); only the partitions written
+    are replaced (dynamic partition overwrite), so publishing one version leaves the others."""
+    spark = store.sparkSession
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        store.write.mode("overwrite").partitionBy("feature_group", "version").parquet(root)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+
+
+def delete_version_on_disk(spark, root: str, group: str, version: str) -> int:
+    """O10 on disk: drop one (group, version) partition directory; returns the rows it held."""
+    path = f"{root.rstrip('/')}/feature_group={group}/version={version}"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return 0
+    n = spark.read.parquet(path).count()
+    fs.delete(p, True)
+    return n

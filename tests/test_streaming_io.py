@@ -123,3 +123,54 @@ def test_run_tree(spark):
     runs = ops.run_table(S.read_runs(spark, d))
     lb = ops.leaderboard(runs).first()
     assert lb["best_run"] == "c2" and lb["trials"] == 3 and lb["failed"] == 1 and lb["total_duration_s"] == 6.0
+
+
+def test_stream_static_enrichment_and_append_sink(spark):
+    from kestrel.operators import serving as SV
+    d = _stream_dir(spark, parts=1)
+    store = spark.createDataFrame([("user_toxicity", "prod", 8, 0.5, 0.4, 0.1, 2.0, 0)],
+                                  "feature_group string, version string, entity_id long, user_bad_ratio_7d double, "
+                                  "user_bad_ratio_30d double, user_toxicity_trend double, hours_since_last_msg double, "
+                                  "is_new_to_channel int")
+    enriched = X.enrich_stream(X.message_stream(spark, f"{d}/in/*"), store)
+    q = (X.append_sink(enriched.select("msg_id", "user_id", "user_bad_ratio_7d", "is_new_to_channel"),
+                       f"{d}/out", f"{d}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = spark.read.json(f"{d}/out")
+    assert out.count() == messages(spark, SF001).count()
+    assert {r["user_bad_ratio_7d"] for r in out.filter("user_id = 8").collect()} == {0.5}
+    assert {r["is_new_to_channel"] for r in out.filter("user_id <> 8").collect()} == {1}
+
+
+def test_sinks_and_counters(spark):
+    from kestrel.operators import ops, serving as SV
+    d = tempfile.mkdtemp(prefix="kestrel-sink-")
+    df = spark.createDataFrame([("v1", 1, 0.9), ("v1", 0, 0.7), ("v2", 1, 0.8)],
+                               "model_version string, prediction int, confidence double")
+    K.append_json(df, f"{d}/log")
+    K.append_json(df, f"{d}/log")
+    assert spark.read.json(f"{d}/log").count() == 6
+    K.write_latest_json(df.limit(1), f"{d}/latest", f"{d}/history")
+    K.write_latest_json(df.limit(1), f"{d}/latest", f"{d}/history")
+    assert spark.read.json(f"{d}/latest").count() == 1 and spark.read.json(f"{d}/history").count() == 2
+    K.write_top_csv(df, f"{d}/top", "confidence", 2)
+    top = spark.read.option("header", True).csv(f"{d}/top").collect()
+    assert [float(r["confidence"]) for r in top] == [0.9, 0.8]
+    c = {r["model_version"]: (r["toxic"], r["non_toxic"]) for r in ops.prediction_counters(df).collect()}
+    assert c == {"v1": (1, 1), "v2": (1, 0)}
+    store = spark.createDataFrame([("g", "v0", 1), ("g", "v1", 1), ("g", "v1", 2)],
+                                  "feature_group string, version string, entity_id int")
+    SV.write_feature_group(store, f"{d}/fg")
+    SV.write_feature_group(store.filter("version = 'v1'").limit(1), f"{d}/fg")  # replaces v1 only
+    assert spark.read.parquet(f"{d}/fg").count() == 2
+    assert SV.delete_version_on_disk(spark, f"{d}/fg", "g", "v0") == 1
+    assert spark.read.parquet(f"{d}/fg").count() == 1
+
+
+def test_coefficient_importance(spark):
+    from kestrel.operators import training as TR
+    from kestrel.sources.tables import read_table
+    emb = TR.with_class_weights(TR.embeddings_frame(read_table(spark, SF001, "embeddings")))
+    model = TR.training_pipeline("vec", [], k=4).fit(emb)
+    imp = TR.coefficient_importance(model, [f"pc{i}" for i in range(4)], n=3).collect()
+    assert len(imp) == 3 and imp[0]["importance"] >= imp[-1]["importance"]
