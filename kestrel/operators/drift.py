@@ -32,8 +32,22 @@ def _is(side: str) -> Column:
     return F.col("side") == side
 
 
-def side_counts(long: DataFrame) -> DataFrame:
-    return long.groupBy("feature").agg(F.count_if(_is(REF)).alias("n_ref"), F.count_if(_is(CUR)).alias("n_cur"))
+def value_counts(long: DataFrame) -> DataFrame:
+    """The one pass over rows: (feature, value) → rows on the reference (r) and current (c) side.
+
+    Every statistic below is derived from this table, so rows are read once and the shared
+    exchange is reused by all branches of a plan.
+    """
+    return long.groupBy("feature", "value").agg(F.count_if(_is(REF)).alias("r"), F.count_if(_is(CUR)).alias("c"))
+
+
+def _counts(x: DataFrame) -> DataFrame:
+    return x if "r" in x.columns else value_counts(x)
+
+
+def side_counts(x: DataFrame) -> DataFrame:
+    g = _counts(x)
+    return g.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
 
 
 def ks_statistic(long: DataFrame, strategy: str = "window", buckets: int = 256) -> DataFrame:
@@ -46,8 +60,8 @@ def ks_statistic(long: DataFrame, strategy: str = "window", buckets: int = 256)
     a continuous feature with billions of distinct values is spread over many tasks.  Cut
     points only decide the split — the sums, and so the statistic, stay exact.
     """
-    n = side_counts(long)
-    g = long.groupBy("feature", "value").agg(F.count_if(_is(REF)).alias("r"), F.count_if(_is(CUR)).alias("c"))
+    g = _counts(long)
+    n = side_counts(g)
     if strategy == "window":
         w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         g = g.withColumns({"cr": F.sum("r").over(w), "cc": F.sum("c").over(w)})
@@ -102,17 +116,17 @@ def ks_test(long: DataFrame, alpha: float = 0.05) -> DataFrame:
     return ks.withColumn("ks_p_value", kolmogorov_sf(lam)).withColumn("ks_drifted", F.col("ks_p_value") < alpha)
 
 
-def _psi_bins(long: DataFrame) -> DataFrame:
+def _psi_bins(counts: DataFrame) -> DataFrame:
     """Bin index (0..9) of each value on the reference's equal-width edges; null outside the range.
 
     Reproduces NumPy's histogram: edges ``lo + i·step`` with the last edge exactly ``hi``,
     last bin right-closed, constant reference → range [v − .5, v + .5].
     """
-    st = long.filter(_is(REF)).groupBy("feature").agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
+    st = counts.filter(F.col("r") > 0).groupBy("feature").agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
     st = st.select("feature",
                    F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
                    F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"))
-    d = long.join(F.broadcast(st), "feature")
+    d = counts.join(F.broadcast(st), "feature")
     v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
     step = (hi - lo) / F.lit(float(N_BINS))
 
@@ -129,11 +143,12 @@ def _psi_bins(long: DataFrame) -> DataFrame:
 
 
 def psi(long: DataFrame, bins: int = N_BINS) -> DataFrame:
-    """Population stability index per feature (ε = 1e-10, quirk Q14)."""
-    n = side_counts(long)
-    b = _psi_bins(long)
+    """Population stability index per feature (ε = 1e-10, quirk Q14), binned per distinct value."""
+    g = _counts(long)
+    n = side_counts(g)
+    b = _psi_bins(g)
     cnt = b.filter(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
-        F.count_if(_is(REF)).alias("r"), F.count_if(_is(CUR)).alias("c"))
+        F.sum("r").alias("r"), F.sum("c").alias("c"))
     grid = n.select("feature", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     g = grid.join(cnt, ["feature", "bin"], "left").join(F.broadcast(n), "feature")
     r = F.coalesce(F.col("r"), F.lit(0)) / F.col("n_ref") + EPS_PSI
@@ -143,15 +158,16 @@ def psi(long: DataFrame, bins: int = N_BINS) -> DataFrame:
 
 def mean_shift(long: DataFrame, eps: float = 1e-10) -> DataFrame:
     """|mean_cur − mean_ref| / (mean_ref + ε)."""
-    m = long.groupBy("feature").agg(F.avg(F.when(_is(REF), F.col("value"))).alias("ref_mean"),
-                                    F.avg(F.when(_is(CUR), F.col("value"))).alias("cur_mean"))
+    g = _counts(long)
+    m = g.groupBy("feature").agg((F.sum(F.col("value") * F.col("r")) / F.sum("r")).alias("ref_mean"),
+                                 (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("cur_mean"))
     return m.withColumn("mean_shift", F.abs(F.col("cur_mean") - F.col("ref_mean")) / (F.col("ref_mean") + eps))
 
 
 def feature_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str], psi_threshold: float = 0.2) -> DataFrame:
     """One row per feature with KS, PSI, mean shift and the verdict KS-drifted OR PSI > .2."""
-    long = unpivot(ref, cur, features)
-    out = ks_test(long).join(psi(long), "feature").join(mean_shift(long), "feature")
+    g = value_counts(unpivot(ref, cur, features))
+    out = ks_test(g).join(psi(g), "feature").join(mean_shift(g), "feature")
     return out.withColumn("drifted", F.col("ks_drifted") | (F.col("psi") > psi_threshold))
 
 
