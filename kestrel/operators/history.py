@@ -156,12 +156,18 @@ def user_channel_features(msgs: DataFrame, *, user: str = "user_id", channel: st
     d = trailing_counts(d, user, ts, 7 * US_PER_DAY, {"user_7d_bad_count": lab}, "user_7d_msg_count", **kw)
     d = trailing_counts(d, user, ts, 30 * US_PER_DAY, {"user_30d_bad_count": lab}, "user_30d_msg_count", **kw)
     tsu = micros(ts)
-    wu = Window.partitionBy(user).orderBy(tsu, F.col(id_col))
-    wuc = Window.partitionBy(user, channel).orderBy(tsu, F.col(id_col))
-    d = d.withColumns({
-        "__prev_us": F.lag(tsu).over(wu),
-        "user_channel_msg_count": F.row_number().over(wuc).cast("bigint"),
-    })
+    if strategy == "window":
+        wu = Window.partitionBy(user).orderBy(tsu, F.col(id_col))
+        wuc = Window.partitionBy(user, channel).orderBy(tsu, F.col(id_col))
+        d = d.withColumns({
+            "__prev_us": F.lag(tsu).over(wu),
+            "user_channel_msg_count": F.row_number().over(wuc).cast("bigint"),
+        })
+    else:
+        # Skew-proof: running count and previous time split by day inside every key.
+        d = previous_ts_us(d, [user], ts, id_col, "__prev_us", "prefix")
+        d = running_sum(d.withColumn("__one", F.lit(1).cast("bigint")), [user, channel], ts, id_col,
+                        {"user_channel_msg_count": "__one"}, "prefix", inclusive=True).drop("__one")
     r7 = _ratio(F.col("user_7d_bad_count"), F.col("user_7d_msg_count"))
     r30 = _ratio(F.col("user_30d_bad_count"), F.col("user_30d_msg_count"))
     return d.withColumns({
@@ -231,3 +237,23 @@ def running_sum(df: DataFrame, key: Sequence[str], ts: str, tie: str, values: di
     j = d.join(offs, [*key, "__rb"], "inner")
     return j.withColumns({o: F.col(f"__o_{o}") + F.coalesce(F.sum(v).over(wl), F.lit(0))
                           for o, v in values.items()}).drop("__rb", *[f"__o_{o}" for o in values])
+
+
+def previous_ts_us(df: DataFrame, key: Sequence[str], ts: str, tie: str, out: str,
+                   strategy: str = "window", bucket_us: int = US_PER_DAY) -> DataFrame:
+    """Event time (µs) of the previous row of the same key in (ts, tie) order; null for the first.
+
+    ``prefix``: lag inside (key, time bucket); a bucket's first row takes the latest time of the
+    earlier buckets, carried forward over the small per-bucket table.
+    """
+    key = list(key)
+    t = micros(ts)
+    if strategy == "window":
+        return df.withColumn(out, F.lag(t).over(Window.partitionBy(*key).orderBy(ts, tie)))
+    d = df.withColumns({"__tu": t, "__pb": F.floor(t / F.lit(bucket_us))})
+    last = d.groupBy(*key, "__pb").agg(F.max("__tu").alias("__bmax"))
+    wk = Window.partitionBy(*key).orderBy("__pb").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(*key, "__pb", F.max("__bmax").over(wk).alias("__carry"))
+    wl = Window.partitionBy(*key, "__pb").orderBy(ts, tie)
+    j = d.join(carry, [*key, "__pb"], "inner")
+    return j.withColumn(out, F.coalesce(F.lag("__tu").over(wl), F.col("__carry"))).drop("__tu", "__pb", "__carry")

@@ -384,3 +384,19 @@ def test_tournament_leaderboard(spark):
     assert [r["rank"] for r in sorted(board, key=lambda r: r["rank"])] == [1, 2, 3]
     ok = [r for r in board if r["error"] is None]
     assert ok and all(0.0 <= r["test_f2"] <= 1.0 for r in ok)
+
+
+def test_feature_build_prefix_equals_window(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        user = rng.choice([1, 1, 1, 2, 3])
+        ts = T0 + dt.timedelta(hours=rng.randint(0, 24 * 12))
+        rows.append((i, user, rng.choice([0, 1]), ts, rng.randint(0, 1)))
+    df = _msgs(spark, rows)
+    cols = ["msg_id", "user_7d_msg_count", "user_30d_bad_count", "channel_24h_msg_count", "hours_since_last_msg",
+            "user_channel_msg_count", "is_new_to_channel", "user_toxicity_trend"]
+    a = sorted(map(tuple, H.user_channel_features(df).select(*cols).collect()))
+    b = sorted(map(tuple, H.user_channel_features(df, strategy="prefix").select(*cols).collect()))
+    c = sorted(map(tuple, H.user_channel_features(df, strategy="auto", hot_min_rows=50).select(*cols).collect()))
+    assert a == b == c
