@@ -207,9 +207,11 @@ def chi_square(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
     r = ref.groupBy(column).agg(F.count(F.lit(1)).alias("o_ref"))
     c = cur.groupBy(column).agg(F.count(F.lit(1)).alias("o_cur"))
     t = r.join(c, column, "full").fillna(0, ["o_ref", "o_cur"])
-    everything = Window.partitionBy()  # over the per-category table only (one row per category)
-    j = t.withColumns({"n_ref": F.sum("o_ref").over(everything), "n_cur": F.sum("o_cur").over(everything),
-                       "k": F.count(F.lit(1)).over(everything)})
+    # Side totals and the category count are three scalars: one aggregate, inlined as literals,
+    # so a high-cardinality column is never gathered into one task.
+    tot = t.agg(F.sum("o_ref").alias("n_ref"), F.sum("o_cur").alias("n_cur"), F.count(F.lit(1)).alias("k")).first()
+    j = t.withColumns({"n_ref": F.lit(tot["n_ref"] or 0), "n_cur": F.lit(tot["n_cur"] or 0),
+                       "k": F.lit(tot["k"] or 0)})
     n = F.col("n_ref") + F.col("n_cur")
     row = F.col("o_ref") + F.col("o_cur")
     e_ref, e_cur = row * F.col("n_ref") / n, row * F.col("n_cur") / n
