@@ -153,8 +153,9 @@ def user_channel_features(msgs: DataFrame, *, user: str = "user_id", channel: st
     kw = dict(id_col=id_col, strategy=strategy, hot_min_rows=hot_min_rows)
     d = trailing_counts(msgs, channel, ts, US_PER_DAY, {"channel_24h_bad_count": lab},
                         "channel_24h_msg_count", **kw)
-    d = trailing_counts(d, user, ts, 7 * US_PER_DAY, {"user_7d_bad_count": lab}, "user_7d_msg_count", **kw)
-    d = trailing_counts(d, user, ts, 30 * US_PER_DAY, {"user_30d_bad_count": lab}, "user_30d_msg_count", **kw)
+    d = trailing_counts_multi(d, user, ts, [(7 * US_PER_DAY, {"user_7d_bad_count": lab}, "user_7d_msg_count"),
+                                            (30 * US_PER_DAY, {"user_30d_bad_count": lab}, "user_30d_msg_count")],
+                              **kw)
     tsu = micros(ts)
     if strategy == "window":
         wu = Window.partitionBy(user).orderBy(tsu, F.col(id_col))
@@ -257,3 +258,59 @@ def previous_ts_us(df: DataFrame, key: Sequence[str], ts: str, tie: str, out: st
     wl = Window.partitionBy(*key, "__pb").orderBy(ts, tie)
     j = d.join(carry, [*key, "__pb"], "inner")
     return j.withColumn(out, F.coalesce(F.lag("__tu").over(wl), F.col("__carry"))).drop("__tu", "__pb", "__carry")
+
+
+def trailing_counts_multi(df: DataFrame, key: str | Sequence[str], ts: str,
+                          specs: Sequence[tuple[int, dict[str, Column], str]], *, id_col: str = "msg_id",
+                          strategy: str = "window", bucket_us: int = US_PER_HOUR,
+                          hot_min_rows: int = 5_000_000) -> DataFrame:
+    """Several trailing frames over one key: ``specs`` = [(width_us, values, count_name), ...].
+
+    ``window`` adds all frames to one window operator (one exchange).  ``prefix`` places one probe
+    per row and width in a single union, so buckets, offsets and local prefixes are computed once
+    for every width; the probes are folded back with one grouped aggregate and one join.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    if strategy in ("window", "auto"):
+        out = df
+        for width, values, name in specs:
+            out = trailing_counts(out, key, ts, width, values, name, id_col=id_col, strategy=strategy,
+                                  bucket_us=bucket_us, hot_min_rows=hot_min_rows)
+        return out
+    if strategy != "prefix":
+        raise ValueError(strategy)
+    vals = {n: v for _, values, _ in specs for n, v in values.items()}
+    vn = list(vals)
+    base = df.withColumn("__tsu", micros(ts))
+    real = base.select(*key, id_col, F.col("__tsu").alias("__t"), F.lit(1).cast("bigint").alias("__w"),
+                       F.lit(-1).alias("__probe"), *[vals[n].cast("bigint").alias(f"__v_{n}") for n in vn])
+    probes = [base.select(*key, id_col, (F.col("__tsu") - F.lit(w)).alias("__t"), F.lit(0).cast("bigint").alias("__w"),
+                          F.lit(i).alias("__probe"), *[F.lit(0).cast("bigint").alias(f"__v_{n}") for n in vn])
+              for i, (w, _, _) in enumerate(specs)]
+    both = real
+    for p in probes:
+        both = both.unionByName(p)
+    both = both.withColumn("__b", F.floor(F.col("__t") / F.lit(bucket_us)))
+    tot = both.groupBy(*key, "__b").agg(F.sum("__w").alias("__bn"), *[F.sum(f"__v_{n}").alias(f"__bs_{n}") for n in vn])
+    wk = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*key, "__b", F.coalesce(F.sum("__bn").over(wk), F.lit(0)).alias("__on"),
+                      *[F.coalesce(F.sum(f"__bs_{n}").over(wk), F.lit(0)).alias(f"__os_{n}") for n in vn])
+    wl = Window.partitionBy(*key, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
+    pref = (both.join(offs, [*key, "__b"], "inner")
+            .withColumns({"__cn": F.col("__on") + F.coalesce(F.sum("__w").over(wl), F.lit(0)),
+                          **{f"__cs_{n}": F.col(f"__os_{n}") + F.coalesce(F.sum(f"__v_{n}").over(wl), F.lit(0))
+                             for n in vn}}))
+    # Fold all rows of one message (the real row and its probes) into one row: a grouped aggregate.
+    aggs = [F.max(F.when(F.col("__probe") == -1, F.col("__cn"))).alias("__cn_r")]
+    aggs += [F.max(F.when(F.col("__probe") == -1, F.col(f"__cs_{n}"))).alias(f"__cs_r_{n}") for n in vn]
+    for i in range(len(specs)):
+        aggs.append(F.max(F.when(F.col("__probe") == i, F.col("__cn"))).alias(f"__cn_{i}"))
+        aggs += [F.max(F.when(F.col("__probe") == i, F.col(f"__cs_{n}"))).alias(f"__cs_{i}_{n}") for n in vn]
+    folded = pref.groupBy(*key, id_col).agg(*aggs)
+    cols = {}
+    for i, (_, values, name) in enumerate(specs):
+        cols[name] = F.col("__cn_r") - F.col(f"__cn_{i}")
+        for n in values:
+            cols[n] = (F.col(f"__cs_r_{n}") - F.col(f"__cs_{i}_{n}")).cast("bigint")
+    folded = folded.select(*key, id_col, *[c.alias(n) for n, c in cols.items()])
+    return df.join(folded, [*key, id_col], "inner")

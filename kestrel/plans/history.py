@@ -18,10 +18,9 @@ _USER_COLS = ["user_7d_msg_count", "user_7d_bad_count", "user_30d_msg_count", "u
 def _user_windows(spark, sf_dir, strategy="window"):
     m = messages(spark, sf_dir).select("msg_id", "user_id", "ts", "label")
     lab = F.col("label").cast("bigint")
-    d = H.trailing_counts(m, "user_id", "ts", W7, {"user_7d_bad_count": lab}, "user_7d_msg_count",
-                          strategy=strategy)
-    d = H.trailing_counts(d, "user_id", "ts", W30, {"user_30d_bad_count": lab}, "user_30d_msg_count",
-                          strategy=strategy)
+    d = H.trailing_counts_multi(m, "user_id", "ts", [(W7, {"user_7d_bad_count": lab}, "user_7d_msg_count"),
+                                                     (W30, {"user_30d_bad_count": lab}, "user_30d_msg_count")],
+                                strategy=strategy)
     r7 = F.when(F.col("user_7d_msg_count") > 0, F.col("user_7d_bad_count") / F.col("user_7d_msg_count"))
     r30 = F.when(F.col("user_30d_msg_count") > 0, F.col("user_30d_bad_count") / F.col("user_30d_msg_count"))
     return d.select("msg_id", "user_id", "user_7d_msg_count", "user_7d_bad_count", "user_30d_msg_count",
