@@ -82,9 +82,12 @@ def h6_channel_24h(spark, sf_dir):
                                F.lit(0.0)).alias("channel_toxicity_ratio"))
 
 
-_E1_SQL = with_views("""
+def e1_sql(keep_ts: bool = False) -> str:
+    """E1 oracle SQL; ``keep_ts`` also returns the event time (used by the serving oracles)."""
+    ts = " ts," if keep_ts else ""
+    return with_views(f"""
 WITH f AS (
-  SELECT msg_id, user_id, channel_id, label,
+  SELECT msg_id, user_id, channel_id, label,{ts}
          CAST(count(*) OVER w7 AS BIGINT) AS user_7d_msg_count,
          CAST(coalesce(sum(label) OVER w7, 0) AS BIGINT) AS user_7d_bad_count,
          CAST(count(*) OVER w30 AS BIGINT) AS user_30d_msg_count,
@@ -98,7 +101,7 @@ WITH f AS (
          w30 AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING),
          wc AS (PARTITION BY channel_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND 1 PRECEDING)
 )
-SELECT msg_id, user_id, channel_id, label,
+SELECT msg_id, user_id, channel_id, label,{ts}
        user_7d_msg_count, user_7d_bad_count, user_30d_msg_count, user_30d_bad_count,
        user_7d_msg_count / 7.0 AS user_msg_velocity,
        coalesce(CAST(user_7d_bad_count AS DOUBLE) / nullif(user_7d_msg_count, 0), 0.0) AS user_bad_ratio_7d,
@@ -112,6 +115,9 @@ SELECT msg_id, user_id, channel_id, label,
        CAST(user_channel_msg_count <= 3 AS INTEGER) AS is_new_to_channel
 FROM f""", "messages")
 
+
+_E1_SQL = e1_sql()
+
 E1_COLS = ["msg_id", "user_id", "channel_id", "label", "user_7d_msg_count", "user_7d_bad_count",
            "user_30d_msg_count", "user_30d_bad_count", "user_msg_velocity", "user_bad_ratio_7d",
            "user_bad_ratio_30d", "user_toxicity_trend", "channel_24h_msg_count", "channel_24h_bad_count",

@@ -8,7 +8,7 @@ from ..operators import serving as S
 from ..operators.history import user_channel_features
 from ..sources.tables import action_log, messages, texts, with_views
 from . import register
-from .history import _E1_SQL
+from .history import e1_sql
 
 AS_OF = "2024-01-31 00:00:00"
 FEATS = ["user_bad_ratio_7d", "user_bad_ratio_30d", "user_toxicity_trend", "hours_since_last_msg", "is_new_to_channel"]
@@ -24,12 +24,7 @@ def _store(spark, sf_dir):
                      AS_OF, ttl_days=3)
 
 
-# E1 body with ts kept, then the latest row per user.
-_PUB_CTES = _E1_SQL.replace("SELECT msg_id, user_id, channel_id, label,\n         CAST(count(*) OVER w7",
-                            "SELECT msg_id, user_id, channel_id, label, ts,\n         CAST(count(*) OVER w7", 1)
-_PUB_CTES = _PUB_CTES.replace("\nSELECT msg_id, user_id, channel_id, label,\n       user_7d_msg_count,",
-                              "\nSELECT msg_id, user_id, channel_id, label, ts,\n       user_7d_msg_count,", 1)
-_STORE_SQL = f"""WITH e1 AS ({_PUB_CTES}),
+_STORE_SQL = f"""WITH e1 AS ({e1_sql(keep_ts=True)}),
 store AS (
   SELECT 'user_toxicity' AS feature_group, 'prod' AS version, user_id AS entity_id, ts AS event_ts,
          {', '.join(FEATS)}, TIMESTAMP '{AS_OF}' AS synced_at, ts + INTERVAL 3 DAY AS expires_at
@@ -59,7 +54,7 @@ def j2_point_lookup(spark, sf_dir):
     return S.lookup(_store(spark, sf_dir), "user_toxicity", "prod", 7, FEATS[:3])
 
 
-@register("j4_batch_lookup", with_views(_STORE_SQL.replace("WITH e1 AS", "WITH e1 AS", 1) + f"""
+@register("j4_batch_lookup", with_views(_STORE_SQL + f"""
 SELECT t.doc_id, t.user_id, {', '.join('s.' + f for f in FEATS)}
 FROM texts t LEFT JOIN store s ON s.entity_id = t.user_id""", "texts"))
 def j4_batch_lookup(spark, sf_dir):

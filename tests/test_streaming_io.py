@@ -57,6 +57,8 @@ def test_featurize_and_counters_stream(spark):
     stream = X.message_stream(spark, f"{d}/in/*")
     feats = _run(X.featurize(stream), spark, "feats_stream", f"{d}/ck1")
     assert feats.filter("word_count = 2 AND NOT has_hard_term").count() == feats.count() > 0
+    live = _run(X.live_counters(X.message_stream(spark, f"{d}/in/*"), every="1 hour"), spark, "live_stream", f"{d}/ck3")
+    assert live.count() > 0 and live.filter("mean_confidence < 0 OR mean_confidence > 1").count() == 0
     hourly = _run(X.hourly_user_counts(X.message_stream(spark, f"{d}/in/*")), spark, "hourly_stream", f"{d}/ck2")
     total = hourly.agg(F.sum("n")).first()[0]
     # Windows still open at the end of the stream stay in state (append mode), so ≤ all rows.
