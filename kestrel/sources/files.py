@@ -113,3 +113,27 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
                     F.when(F.col("kind") == "metrics", F.split(F.trim("value"), " ").getItem(1))
                     .otherwise(F.trim("value")).alias("value")))
     return vals.unionByName(meta)
+
+
+# The bot's two tables with declared schemas; JSON text columns decode to typed columns.
+USERS_SCHEMA = ("user_id STRING, violations INT, last_offense_time TIMESTAMP_NTZ, first_offense_time TIMESTAMP_NTZ, "
+                "severity_history STRING, account_created TIMESTAMP_NTZ")
+LOGS_SCHEMA = ("id BIGINT, user_id STRING, message STRING, toxicity_score DOUBLE, severity STRING, "
+               "action_taken STRING, timestamp TIMESTAMP_NTZ, metadata STRING")
+
+
+def read_users(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """User-state table; ``severity_history`` JSON text → array<string>."""
+    df = spark.read.schema(USERS_SCHEMA).format(fmt).load(path)
+    return df.withColumn("severity_history", F.coalesce(F.from_json("severity_history", "array<string>"),
+                                                        F.array().cast("array<string>")))
+
+
+def read_action_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """S5/F-7: action log; ``metadata`` JSON → map, plus the candidate-query view columns
+    (confidence, channel_id from metadata, review_timestamp)."""
+    df = spark.read.schema(LOGS_SCHEMA).format(fmt).load(path)
+    meta = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return df.withColumns({"metadata": meta, "confidence": F.col("toxicity_score"),
+                           "channel_id": meta["channel_id"],
+                           "review_timestamp": F.lit(None).cast("timestamp_ntz")})

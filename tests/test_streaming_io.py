@@ -176,3 +176,36 @@ def test_coefficient_importance(spark):
     model = TR.training_pipeline("vec", [], k=4).fit(emb)
     imp = TR.coefficient_importance(model, [f"pc{i}" for i in range(4)], n=3).collect()
     assert len(imp) == 3 and imp[0]["importance"] >= imp[-1]["importance"]
+
+
+def test_bot_tables_and_small_operators(spark):
+    import datetime as dt
+    from kestrel.operators import ingest as I
+    d = tempfile.mkdtemp(prefix="kestrel-bot-")
+    users = spark.createDataFrame([("1", 2, None, None, '["MEDIUM", "HIGH"]', None), ("2", 0, None, None, None, None)],
+                                  S.USERS_SCHEMA)
+    users.write.parquet(f"{d}/users")
+    u = {r["user_id"]: r["severity_history"] for r in S.read_users(spark, f"{d}/users").collect()}
+    assert u == {"1": ["MEDIUM", "HIGH"], "2": []}
+    logs = spark.createDataFrame([(1, "1", "m", 0.9, "HIGH", "DELETE_WARN_HIGH", dt.datetime(2024, 1, 1),
+                                   '{"channel_id": "42"}')], S.LOGS_SCHEMA)
+    logs.write.parquet(f"{d}/logs")
+    r = S.read_action_log(spark, f"{d}/logs").first()
+    assert r["channel_id"] == "42" and r["confidence"] == 0.9 and r["review_timestamp"] is None
+    df = spark.createDataFrame([(None, 1.5, "a"), (2, None, None)], "a int, b double, c string")
+    filled = I.fill_numeric(df).collect()
+    assert filled[0]["a"] == 0 and filled[1]["b"] == 0.0 and filled[1]["c"] is None  # Q3: text stays null
+    x, y = I.common_columns(df, spark.createDataFrame([(1, "z")], "d int, c string"))
+    assert x.columns == ["c"] and y.columns == ["c"]
+    gate = I.sample_gate(df, 10).first()
+    assert gate["n"] == 2 and not gate["passed"]
+
+
+def test_stream_dedupe_within_watermark(spark):
+    d = _stream_dir(spark, parts=1)
+    s = X.message_stream(spark, f"{d}/in/*").withColumn("text_hash", F.md5(F.col("user_id").cast("string")))
+    out = _run(X.dedupe_stream(s, "text_hash").select("msg_id", "text_hash"), spark, "dedupe_stream", f"{d}/ck")
+    # Every user's hash is kept once per watermark horizon; never more rows than input.
+    n_users = messages(spark, SF001).select("user_id").distinct().count()
+    assert n_users <= out.count() <= messages(spark, SF001).count()
+    assert out.select("text_hash").distinct().count() == n_users
