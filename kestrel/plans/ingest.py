@@ -161,3 +161,10 @@ def a8_quality_report(spark, sf_dir):
     """Null ratios, constant columns, q99 outliers and class balance as check rows."""
     rep = I.quality_report(batch(spark, sf_dir), "label")
     return rep.withColumn("value", F.round("value", 9))
+
+
+@register("p4_sample_gate", with_views(_BATCH_CTE + """
+SELECT CAST(count(*) AS BIGINT) AS n, count(*) >= 10 AS passed FROM batch""", "texts"))
+def p4_sample_gate(spark, sf_dir):
+    """The validated batch must hold at least 10 rows to be ingested (one status row)."""
+    return I.sample_gate(batch(spark, sf_dir), 10)
