@@ -70,7 +70,7 @@ def ks_statistic(long: DataFrame, strategy: str = "window", buckets: int = 256)
     else:
         raise ValueError(strategy)
     g = g.join(F.broadcast(n), "feature")
-    d = F.abs(F.col("cr") / F.col("n_ref") - F.col("cc") / F.col("n_cur"))
+    d = F.abs(F.try_divide(F.col("cr"), F.col("n_ref")) - F.try_divide(F.col("cc"), F.col("n_cur")))
     return g.groupBy("feature").agg(F.max(d).alias("ks_statistic"), F.first("n_ref").alias("n_ref"),
                                     F.first("n_cur").alias("n_cur"))
 
@@ -111,7 +111,7 @@ def ks_test(long: DataFrame, alpha: float = 0.05) -> DataFrame:
     p-values are not reproduced (SURVEY §7.4).
     """
     ks = ks_statistic(long)
-    en = F.col("n_ref") * F.col("n_cur") / (F.col("n_ref") + F.col("n_cur"))
+    en = F.try_divide(F.col("n_ref") * F.col("n_cur"), F.col("n_ref") + F.col("n_cur"))
     lam = F.col("ks_statistic") * F.sqrt(en)
     return ks.withColumn("ks_p_value", kolmogorov_sf(lam)).withColumn("ks_drifted", F.col("ks_p_value") < alpha)
 
@@ -152,17 +152,17 @@ def psi(long: DataFrame, bins: int = N_BINS) -> DataFrame:
         F.sum("r").alias("r"), F.sum("c").alias("c"))
     grid = n.select("feature", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     g = grid.join(cnt, ["feature", "bin"], "left").join(F.broadcast(n), "feature")
-    r = F.coalesce(F.col("r"), F.lit(0)) / F.col("n_ref") + EPS_PSI
-    c = F.coalesce(F.col("c"), F.lit(0)) / F.col("n_cur") + EPS_PSI
+    r = F.try_divide(F.coalesce(F.col("r"), F.lit(0)), F.col("n_ref")) + EPS_PSI
+    c = F.try_divide(F.coalesce(F.col("c"), F.lit(0)), F.col("n_cur")) + EPS_PSI
     return g.groupBy("feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
 
 
 def mean_shift(long: DataFrame, eps: float = 1e-10) -> DataFrame:
     """|mean_cur − mean_ref| / (mean_ref + ε)."""
     g = _counts(long)
-    m = g.groupBy("feature").agg((F.sum(F.col("value") * F.col("r")) / F.sum("r")).alias("ref_mean"),
-                                 (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("cur_mean"))
-    return m.withColumn("mean_shift", F.abs(F.col("cur_mean") - F.col("ref_mean")) / (F.col("ref_mean") + eps))
+    m = g.groupBy("feature").agg(F.try_divide(F.sum(F.col("value") * F.col("r")), F.sum("r")).alias("ref_mean"),
+                                 F.try_divide(F.sum(F.col("value") * F.col("c")), F.sum("c")).alias("cur_mean"))
+    return m.withColumn("mean_shift", F.try_divide(F.abs(F.col("cur_mean") - F.col("ref_mean")), F.col("ref_mean") + eps))
 
 
 def feature_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str], psi_threshold: float = 0.2,
@@ -185,22 +185,24 @@ def feature_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str], psi_t
                          "hi": F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx"))})
     d = g.join(F.broadcast(st), "feature")
     w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("kd", F.abs(F.sum("r").over(w) / F.col("n_ref") - F.sum("c").over(w) / F.col("n_cur")))
+    d = d.withColumn("kd", F.abs(F.try_divide(F.sum("r").over(w), F.col("n_ref"))
+                                 - F.try_divide(F.sum("c").over(w), F.col("n_cur"))))
     d = d.withColumn("bin", _bin_of(F.col("value"), F.col("lo"), F.col("hi")))
     per_bin = d.groupBy("feature", "bin").agg(
         F.sum("r").alias("rb"), F.sum("c").alias("cb"), F.max("kd").alias("kd"),
         *[F.first(c).alias(c) for c in ("n_ref", "n_cur", "sr", "sc")])
-    rr = F.col("rb") / F.col("n_ref") + EPS_PSI
-    cc = F.col("cb") / F.col("n_cur") + EPS_PSI
+    rr = F.try_divide(F.col("rb"), F.col("n_ref")) + EPS_PSI
+    cc = F.try_divide(F.col("cb"), F.col("n_cur")) + EPS_PSI
     out = per_bin.groupBy("feature").agg(
         F.max("kd").alias("ks_statistic"),
         F.sum(F.when(F.col("bin").isNotNull(), (cc - rr) * F.log(cc / rr))).alias("psi"),
         *[F.first(c).alias(c) for c in ("n_ref", "n_cur", "sr", "sc")])
-    en = F.col("n_ref") * F.col("n_cur") / (F.col("n_ref") + F.col("n_cur"))
+    en = F.try_divide(F.col("n_ref") * F.col("n_cur"), F.col("n_ref") + F.col("n_cur"))
     out = out.withColumns({"ks_p_value": kolmogorov_sf(F.col("ks_statistic") * F.sqrt(en)),
-                           "ref_mean": F.col("sr") / F.col("n_ref"), "cur_mean": F.col("sc") / F.col("n_cur")})
+                           "ref_mean": F.try_divide(F.col("sr"), F.col("n_ref")),
+                           "cur_mean": F.try_divide(F.col("sc"), F.col("n_cur"))})
     out = out.withColumns({"ks_drifted": F.col("ks_p_value") < alpha,
-                           "mean_shift": F.abs(F.col("cur_mean") - F.col("ref_mean")) / (F.col("ref_mean") + 1e-10)})
+                           "mean_shift": F.try_divide(F.abs(F.col("cur_mean") - F.col("ref_mean")), F.col("ref_mean") + 1e-10)})
     return out.withColumn("drifted", F.col("ks_drifted") | (F.col("psi") > psi_threshold)).drop("sr", "sc")
 
 

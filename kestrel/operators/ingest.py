@@ -152,7 +152,7 @@ def _all():
 
 def positive_weight(df: DataFrame, label: str = "label") -> DataFrame:
     """A3: negatives / positives, the positive-class weight."""
-    return df.agg((F.count_if(F.col(label) == 0) / F.count_if(F.col(label) == 1)).alias("pos_weight"))
+    return df.agg(F.try_divide(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).alias("pos_weight"))
 
 
 def quality_report(df: DataFrame, label: str = "label", key_features=("msg_len", "caps_ratio", "slur_count"),
@@ -184,7 +184,7 @@ def quality_report(df: DataFrame, label: str = "label", key_features=("msg_len",
         return F.struct(F.lit(check).alias("check"), F.lit(column).cast("string").alias("column"),
                         value.cast("double").alias("value"), F.lit(threshold).cast("double").alias("threshold"))
 
-    n = F.col("__n")
+    n = F.when(F.col("__n") > 0, F.col("__n"))  # empty input: ratios are null, not an error
     rows = [row("null_ratio_mean", None, sum((F.col(f"null__{c}") for c in cols), F.lit(0)) / (n * len(cols)),
                 max_null_ratio)]
     rows += [row("column_null_ratio", c, F.col(f"null__{c}") / n, col_null_ratio) for c in cols]
@@ -193,7 +193,7 @@ def quality_report(df: DataFrame, label: str = "label", key_features=("msg_len",
     rows += [row("outlier_share", c, F.col(f"out__{c}") / n, outlier_share) for c in feats]
     long = stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     minority = (df.groupBy(label).agg(F.count(F.lit(1)).alias("k"))
-                .agg((F.min("k") / F.sum("k")).alias("v"))
+                .agg(F.try_divide(F.min("k"), F.sum("k")).alias("v"))
                 .select(row("minority_ratio", label, F.col("v"), minority_min).alias("r")).select("r.*"))
     out = long.unionByName(minority)
     failed = (F.when(F.col("check") == "minority_ratio", F.col("value") < F.col("threshold"))

@@ -100,7 +100,7 @@ def classification_metrics(scores: DataFrame, threshold: float = 0.5, label: str
         _fbeta(tp, fp, fn, 2.0).alias("f2_score"), _fbeta(tp, fp, fn, 1.0).alias("f1_score"),
         F.when(tp + fp > 0, tp / (tp + fp)).otherwise(F.lit(0.0)).alias("precision"),
         F.when(tp + fn > 0, tp / (tp + fn)).otherwise(F.lit(0.0)).alias("recall"),
-        ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"))
+        F.try_divide(tp + tn, tp + fp + fn + tn).alias("accuracy"))
     if baseline_f2 is not None:
         tol = 0.05 if drop_tolerance is None else drop_tolerance
         out = out.withColumn("performance_drop", F.lit(baseline_f2) - F.col("f2_score") > tol)
@@ -155,8 +155,8 @@ def roc_auc(scores: DataFrame, label: str = "label", score: str = "score", strat
     """ROC-AUC with ties (trapezoid = Mann–Whitney), over one row per distinct score."""
     g = _score_groups(scores, label, score)
     g = ordered_sums(g, "s", {"neg_below": "neg"}, inclusive=False, strategy=strategy, buckets=buckets)
-    return g.agg(((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)))
-                  / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+    return g.agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)),
+                              F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def average_precision(scores: DataFrame, label: str = "label", score: str = "score",
@@ -166,7 +166,7 @@ def average_precision(scores: DataFrame, label: str = "label", score: str = "sco
     g = ordered_sums(g, "s", {"tp": "pos", "fp": "neg"}, inclusive=True, descending=True,
                      strategy=strategy, buckets=buckets)
     # Σ (pos/P) · precision = (1/P) · Σ pos · precision: P comes out of the same aggregate.
-    return g.agg((F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))) / F.sum("pos"))
+    return g.agg(F.try_divide(F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))), F.sum("pos"))
                  .alias("avg_precision"))
 
 

@@ -400,3 +400,18 @@ def test_feature_build_prefix_equals_window(spark):
     b = sorted(map(tuple, H.user_channel_features(df, strategy="prefix").select(*cols).collect()))
     c = sorted(map(tuple, H.user_channel_features(df, strategy="auto", hot_min_rows=50).select(*cols).collect()))
     assert a == b == c
+
+
+def test_degenerate_inputs_do_not_raise(spark):
+    # All-negative labels (M9–M12) and an empty current side (drift) under ANSI division rules.
+    neg = spark.createDataFrame([(0, .2), (0, .7)], "label int, score double")
+    assert ML.roc_auc(neg).first()["roc_auc"] is None
+    assert ML.average_precision(neg).first()["avg_precision"] is None
+    m = ML.classification_metrics(neg).first()
+    assert m["f2_score"] == 0.0 and m["recall"] == 0.0 and m["accuracy"] == 0.5
+    assert all(r["tp"] == 0 for r in ML.threshold_sweep(neg).collect())
+    ref = spark.createDataFrame([(1.0, 0), (2.0, 1)], "x double, label int")
+    cur = spark.createDataFrame([], "x double, label int")
+    fd = D.feature_drift(ref, cur, ["x"]).collect()
+    assert len(fd) == 1 and fd[0]["n_cur"] == 0
+    assert D.label_shift(ref, cur).first()["label_shift"] is None
