@@ -359,7 +359,7 @@ def dataset_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], catego
     dataset verdict (share of drifted columns above the threshold) on every row."""
     parts = []
     if numeric:
-        ks = ks_test(unpivot(ref, cur, numeric), alpha)
+        ks = feature_drift(ref, cur, numeric, alpha=alpha)  # the fused one-pass KS
         parts.append(ks.select(F.col("feature").alias("column"), F.lit("ks").alias("test"),
                                F.col("ks_statistic").alias("statistic"), F.col("ks_p_value").alias("p_value")))
     for c in categorical:
