@@ -206,6 +206,17 @@ def feature_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str], psi_t
     return out.withColumn("drifted", F.col("ks_drifted") | (F.col("psi") > psi_threshold)).drop("sr", "sc")
 
 
+def data_quality(long: DataFrame, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+    """Per side and feature — count, min, max, mean, population std and median.
+
+    ``exact=False`` uses ``percentile_approx`` for the median (bounded memory for any domain).
+    """
+    med = (F.percentile("value", 0.5) if exact else F.percentile_approx("value", 0.5, accuracy))
+    return long.groupBy("side", "feature").agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
+        F.avg("value").alias("mean_value"), F.stddev_pop("value").alias("std_value"), med.alias("median_value"))
+
+
 def label_shift(ref: DataFrame, cur: DataFrame, label: str = "label", threshold: float = 0.15,
                 missing_as_zero: bool = False) -> DataFrame:
     """D7 + J9: max |share_cur − share_ref| over classes present on both sides (Q12)."""

@@ -157,9 +157,12 @@ def positive_weight(df: DataFrame, label: str = "label") -> DataFrame:
 
 def quality_report(df: DataFrame, label: str = "label", key_features=("msg_len", "caps_ratio", "slur_count"),
                    max_null_ratio: float = 0.3, col_null_ratio: float = 0.2, minority_min: float = 0.1,
-                   outlier_share: float = 0.05) -> DataFrame:
+                   outlier_share: float = 0.05, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Every check as a row (check, column, value, threshold, failed).
 
+    ``exact=False`` takes the q99 from ``percentile_approx`` (bounded sketch per column) for
+    features whose distinct values are not bounded.
+
     Pass 1 computes the q99 of the key features (three scalars, the only values brought to
     the driver).  Pass 2 is one wide aggregate: null counts, distinct counts and rows above
     each q99, unpivoted into check rows.  The class-balance check comes from a grouped count.
@@ -171,7 +174,9 @@ def quality_report(df: DataFrame, label: str = "label", key_features=("msg_len",
     feats = [c for c in key_features if c in cols]
     q99 = {}
     if feats:
-        qrow = df.agg(*[F.percentile(F.col(c).cast("double"), 0.99).alias(c) for c in feats]).first()
+        pct = ((lambda c: F.percentile(F.col(c).cast("double"), 0.99)) if exact
+               else (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.99, accuracy)))
+        qrow = df.agg(*[pct(c).alias(c) for c in feats]).first()
         q99 = {c: qrow[c] for c in feats}
     aggs = [F.count(F.lit(1)).alias("__n")]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"null__{c}") for c in cols]

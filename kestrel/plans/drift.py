@@ -185,11 +185,8 @@ SELECT side, feature, CAST(count(*) AS BIGINT) AS n, min(value) AS min_value, ma
 FROM long GROUP BY side, feature"""))
 def d11_data_quality(spark, sf_dir):
     """Per side and feature — count, min, max, mean, population std, median."""
-    long = _long(spark, sf_dir)
-    return long.groupBy("side", "feature").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
-        F.round(F.avg("value"), R9).alias("mean_value"), F.round(F.stddev_pop("value"), R9).alias("std_value"),
-        F.percentile("value", 0.5).alias("median_value"))
+    dq = D.data_quality(_long(spark, sf_dir))
+    return dq.withColumns({"mean_value": F.round("mean_value", R9), "std_value": F.round("std_value", R9)})
 
 
 @register("d14_drift_history", with_views(f"""
