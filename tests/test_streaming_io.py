@@ -209,3 +209,15 @@ def test_stream_dedupe_within_watermark(spark):
     n_users = messages(spark, SF001).select("user_id").distinct().count()
     assert n_users <= out.count() <= messages(spark, SF001).count()
     assert out.select("text_hash").distinct().count() == n_users
+
+
+def test_trailing_from_hourly_matches_brute_force(spark):
+    import datetime as dt
+    rows = [(1, dt.datetime(2024, 1, 1, h % 24) + dt.timedelta(days=h // 24), h % 2) for h in range(0, 200, 3)]
+    hourly = spark.createDataFrame([(u, t, 1, b) for u, t, b in rows], "user_id long, hour timestamp_ntz, n long, bad long")
+    as_of = dt.datetime(2024, 1, 9, 0)
+    got = X.trailing_from_hourly(hourly, as_of.strftime("%Y-%m-%d %H:%M:%S")).first()
+    lo = as_of - dt.timedelta(hours=168)
+    inside = [b for _, t, b in rows if lo <= t < as_of]
+    assert got["n"] == len(inside) and got["bad"] == sum(inside)
+    assert got["bad_ratio"] == sum(inside) / len(inside)
