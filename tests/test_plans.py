@@ -14,13 +14,15 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_python_in_batch_plans(spark):
+def test_no_python_or_cross_joins_in_batch_plans(spark):
     reg = load_all()
     for name, spec in reg.items():
         if name in ("m7_train_score", "m15_tournament"):  # Spark ML fits: eager by nature
             continue
         plan = _plan(spec.build(spark, SF001))
         assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+        # No cross joins anywhere: neither cartesian products nor nested-loop joins.
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
 def test_feature_build_two_exchanges(spark):
