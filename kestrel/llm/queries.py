@@ -1,0 +1,35 @@
+"""One query per operator, with production parameters over the whole of its table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kestrel.llm.common import read_table
+
+
+def vocabulary() -> str:
+    """Place of the public vocabulary that the token queries use."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed along the Hilbert curve into sequences of 4096 ids."""
+    from kestrel.llm.packing import pack_documents
+    return pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(), end_id=2, length=4096, emit="crc32")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and their decoded text, as digests."""
+    from kestrel.llm.bpe import round_trip_digests
+    return round_trip_digests(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written to Huffman-coded files and read back."""
+    from kestrel.llm.token_files import write_and_read
+    return write_and_read(read_table(spark, sf_dir, "documents"), vocabulary(), end_id=1, emit="crc32")
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op6_bpe, op8_token_files)}
+ORACLE_SQL: dict[str, str] = {}
