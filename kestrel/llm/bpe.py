@@ -36,7 +36,7 @@ LONG_WORD = 256
 # The pattern by which this kind of vocabulary cuts words.
 PIECES = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Distinct words whose ids a process remembers; the memory is emptied when full.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 #: Chunks with other characters than these go through the library's own normaliser and splitter.
 ODD = "[^\\x20-\\x7e¡-įı-ɏ]|<\\|"
 LETTERS = r"^\pL+$"

@@ -21,7 +21,7 @@ from kestrel.session import scratch_path
 from kestrel.sources.tables import read_table  # noqa: F401
 
 #: Text bytes handled at once in a Python worker.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 
 def stash(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -48,6 +48,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         base = total[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(total, base + limit, side="right")))
         yield batch.slice(start, end - start)
+        pa.default_memory_pool().release_unused()  # a worker's memory is shared with the JVM's
         start = end
 
 

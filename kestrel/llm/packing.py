@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.bpe import load_bpe
 from kestrel.llm.common import mix64, stash, text_slices
-from kestrel.llm.token_files import binary_lists, uint16_lists
+from kestrel.llm.token_files import ID_BYTES, binary_lists, uint16_lists
 
 DIMS, BITS = 4, 12
 BUCKETS = 1024
@@ -138,7 +138,7 @@ def pack_documents(docs: DataFrame, vocab_path: str, end_id: int = 2, length: in
     places, base = _positions(rows)
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, "ids", ID_BYTES)):
             ids, starts = uint16_lists(batch.column("ids"))
             n = np.diff(starts)
             first = np.array([base[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("local").to_numpy()

@@ -34,6 +34,8 @@ from kestrel.session import scratch_path
 MAX_BITS = 16
 CHECKPOINT = 512
 BLOCK_BYTES = 1 << 20
+#: Bytes of 16-bit ids handled at once in a Python worker.
+ID_BYTES = 2 << 20
 BLOCK_SCHEMA = ("shard int, block int, token_start long, doc_ids array<long>, n_tokens array<long>, "
                 "checkpoints array<long>, payload binary")
 
@@ -74,7 +76,8 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            total += np.bincount(uint16_lists(batch.column("ids"))[0], minlength=1 << 16)
+            for part in text_slices(batch, "ids", ID_BYTES):
+                total += np.bincount(uint16_lists(part.column("ids"))[0], minlength=1 << 16)
         ids = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids])], ["id", "n"])
     rows = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
@@ -195,7 +198,7 @@ def write_token_files(tokens: DataFrame, path: str, shards: int | None = None) -
     lengths_v, codes_v = lengths, canonical_codes(lengths)
 
     def pack(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, "ids", ID_BYTES)):
             flat, starts = uint16_lists(batch.column("ids"))
             ids = batch.column("doc_id")
             shard = np.where(ids.is_null(), 0, np.searchsorted(cuts, pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), side="right"))
