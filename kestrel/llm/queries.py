@@ -19,6 +19,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), vocabulary(), end_id=2, length=4096, emit="crc32")
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on 2-word shingles at 0.8."""
+    from kestrel.llm.near_dup import near_duplicates
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and their decoded text, as digests."""
     from kestrel.llm.bpe import round_trip_digests
@@ -31,5 +37,5 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(read_table(spark, sf_dir, "documents"), vocabulary(), end_id=1, emit="crc32")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_bpe, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_near_dup, op6_bpe, op8_token_files)}
 ORACLE_SQL: dict[str, str] = {}
