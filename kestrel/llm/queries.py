@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kestrel.llm.common import read_table
+from kestrel.llm.common import crc_remainder, read_table
 
 
 def vocabulary() -> str:
@@ -13,6 +14,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def held_out(modulus: int):
+    """Whether crc32 of the id as text leaves remainder 2; false for a null id."""
+    return F.coalesce(crc_remainder("doc_id", modulus) == 2, F.lit(False))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the span tagger, learnt outside the held-out quarter."""
+    from kestrel.llm.toxicity import score_toxicity
+    scored = score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held_out(4))
+    return scored.select("doc_id", held_out(4).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed along the Hilbert curve into sequences of 4096 ids."""
     from kestrel.llm.packing import pack_documents
@@ -25,6 +38,13 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt outside the held-out quarter."""
+    from kestrel.llm.language import identify_language
+    found = identify_language(read_table(spark, sf_dir, "documents"), ~held_out(4))
+    return found.select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and their decoded text, as digests."""
     from kestrel.llm.bpe import round_trip_digests
@@ -37,5 +57,5 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(read_table(spark, sf_dir, "documents"), vocabulary(), end_id=1, emit="crc32")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_near_dup, op6_bpe, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_packing, op4_near_dup, op5_language, op6_bpe, op8_token_files)}
 ORACLE_SQL: dict[str, str] = {}
