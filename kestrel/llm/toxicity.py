@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.common import byte_view, hash_spans, mix64, text_slices, words_of
 
-TOXIC_DOCS, CLEAN_DOCS = 1500, 3000
-BITS = 18
+TOXIC_DOCS, CLEAN_DOCS = 1500, 2500
+#: Weights nearer to zero than this are left out of the fitted model.
+LEAST_WEIGHT = 0.02
 PREFIXES = (4, 5, 6)
 RUN = 64
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,23 +50,23 @@ def token_features(vocab: pa.Array) -> np.ndarray:
             live = live[~_LETTER[raw[edge[live] - (step < 0)]]]
             edge[live] += step
             live = live[end[live] > start[live]]
-    out = np.zeros((len(vocab), 1 + len(PREFIXES)), np.int32)
-    mask = np.uint64((1 << BITS) - 2)
+    out = np.zeros((len(vocab), 1 + len(PREFIXES)), np.uint64)
     some = end > start
-    out[some, 0] = (hash_spans(raw, start[some], end[some]) & mask) + np.uint64(1)
+    out[some, 0] = hash_spans(raw, start[some], end[some])
     for k, n in enumerate(PREFIXES, 1):
         long = np.nonzero(end - start >= n)[0]
         code = np.full(len(long), n, np.uint64)
         for i in range(n):
             code = (code << np.uint64(8)) | raw[start[long] + i].astype(np.uint64)
-        out[long, k] = (mix64(code) & mask) + np.uint64(1)
+        out[long, k] = mix64(code)
     return out
 
 
 @dataclass
 class Chain:
-    """Emission weights of the toxic state, its bias, and 2x2 transition scores."""
+    """Emission weights of the toxic state by feature (ascending keys), its bias, and 2x2 transition scores."""
 
+    keys: np.ndarray
     weights: np.ndarray
     bias: float
     trans: np.ndarray
@@ -76,7 +77,10 @@ class Chain:
         return forward_backward(grid, np.isfinite(grid), self.trans)[0][where]
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
-        return (self.weights[features].sum(axis=1) + self.bias).astype(np.float32)
+        if not len(self.keys):
+            return np.full(len(features), self.bias, np.float32)
+        at = np.minimum(np.searchsorted(self.keys, features), len(self.keys) - 1)
+        return (np.where(self.keys[at] == features, self.weights[at], 0).sum(axis=1) + self.bias).astype(np.float32)
 
 
 def _runs(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -126,14 +130,19 @@ def forward_backward(grid: np.ndarray, live: np.ndarray, trans: np.ndarray) -> t
     return out, moves
 
 
-def toxic_features(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Which hashed features mark toxic tokens, from (document, feature) pairs and document labels."""
-    size = 1 << BITS
+def toxic_features(doc: np.ndarray, feature: np.ndarray, before: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """Which features (below ``size``, 0: none) mark toxic tokens, from (document, feature, word before) rows and document labels.
+
+    A feature's toxic documents count as often as the words before it differ, so that copies of
+    one toxic document do not make all of its words suspicious.
+    """
     pair = np.unique(doc.astype(np.int64) * size + feature)
     pair = pair[pair % size > 0]
     d, f = pair // size, pair % size
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    hits = np.bincount(f[toxic[d]], minlength=size)
+    in_toxic = toxic[doc] & (feature > 0)
+    places = np.unique((before[in_toxic].astype(np.int64) + 1) * size + feature[in_toxic]) % size
+    hits = np.minimum(np.bincount(f[toxic[d]], minlength=size), np.bincount(places, minlength=size))
     misses = np.bincount(f[~toxic[d]], minlength=size)
     share = n_toxic / (n_toxic + n_clean)
     rare = misses * n_toxic <= 0.02 * hits * n_clean
@@ -143,7 +152,7 @@ def toxic_features(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray) -> n
     covered[d[mark[f]]] = True
     while True:
         open_ = toxic[d] & ~covered[d]
-        gain = np.where(rare, np.bincount(f[open_], minlength=size), 0)
+        gain = np.where(rare & (hits >= 3), np.bincount(f[open_], minlength=size), 0)
         best = int(gain.argmax())
         if gain[best] < 3:
             return mark
@@ -151,18 +160,21 @@ def toxic_features(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray) -> n
         covered[d[f == best]] = True
 
 
-def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 60) -> Chain:
+def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 30) -> Chain:
     """Train the chain on sampled texts and their document labels."""
-    size = 1 << BITS
+    nothing = Chain(np.zeros(0, np.uint64), np.zeros(0, np.float32), -np.inf, np.zeros((2, 2)))
     codes, vocab, starts = words_of(texts, "utf8")
     if not toxic.any() or toxic.all() or not len(codes):
-        return Chain(np.zeros(size, np.float32), -np.inf, np.zeros((2, 2)))
-    features = token_features(vocab)
+        return nothing
+    keys, features = np.unique(np.concatenate([[np.uint64(0)], token_features(vocab).ravel()]), return_inverse=True)
+    features, size = features[1:].reshape(len(vocab), -1), len(keys)
     doc = np.repeat(np.arange(len(toxic)), np.diff(starts))
-    mark = toxic_features(np.repeat(doc, features.shape[1]), features[codes].ravel(), toxic)
+    before = np.where(np.diff(doc, prepend=-1) == 0, np.roll(codes, 1), -1)
+    wide = features.shape[1]
+    mark = toxic_features(np.repeat(doc, wide), features[codes].ravel(), np.repeat(before, wide), toxic, size)
     gold = mark[features].any(axis=1)[codes] & toxic[doc]
     if not gold.any():
-        return Chain(np.zeros(size, np.float32), -np.inf, np.zeros((2, 2)))
+        return nothing
     y, cell = _runs(gold.astype(np.float32), starts)
     live = np.isfinite(y)
     seen = np.zeros((2, 2))
@@ -188,8 +200,9 @@ def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 60) -> Chain:
         grad = grad / n * 100 - 1e-4 * theta
         grad[0] = 0  # the index that stands for no feature
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        theta += 0.25 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-6)
-    return Chain(theta[:size].astype(np.float32), float(theta[size]), theta[size + 1:].reshape(2, 2))
+        theta += 0.4 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-6)
+    keep = np.abs(theta[:size]) >= LEAST_WEIGHT
+    return Chain(keys[keep], theta[:size][keep].astype(np.float32), float(theta[size]), theta[size + 1:].reshape(2, 2))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column) -> Chain:
