@@ -57,5 +57,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(read_table(spark, sf_dir, "documents"), vocabulary(), end_id=1, emit="crc32")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_packing, op4_near_dup, op5_language, op6_bpe, op8_token_files)}
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document by the maximum-entropy model, learnt outside the held-out seventh."""
+    from kestrel.llm.lm import score_documents
+    return score_documents(read_table(spark, sf_dir, "documents"), held_out(7))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_packing, op4_near_dup, op5_language, op6_bpe, op8_token_files, op9_lm_score)}
 ORACLE_SQL: dict[str, str] = {}
