@@ -51,6 +51,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact top 10 of every hundredth embedding by the threshold algorithm."""
+    from kestrel.llm.threshold_search import exact_top_k
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document written to Huffman-coded files and read back."""
     from kestrel.llm.token_files import write_and_read
@@ -63,5 +69,11 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"), held_out(7))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_packing, op4_near_dup, op5_language, op6_bpe, op8_token_files, op9_lm_score)}
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate top 20 of every twentieth embedding by collision counting."""
+    from kestrel.llm.ann import nearest
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_packing, op4_near_dup, op5_language, op6_bpe, op7_threshold, op8_token_files, op9_lm_score, op10_ann)}
 ORACLE_SQL: dict[str, str] = {}
