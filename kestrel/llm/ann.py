@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from kestrel.llm.vector_blocks import best_of, search_blocks, usable
 
 HASHES, COLLISIONS = 160, 128
-SHARE, WIDEN, FIRST_WINDOW = 0.1, 1.12, 0.9
+SHARE, WIDEN, FIRST_WINDOW = 0.1, 1.12, 0.6
 
 
 def projections(dims: int) -> np.ndarray:

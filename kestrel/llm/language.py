@@ -181,36 +181,49 @@ def train(docs: DataFrame, learn_from: Column, families: dict | None = None) ->
     return fit_hierarchy(texts, [names[i] for i in rows], families)
 
 
+def predict(model: Hierarchy | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each whole text."""
+    texts = pc.fill_null(texts, "")
+    letters = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
+    names, score = [UND] * len(texts), np.zeros(len(texts))
+    codes, vocab, starts = words_of(texts, "utf8")
+    if model is not None and len(codes):
+        grams, at = word_grams(vocab)
+        by_word = np.stack([np.add.reduceat(model.weights[:, k][grams], at[:-1]) for k in range(model.weights.shape[1])], axis=1)
+        size = np.diff(at)
+        some = np.nonzero(np.diff(starts) > 0)[0]
+        first = starts[:-1][some]
+        total = np.add.reduceat(size[codes], first)
+        margin = np.stack([np.add.reduceat(by_word[:, k].astype(np.float64)[codes], first) for k in range(by_word.shape[1])], axis=1)
+        found, certain = model.decide(margin / total[:, None] + model.bias)
+        for i, name, s in zip(some, found, certain):
+            if letters[i]:
+                names[i], score[i] = name, s
+    return names, np.clip(score, 0, 1)
+
+
 def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text."""
-    kept = model
-
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                texts = pc.fill_null(part.column("text"), "")
-                letters = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
-                n = len(texts)
-                names, score = [UND] * n, np.zeros(n)
-                codes, vocab, starts = words_of(texts, "utf8")
-                if kept is not None and len(codes):
-                    grams, at = word_grams(vocab)
-                    by_word = np.stack([np.add.reduceat(kept.weights[:, k][grams], at[:-1]) for k in range(kept.weights.shape[1])], axis=1)
-                    size = np.diff(at)
-                    some = np.nonzero(np.diff(starts) > 0)[0]
-                    first = starts[:-1][some]
-                    total = np.add.reduceat(size[codes], first)
-                    margin = np.stack([np.add.reduceat(by_word[:, k].astype(np.float64)[codes], first) for k in range(by_word.shape[1])], axis=1)
-                    found, certain = kept.decide(margin / total[:, None] + kept.bias)
-                    for i, name, s in zip(some, found, certain):
-                        if letters[i]:
-                            names[i], score[i] = name, s
+                names, score = predict(model, part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1))], ["doc_id", "lang_pred", "score"])
+                    [part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Hierarchy | None, allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is one of ``allowed`` (None: any but ``und``)."""
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                names, _ = predict(model, part.column("text"))
+                yield part.filter(pa.array([n != UND if allowed is None else n in allowed for n in names], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify_language(docs: DataFrame, learn_from: Column, families: dict | None = None) -> DataFrame:
     """Train on the rows that ``learn_from`` admits and identify every document."""
     return identify(docs, train(docs, learn_from, families))

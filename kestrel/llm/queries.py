@@ -19,6 +19,13 @@ def held_out(modulus: int):
     return F.coalesce(crc_remainder("doc_id", modulus) == 2, F.lit(False))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the tree model."""
+    from kestrel.llm.html_text import extract_main_text
+    texts = extract_main_text(read_table(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by the span tagger, learnt outside the held-out quarter."""
     from kestrel.llm.toxicity import score_toxicity
@@ -75,5 +82,11 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_packing, op4_near_dup, op5_language, op6_bpe, op7_threshold, op8_token_files, op9_lm_score, op10_ann)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_packing, op4_near_dup, op5_language, op6_bpe, op7_threshold, op8_token_files, op9_lm_score, op10_ann, pipeline)}
 ORACLE_SQL: dict[str, str] = {}

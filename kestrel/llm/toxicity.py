@@ -76,6 +76,16 @@ class Chain:
         grid, where = _runs(emission, starts)
         return forward_backward(grid, np.isfinite(grid), self.trans)[0][where]
 
+    def tag(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score of every text, every token's marginal, and the starts of the texts' tokens."""
+        codes, vocab, starts = words_of(texts, "utf8")
+        score, p = np.zeros(len(starts) - 1), np.zeros(len(codes), np.float32)
+        if len(codes) and np.isfinite(self.bias):
+            p = self.marginals(self.emissions(token_features(vocab))[codes], starts)
+            some = np.diff(starts) > 0
+            score[some] = np.maximum.reduceat(p, starts[:-1][some])
+        return np.clip(score, 0, 1), p, starts
+
     def emissions(self, features: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.full(len(features), self.bias, np.float32)
@@ -225,17 +235,10 @@ def tag_documents(docs: DataFrame, chain: Chain, spans: bool = True) -> DataFram
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                codes, vocab, starts = words_of(part.column("text"), "utf8")
-                n = len(starts) - 1
-                score = np.zeros(n)
-                p = np.zeros(0, np.float32)
-                if len(codes) and np.isfinite(kept.bias):
-                    p = kept.marginals(kept.emissions(token_features(vocab))[codes], starts)
-                    some = np.diff(starts) > 0
-                    score[some] = np.maximum.reduceat(p, starts[:-1][some])
-                columns = [part.column("doc_id"), pa.array(np.clip(score, 0, 1))]
+                score, p, starts = kept.tag(part.column("text"))
+                columns = [part.column("doc_id"), pa.array(score)]
                 if spans:
-                    found = [[] for _ in range(n)]
+                    found = [[] for _ in score]
                     for i in np.nonzero(score >= 0.5)[0]:
                         own = p[starts[i]: starts[i + 1]]
                         for k, hit in enumerate(WORD.finditer(part.column("text")[i].as_py())):
@@ -254,3 +257,12 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probab
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, spans: bool = False) -> DataFrame:
     """Train on the labelled rows that ``learn_from`` admits and score every document."""
     return tag_documents(docs, train(docs, labels, learn_from), spans)
+
+
+def drop_toxic(docs: DataFrame, chain: Chain, threshold: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                yield part.filter(pa.array(chain.tag(part.column("text"))[0] < threshold))
+    return docs.mapInArrow(run, docs.schema)
