@@ -7,11 +7,14 @@ minhashes serve 64 tables of four.  A pair at similarity s is found with probabi
 (1 - (1 - s^2)^8)^2: 0.9994 at 0.8 and 0.99999 at 0.9.
 
 Candidates are verified on full sets.  Equal sets are one class from the start.  Round one
-verifies each member of a bucket against the bucket's smallest class; where a bucket still holds
-more than one component after that, its members are verified against those of the other
-components, so no link inside a bucket goes untested except where both ends are already
-connected, or the sizes or 32 minhashes rule out the threshold.  Components come from
-alternating large-star and small-star steps over the confirmed links.
+verifies each member of a bucket against the bucket's smallest class.  For the classes of buckets
+that still hold several components, the shingles that none of the others has are counted: two
+sets of sizes nx, ny with ux, uy such shingles share at most min(nx - ux, ny - uy) and together
+have at least max(nx + uy, ny + ux), an exact bound that rules out almost all pairs of copies of
+one text that differ too much.  Round two verifies against each bucket's class with the fewest
+such shingles, round three verifies every pair that is left between components and not ruled
+out.  So no link inside a bucket goes untested but those whose ends are already connected.
+Components come from alternating large-star and small-star steps over the confirmed links.
 
 Skew: aggregates are combined map-side; joins on a hot set, bucket or representative have one
 row per key on the other side, which adaptive execution splits; only candidates' texts move.
@@ -32,13 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import byte_view, hash_spans, mix64, stash, text_slices, words_of
-from kestrel.llm.token_files import binary_lists
 
 HALF, LEFT, RIGHT = 2, 8, 8
 HASHES = HALF * (LEFT + RIGHT)
-#: Equal minhashes (of 32) below which a pair is not verified in round two: at similarity 0.8
-#: fewer than 16 agree with probability 6e-5.
-LEAST_AGREEING = 16
 SEEDS = np.random.default_rng(4711).integers(1, 2 ** 63, (HASHES, 2), dtype=np.uint64)
 
 
@@ -67,7 +66,7 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, d1, d2, left, right, sig): set size, 128-bit set digest, half keys, 16-bit minhashes."""
+    """(doc_id, n, d1, d2, left, right): set size, 128-bit set digest, half keys of both collections."""
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
@@ -87,12 +86,11 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
                     halves = mix64(halves * np.uint64(0xD6E8FEB86659FD93) ^ low[:, k::HALF])
                 fixed = lambda a: pa.ListArray.from_arrays(
                     pa.array(np.arange(len(a) + 1) * a.shape[1], pa.int32()), pa.array(np.ascontiguousarray(a).view(np.int64).ravel()))
-                sig = (mix64(low) & np.uint64(0xFFFF)).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n), *(pa.array(d.view(np.int64)) for d in digest), fixed(halves[:, :LEFT]),
-                     fixed(halves[:, LEFT:]), binary_lists(sig.ravel(), np.arange(len(n) + 1) * HASHES)],
-                    ["doc_id", "n", "d1", "d2", "left", "right", "sig"])
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, left array<long>, right array<long>, sig binary")
+                     fixed(halves[:, LEFT:])],
+                    ["doc_id", "n", "d1", "d2", "left", "right"])
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, left array<long>, right array<long>")
 
 
 def _packed_texts(docs: DataFrame) -> DataFrame:
@@ -112,11 +110,14 @@ def _unpack(values: pa.Array) -> pa.Array:
     return pa.array([opener.decompress(z.as_py()) for z in values], pa.binary()).cast(pa.string())
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _texts_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, n, d1, d2, z): the compressed text of each class in ``ids``, written to the shared folder."""
+    sets = ids.join(classes.select("cid", "n", "d1", "d2"), "cid")
+    return stash(_packed_texts(docs).join(sets, F.col("doc_id") == F.col("cid")).select("cid", "n", "d1", "d2", "z"), "candidates")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = wanted.join(classes.select("cid", "n", "d1", "d2"), "cid")
-    texts = stash(_packed_texts(docs).join(sets, F.col("doc_id") == F.col("cid")).select("cid", "n", "d1", "d2", "z"), "candidates")
     side = lambda x: texts.select(F.col("cid").alias(x), F.col("z").alias(f"z{x}"), F.col("n").alias(f"n{x}"))
     # Sorted by b on the way out of the last join: a representative's set is made once a run.
     both = pairs.join(side("a"), "a").join(side("b").hint("merge"), "b")
@@ -162,26 +163,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def _other_components(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of bucket members that no confirmed link connects yet and that round one did not test."""
-    held = (members.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left")
-            .select("key", "cid", "rep", F.coalesce("label", "cid").alias("label")))
-    open_ = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    extra = classes.select("cid", "n", "sig")
-    held = held.join(open_.select("key"), "key").join(extra, "cid")
-    main = held.where("cid = rep").select("key", F.col("label").alias("main"))
-    minor = (held.where("cid <> rep").join(main, "key").where("label <> main")
-             .select("key", F.col("cid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sig").alias("sa"), "main"))
-    rest = held.where("cid <> rep").select("key", F.col("cid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    met = (minor.join(rest, "key").where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))))
-           .where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")))
-
-    def agree(batches):
+def _alone(texts: DataFrame, width: int) -> DataFrame:
+    """(cid, alone): how many of a class's shingles no other of these classes has."""
+    def run(batches):
         for batch in batches:
-            sig = [np.frombuffer(byte_view(batch.column(c))[0].tobytes(), "<u2").reshape(-1, HASHES) for c in ("sa", "sb")]
-            same = (sig[0] == sig[1]).sum(axis=1) >= LEAST_AGREEING
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(same))
-    return met.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long").distinct()
+            for part in text_slices(batch, "z", 1 << 20):
+                flat, starts = shingle_sets(_unpack(part.column("z")), width)
+                owner = np.repeat(part.column("cid").to_numpy(), np.diff(starts))
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(flat.view(np.int64))], ["cid", "h"])
+    shingles = texts.select("cid", "z").mapInArrow(run, "cid long, h long")
+    return (shingles.groupBy("h").agg(F.min("cid").alias("cid"), F.max("cid").alias("most")).where("cid = most")
+            .groupBy("cid").agg(F.count("*").alias("alone")))
+
+
+def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, cid, label) of the buckets that hold more than one component."""
+    held = (members.select("key", "cid").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left")
+            .select("key", "cid", F.coalesce("label", "cid").alias("label")))
+    open_ = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    return held.join(open_.select("key"), "key")
+
+
+def _possible(percent: int):
+    """Whether sets of nx and ny shingles, ux and uy of them in no other set, can reach the threshold."""
+    common = F.least(F.col("nx") - F.col("ux"), F.col("ny") - F.col("uy"))
+    union = F.greatest(F.col("nx") + F.col("uy"), F.col("ny") + F.col("ux"))
+    return F.lit(100) * common >= F.lit(percent) * union
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -193,17 +200,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = stash(_signatures(docs, width), "signatures")
     live = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = stash(live.groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("cid"), *(F.first(c).alias(c) for c in ("n", "left", "right", "sig"))), "classes")
+        F.min("doc_id").alias("cid"), *(F.first(c).alias(c) for c in ("n", "left", "right"))), "classes")
     keys = classes.select("cid", F.explode(F.flatten(F.transform(
         "left", lambda x: F.transform("right", lambda y: F.xxhash64(x, y))))).alias("key"))
     buckets = keys.groupBy("key").agg(F.min("cid").alias("rep"), F.max("cid").alias("most")).where("rep <> most")
     members = stash(keys.join(buckets.select("key", "rep"), "key"), "members")
     first = members.where("cid <> rep").select(F.col("cid").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stash(_verified(first, classes, docs, width, percent), "confirmed")
-    labels = connected_components(links)
-    second = stash(_other_components(members, classes, labels, percent), "second")
-    links = links.unionByName(_verified(second, classes, docs, width, percent))
-    labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+    ends = first.select(F.col("a").alias("cid")).unionByName(first.select(F.col("b").alias("cid"))).distinct()
+    labels = connected_components(_verified(first, _texts_of(ends, classes, docs), width, percent))
+
+    held = stash(_open_buckets(members, labels), "open")
+    texts = _texts_of(held.select("cid").distinct(), classes, docs)
+    sizes = stash(texts.select("cid", "n").join(_alone(texts, width), "cid", "left").select("cid", "n", F.coalesce("alone", F.lit(0)).alias("u")), "sizes")
+    joined = held.select("key", "cid").join(sizes, "cid")
+    central = joined.groupBy("key").agg(F.min(F.struct("u", "cid", "n")).alias("y")).select("key", F.col("y.cid").alias("y"), F.col("y.u").alias("uy"), F.col("y.n").alias("ny"))
+    central = stash(central, "central")
+
+    def labelled(rows: DataFrame, labels: DataFrame, x: str) -> DataFrame:
+        return (rows.join(labels.select(F.col("node").alias(x), F.col("label").alias("l" + x)), x, "left")
+                .withColumn("l" + x, F.coalesce("l" + x, x)))
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        found = _verified(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), texts, width, percent)
+        return connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found))
+
+    sized = held.select("key", F.col("cid").alias("x"), F.col("label").alias("lx")).join(sizes.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("u").alias("ux")), "x")
+    labels = tested(labelled(sized.join(central, "key").where(_possible(percent) & (F.col("x") != F.col("y"))), labels, "y").where("lx <> ly"))
+
+    held = _open_buckets(held.select("key", "cid"), labels).join(sizes, "cid")
+    held = stash(held.join(labelled(central.select("key", "y"), labels, "y").select("key", F.col("ly").alias("main")), "key"), "open")
+    side = lambda x, rows: rows.select("key", F.col("cid").alias(x), F.col("label").alias("l" + x), F.col("n").alias("n" + x), F.col("u").alias("u" + x))
+    minor = side("x", held.where("label <> main")).join(held.select("key", "main").distinct(), "key")
+    labels = tested(minor.join(side("y", held), "key").where((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))) & _possible(percent)))
     named = (classes.select("d1", "d2", "cid").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left")
              .select("d1", "d2", F.coalesce("label", "cid").alias("label")))
     return (signed.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
