@@ -12,8 +12,9 @@ that still hold several components, the shingles that none of the others has are
 sets of sizes nx, ny with ux, uy such shingles share at most min(nx - ux, ny - uy) and together
 have at least max(nx + uy, ny + ux), an exact bound that rules out almost all pairs of copies of
 one text that differ too much.  Round two verifies against each bucket's class with the fewest
-such shingles, round three verifies every pair that is left between components and not ruled
-out.  So no link inside a bucket goes untested but those whose ends are already connected.
+such shingles.  Round three compares, for the buckets of one such class together, every member
+outside its component with all members, in blocks of bounded size inside tasks: no pairs are
+emitted but links.  So no link inside a bucket goes untested but those whose ends are already connected.
 Components come from alternating large-star and small-star steps over the confirmed links.
 
 Skew: aggregates are combined map-side; joins on a hot set, bucket or representative have one
@@ -38,6 +39,8 @@ from kestrel.llm.common import byte_view, hash_spans, mix64, stash, text_slices,
 
 HALF, LEFT, RIGHT = 2, 8, 8
 HASHES = HALF * (LEFT + RIGHT)
+#: Members of a block pair in the last round.
+MINOR, ALL = 256, 1024
 SEEDS = np.random.default_rng(4711).integers(1, 2 ** 63, (HASHES, 2), dtype=np.uint64)
 
 
@@ -191,6 +194,51 @@ def _possible(percent: int):
     return F.lit(100) * common >= F.lit(percent) * union
 
 
+def _links_in_groups(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between a group's ``main`` component and its other members, and among these.
+
+    ``groups``: (y, cid, label, main), the buckets of one central class y taken together.  The
+    members outside the main component meet all members block by block, a task holding at most
+    about MINOR of the former and ALL of the latter; their exact overlaps come from an inverted
+    list of the block.  One link is returned for each class and component it is linked with.
+    """
+    sizes = (groups.groupBy("y").agg(F.count_if(F.col("label") != F.col("main")).alias("m"), F.count("*").alias("k")).where("m > 0")
+             .select("y", F.ceil(F.col("m") / MINOR).alias("mb"), F.ceil(F.col("k") / ALL).alias("kb")))
+    rows = groups.join(sizes, "y").join(texts.select("cid", "z"), "cid")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    minor = (rows.where(F.col("label") != F.col("main")).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("mb"))).withColumn("j", upto("kb"))
+             .select("y", "i", "j", "cid", "label", "z"))
+    every = (rows.withColumn("j", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("kb"))).withColumn("i", upto("mb"))
+             .select(F.col("y").alias("y2"), F.col("i").alias("i2"), F.col("j").alias("j2"), "cid", "label", "z"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            flat, starts = shingle_sets(_unpack(right.column("z")), width)
+            size = np.diff(starts)
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.argsort(flat, kind="stable")
+            values, first = np.unique(flat[order], return_index=True)
+            owners, first = owner[order], np.append(first, len(flat))
+            ids, labels = right.column("cid").to_numpy(), right.column("label").to_numpy()
+            own, at = shingle_sets(_unpack(left.column("z")), width)
+            for r, (cid, label) in enumerate(zip(left.column("cid").to_pylist(), left.column("label").to_pylist())):
+                x = own[at[r]: at[r + 1]]
+                where = np.minimum(np.searchsorted(values, x), len(values) - 1)
+                where = where[values[where] == x] if len(values) else where[:0]
+                n = first[where + 1] - first[where]
+                ends = np.cumsum(n)
+                index = np.repeat(first[where] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+                common = np.bincount(owners[index], minlength=len(size))
+                hit = np.nonzero((100 * common >= percent * (len(x) + size - common)) & (labels != label))[0]
+                _, one = np.unique(labels[hit], return_index=True)
+                a += [cid] * len(one)
+                b += ids[hit[one]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return minor.groupBy("y", "i", "j").cogroup(every.groupBy("y2", "i2", "j2")).applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
@@ -227,11 +275,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sized = held.select("key", F.col("cid").alias("x"), F.col("label").alias("lx")).join(sizes.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("u").alias("ux")), "x")
     labels = tested(labelled(sized.join(central, "key").where(_possible(percent) & (F.col("x") != F.col("y"))), labels, "y").where("lx <> ly"))
 
-    held = _open_buckets(held.select("key", "cid"), labels).join(sizes, "cid")
-    held = stash(held.join(labelled(central.select("key", "y"), labels, "y").select("key", F.col("ly").alias("main")), "key"), "open")
-    side = lambda x, rows: rows.select("key", F.col("cid").alias(x), F.col("label").alias("l" + x), F.col("n").alias("n" + x), F.col("u").alias("u" + x))
-    minor = side("x", held.where("label <> main")).join(held.select("key", "main").distinct(), "key")
-    labels = tested(minor.join(side("y", held), "key").where((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))) & _possible(percent)))
+    held = _open_buckets(held.select("key", "cid"), labels).join(labelled(central.select("key", "y"), labels, "y"), "key")
+    groups = stash(held.select("y", "cid", "label", F.col("ly").alias("main")).distinct(), "groups")
+    labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+                                  .unionByName(_links_in_groups(groups, texts, width, percent)))
     named = (classes.select("d1", "d2", "cid").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left")
              .select("d1", "d2", F.coalesce("label", "cid").alias("label")))
     return (signed.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
