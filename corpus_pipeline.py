@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kestrel.llm import language, near_dup, packing, toxicity
 from kestrel.llm.common import read_table, stash
-from kestrel.llm.queries import vocabulary
+from kestrel.llm.registry import vocabulary
 
 #: Documents that score at least this are rejected.
 TOXIC_FROM = 0.3

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 def queries() -> dict:
     """Name to ``(spark, sf_dir) -> DataFrame``."""
-    from kestrel.llm.queries import QUERIES
+    from kestrel.llm.registry import QUERIES
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from kestrel.llm.queries import ORACLE_SQL
+    from kestrel.llm.registry import ORACLE_SQL
     return dict(ORACLE_SQL)

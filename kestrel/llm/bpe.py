@@ -86,6 +86,8 @@ class PairTable:
 
 def _as_bytes(words: pa.Array) -> list[bytes]:
     """The words as Python bytes; none holds a line feed."""
+    if not len(words):
+        return []
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b"\n")
     return joined[0].as_py().split(b"\n")
 

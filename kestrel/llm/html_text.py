@@ -217,7 +217,7 @@ class ContentModel:
         return [" ".join("".join([t if n < 0 or content[n] else " " for n, t in runs]).split()) for runs in forest.runs]
 
 
-def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
+def labelled_pages(count: int = 600, seed: int = 7) -> list[str]:
     """Pages of many layouts; content elements carry ``data-y="1"``, what is not content inside them ``data-y="0"``."""
     rng = np.random.default_rng(seed)
     pick = lambda *xs: xs[rng.integers(len(xs))]
@@ -261,8 +261,8 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
     for _ in range(count):
         inner = [f"<h1>{words(2, 10)}</h1>"] if rng.random() < 0.8 else []
         inner += [part() for _ in range(rng.integers(1, 12))]
-        for _ in range(rng.integers(0, 3)):
-            if rng.random() < 0.6:
+        for _ in range(rng.integers(0, 4)):
+            if rng.random() < 0.8:
                 inner.insert(int(rng.integers(len(inner) + 1)), aside())
         inner = "".join(inner)
         name = pick("content", "article", "post", "entry", "story", "main", "text", "body", "post content", "entry content", "article body")
@@ -281,7 +281,8 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[str]:
         foot = pick(f"<footer>&copy; {words(2, 12)}</footer>", f"<footer><p>{words(3, 20)}</p>{items()}</footer>", f'<div class="footer">{filler()}</div>')
         around = [aside() if rng.random() < 0.5 else f'<div class="{pick("ad", "ads", "banner")}">{words(3, 30)}</div>' for _ in range(rng.integers(0, 3))]
         side = f"<aside>{filler()}</aside>" if rng.random() < 0.3 else ""
-        pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title></head><body>{head}{''.join(around)}{body}{side}{foot}</body></html>")
+        body = f"{head if rng.random() < 0.9 else ''}{''.join(around)}{body}{side}{foot if rng.random() < 0.9 else ''}"
+        pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title></head><body>{body}</body></html>" if rng.random() < 0.8 else body)
     return pages
 
 
@@ -301,7 +302,7 @@ def train(pages: list[str], rounds: int = 150) -> ContentModel:
     for step in range(1, rounds + 1):
         p, pairs = tree.marginals(tree.unary(theta[:size]), theta[size:].reshape(2, 2))
         grad = np.concatenate([gold - np.bincount(tree.feature, weights=p[tree.node], minlength=size), (seen - pairs).ravel()])
-        grad = grad / len(pages) - 2e-3 * theta
+        grad = grad / len(pages) - 4e-4 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta += 0.15 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
     return ContentModel(theta[:size], theta[size:].reshape(2, 2))

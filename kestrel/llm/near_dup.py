@@ -209,18 +209,19 @@ def _links_in_groups(groups: DataFrame, texts: DataFrame, width: int, percent: i
     minor = (rows.where(F.col("label") != F.col("main")).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("mb"))).withColumn("j", upto("kb"))
              .select("y", "i", "j", "cid", "label", "z"))
     every = (rows.withColumn("j", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("kb"))).withColumn("i", upto("mb"))
-             .select(F.col("y").alias("y2"), F.col("i").alias("i2"), F.col("j").alias("j2"), "cid", "label", "z"))
+             .select(F.col("y").alias("y2"), F.col("i").alias("i2"), F.col("j").alias("j2"),
+                     F.col("cid").alias("c2"), F.col("label").alias("l2"), F.col("z").alias("z2")))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
         if left.num_rows and right.num_rows:
-            flat, starts = shingle_sets(_unpack(right.column("z")), width)
+            flat, starts = shingle_sets(_unpack(right.column("z2")), width)
             size = np.diff(starts)
             owner = np.repeat(np.arange(len(size)), size)
             order = np.argsort(flat, kind="stable")
             values, first = np.unique(flat[order], return_index=True)
             owners, first = owner[order], np.append(first, len(flat))
-            ids, labels = right.column("cid").to_numpy(), right.column("label").to_numpy()
+            ids, labels = right.column("c2").to_numpy(), right.column("l2").to_numpy()
             own, at = shingle_sets(_unpack(left.column("z")), width)
             for r, (cid, label) in enumerate(zip(left.column("cid").to_pylist(), left.column("label").to_pylist())):
                 x = own[at[r]: at[r + 1]]
