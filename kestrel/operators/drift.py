@@ -250,9 +250,10 @@ def drift_summary(feat: DataFrame, lab: DataFrame | None, share_threshold: float
 
 def chi_square(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
     """D3 (+J8): two-sample homogeneity χ² on a categorical column; statistic and dof (Q23)."""
-    r = ref.groupBy(column).agg(F.count(F.lit(1)).alias("o_ref"))
-    c = cur.groupBy(column).agg(F.count(F.lit(1)).alias("o_cur"))
-    t = r.join(c, column, "full").fillna(0, ["o_ref", "o_cur"])
+    both = (ref.select(F.lit(REF).alias("side"), F.col(column).alias("v"))
+            .unionByName(cur.select(F.lit(CUR).alias("side"), F.col(column).alias("v"))))
+    # Grouping takes null as one category, on whichever side it occurs.
+    t = both.groupBy("v").agg(F.count_if(_is(REF)).alias("o_ref"), F.count_if(_is(CUR)).alias("o_cur"))
     # Side totals and the category count are three scalars: one aggregate, inlined as literals,
     # so a high-cardinality column is never gathered into one task.
     tot = t.agg(F.sum("o_ref").alias("n_ref"), F.sum("o_cur").alias("n_cur"), F.count(F.lit(1)).alias("k")).first()
@@ -260,8 +261,9 @@ def chi_square(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
                        "k": F.lit(tot["k"] or 0)})
     n = F.col("n_ref") + F.col("n_cur")
     row = F.col("o_ref") + F.col("o_cur")
-    e_ref, e_cur = row * F.col("n_ref") / n, row * F.col("n_cur") / n
-    term = (F.pow(F.col("o_ref") - e_ref, 2) / e_ref) + (F.pow(F.col("o_cur") - e_cur, 2) / e_cur)
+    e_ref, e_cur = F.try_divide(row * F.col("n_ref"), n), F.try_divide(row * F.col("n_cur"), n)
+    # An empty side has no expected counts: the statistic is null then.
+    term = F.try_divide(F.pow(F.col("o_ref") - e_ref, 2), e_ref) + F.try_divide(F.pow(F.col("o_cur") - e_cur, 2), e_cur)
     return j.agg(F.sum(term).alias("chi2_statistic"), (F.first("k") - 1).alias("dof"))
 
 

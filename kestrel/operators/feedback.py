@@ -89,20 +89,23 @@ def mark_reviewed(log: DataFrame, reviewed: DataFrame, as_of, keys=("user_id", "
     flag = reviewed.select(*keys).distinct().withColumn("__reviewed", F.lit(True))
     j = log.join(flag, keys, "left")
     hit = F.coalesce(F.col("__reviewed"), F.lit(False))
+    # Rows not reviewed now keep the time of an earlier session.
+    earlier = F.col("review_timestamp") if "review_timestamp" in log.columns else F.lit(None).cast("timestamp_ntz")
     return j.withColumns({
         "action_taken": F.when(hit, F.lit("HUMAN_REVIEWED")).otherwise(F.col("action_taken")),
-        "review_timestamp": F.when(hit, F.lit(as_of).cast("timestamp_ntz")),
+        "review_timestamp": F.when(hit, F.lit(as_of).cast("timestamp_ntz")).otherwise(earlier),
     }).drop("__reviewed")
 
 
 def labelling_audit(labels: DataFrame, session_id: str, as_of, label: str = "verified_label") -> DataFrame:
     """K9: one audit row — session, number of labels and the label distribution as a map.
 
-    The map holds one entry per distinct label value (a handful), built from a grouped count.
+    The map holds one entry per distinct label value (a handful), built from a grouped count;
+    rows without a label count in ``num_labels`` only.
     """
     dist = labels.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     return dist.agg(
         F.sum("n").alias("num_labels"),
-        F.map_from_entries(F.collect_list(F.struct(F.col(label), F.col("n")))).alias("label_distribution"),
+        F.map_from_entries(F.collect_list(F.when(F.col(label).isNotNull(), F.struct(F.col(label), F.col("n"))))).alias("label_distribution"),
     ).select(F.lit(as_of).cast("timestamp_ntz").alias("timestamp"), F.lit(session_id).alias("session_id"),
              "num_labels", "label_distribution")

@@ -196,17 +196,17 @@ def first_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[tuple
                   columns: Sequence[str] | None = None) -> DataFrame:
     """One row per key — the first under ``order`` = [(numeric column, ascending), ...].
 
-    Written as ``max(struct(sort key, payload))`` so Spark aggregates partially on the map side:
+    Written as ``max_by(payload, sort key)`` so Spark aggregates partially on the map side:
     a key holding a third of all rows is reduced inside each map task before the shuffle and
-    never lands whole in one task.  Put a unique tie-break last in ``order``; exact ties on the
-    whole key then resolve by payload, deterministically.
+    never lands whole in one task.  The payload is not compared, so it may hold maps.  Put a
+    unique tie-break last in ``order``; rows equal on the whole key are interchangeable.
     """
     key = [key] if isinstance(key, str) else list(key)
     columns = [c for c in (columns or df.columns) if c not in key]
     sort_key = F.struct(*[(c if not asc else -c).alias(f"k{i}") for i, (c, asc) in enumerate(order)])
-    best = F.max(F.struct(sort_key.alias("k"), F.struct(*columns).alias("p"))).alias("__best")
+    best = F.max_by(F.struct(*columns), sort_key).alias("__best")
     out = df.groupBy(*key).agg(best)
-    return out.select(*key, *[F.col(f"__best.p.{c}").alias(c) for c in columns])
+    return out.select(*key, *[F.col(f"__best.{c}").alias(c) for c in columns])
 
 
 def latest_per_key(df: DataFrame, key: str | Sequence[str], ts: str, tie: str) -> DataFrame:

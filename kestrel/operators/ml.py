@@ -32,7 +32,9 @@ def stratified_split(df: DataFrame, label: str, id_col: str, seed: str = "42",
     wo = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumns({"__off": F.coalesce(F.sum("__bn").over(wo), F.lit(0)),
                                "__n": F.sum("__bn").over(Window.partitionBy(label))})
-    d = d.join(sizes, [label, "__b"])
+    sizes = sizes.select(F.col(label).alias("__l"), F.col("__b").alias("__sb"), "__bn", "__off", "__n")
+    # Null-safe: rows without a label are a stratum of their own.
+    d = d.join(sizes, d[label].eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__sb"))).drop("__l", "__sb")
     wl = Window.partitionBy(label, "__b").orderBy("__k", id_col)
     pos = F.col("__off") + F.row_number().over(wl) - 1
     d = d.withColumn("__pos", pos)

@@ -25,7 +25,7 @@ def publish(df: DataFrame, group: str, version: str, entity: str, ts: str, tie:
     """Latest row per entity → (feature_group, version, entity_id, event_ts, features, synced_at, expires_at).
 
     Rows with a null entity are not published (see ``publish_stats``).  ``expires_at`` is the
-    entity's last event plus the TTL, so stale entities age out (O11).
+    time of publishing plus the TTL (O11).
     """
     keyed = df.filter(F.col(entity).isNotNull())
     latest = first_per_key(keyed, entity, [(micros(ts), False), (F.col(tie), False)],
@@ -33,7 +33,7 @@ def publish(df: DataFrame, group: str, version: str, entity: str, ts: str, tie:
     out = latest.select(F.lit(group).alias("feature_group"), F.lit(version).alias("version"),
                         F.col(entity).alias("entity_id"), F.col(ts).alias("event_ts"), *features,
                         F.lit(as_of).cast("timestamp_ntz").alias("synced_at"))
-    exp = F.col("event_ts") + F.make_dt_interval(F.lit(ttl_days)) if ttl_days is not None else F.lit(None)
+    exp = F.col("synced_at") + F.make_dt_interval(F.lit(ttl_days)) if ttl_days is not None else F.lit(None)
     return out.withColumn("expires_at", exp.cast("timestamp_ntz"))
 
 

@@ -27,7 +27,7 @@ def _store(spark, sf_dir):
 _STORE_SQL = f"""WITH e1 AS ({e1_sql(keep_ts=True)}),
 store AS (
   SELECT 'user_toxicity' AS feature_group, 'prod' AS version, user_id AS entity_id, ts AS event_ts,
-         {', '.join(FEATS)}, TIMESTAMP '{AS_OF}' AS synced_at, ts + INTERVAL 3 DAY AS expires_at
+         {', '.join(FEATS)}, TIMESTAMP '{AS_OF}' AS synced_at, TIMESTAMP '{AS_OF}' + INTERVAL 3 DAY AS expires_at
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, msg_id DESC) AS rn FROM e1) WHERE rn = 1)"""
 
 

@@ -14,7 +14,6 @@ master is local (tests); on a cluster an unset folder is an error, never a machi
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -36,13 +35,12 @@ def build_session(master: str | None = None, app: str = "kestrel",
                   shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Create (or fetch) a session with the library defaults.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]``; on a cluster pass ``None`` through
-    ``spark-submit`` and let the launcher decide.
+    ``master`` None sets no master, so that ``spark-submit`` or the cluster's settings decide;
+    tests, the bench and the scripts name a local one.
     """
     builder = SparkSession.builder.appName(app)
-    if master is None:
-        master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
-    builder = builder.master(master)
+    if master is not None:
+        builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

@@ -33,7 +33,7 @@ def summarise(plan: str) -> dict:
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     out = sys.argv[2] if len(sys.argv) > 2 else "PLANS.md"
-    spark = build_session(shuffle_partitions=8)
+    spark = build_session(master="local[*]", shuffle_partitions=8)
     lines = ["# Physical plans of the registered queries", "",
              f"Generated by `python scripts/plan_report.py {sf_dir}` (initial adaptive plan, before AQE re-planning).",
              "", "| query | shuffles | broadcasts | windows | hash agg | sort agg | python | pushed filters |",

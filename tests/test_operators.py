@@ -415,3 +415,49 @@ def test_degenerate_inputs_do_not_raise(spark):
     fd = D.feature_drift(ref, cur, ["x"]).collect()
     assert len(fd) == 1 and fd[0]["n_cur"] == 0
     assert D.label_shift(ref, cur).first()["label_shift"] is None
+
+
+def test_chi_square_takes_null_as_one_category_and_empty_sides(spark):
+    from kestrel.operators import drift as DR
+    ref = spark.createDataFrame([("a",)] * 6 + [(None,)] * 4, "c string")
+    cur = spark.createDataFrame([("a",)] * 5 + [(None,)] * 5, "c string")
+    r = DR.chi_square(ref, cur, "c").first()
+    assert r["dof"] == 1 and abs(r["chi2_statistic"] - 20 * (6 * 5 - 4 * 5) ** 2 / (11 * 9 * 10 * 10)) < 1e-9
+    assert DR.chi_square(ref, cur.limit(0), "c").first()["chi2_statistic"] is None
+
+
+def test_second_review_session_keeps_earlier_times(spark):
+    from kestrel.operators import feedback as FB
+    log = spark.createDataFrame([(1, "x", "A"), (2, "y", "B")], "user_id long, message string, action_taken string")
+    one = FB.mark_reviewed(log, log.where("user_id = 1"), "2024-01-01 00:00:00")
+    two = {r["user_id"]: r for r in FB.mark_reviewed(one, log.where("user_id = 2"), "2024-02-01 00:00:00").collect()}
+    assert two[1]["review_timestamp"].month == 1 and two[2]["review_timestamp"].month == 2
+
+
+def test_audit_null_label_map_payload_and_null_strata(spark):
+    from kestrel.operators import feedback as FB
+    from kestrel.operators import history as H
+    from kestrel.operators import ml as ML
+    labels = spark.createDataFrame([(1,), (1,), (None,)], "verified_label int")
+    row = FB.labelling_audit(labels, "s", "2024-01-01 00:00:00").first()
+    assert row["num_labels"] == 3 and row["label_distribution"] == {1: 2}
+    maps = spark.createDataFrame([(1, 1, {"a": 1}), (1, 2, {"b": 2})], "k long, t long, m map<string,int>")
+    assert H.first_per_key(maps, "k", [(maps["t"], False)]).first()["m"] == {"b": 2}
+    rows = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(100)], "doc_id long, label int")
+    assert ML.stratified_split(rows, "label", "doc_id").count() == 100
+
+
+def test_session_sets_no_master_unless_asked(monkeypatch):
+    from kestrel import session
+    seen = {}
+
+    class Builder:
+        def appName(self, _): return self
+        def master(self, m): seen["master"] = m; return self
+        def config(self, k, v): seen[k] = v; return self
+        def getOrCreate(self): raise KeyboardInterrupt
+
+    monkeypatch.setattr(session, "SparkSession", type("S", (), {"builder": Builder()}))
+    with pytest.raises(KeyboardInterrupt):
+        session.build_session()
+    assert "master" not in seen and seen["spark.ui.enabled"] == "false"
