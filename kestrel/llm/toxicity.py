@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.common import byte_view, hash_spans, mix64, text_slices, words_of
 
-TOXIC_DOCS, CLEAN_DOCS = 1500, 2500
+TOXIC_DOCS, CLEAN_DOCS = 1000, 1500
 #: Weights nearer to zero than this are left out of the fitted model.
 LEAST_WEIGHT = 0.02
 PREFIXES = (4, 5, 6)
@@ -140,20 +140,25 @@ def forward_backward(grid: np.ndarray, live: np.ndarray, trans: np.ndarray) -> t
     return out, moves
 
 
-def toxic_features(doc: np.ndarray, feature: np.ndarray, before: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
-    """Which features (below ``size``, 0: none) mark toxic tokens, from (document, feature, word before) rows and document labels.
+def toxic_features(doc: np.ndarray, codes: np.ndarray, features: np.ndarray, before: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """Which features (below ``size``, 0: none) mark toxic tokens, from each token's document, word, word before and the documents' labels.
 
     A feature's toxic documents count as often as the words before it differ, so that copies of
     one toxic document do not make all of its words suspicious.
     """
-    pair = np.unique(doc.astype(np.int64) * size + feature)
+    in_toxic = toxic[doc]
+    pairs, contexts = [], []
+    for column in features.T:       # one kind of feature at a time: the driver's memory is small
+        f = column.astype(np.int64)[codes]
+        pairs.append(np.unique(doc * size + f))
+        contexts.append(np.unique((before[in_toxic] + 1) * size + f[in_toxic]))
+    pair = np.unique(np.concatenate(pairs))
     pair = pair[pair % size > 0]
     d, f = pair // size, pair % size
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    in_toxic = toxic[doc] & (feature > 0)
-    places = np.unique((before[in_toxic].astype(np.int64) + 1) * size + feature[in_toxic]) % size
-    hits = np.minimum(np.bincount(f[toxic[d]], minlength=size), np.bincount(places, minlength=size))
     misses = np.bincount(f[~toxic[d]], minlength=size)
+    places = np.unique(np.concatenate(contexts)) % size
+    hits = np.minimum(np.bincount(f[toxic[d]], minlength=size), np.bincount(places, minlength=size))
     share = n_toxic / (n_toxic + n_clean)
     rare = misses * n_toxic <= 0.02 * hits * n_clean
     # Chance that so many of its documents are toxic without any tie to toxicity.
@@ -179,9 +184,8 @@ def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 30) -> Chain:
     keys, features = np.unique(np.concatenate([[np.uint64(0)], token_features(vocab).ravel()]), return_inverse=True)
     features, size = features[1:].reshape(len(vocab), -1), len(keys)
     doc = np.repeat(np.arange(len(toxic)), np.diff(starts))
-    before = np.where(np.diff(doc, prepend=-1) == 0, np.roll(codes, 1), -1)
-    wide = features.shape[1]
-    mark = toxic_features(np.repeat(doc, wide), features[codes].ravel(), np.repeat(before, wide), toxic, size)
+    before = np.where(np.diff(doc, prepend=-1) == 0, np.roll(codes, 1), -1).astype(np.int64)
+    mark = toxic_features(doc, codes, features, before, toxic, size)
     gold = mark[features].any(axis=1)[codes] & toxic[doc]
     if not gold.any():
         return nothing
