@@ -1,21 +1,15 @@
 """Trailing-window history features.
 
 Windows are left-closed and right-open, ``[t − W, t)``: the current row and every row with the
-same timestamp are excluded (quirk Q1).  They are expressed as ``RANGE`` frames over the
-event time in microseconds, so one ``Window.partitionBy(key)`` sort serves every frame width
-over the same key — the whole user feature set costs one exchange.
-
-Skew.  A window partition is one task.  When one key (a busy channel, a bot user) holds a
-large share of all rows, ``trailing_counts(..., strategy="prefix")`` splits that key by time
-bucket and computes the same numbers as differences of prefix sums:
-
-    count[t − W, t) = C(t) − C(t − W),   C(x) = number of rows of the key with ts < x
-
-``C`` is a per-bucket offset (a window over the small pre-aggregated bucket table) plus a
-local prefix inside the (key, bucket) partition.  Lookup of ``C(t − W)`` uses a probe row per
-message placed in the bucket of ``t − W``, joined back by message id.  Every task then holds
-at most one time bucket of one key, whatever the skew.  ``strategy="auto"`` routes only the
-hot keys (found by a bounded aggregate) through it.
+same timestamp are excluded (quirk Q1).
+
+One plan serves every key.  A row adds its value to the running total of its key at ``t`` and
+takes it back at ``t + W``, so a trailing sum is the running sum of these moves strictly before
+``t``.  Running sums are split by (key, time bucket): the totals of all earlier buckets come from
+a small pre-aggregated table and enter a bucket as one more row at its start, so a single
+exchange of the rows on (key, bucket) is enough and nothing is joined back.  No task holds more
+than one bucket of one key, however busy the key; null keys form a group like any other, and
+repeated ids are separate rows.  A row without a time has no history and adds to none.
 """
 
 from __future__ import annotations
@@ -31,109 +25,49 @@ US_PER_HOUR = 3_600_000_000
 US_PER_DAY = 24 * US_PER_HOUR
 
 
-def _window_sums(df: DataFrame, key: Sequence[str], ts_us: str, width_us: int,
-                 values: dict[str, Column], names: dict[str, str]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(ts_us).rangeBetween(-width_us, -1)
-    cols = {names["count"]: F.count(F.lit(1)).over(w)}
-    for out, v in values.items():
-        cols[out] = F.coalesce(F.sum(v).over(w), F.lit(0)).cast("bigint")
-    return df.withColumns(cols)
-
-
-def _prefix_sums(df: DataFrame, key: Sequence[str], ts_us: str, id_col: str, width_us: int,
-                 values: dict[str, Column], names: dict[str, str], bucket_us: int) -> DataFrame:
-    """Exact trailing sums as prefix differences over (key, time bucket) partitions."""
-    vn = list(values)
-    real = df.withColumns({"__t": F.col(ts_us), "__w": F.lit(1).cast("bigint"), "__probe": F.lit(False),
-                           **{f"__v_{n}": v.cast("bigint") for n, v in values.items()}})
-    # One probe per row at t − W; it weighs nothing and only reads the prefix there.
-    probe = df.select(*key, F.col(id_col), (F.col(ts_us) - F.lit(width_us)).alias("__t"),
-                      F.lit(0).cast("bigint").alias("__w"), F.lit(True).alias("__probe"),
-                      *[F.lit(0).cast("bigint").alias(f"__v_{n}") for n in vn])
-    both = (real.unionByName(probe, allowMissingColumns=True)
-            .withColumn("__b", F.floor(F.col("__t") / F.lit(bucket_us))))
-    # Pre-aggregated bucket totals (probe-only buckets total zero) → exclusive offsets per bucket.
-    tot = both.groupBy(*key, "__b").agg(F.sum("__w").alias("__bn"),
-                                        *[F.sum(f"__v_{n}").alias(f"__bs_{n}") for n in vn])
-    wk = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*key, "__b", F.coalesce(F.sum("__bn").over(wk), F.lit(0)).alias("__on"),
-                      *[F.coalesce(F.sum(f"__bs_{n}").over(wk), F.lit(0)).alias(f"__os_{n}") for n in vn])
-    # Local prefix inside one (key, bucket): rows strictly earlier than t (ties excluded).
-    wl = Window.partitionBy(*key, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
-    pref = (both.join(offs, [*key, "__b"], "inner")
-            .withColumns({"__cn": F.col("__on") + F.coalesce(F.sum("__w").over(wl), F.lit(0)),
-                          **{f"__cs_{n}": F.col(f"__os_{n}") + F.coalesce(F.sum(f"__v_{n}").over(wl), F.lit(0))
-                             for n in vn}}))
-    at_t = pref.filter(~F.col("__probe"))
-    at_tw = pref.filter(F.col("__probe")).select(
-        *key, id_col, F.col("__cn").alias("__pn"), *[F.col(f"__cs_{n}").alias(f"__ps_{n}") for n in vn])
-    out = at_t.join(at_tw, [*key, id_col], "inner").withColumns({
-        names["count"]: F.col("__cn") - F.col("__pn"),
-        **{n: (F.col(f"__cs_{n}") - F.col(f"__ps_{n}")).cast("bigint") for n in vn}})
-    return out.select(*df.columns, names["count"], *vn)
+def _starts(totals: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Per (key, bucket): the sum of ``columns`` over all earlier buckets of the key."""
+    earlier = Window.partitionBy(*key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*key, "__bucket", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in columns])
 
 
-def trailing_counts(df: DataFrame, key: str | Sequence[str], ts: str, width_us: int,
-                    values: dict[str, Column], count_name: str, *, id_col: str = "msg_id",
-                    strategy: str = "window", bucket_us: int = US_PER_HOUR,
-                    hot_min_rows: int = 5_000_000) -> DataFrame:
-    """Append ``count_name`` = rows in ``[ts − width, ts)`` and ``values`` summed over the same frame.
+def trailing_counts_multi(df: DataFrame, key: str | Sequence[str], ts: str,
+                          specs: Sequence[tuple[int, dict[str, Column], str]], *,
+                          bucket_us: int = US_PER_DAY) -> DataFrame:
+    """Several trailing frames over one key in one pass: ``specs`` = [(width_us, values, count_name), ...].
 
-    ``strategy``: ``window`` (one ordered window per key), ``prefix`` (bucketed prefix sums for
-    every key) or ``auto`` (keys with at least ``hot_min_rows`` rows take ``prefix``).
-    """
-    key = [key] if isinstance(key, str) else list(key)
-    tcol = "__ts_us"
-    d = df.withColumn(tcol, micros(ts))
-    names = {"count": count_name}
-    if strategy == "window":
-        out = _window_sums(d, key, tcol, width_us, values, names)
-    elif strategy == "prefix":
-        out = _prefix_sums(d, key, tcol, id_col, width_us, values, names, bucket_us)
-    elif strategy == "auto":
-        return trailing_counts_skew_aware(df, key, ts, width_us, values, count_name, id_col=id_col,
-                                          hot_min_rows=hot_min_rows, bucket_us=bucket_us)
-    else:
-        raise ValueError(strategy)
-    return out.drop(tcol)
-
-
-def hot_keys(df: DataFrame, key: str | Sequence[str], min_rows: int, max_keys: int = 10_000) -> DataFrame:
-    """Keys holding at least ``min_rows`` rows, at most ``max_keys`` of them (largest first).
-
-    The result is bounded by ``max_keys`` by construction, so it is safe to broadcast.
+    Appends per spec the number of rows in ``[ts − width, ts)`` and the sums of ``values`` there.
     """
     key = [key] if isinstance(key, str) else list(key)
-    return (df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-            .filter(F.col("__n") >= min_rows).orderBy(F.desc("__n"), *key).limit(max_keys).drop("__n"))
-
+    t = micros(ts)
+    moves = [{name: F.lit(1).cast("bigint")} | {o: F.coalesce(v.cast("bigint"), F.lit(0)) for o, v in values.items()}
+             for _, values, name in specs]
+    outs = [o for m in moves for o in m]
+    added = {f"__d_{o}": v for m in moves for o, v in m.items()}
+    rows = df.withColumns({"__t": t, "__kind": F.lit(1), **added})
+    for (width, _, _), mine in zip(specs, moves):
+        rows = rows.unionByName(
+            df.filter(t.isNotNull()).select(
+                *key, (t + F.lit(width)).alias("__t"), F.lit(0).alias("__kind"),
+                *[(-mine[o] if o in mine else F.lit(0).cast("bigint")).alias(f"__d_{o}") for o in outs]),
+            allowMissingColumns=True)
+    rows = rows.withColumn("__bucket", F.floor(F.col("__t") / F.lit(bucket_us)))
+    totals = (rows.filter(F.col("__t").isNotNull()).groupBy(*key, "__bucket")
+              .agg(*[F.sum(f"__d_{o}").alias(f"__d_{o}") for o in outs]))
+    starts = _starts(totals, key, [f"__d_{o}" for o in outs]).withColumns(
+        {"__t": F.col("__bucket") * F.lit(bucket_us) - F.lit(1), "__kind": F.lit(2)})
+    before = Window.partitionBy(*key, "__bucket").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
+    return (rows.unionByName(starts, allowMissingColumns=True)
+            .withColumns({o: F.when(F.col("__t").isNull(), F.lit(0))
+                          .otherwise(F.coalesce(F.sum(f"__d_{o}").over(before), F.lit(0))).cast("bigint")
+                          for o in outs})
+            .filter(F.col("__kind") == 1).select(*df.columns, *outs))
 
-def trailing_counts_skew_aware(df: DataFrame, key: str | Sequence[str], ts: str, width_us: int,
-                               values: dict[str, Column], count_name: str, *, id_col: str = "msg_id",
-                               hot_min_rows: int = 5_000_000, bucket_us: int = US_PER_HOUR,
-                               materialize: bool = True) -> DataFrame:
-    """Route hot keys through the prefix strategy and all other keys through one plain window.
 
-    The hot-key list is capped (see ``hot_keys``) and broadcast; keys beyond the cap are still
-    exact, they only fall back to the plain window.
-    """
-    key = [key] if isinstance(key, str) else list(key)
-    hot = F.broadcast(hot_keys(df, key, hot_min_rows).withColumn("__hot", F.lit(True)))
-    tagged = df.join(hot, key, "left")
-    is_hot = F.coalesce(F.col("__hot"), F.lit(False))
-    cold_part = trailing_counts(tagged.filter(~is_hot).drop("__hot"), key, ts, width_us, values,
-                                count_name, id_col=id_col, strategy="window")
-    hot_part = trailing_counts(tagged.filter(is_hot).drop("__hot"), key, ts, width_us, values,
-                               count_name, id_col=id_col, strategy="prefix", bucket_us=bucket_us)
-    out = cold_part.unionByName(hot_part)
-    if not materialize:
-        return out
-    # Both branches read the same input; chained routed steps would recompute it once per branch
-    # and level.  A reliable checkpoint in the shared checkpoint folder cuts the lineage (and
-    # survives executor loss).
-    from ..session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return out.checkpoint(eager=True)
+def trailing_counts(df: DataFrame, key: str | Sequence[str], ts: str, width_us: int,
+                    values: dict[str, Column], count_name: str, *, bucket_us: int = US_PER_HOUR) -> DataFrame:
+    """Append ``count_name`` = rows in ``[ts − width, ts)`` and ``values`` summed over the same frame."""
+    return trailing_counts_multi(df, key, ts, [(width_us, values, count_name)], bucket_us=bucket_us)
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -142,33 +76,19 @@ def _ratio(num: Column, den: Column) -> Column:
 
 def user_channel_features(msgs: DataFrame, *, user: str = "user_id", channel: str = "channel_id",
                           ts: str = "ts", label: str = "label", id_col: str = "msg_id",
-                          default_gap_hours: float = 24.0, new_to_channel_max: int = 3,
-                          strategy: str = "window", hot_min_rows: int = 5_000_000) -> DataFrame:
+                          default_gap_hours: float = 24.0, new_to_channel_max: int = 3) -> DataFrame:
     """H1–H8: the complete per-message history feature set.
 
-    Plain strategy: two exchanges (channel, user); the (user, channel) running number reuses
-    the user partitioning.  Missing values become 0 only at the end (Q2).
+    Four split passes: channel frame, both user frames, previous time of the user, running number
+    per (user, channel).  Missing values become 0 only at the end (Q2).
     """
     lab = F.col(label).cast("bigint")
-    kw = dict(id_col=id_col, strategy=strategy, hot_min_rows=hot_min_rows)
-    d = trailing_counts(msgs, channel, ts, US_PER_DAY, {"channel_24h_bad_count": lab},
-                        "channel_24h_msg_count", **kw)
+    d = trailing_counts(msgs, channel, ts, US_PER_DAY, {"channel_24h_bad_count": lab}, "channel_24h_msg_count")
     d = trailing_counts_multi(d, user, ts, [(7 * US_PER_DAY, {"user_7d_bad_count": lab}, "user_7d_msg_count"),
-                                            (30 * US_PER_DAY, {"user_30d_bad_count": lab}, "user_30d_msg_count")],
-                              **kw)
+                                            (30 * US_PER_DAY, {"user_30d_bad_count": lab}, "user_30d_msg_count")])
     tsu = micros(ts)
-    if strategy == "window":
-        wu = Window.partitionBy(user).orderBy(tsu, F.col(id_col))
-        wuc = Window.partitionBy(user, channel).orderBy(tsu, F.col(id_col))
-        d = d.withColumns({
-            "__prev_us": F.lag(tsu).over(wu),
-            "user_channel_msg_count": F.row_number().over(wuc).cast("bigint"),
-        })
-    else:
-        # Skew-proof: running count and previous time split by day inside every key.
-        d = previous_ts_us(d, [user], ts, id_col, "__prev_us", "prefix")
-        d = running_sum(d.withColumn("__one", F.lit(1).cast("bigint")), [user, channel], ts, id_col,
-                        {"user_channel_msg_count": "__one"}, "prefix", inclusive=True).drop("__one")
+    d = previous_ts_us(d, [user], ts, id_col, "__prev_us")
+    d = running_number(d, [user, channel], ts, id_col, "user_channel_msg_count")
     r7 = _ratio(F.col("user_7d_bad_count"), F.col("user_7d_msg_count"))
     r30 = _ratio(F.col("user_30d_bad_count"), F.col("user_30d_msg_count"))
     return d.withColumns({
@@ -186,10 +106,14 @@ def user_channel_features(msgs: DataFrame, *, user: str = "user_id", channel: st
 
 def group_stats_onto_rows(df: DataFrame, key: str, label: str = "label",
                           count_name: str = "user_msg_count", rate_name: str = "user_toxic_rate") -> DataFrame:
-    """Per-key row count and mean label broadcast back onto every row (no join)."""
-    w = Window.partitionBy(key)
-    return df.withColumns({count_name: F.count(F.lit(1)).over(w),
-                           rate_name: F.avg(F.col(label).cast("double")).over(w)})
+    """Per-key row count and mean label mapped back onto every row.
+
+    One partial aggregate and a null-safe join, which adaptive execution splits for a busy key;
+    a window would buffer all rows of the key in one task.
+    """
+    stats = df.groupBy(F.col(key).alias("__key")).agg(
+        F.count(F.lit(1)).alias(count_name), F.avg(F.col(label).cast("double")).alias(rate_name))
+    return df.join(stats, F.col(key).eqNullSafe(F.col("__key")), "inner").drop("__key")
 
 
 def first_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[tuple[Column, bool]],
@@ -215,102 +139,37 @@ def latest_per_key(df: DataFrame, key: str | Sequence[str], ts: str, tie: str) -
 
 
 def running_sum(df: DataFrame, key: Sequence[str], ts: str, tie: str, values: dict[str, str],
-                strategy: str = "window", bucket_us: int = US_PER_DAY, inclusive: bool = False) -> DataFrame:
-    """Running sums per key in (ts, tie) order: ``out = Σ value`` over earlier rows (or up to this one).
-
-    ``window``: one ordered window per key.  ``prefix``: the same sums as bucket offsets plus a
-    local prefix inside (key, time bucket) — the per-bucket totals are pre-aggregated (small), so
-    no task ever holds more than one bucket of one key, however hot the key.
-    """
+                bucket_us: int = US_PER_DAY, inclusive: bool = False) -> DataFrame:
+    """Running sums per key in (ts, tie) order: ``out = Σ value`` over earlier rows (or up to this one)."""
     key = list(key)
-    end = 0 if inclusive else -1
-    if strategy == "window":
-        w = Window.partitionBy(*key).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumns({o: F.coalesce(F.sum(v).over(w), F.lit(0)) for o, v in values.items()})
-    if strategy != "prefix":
-        raise ValueError(strategy)
-    d = df.withColumn("__rb", F.floor(micros(ts) / F.lit(bucket_us)))
-    tot = d.groupBy(*key, "__rb").agg(*[F.sum(v).alias(f"__t_{o}") for o, v in values.items()])
-    wk = Window.partitionBy(*key).orderBy("__rb").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*key, "__rb", *[F.coalesce(F.sum(f"__t_{o}").over(wk), F.lit(0)).alias(f"__o_{o}")
-                                      for o in values])
-    wl = Window.partitionBy(*key, "__rb").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, end)
-    j = d.join(offs, [*key, "__rb"], "inner")
-    return j.withColumns({o: F.col(f"__o_{o}") + F.coalesce(F.sum(v).over(wl), F.lit(0))
-                          for o, v in values.items()}).drop("__rb", *[f"__o_{o}" for o in values])
+    d = df.withColumns({"__bucket": F.floor(micros(ts) / F.lit(bucket_us)), "__kind": F.lit(1),
+                        **{f"__x_{o}": F.col(v).cast("bigint") for o, v in values.items()}})
+    xs = [f"__x_{o}" for o in values]
+    totals = d.groupBy(*key, "__bucket").agg(*[F.sum(x).alias(x) for x in xs])
+    both = d.unionByName(_starts(totals, key, xs).withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+    local = (Window.partitionBy(*key, "__bucket").orderBy("__kind", ts, tie)
+             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    return (both.withColumns({o: F.coalesce(F.sum(f"__x_{o}").over(local), F.lit(0)) for o in values})
+            .filter(F.col("__kind") == 1).select(*df.columns, *values))
 
 
-def previous_ts_us(df: DataFrame, key: Sequence[str], ts: str, tie: str, out: str,
-                   strategy: str = "window", bucket_us: int = US_PER_DAY) -> DataFrame:
-    """Event time (µs) of the previous row of the same key in (ts, tie) order; null for the first.
+def running_number(df: DataFrame, key: Sequence[str], ts: str, tie: str, out: str,
+                   bucket_us: int = US_PER_DAY) -> DataFrame:
+    """H8: number of the row within its key in (ts, tie) order, from 1."""
+    return running_sum(df.withColumn("__one", F.lit(1)), key, ts, tie, {out: "__one"}, bucket_us, True).drop("__one")
 
-    ``prefix``: lag inside (key, time bucket); a bucket's first row takes the latest time of the
-    earlier buckets, carried forward over the small per-bucket table.
-    """
-    key = list(key)
-    t = micros(ts)
-    if strategy == "window":
-        return df.withColumn(out, F.lag(t).over(Window.partitionBy(*key).orderBy(ts, tie)))
-    d = df.withColumns({"__tu": t, "__pb": F.floor(t / F.lit(bucket_us))})
-    last = d.groupBy(*key, "__pb").agg(F.max("__tu").alias("__bmax"))
-    wk = Window.partitionBy(*key).orderBy("__pb").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.select(*key, "__pb", F.max("__bmax").over(wk).alias("__carry"))
-    wl = Window.partitionBy(*key, "__pb").orderBy(ts, tie)
-    j = d.join(carry, [*key, "__pb"], "inner")
-    return j.withColumn(out, F.coalesce(F.lag("__tu").over(wl), F.col("__carry"))).drop("__tu", "__pb", "__carry")
 
+def previous_ts_us(df: DataFrame, key: Sequence[str], ts: str, tie: str, out: str,
+                   bucket_us: int = US_PER_DAY) -> DataFrame:
+    """H7: event time (µs) of the previous row of the same key in (ts, tie) order; null for the first.
 
-def trailing_counts_multi(df: DataFrame, key: str | Sequence[str], ts: str,
-                          specs: Sequence[tuple[int, dict[str, Column], str]], *, id_col: str = "msg_id",
-                          strategy: str = "window", bucket_us: int = US_PER_HOUR,
-                          hot_min_rows: int = 5_000_000) -> DataFrame:
-    """Several trailing frames over one key: ``specs`` = [(width_us, values, count_name), ...].
-
-    ``window`` adds all frames to one window operator (one exchange).  ``prefix`` places one probe
-    per row and width in a single union, so buckets, offsets and local prefixes are computed once
-    for every width; the probes are folded back with one grouped aggregate and one join.
+    A bucket starts with the latest time of the key's earlier buckets.
     """
-    key = [key] if isinstance(key, str) else list(key)
-    if strategy in ("window", "auto"):
-        out = df
-        for width, values, name in specs:
-            out = trailing_counts(out, key, ts, width, values, name, id_col=id_col, strategy=strategy,
-                                  bucket_us=bucket_us, hot_min_rows=hot_min_rows)
-        return out
-    if strategy != "prefix":
-        raise ValueError(strategy)
-    vals = {n: v for _, values, _ in specs for n, v in values.items()}
-    vn = list(vals)
-    base = df.withColumn("__tsu", micros(ts))
-    real = base.select(*key, id_col, F.col("__tsu").alias("__t"), F.lit(1).cast("bigint").alias("__w"),
-                       F.lit(-1).alias("__probe"), *[vals[n].cast("bigint").alias(f"__v_{n}") for n in vn])
-    probes = [base.select(*key, id_col, (F.col("__tsu") - F.lit(w)).alias("__t"), F.lit(0).cast("bigint").alias("__w"),
-                          F.lit(i).alias("__probe"), *[F.lit(0).cast("bigint").alias(f"__v_{n}") for n in vn])
-              for i, (w, _, _) in enumerate(specs)]
-    both = real
-    for p in probes:
-        both = both.unionByName(p)
-    both = both.withColumn("__b", F.floor(F.col("__t") / F.lit(bucket_us)))
-    tot = both.groupBy(*key, "__b").agg(F.sum("__w").alias("__bn"), *[F.sum(f"__v_{n}").alias(f"__bs_{n}") for n in vn])
-    wk = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*key, "__b", F.coalesce(F.sum("__bn").over(wk), F.lit(0)).alias("__on"),
-                      *[F.coalesce(F.sum(f"__bs_{n}").over(wk), F.lit(0)).alias(f"__os_{n}") for n in vn])
-    wl = Window.partitionBy(*key, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
-    pref = (both.join(offs, [*key, "__b"], "inner")
-            .withColumns({"__cn": F.col("__on") + F.coalesce(F.sum("__w").over(wl), F.lit(0)),
-                          **{f"__cs_{n}": F.col(f"__os_{n}") + F.coalesce(F.sum(f"__v_{n}").over(wl), F.lit(0))
-                             for n in vn}}))
-    # Fold all rows of one message (the real row and its probes) into one row: a grouped aggregate.
-    aggs = [F.max(F.when(F.col("__probe") == -1, F.col("__cn"))).alias("__cn_r")]
-    aggs += [F.max(F.when(F.col("__probe") == -1, F.col(f"__cs_{n}"))).alias(f"__cs_r_{n}") for n in vn]
-    for i in range(len(specs)):
-        aggs.append(F.max(F.when(F.col("__probe") == i, F.col("__cn"))).alias(f"__cn_{i}"))
-        aggs += [F.max(F.when(F.col("__probe") == i, F.col(f"__cs_{n}"))).alias(f"__cs_{i}_{n}") for n in vn]
-    folded = pref.groupBy(*key, id_col).agg(*aggs)
-    cols = {}
-    for i, (_, values, name) in enumerate(specs):
-        cols[name] = F.col("__cn_r") - F.col(f"__cn_{i}")
-        for n in values:
-            cols[n] = (F.col(f"__cs_r_{n}") - F.col(f"__cs_{i}_{n}")).cast("bigint")
-    folded = folded.select(*key, id_col, *[c.alias(n) for n, c in cols.items()])
-    return df.join(folded, [*key, id_col], "inner")
+    key = list(key)
+    d = df.withColumns({"__tu": micros(ts), "__kind": F.lit(1)}).withColumn("__bucket", F.floor(F.col("__tu") / F.lit(bucket_us)))
+    last = d.groupBy(*key, "__bucket").agg(F.max("__tu").alias("__tu"))
+    earlier = Window.partitionBy(*key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(*key, "__bucket", F.max("__tu").over(earlier).alias("__tu"), F.lit(0).alias("__kind"))
+    local = Window.partitionBy(*key, "__bucket").orderBy("__kind", ts, tie)
+    return (d.unionByName(carry, allowMissingColumns=True).withColumn(out, F.lag("__tu").over(local))
+            .filter(F.col("__kind") == 1).select(*df.columns, out))

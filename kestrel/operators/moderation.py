@@ -69,14 +69,13 @@ def fallback_score(hard: Column) -> Column:
 
 def strike_history(df: DataFrame, *, user: str = "user_id", ts: str = "ts", id_col: str = "msg_id",
                    hard: str = "hard_term", toxic: str = "is_toxic", conf: str = "confidence",
-                   reset: str | None = None, band=(0.45, 0.55), strategy: str = "window",
-                   bucket_us: int = 24 * 3_600_000_000) -> DataFrame:
+                   reset: str | None = None, band=(0.45, 0.55), bucket_us: int = 24 * 3_600_000_000) -> DataFrame:
     """H9: violations before each message, the resulting severity and action, in batch.
 
     ``reset`` names a boolean column marking admin reset events (they clear the counter and
     are dropped from the output).  Equal to the sequential fold on the same ordering
-    (ts, id_col).  ``strategy="prefix"`` computes every running sum as bucket offsets plus a
-    local prefix (``history.running_sum``), so a user with a third of all rows is split by day.
+    (ts, id_col).  Every running sum is split by time
+    bucket (``history.running_sum``), so a user with a third of all rows is many tasks.
     """
     from .history import running_sum
     h = F.col(hard).cast("boolean")
@@ -89,15 +88,15 @@ def strike_history(df: DataFrame, *, user: str = "user_id", ts: str = "ts", id_c
         is_reset = F.coalesce(F.col(reset).cast("boolean"), F.lit(False))
         b, r = F.when(is_reset, 0).otherwise(b), F.when(is_reset, 0).otherwise(r)
         d = df.withColumn("__reset", is_reset.cast("int"))
-        d = running_sum(d, [user], ts, id_col, {"__epoch": "__reset"}, strategy, bucket_us, inclusive=True)
+        d = running_sum(d, [user], ts, id_col, {"__epoch": "__reset"}, bucket_us, inclusive=True)
     else:
         d = df.withColumn("__epoch", F.lit(0))
     keys = [user, "__epoch"]
-    d = d.withColumns({"__b": b, "__r": r})
-    d = running_sum(d, keys, ts, id_col, {"__B": "__b"}, strategy, bucket_us)
-    d = d.withColumn("__rr", F.when(F.col("__B") >= 2, F.col("__r")).otherwise(0))
-    d = running_sum(d, keys, ts, id_col, {"__R": "__rr"}, strategy, bucket_us)
-    prior = F.when(F.col("__B") >= 2, F.lit(2) + F.col("__R")).otherwise(F.col("__B")).cast("bigint")
+    d = d.withColumns({"__base": b, "__repeat": r})
+    d = running_sum(d, keys, ts, id_col, {"__held": "__base"}, bucket_us)
+    d = d.withColumn("__counted", F.when(F.col("__held") >= 2, F.col("__repeat")).otherwise(0))
+    d = running_sum(d, keys, ts, id_col, {"__more": "__counted"}, bucket_us)
+    prior = F.when(F.col("__held") >= 2, F.lit(2) + F.col("__more")).otherwise(F.col("__held")).cast("bigint")
     d = d.withColumn("prior_violations", prior)
     d = d.withColumn("severity", severity(h, t, p, F.col("prior_violations"), band))
     d = d.withColumn("strike_after", F.when(F.col("severity").isin("MEDIUM", "HIGH"),
@@ -105,8 +104,8 @@ def strike_history(df: DataFrame, *, user: str = "user_id", ts: str = "ts", id_c
                      .otherwise(F.col("prior_violations")))
     d = d.withColumn("action_taken", action(F.col("severity"), F.col("strike_after")))
     if reset:
-        d = d.filter(~F.col(reset).cast("boolean"))
-    return d.drop("__epoch", "__b", "__r", "__B", "__rr", "__R", "__reset")
+        d = d.filter(~is_reset)
+    return d.drop("__epoch", "__base", "__repeat", "__held", "__counted", "__more", "__reset")
 
 
 def moderation_stats(log: DataFrame, as_of, days: int = 7, ts: str = "ts") -> DataFrame:

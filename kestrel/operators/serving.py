@@ -92,12 +92,14 @@ def fresh(store: DataFrame, as_of) -> DataFrame:
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str,
-              values: Sequence[str], strict: bool = True, strategy: str = "window",
+              values: Sequence[str], strict: bool = True,
               bucket_us: int = 24 * 3_600_000_000) -> DataFrame:
     """Each left row gets the latest right row of the same key strictly before it.
 
-    Union both sides, order by (key, time, side) and carry the last non-null right value
-    forward — one shuffle on the key, no range join.  Ties put left rows first when strict.
+    Union both sides, order by (time, side) within (key, time bucket) and carry the last right row
+    forward; the last right row of all earlier buckets comes from a small per-(key, bucket) table
+    and enters the bucket as its first row.  No range join, and a busy key is many tasks.  Ties
+    put left rows first when strict; null keys match null keys.
     """
     lcols = left.columns
     l_side, r_side = (0, 1) if strict else (1, 0)
@@ -109,30 +111,17 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_t
                      F.col(right_ts).alias("__t"), F.lit(r_side).alias("__side"), F.struct(*values).alias("__r"))
     # The whole right row travels as one struct, so a null field never borrows an older value.
     u = l.unionByName(r)
-    if strategy == "window":
-        w = (Window.partitionBy(key).orderBy("__t", "__side")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        u = u.withColumn("__last", F.last("__r", ignorenulls=True).over(w))
-    elif strategy == "prefix":
-        u = _asof_bucketed(u, key, bucket_us)
-    else:
-        raise ValueError(strategy)
-    return u.filter(F.col("__side") == l_side).select(*lcols, *[F.col(f"__last.{v}").alias(v) for v in values])
-
-
-def _asof_bucketed(u: DataFrame, key: str, bucket_us: int) -> DataFrame:
-    """Carry-forward split by time bucket: the last right row of every earlier bucket comes from a
-    small per-(key, bucket) table; inside a bucket a local window finishes the job."""
     u = u.withColumn("__b", F.floor(micros("__t") / F.lit(bucket_us)))
     is_r = F.col("__r").isNotNull()
     per = u.groupBy(key, "__b").agg(
-        F.max_by(F.when(is_r, F.col("__r")), F.when(is_r, F.struct("__t", "__side"))).alias("__bl"))
-    wk = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select(key, "__b", F.last("__bl", ignorenulls=True).over(wk).alias("__carry"))
-    wl = (Window.partitionBy(key, "__b").orderBy("__t", "__side")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    j = u.join(carry, [key, "__b"], "inner")
-    return j.withColumn("__last", F.coalesce(F.last("__r", ignorenulls=True).over(wl), F.col("__carry")))
+        F.max_by(F.when(is_r, F.col("__r")), F.when(is_r, F.struct("__t", "__side"))).alias("__r"))
+    earlier = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(key, "__b", F.last("__r", ignorenulls=True).over(earlier).alias("__r"), F.lit(-1).alias("__side"))
+    local = (Window.partitionBy(key, "__b").orderBy(F.col("__side") >= 0, "__t", "__side")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (u.unionByName(carry, allowMissingColumns=True)
+            .withColumn("__last", F.last("__r", ignorenulls=True).over(local))
+            .filter(F.col("__side") == l_side).select(*lcols, *[F.col(f"__last.{v}").alias(v) for v in values]))
 
 
 def write_feature_group(store: DataFrame, root: str) -> None:

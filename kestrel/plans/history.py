@@ -15,12 +15,11 @@ _USER_COLS = ["user_7d_msg_count", "user_7d_bad_count", "user_30d_msg_count", "u
               "user_msg_velocity", "user_bad_ratio_7d", "user_bad_ratio_30d", "user_toxicity_trend"]
 
 
-def _user_windows(spark, sf_dir, strategy="window"):
+def _user_windows(spark, sf_dir):
     m = messages(spark, sf_dir).select("msg_id", "user_id", "ts", "label")
     lab = F.col("label").cast("bigint")
     d = H.trailing_counts_multi(m, "user_id", "ts", [(W7, {"user_7d_bad_count": lab}, "user_7d_msg_count"),
-                                                     (W30, {"user_30d_bad_count": lab}, "user_30d_msg_count")],
-                                strategy=strategy)
+                                                     (W30, {"user_30d_bad_count": lab}, "user_30d_msg_count")])
     r7 = F.when(F.col("user_7d_msg_count") > 0, F.col("user_7d_bad_count") / F.col("user_7d_msg_count"))
     r30 = F.when(F.col("user_30d_msg_count") > 0, F.col("user_30d_bad_count") / F.col("user_30d_msg_count"))
     return d.select("msg_id", "user_id", "user_7d_msg_count", "user_7d_bad_count", "user_30d_msg_count",
@@ -59,8 +58,8 @@ def h1_user_7d(spark, sf_dir):
 
 @register("h1_user_7d_prefix", _USER_SQL)
 def h1_user_7d_prefix(spark, sf_dir):
-    """H1–H5 through the skew-proof bucketed prefix-sum strategy (same numbers)."""
-    return _user_windows(spark, sf_dir, strategy="prefix")
+    """H1–H5 under the query's earlier name; the split plan is now the only one."""
+    return _user_windows(spark, sf_dir)
 
 
 @register("h6_channel_24h", with_views("""
@@ -126,22 +125,15 @@ E1_COLS = ["msg_id", "user_id", "channel_id", "label", "user_7d_msg_count", "use
 
 @register("e1_feature_build", _E1_SQL)
 def e1_feature_build(spark, sf_dir):
-    """H1–H8 in one job: two exchanges (channel, user)."""
+    """H1–H8 in one job, every key split by time bucket."""
     m = messages(spark, sf_dir).select("msg_id", "user_id", "channel_id", "ts", "label")
     return H.user_channel_features(m).select(*E1_COLS)
 
 
 @register("e1_feature_build_auto", _E1_SQL)
 def e1_feature_build_auto(spark, sf_dir):
-    """H1–H8 with hot-key routing: keys holding ≥ 1 % of the rows take the bucketed prefix path."""
-    m = messages(spark, sf_dir).select("msg_id", "user_id", "channel_id", "ts", "label")
-    # Threshold from the data size is a plan-time choice; channels here hold ~2 % each, so they
-    # exercise the hot path while users stay on the plain window.
-    return H.user_channel_features(m, strategy="auto", hot_min_rows=_one_percent(m)).select(*E1_COLS)
-
-
-def _one_percent(df) -> int:
-    return max(1, df.count() // 100)
+    """H1–H8 under the query's earlier name; there is no hot-key routing any more."""
+    return e1_feature_build(spark, sf_dir)
 
 
 @register("h7_gap_hours", with_views("""
@@ -152,11 +144,10 @@ FROM messages""", "messages"))
 def h7_gap_hours(spark, sf_dir):
     """H7: hours since the user's previous message, 24 for the first."""
     from ..functions.text import micros
-    from pyspark.sql import Window
-    m = messages(spark, sf_dir)
-    w = Window.partitionBy("user_id").orderBy("ts", "msg_id")
-    gap = (micros("ts") - F.lag(micros("ts")).over(w)) / F.lit(float(H.US_PER_HOUR))
-    return m.select("msg_id", "user_id", F.coalesce(gap, F.lit(24.0)).alias("hours_since_last_msg"))
+    m = messages(spark, sf_dir).select("msg_id", "user_id", "ts")
+    d = H.previous_ts_us(m, ["user_id"], "ts", "msg_id", "prev_us")
+    gap = (micros("ts") - F.col("prev_us")) / F.lit(float(H.US_PER_HOUR))
+    return d.select("msg_id", "user_id", F.coalesce(gap, F.lit(24.0)).alias("hours_since_last_msg"))
 
 
 @register("h8_user_channel_rank", with_views("""
@@ -166,12 +157,10 @@ SELECT msg_id, user_id, channel_id,
 FROM messages""", "messages"))
 def h8_user_channel_rank(spark, sf_dir):
     """H8: running message number per (user, channel) and the new-to-channel flag."""
-    from pyspark.sql import Window
-    m = messages(spark, sf_dir)
-    w = Window.partitionBy("user_id", "channel_id").orderBy("ts", "msg_id")
-    rn = F.row_number().over(w).cast("bigint")
-    return m.select("msg_id", "user_id", "channel_id", rn.alias("user_channel_msg_count"),
-                    (rn <= 3).cast("int").alias("is_new_to_channel"))
+    m = messages(spark, sf_dir).select("msg_id", "user_id", "channel_id", "ts")
+    d = H.running_number(m, ["user_id", "channel_id"], "ts", "msg_id", "user_channel_msg_count")
+    return d.select("msg_id", "user_id", "channel_id", "user_channel_msg_count",
+                    (F.col("user_channel_msg_count") <= 3).cast("int").alias("is_new_to_channel"))
 
 
 @register("h10_user_batch_stats", with_views("""

@@ -50,12 +50,12 @@ strikes AS (
 _STRIKES_SQL = with_views(_WALK_CTES + "\nSELECT * FROM strikes", "messages")
 
 
-def _strikes(spark, sf_dir, strategy="window"):
+def _strikes(spark, sf_dir):
     m = messages(spark, sf_dir)
     scored = m.select("msg_id", "user_id", "ts", "hard_term",
                       (F.col("label") == 1).alias("is_toxic"),
                       M.fold_confidence(F.col("confidence")).alias("confidence"))
-    return M.strike_history(scored, strategy=strategy)
+    return M.strike_history(scored)
 
 
 @register("h9_strike_history", _STRIKES_SQL)
@@ -66,9 +66,8 @@ def h9_strike_history(spark, sf_dir):
 
 @register("h9_strike_history_prefix", _STRIKES_SQL)
 def h9_strike_history_prefix(spark, sf_dir):
-    """H9 through bucketed running sums (skew-proof for a user holding a large share of rows)."""
-    return _strikes(spark, sf_dir, "prefix").select("msg_id", "user_id", "prior_violations", "severity",
-                                                    "action_taken")
+    """H9 under the query's earlier name; the split plan is now the only one."""
+    return h9_strike_history(spark, sf_dir)
 
 
 @register("a11_user_profiles", with_views(_WALK_CTES + """

@@ -97,21 +97,21 @@ FROM messages m ASOF LEFT JOIN (SELECT user_id, ts, severity, action_taken FROM
   ON m.user_id = a.user_id AND m.ts > a.ts""", "action_log")
 
 
-def _asof(spark, sf_dir, strategy):
+def _asof(spark, sf_dir):
     m = messages(spark, sf_dir).select("msg_id", "user_id", "ts")
     a = action_log(spark, sf_dir).filter(F.col("severity") != "SAFE").select(
         "user_id", "ts", F.col("severity").alias("last_severity"), F.col("action_taken").alias("last_action"))
-    return S.asof_join(m, a, "user_id", "ts", "ts", ["last_severity", "last_action"], strategy=strategy).select(
+    return S.asof_join(m, a, "user_id", "ts", "ts", ["last_severity", "last_action"]).select(
         "msg_id", "user_id", "last_severity", "last_action")
 
 
 @register("j6_asof_last_action", _ASOF_SQL)
 def j6_asof_last_action(spark, sf_dir):
     """For every message, the user's latest non-SAFE moderation action strictly before it."""
-    return _asof(spark, sf_dir, "window")
+    return _asof(spark, sf_dir)
 
 
 @register("j6_asof_last_action_prefix", _ASOF_SQL)
 def j6_asof_last_action_prefix(spark, sf_dir):
-    """J6 through time buckets (skew-proof for a very active user)."""
-    return _asof(spark, sf_dir, "prefix")
+    """J6 under the query's earlier name; the split plan is now the only one."""
+    return _asof(spark, sf_dir)

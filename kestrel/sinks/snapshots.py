@@ -29,6 +29,11 @@ def snapshot_ids(spark: SparkSession, root: str) -> list[int]:
     return sorted(ids)
 
 
+def next_snapshot_id(spark: SparkSession, root: str) -> int:
+    """An id above every complete snapshot (a folder left by a failed write is written anew)."""
+    return max(snapshot_ids(spark, root), default=-1) + 1
+
+
 def write_snapshot(df: DataFrame, root: str, snapshot_id: int, fmt: str = "parquet") -> str:
     """K1: write a complete new snapshot; re-running the same id rewrites the same directory."""
     path = f"{root.rstrip('/')}/snapshot={snapshot_id}"

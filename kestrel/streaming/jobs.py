@@ -8,13 +8,15 @@ micro-batch into the master snapshot inside ``foreachBatch``.
 
 Late data policy: watermark 1 hour.  Rows later than that are dropped by windowed
 aggregations (X6, X7); X4 processes rows in arrival order, sorted by event time inside each
-micro-batch, and flags rows older than the user's last processed event.
+micro-batch, and flags rows older than the user's last processed event.  A micro-batch is bounded
+by the source's ``maxFilesPerTrigger``; X4 shuffles only ids, times and two verdicts per message.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from ..functions.text import micros
+from ..operators import moderation as M
 from ..operators import serving as S
 
 MESSAGE_SCHEMA = (
@@ -52,67 +56,79 @@ def enrich_stream(stream: DataFrame, store: DataFrame, key: str = "user_id") ->
 
 # --- X4: per-user strike state ---------------------------------------------------------------
 
-STRIKE_OUT = (
-    "msg_id BIGINT, user_id BIGINT, prior_violations BIGINT, severity STRING, action_taken STRING, late BOOLEAN")
-STRIKE_STATE = "violations BIGINT, last_ts TIMESTAMP_NTZ"
-STRIKE_COLS = ["msg_id", "user_id", "prior_violations", "severity", "action_taken", "late"]
-
-
-def _severity(hard: bool, toxic: bool, p: float, prior: int) -> str:
-    if hard:
-        return "HIGH"
-    if not toxic:
-        return "SAFE"
-    if 0.45 <= p <= 0.55:
-        return "UNCERTAIN"
-    if prior >= 2:
-        if p > 0.70:
-            return "HIGH"
-        if p > 0.60:
-            return "MEDIUM"
-    if p > 0.90:
-        return "HIGH"
-    if p > 0.75:
-        return "MEDIUM"
-    return "LOW"
-
-
-def _action(sev: str, after: int):
-    if sev == "UNCERTAIN":
-        return "FLAGGED_REVIEW"
-    if sev == "LOW":
-        return "WARN_SOFT"
-    if sev == "MEDIUM":
-        return f"DELETE_STRIKE_{after}"
-    if sev == "HIGH":
-        return {1: "DELETE_WARN_HIGH", 2: "TIMEOUT_10M"}.get(after, "TIMEOUT_24H_ESCALATE")
-    return None
+STRIKE_OUT = ("msg_id BIGINT, user_id BIGINT, at BIGINT, prior_violations BIGINT, severity STRING, "
+              "strike_after BIGINT, first_offense BIGINT, last_offense BIGINT, late BOOLEAN")
+STRIKE_STATE = "violations BIGINT, first_offense BIGINT, last_offense BIGINT, seen BIGINT"
+STRIKES = ("MEDIUM", "HIGH")
+
+
+def _running_violations(held: int, base: np.ndarray, repeat: np.ndarray) -> np.ndarray:
+    """Violations held before each message; ``base``/``repeat``: is it one under either regime."""
+    before = held + np.cumsum(base) - base
+    again = before >= 2
+    more = (repeat & again).astype("int64")
+    return np.where(again, max(held, 2) + np.cumsum(more) - more, before)
+
+
+def _offenses(at: np.ndarray, struck: np.ndarray, held: int) -> np.ndarray:
+    """Latest offense time up to and including each message (0: none yet)."""
+    return np.maximum.accumulate(np.concatenate([[held], np.where(struck, at, 0)]))[1:]
 
 
 def _strike_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one user's new messages (sorted by time) over the stored violation count."""
-    count, last_ts = (state.get if state.exists else (0, None))
-    count = int(count)
-    rows = pd.concat(list(pdfs)).sort_values(["ts", "msg_id"], kind="stable")
-    out = []
-    for r in rows.itertuples(index=False):
-        late = last_ts is not None and r.ts < last_ts
-        p = max(r.confidence, 1.0 - r.confidence)
-        sev = _severity(bool(r.hard_term), r.label == 1, p, count)
-        prior = count
-        if sev in ("MEDIUM", "HIGH"):
-            count += 1
-        out.append((r.msg_id, r.user_id, prior, sev, _action(sev, count), bool(late)))
-        if last_ts is None or r.ts > last_ts:
-            last_ts = r.ts
-    state.update((count, last_ts))
-    yield pd.DataFrame(out, columns=STRIKE_COLS)
-
-
-def strike_stream(stream: DataFrame) -> DataFrame:
-    """Keyed per-user strike state machine (no state TTL: strikes never expire)."""
-    return (stream.groupBy("user_id")
-            .applyInPandasWithState(_strike_fold, STRIKE_OUT, STRIKE_STATE, "append", GroupStateTimeout.NoTimeout))
+    """One user's new messages, sorted by time, over the stored counter (closed form per reset)."""
+    held, first, last, seen = (int(v) for v in (state.get if state.exists else (0, 0, 0, 0)))
+    rows = pd.concat(list(pdfs)).sort_values(["at", "msg_id"], kind="stable", ignore_index=True)
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(rows["is_reset"])):
+        if not len(part):
+            continue
+        span = rows.iloc[part]
+        if span["is_reset"].iloc[0]:
+            held = 0
+            span = span.iloc[1:]
+        if span.empty:
+            continue
+        base, repeat = (span[c].isin(STRIKES).to_numpy() for c in ("base", "repeat"))
+        prior = _running_violations(held, base.astype("int64"), repeat)
+        verdict = np.where(prior >= 2, span["repeat"], span["base"])
+        struck = np.where(prior >= 2, repeat, base)
+        at = span["at"].to_numpy()
+        latest = _offenses(at, struck, last)
+        if not first and struck.any():
+            first = int(at[struck][0])
+        yield pd.DataFrame({
+            "msg_id": span["msg_id"], "user_id": span["user_id"], "at": at, "prior_violations": prior,
+            "severity": verdict, "strike_after": prior + struck,
+            "first_offense": np.where(latest > 0, first, 0), "last_offense": latest, "late": at < seen})
+        held, last = int(prior[-1] + struck[-1]), int(latest[-1])
+    state.update((held, first, last, max(seen, int(rows["at"].max()))))
+
+
+def strike_stream(stream: DataFrame, reset: str | None = None) -> DataFrame:
+    """Keyed per-user strike counter (no state TTL: strikes never expire).
+
+    A message's severity is one of two verdicts, below or from two strikes on.  Both are columns
+    (``moderation.severity``); the state holds the counter, the first and last offense and the newest time
+    seen.  ``reset`` names a boolean column that marks admin resets: they clear the counter, leave
+    the offense times and yield no row.  The rows since the last reset are the severity history.  A null flag
+    counts as false; a message without a time sorts first, as if of 1970.
+    """
+    hard = F.coalesce(F.col("hard_term").cast("boolean"), F.lit(False))
+    toxic = F.coalesce(F.col("label") == 1, F.lit(False))
+    p = M.fold_confidence(F.col("confidence"))
+    judged = stream.select(
+        "msg_id", "user_id", F.coalesce(micros("ts"), F.lit(0)).alias("at"),
+        M.severity(hard, toxic, p, F.lit(0)).alias("base"), M.severity(hard, toxic, p, F.lit(2)).alias("repeat"),
+        (F.coalesce(F.col(reset).cast("boolean"), F.lit(False)) if reset else F.lit(False)).alias("is_reset"))
+    out = judged.groupBy("user_id").applyInPandasWithState(
+        _strike_fold, STRIKE_OUT, STRIKE_STATE, "append", GroupStateTimeout.NoTimeout)
+
+    def time(col: str):
+        return F.when(F.col(col) > 0, F.timestamp_micros(F.col(col)).cast("timestamp_ntz"))
+    return out.select("msg_id", "user_id", time("at").alias("ts"), "prior_violations", "severity",
+                      M.action(F.col("severity"), F.col("strike_after")).alias("action_taken"), "strike_after",
+                      time("first_offense").alias("first_offense_time"),
+                      time("last_offense").alias("last_offense_time"), "late")
 
 
 # --- X5–X8 ------------------------------------------------------------------------------------
@@ -158,22 +174,25 @@ def dedupe_stream(stream: DataFrame, key: str = "text_hash", ts: str = "ts", wat
     return _event_time(stream, ts).withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([key])
 
 
-def ingest_batches(master_path: str, key: str = "text_hash", order_col: str = "ts"):
+def ingest_batches(master_path: str, key: str = "text_hash", order_col: str = "ts",
+                   prepare: Callable[[DataFrame], DataFrame] | None = None):
     """``foreachBatch`` handler merging each micro-batch into a new master snapshot.
 
-    Each batch writes ``<master_path>/snapshot=<epoch>``; a re-run of the same epoch rewrites
-    the same directory, so the handler is idempotent.
+    ``prepare`` is the batch pipeline applied to the new rows (P2, P3, features, quality gate).  The
+    batch is deduped even when there is no master yet.  Snapshot ids only grow, whatever the
+    stream's own batch ids are, so a new checkpoint never hides new rows behind an old snapshot
+    and no folder is overwritten while it is read; a replayed batch merges to the same rows.
     """
+    from ..operators.history import first_per_key
     from ..operators.ingest import merge_dedupe
-    from ..sinks.snapshots import latest_snapshot, write_snapshot
-    from ..functions.text import micros
+    from ..sinks.snapshots import latest_snapshot, next_snapshot_id, write_snapshot
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
+        new = prepare(batch) if prepare else batch
+        order = [(micros(order_col), False)]
         prev = latest_snapshot(spark, master_path)
-        if prev is None:
-            merged = batch
-        else:
-            merged = merge_dedupe(prev, batch, key, [(micros(order_col), False)])
-        write_snapshot(merged, master_path, epoch_id)
+        merged = (merge_dedupe(prev, new, key, order) if prev is not None
+                  else first_per_key(new, key, order).select(*new.columns))
+        write_snapshot(merged, master_path, next_snapshot_id(spark, master_path))
     return handle

@@ -86,14 +86,13 @@ def test_ties_and_window_ends(spark):
     rows = [(1, 1, 0, T0, 1), (2, 1, 0, T0, 0), (3, 1, 0, T0, 1), (4, 1, 0, T0 + dt.timedelta(days=7), 0),
             (5, 1, 0, T0 + dt.timedelta(days=7, microseconds=1), 0)]
     df = _msgs(spark, rows)
-    for strategy in ("window", "prefix"):
-        out = H.trailing_counts(df, "user_id", "ts", 7 * H.US_PER_DAY, {"bad": F.col("label")}, "cnt",
-                                strategy=strategy, bucket_us=H.US_PER_DAY)
-        got = {r["msg_id"]: (r["cnt"], r["bad"]) for r in out.collect()}
-        assert got == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (3, 2), 5: (1, 0)}, strategy
+    out = H.trailing_counts(df, "user_id", "ts", 7 * H.US_PER_DAY, {"bad": F.col("label")}, "cnt",
+                            bucket_us=H.US_PER_DAY)
+    got = {r["msg_id"]: (r["cnt"], r["bad"]) for r in out.collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (3, 2), 5: (1, 0)}
 
 
-def test_prefix_equals_window_random(spark):
+def test_trailing_counts_random(spark):
     rng = random.Random(7)
     rows = []
     for i in range(400):
@@ -102,14 +101,48 @@ def test_prefix_equals_window_random(spark):
         rows.append((i, user, 0, ts, rng.randint(0, 1)))
     df = _msgs(spark, rows)
     exp = brute_window(rows, dt.timedelta(days=7))
-    for strategy in ("window", "prefix"):
+    for bucket in (6 * H.US_PER_HOUR, 30 * H.US_PER_DAY):
         out = H.trailing_counts(df, "user_id", "ts", 7 * H.US_PER_DAY, {"bad": F.col("label")}, "cnt",
-                                strategy=strategy, bucket_us=6 * H.US_PER_HOUR)
+                                bucket_us=bucket)
         got = {r["msg_id"]: (r["cnt"], r["bad"]) for r in out.collect()}
-        assert got == exp, strategy
-    sk = H.trailing_counts_skew_aware(df, "user_id", "ts", 7 * H.US_PER_DAY, {"bad": F.col("label")}, "cnt",
-                                      hot_min_rows=100, bucket_us=6 * H.US_PER_HOUR)
-    assert {r["msg_id"]: (r["cnt"], r["bad"]) for r in sk.collect()} == exp
+        assert got == exp, bucket
+
+
+def test_history_null_keys_repeated_ids_and_a_busy_key(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):  # nine rows in ten are one user's; some users are null; ids repeat
+        user = 1 if rng.random() < 0.9 else rng.choice([None, 2])
+        rows.append((i // 2, user, rng.choice([0, None]), T0 + dt.timedelta(hours=rng.randint(0, 24 * 50), seconds=i),
+                     rng.randint(0, 1)))
+    rows.append((999, 1, 0, None, 1))  # a row without a time has no history and adds to none
+    df = _msgs(spark, rows)
+
+    def trailing(col, row, days):
+        back = [r for r in rows if r[3] and row[3] and r[col] == row[col]
+                and row[3] - dt.timedelta(days=days) <= r[3] < row[3]]
+        return len(back), sum(r[4] for r in back)
+
+    def earlier(row, *cols):
+        return [r for r in rows if r[3] and all(r[c] == row[c] for c in cols) and r[3] < row[3]]
+    got = sorted((tuple(r) for r in H.user_channel_features(df).select(
+        "ts", "msg_id", "user_7d_msg_count", "user_7d_bad_count", "user_30d_msg_count", "user_30d_bad_count",
+        "channel_24h_msg_count", "channel_24h_bad_count", "user_channel_msg_count", "hours_since_last_msg")
+        .collect() if r["ts"]), key=lambda r: r[0])
+    exp = []
+    for r in (r for r in rows if r[3]):
+        prev = [x[3] for x in earlier(r, 1)]
+        gap = (r[3] - max(prev)) / dt.timedelta(hours=1) if prev else 24.0
+        # the row without a time sorts first, so it is counted in the running number of (1, 0)
+        number = len(earlier(r, 1, 2)) + 1 + (r[1] == 1 and r[2] == 0)
+        exp.append((r[3], r[0], *trailing(1, r, 7), *trailing(1, r, 30), *trailing(2, r, 1), number, gap))
+    exp.sort(key=lambda r: r[0])
+    assert [g[:-1] for g in got] == [e[:-1] for e in exp]
+    assert [g[-1] for g in got] == pytest.approx([e[-1] for e in exp])
+    out = H.trailing_counts(df, "user_id", "ts", H.US_PER_DAY, {}, "cnt")
+    assert out.count() == len(rows) and out.filter("ts IS NULL").first()["cnt"] == 0
+    stats = {r["user_id"]: r["user_msg_count"] for r in H.group_stats_onto_rows(df, "user_id").collect()}
+    assert stats == {u: sum(r[1] == u for r in rows) for u in (1, 2, None)}
 
 
 def test_trend_zero_when_7d_empty(spark):
@@ -136,7 +169,7 @@ def fold(rows):
         if reset:
             count = 0
             continue
-        sev = M_py(hard, toxic, p, count)
+        sev = expected_severity(hard, toxic, p, count)
         prior = count
         if sev in ("MEDIUM", "HIGH"):
             count += 1
@@ -144,9 +177,14 @@ def fold(rows):
     return out
 
 
-def M_py(hard, toxic, p, prior):
-    from kestrel.streaming.jobs import _severity
-    return _severity(hard, toxic, p, prior)
+# Expected severity by confidence: below two strikes, from two strikes on.
+EXPECTED = {.46: ("UNCERTAIN", "UNCERTAIN"), .5: ("UNCERTAIN", "UNCERTAIN"), .55: ("UNCERTAIN", "UNCERTAIN"),
+            .58: ("LOW", "LOW"), .62: ("LOW", "MEDIUM"), .65: ("LOW", "MEDIUM"), .72: ("LOW", "HIGH"),
+            .8: ("MEDIUM", "HIGH"), .91: ("HIGH", "HIGH"), .95: ("HIGH", "HIGH")}
+
+
+def expected_severity(hard, toxic, p, prior):
+    return "HIGH" if hard else EXPECTED[p][prior >= 2] if toxic else "SAFE"
 
 
 def test_strike_closed_form_equals_fold(spark):
@@ -163,10 +201,10 @@ def test_strike_closed_form_equals_fold(spark):
             rows.append((mid, user, T0 + dt.timedelta(minutes=k), hard, toxic, p, reset))
     df = spark.createDataFrame(rows, "msg_id long, user_id long, ts timestamp_ntz, hard_term boolean, "
                                      "is_toxic boolean, confidence double, is_reset boolean")
-    for strategy in ("window", "prefix"):
-        out = M.strike_history(df, reset="is_reset", strategy=strategy, bucket_us=3 * 60_000_000)
+    for bucket in (3 * 60_000_000, 24 * 3_600_000_000):
+        out = M.strike_history(df, reset="is_reset", bucket_us=bucket)
         got = {r["msg_id"]: (r["prior_violations"], r["severity"]) for r in out.collect()}
-        assert got == exp, strategy
+        assert got == exp, bucket
 
 
 def test_severity_borders(spark):
@@ -333,11 +371,11 @@ def test_asof_strict_ties_and_buckets(spark):
                                   (4, 2, T0)], "id int, k int, ts timestamp_ntz")
     right = spark.createDataFrame([(1, T0, "a"), (1, T0 + dt.timedelta(minutes=1), "b"), (1, T0 + dt.timedelta(days=2), None)],
                                   "k int, ts timestamp_ntz, v string")
-    for strategy in ("window", "prefix"):
-        out = S.asof_join(left, right, "k", "ts", "ts", ["v"], strategy=strategy, bucket_us=60_000_000)
+    for bucket in (60_000_000, 24 * 3_600_000_000):
+        out = S.asof_join(left, right, "k", "ts", "ts", ["v"], bucket_us=bucket)
         got = {r["id"]: r["v"] for r in out.collect()}
         # id 1 ties with "a" (strict → nothing); id 3 sees the newer right row whose v is null.
-        assert got == {1: None, 2: "b", 3: None, 4: None}, strategy
+        assert got == {1: None, 2: "b", 3: None, 4: None}, bucket
 
 
 def test_embeddings_and_cache(spark):
@@ -386,22 +424,6 @@ def test_tournament_leaderboard(spark):
     assert ok and all(0.0 <= r["test_f2"] <= 1.0 for r in ok)
 
 
-def test_feature_build_prefix_equals_window(spark):
-    rng = random.Random(11)
-    rows = []
-    for i in range(300):
-        user = rng.choice([1, 1, 1, 2, 3])
-        ts = T0 + dt.timedelta(hours=rng.randint(0, 24 * 12))
-        rows.append((i, user, rng.choice([0, 1]), ts, rng.randint(0, 1)))
-    df = _msgs(spark, rows)
-    cols = ["msg_id", "user_7d_msg_count", "user_30d_bad_count", "channel_24h_msg_count", "hours_since_last_msg",
-            "user_channel_msg_count", "is_new_to_channel", "user_toxicity_trend"]
-    a = sorted(map(tuple, H.user_channel_features(df).select(*cols).collect()))
-    b = sorted(map(tuple, H.user_channel_features(df, strategy="prefix").select(*cols).collect()))
-    c = sorted(map(tuple, H.user_channel_features(df, strategy="auto", hot_min_rows=50).select(*cols).collect()))
-    assert a == b == c
-
-
 def test_degenerate_inputs_do_not_raise(spark):
     # All-negative labels (M9–M12) and an empty current side (drift) under ANSI division rules.
     neg = spark.createDataFrame([(0, .2), (0, .7)], "label int, score double")

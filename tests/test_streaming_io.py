@@ -52,6 +52,41 @@ def test_strike_stream_flags_late_rows(spark):
     assert got.filter("late").count() > 0  # later files hold earlier events
 
 
+def test_strike_stream_resets_and_offense_times(spark):
+    import datetime as dt
+    d = tempfile.mkdtemp(prefix="kestrel-resets-")
+    t0 = dt.datetime(2024, 1, 1)
+    flags = [(0.8, False), (0.95, False), (0.62, False), (0.5, True), (0.62, False), (0.8, False)]
+    rows = [(i, 7, 0, t0 + dt.timedelta(minutes=i), 1, 0, p, "x", r) for i, (p, r) in enumerate(flags)]
+    schema = X.MESSAGE_SCHEMA + ", is_reset BOOLEAN"
+    for part in (rows[:2], rows[2:]):  # two micro-batches: the counter crosses them
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{d}/in")
+    stream = X.message_stream(spark, f"{d}/in", schema=schema, max_files_per_trigger=1)
+    got = _run(X.strike_stream(stream, "is_reset"), spark, "strikes_reset", f"{d}/ck").orderBy("msg_id").collect()
+    at = [t0 + dt.timedelta(minutes=i) for i in range(6)]
+    assert [(r["msg_id"], r["prior_violations"], r["severity"], r["action_taken"]) for r in got] == [
+        (0, 0, "MEDIUM", "DELETE_STRIKE_1"), (1, 1, "HIGH", "TIMEOUT_10M"), (2, 2, "MEDIUM", "DELETE_STRIKE_3"),
+        (4, 0, "LOW", "WARN_SOFT"), (5, 0, "MEDIUM", "DELETE_STRIKE_1")]
+    assert [(r["first_offense_time"], r["last_offense_time"]) for r in got] == [
+        (at[0], at[0]), (at[0], at[1]), (at[0], at[2]), (at[0], at[2]), (at[0], at[5])]  # a reset keeps the times
+
+
+def test_ingest_first_batch_new_checkpoint_and_replay(spark):
+    import datetime as dt
+    d = tempfile.mkdtemp(prefix="kestrel-ingest-")
+    t0 = dt.datetime(2024, 1, 1)
+    batch = lambda *rows: spark.createDataFrame(
+        [(h, t0 + dt.timedelta(hours=n), v) for h, n, v in rows], "text_hash string, ts timestamp_ntz, v int")
+    handle = X.ingest_batches(f"{d}/m", prepare=lambda b: b.filter("v > 0"))
+    held = lambda: {r["text_hash"]: r["v"] for r in K.latest_snapshot(spark, f"{d}/m").collect()}
+    handle(batch(("a", 0, 1), ("a", 1, 2), ("b", 0, 3), ("z", 0, 0)), 0)
+    assert held() == {"a": 2, "b": 3} and K.latest_snapshot(spark, f"{d}/m").count() == 2
+    handle(batch(("c", 0, 4)), 0)  # a new checkpoint restarts the stream's batch ids
+    assert held() == {"a": 2, "b": 3, "c": 4}
+    handle(batch(("c", 0, 4)), 0)  # the same batch again
+    assert held() == {"a": 2, "b": 3, "c": 4} and K.snapshot_ids(spark, f"{d}/m") == [0, 1, 2]
+
+
 def test_featurize_and_counters_stream(spark):
     d = _stream_dir(spark, parts=2)
     stream = X.message_stream(spark, f"{d}/in/*")
