@@ -152,7 +152,7 @@ def ordered_sums(g: DataFrame, order: str, sums: dict[str, str], inclusive: bool
                           for out, v in sums.items()}).drop("__b", *[f"__o_{out}" for out in sums])
 
 
-def roc_auc(scores: DataFrame, label: str = "label", score: str = "score", strategy: str = "window",
+def roc_auc(scores: DataFrame, label: str = "label", score: str = "score", strategy: str = "prefix",
             buckets: int = 256) -> DataFrame:
     """ROC-AUC with ties (trapezoid = Mann–Whitney), over one row per distinct score."""
     g = _score_groups(scores, label, score)
@@ -162,7 +162,7 @@ def roc_auc(scores: DataFrame, label: str = "label", score: str = "score", strat
 
 
 def average_precision(scores: DataFrame, label: str = "label", score: str = "score",
-                      strategy: str = "window", buckets: int = 256) -> DataFrame:
+                      strategy: str = "prefix", buckets: int = 256) -> DataFrame:
     """Step-wise AP = Σ (R_n − R_{n−1}) · P_n over distinct scores, highest first."""
     g = _score_groups(scores, label, score)
     g = ordered_sums(g, "s", {"tp": "pos", "fp": "neg"}, inclusive=True, descending=True,
