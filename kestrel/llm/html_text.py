@@ -13,7 +13,10 @@ in page order with one space between; nothing is dropped or cut otherwise.
 
 Defined results: a null or empty page, or one without content, gives the empty text; unclosed,
 misnested and cut-off markup is read as browsers do in the common cases, and a tag cut off by the
-end of the page is not text; rows that repeat give the same text; an empty table gives an empty
+end of the page is not text; script, style, textarea, title, iframe, noscript and xmp are raw text
+and not the page's, and so are titles, descriptions and annotations inside svg and math; all other
+elements, svg, math, object, select and template among them, are nodes the model judges, an
+unclosed select ends before the next block, and an unclosed template is judged as any element; rows that repeat give the same text; an empty table gives an empty
 result.  Only page_id, url and html are read.
 """
 
@@ -35,13 +38,17 @@ BITS = 14
 LABEL = "data-y"
 # What HTML says of its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|textarea|title|noscript|iframe|template|svg|math|object|select|xmp"
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in "script style textarea title noscript iframe xmp".split()}
+FOREIGN = frozenset(("svg", "math"))
+HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())       # HTML again, in svg and math
+SILENT = frozenset("script style title desc metadata annotation annotation-xml".split())           # not shown, in svg and math
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th "
     "thead tr ul".split())
 ENDS_P = BLOCK - frozenset("body button caption dd dt head html legend li option tbody td tfoot th thead tr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+BREAKOUT = BLOCK | frozenset("b big br code em embed i img meta nobr ruby s small span strike strong sub sup tt u var".split())  # ends svg and math
 # A start tag on the left ends an open element of the first set unless one of the second lies between.
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -50,10 +57,11 @@ ENDS = {
     "option": (("option",), ("select",)), "body": (("head",), ("html",)),
 }
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>(?:.*?</\1\s*+>|.*)"""
-    r"""|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/a-zA-Z][^>]*+\Z|[^<]++|<""", re.S | re.I)
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/a-zA-Z][^>]*+\Z|[^<]++|<""", re.S | re.I)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME = re.compile(r"[a-z]+")
+SCOPES = frozenset(("template", "foreignobject"))       # no start tag inside ends an element outside
+SELF_CLOSED = re.compile(r"""(?<!=)(?:\A|[\s"'/]|[\s"'/][^\s"'=/]+|\A[^\s"'=/]+)/\Z""")
 
 
 @dataclass
@@ -98,8 +106,8 @@ def add_page(forest: Forest, html: str | None) -> None:
 
     def open_(tag: str, attrs: str) -> None:
         keys, label = _tag_features(tag, attrs)
-        up = stack[-1][1] if stack else -1
-        stack.append((tag, len(parent)))
+        _, up, foreign, silent = stack[-1] if stack else ("", -1, False, False)
+        stack.append((tag, len(parent), tag in FOREIGN or foreign and tag not in HTML_INSIDE, silent or foreign and tag in SILENT))
         parent.append(up)
         depth.append(depth[up] + 1 if up >= 0 else 0)
         forest.keys.append(keys)
@@ -107,15 +115,26 @@ def add_page(forest: Forest, html: str | None) -> None:
         forest.linked.append(0)
         forest.label.append(label if label is not None else forest.label[up] if up >= 0 else 0)
 
-    stack: list[tuple[str, int]] = []
+    def close(i: int, named: bool = False) -> None:
+        """End the elements from place ``i`` of the stack on; ``named``: the first by its own end tag."""
+        nonlocal links
+        for t, node, _, _ in stack[i + named:]:
+            if t == "template":
+                forest.keys[node] = ()              # never closed: what follows it is not its content
+        links -= sum(x[0] == "a" for x in stack[i:])
+        del stack[i:]
+
+    stack: list[tuple[str, int, bool, bool]] = []
     open_("#page", "")
     links = 0
-    for m in TOKEN.finditer(html or ""):
-        tag = m[3]
+    html = html or ""
+    tokens = TOKEN.finditer(html)
+    while (m := next(tokens, None)) is not None:
+        tag = m[2]
         if tag is None:
             text = m[0]
-            if text[0] == "<" and len(text) > 1:
-                continue                            # comments, declarations, raw elements, cut-off tags
+            if text[0] == "<" and len(text) > 1 or stack[-1][3]:
+                continue                            # comments, declarations, cut-off tags, text not shown
             if "&" in text:
                 text = html_lib.unescape(text)
             node = stack[-1][1]
@@ -126,34 +145,47 @@ def add_page(forest: Forest, html: str | None) -> None:
                     forest.linked[node] += len(text)
             continue
         tag = tag.lower()
+        if tag in RAW and not m[1] and not stack[-1][2]:
+            end = RAW[tag].search(html, m.end())
+            tokens = TOKEN.finditer(html, end.end() if end else len(html))
+            continue
         block = tag in BLOCK
         if block or tag == "br":
             runs.append((-1, " "))
-        if m[2]:
+        if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
+                    close(i, True)
                     break
                 if tag in INLINE and stack[i][0] in BLOCK:
                     break                           # a format left open around a block ends with the block
             continue
+        if stack[-1][2] and tag in BREAKOUT:
+            close(next(i + 1 for i in range(len(stack) - 1, -1, -1) if not stack[i][2]))
         if tag in VOID:
             continue
         stops = ENDS.get(tag)
         if tag in ENDS_P:
             stops = (("p",), ("td", "th", "button", "caption", "object"))
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] == "select":
+                    close(i)
+                if i >= len(stack) or stack[i][0] not in ("option", "optgroup"):
+                    break
         if stops:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in stops[0]:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
+                    close(i)
                     if tag not in ENDS or tag in ("li", "option", "body"):
                         break
-                elif i < len(stack) and stack[i][0] in stops[1]:
+                elif i < len(stack) and (stack[i][0] in stops[1] or stack[i][0] in SCOPES):
                     break
-        open_(tag, m[4])
+        foreign = stack[-1][2] or tag in FOREIGN
+        open_(tag, m[3])
         links += tag == "a"
+        if foreign and SELF_CLOSED.search(m[3]):
+            close(len(stack) - 1, True)
+    close(1)
 
 
 class Tree:
@@ -257,6 +289,17 @@ def labelled_pages(count: int = 600, seed: int = 7) -> list[str]:
                     f'<aside class="{name}" {LABEL}="0">{body}</aside>', f'<form {LABEL}="0">{words(1, 6)}<label>{words(1, 4)}</label><button>{word()}</button></form>',
                     f'<nav {LABEL}="0">{items()}</nav>', f'<div role="{pick("complementary", "navigation", "banner", "contentinfo", "search")}" {LABEL}="0">{body}</div>')
 
+    def embedded() -> str:
+        """An element with content of its own kind, in an article."""
+        return (lambda: f"<p>{words(1, 30)} <math><mi>{words(1, 3)}</mi><mo>=</mo><mrow><mn>{words(1, 3)}</mn></mrow></math> {words(1, 30)}</p>",
+                lambda: f"<math><mi>{words(1, 6)}</mi></math>",
+                lambda: f"<object data=x>{words(2, 20)}</object>",
+                lambda: f"<object><p>{words(2, 40)}</p></object>",
+                lambda: "<svg class='i'/>",
+                lambda: f"<figure><svg><g><text>{words(1, 4)}</text><path d='M0'/></g></svg><figcaption>{words(2, 9)}</figcaption></figure>",
+                lambda: f'<select {LABEL}="0">' + "".join(f"<option>{words(1, 4)}</option>" for _ in range(rng.integers(1, 6))) + "</select>",
+                lambda: f'<template {LABEL}="0"><p>{words(2, 40)}</p><div>{words(1, 9)}</div></template>')[rng.integers(8)]()
+
     pages = []
     for _ in range(count):
         inner = [f"<h1>{words(2, 10)}</h1>"] if rng.random() < 0.8 else []
@@ -283,6 +326,10 @@ def labelled_pages(count: int = 600, seed: int = 7) -> list[str]:
         side = f"<aside>{filler()}</aside>" if rng.random() < 0.3 else ""
         body = f"{head if rng.random() < 0.9 else ''}{''.join(around)}{body}{side}{foot if rng.random() < 0.9 else ''}"
         pages.append(f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title></head><body>{body}</body></html>" if rng.random() < 0.8 else body)
+    for _ in range(count // 5):
+        inner = [f"<h1>{words(2, 10)}</h1>"] + [part() if rng.random() < 0.7 else embedded() for _ in range(rng.integers(3, 12))]
+        inner = "".join(inner + [aside()] * (rng.random() < 0.4))
+        pages.append(f'<body><nav>{items()}</nav><main {LABEL}="1">{inner}</main><footer>{words(2, 12)}</footer></body>')
     return pages
 
 

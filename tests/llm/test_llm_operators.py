@@ -302,6 +302,20 @@ def test_html_layouts(content_model):
     assert ((p > 0.5) == np.array(forest.label))[own].mean() > 0.97
 
 
+def test_html_embedded_elements_keep_the_text_around(content_model):
+    first, last = "some words of the first paragraph here", "the second paragraph comes after it"
+    inside = {
+        "<svg class='i'/>": "", "<math/>": "", "<object>": "", "<select>": "", "<template>": "", "<svg><path d='M0'>": "", "<svg><title/></svg>": "",
+        "<select><option>blue<option>red": "", "<select><option>red</option></select>": "", "<svg><svg><title>icon</title></svg><path/></svg>": "",
+        "<object><object>in</object> more</object>": "in more", "<template><template><p>no</p></template><p>not</p></template>": "",
+        "<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is</p>": "so x=2 is", "<object><p>seen text here</p></object>": "seen text here",
+        "<object-card>card</object-card>": "card", "<title-bar>bar</title-bar>": "bar", "<style-guide>g</style-guide>": "g", "<select-menu>m</select-menu>": "m",
+        "<svg><style>a>b{}</style><text>label</text></svg>": "label", "<script>var a='<p>x</p>'</script >": "", "<textarea>x</textarea>": "",
+    }
+    pages = [f"<body><nav><ul><li><a href=x>Home</a></ul></nav><article><p>{first}</p>{x}<p>{last}</p></article><footer>foot</footer>" for x in inside]
+    assert content_model.main_texts(pages) == [" ".join(f"{first} {w} {last}".split()) for w in inside.values()]
+
+
 def test_html_query_on_pages(spark):
     import html as h
     got = {r["page_id"]: r for r in queries.op1_html_text(spark, SF001).collect()}
