@@ -80,44 +80,47 @@ SEARCH_SPACE = {
 }
 
 
-def search(train: DataFrame, val: DataFrame, kind: str, trials: int = 4, seed: int = 42,
-           vec_col: str = "vec", k: int = 16) -> tuple[dict, float, object]:
-    """M8: seeded random search over ``SEARCH_SPACE[kind]`` maximising F2 on the validation split.
+def reduced_once(train: DataFrame, *others: DataFrame, vec_col: str = "vec", k: int = 16) -> list[DataFrame]:
+    """M3: PCA fitted on ``train`` once; all frames with their ``features``, kept until unpersisted."""
+    model = PCA(k=k, inputCol=vec_col, outputCol="features").fit(train)
+    return [model.transform(df).drop(vec_col).persist() for df in (train, *others)]
 
-    Each trial is a distributed Spark ML fit; only the trial's F2 (a scalar) reaches the driver.
+
+def search(train: DataFrame, val: DataFrame, kind: str) -> tuple[dict, float, object]:
+    """M8: every setting of ``SEARCH_SPACE[kind]`` fitted on ``train``; the one of largest F2 on the validation split.
+
+    Both frames come from ``reduced_once``.  Each fit is a distributed Spark ML fit; only its F2
+    (a scalar) reaches the driver.  Ties go to the setting declared first.
     """
     import itertools
-    import random
     space = SEARCH_SPACE[kind]
-    grid = [dict(zip(space, combo)) for combo in itertools.product(*space.values())]
-    random.Random(seed).shuffle(grid)
     best = (None, -1.0, None)
-    for params in grid[:trials]:
-        pipe = Pipeline(stages=[PCA(k=k, inputCol=vec_col, outputCol="reduced"),
-                                VectorAssembler(inputCols=["reduced"], outputCol="features"),
-                                _learner(kind, params)])
-        model = pipe.fit(train)
+    for combo in itertools.product(*space.values()):
+        params = dict(zip(space, combo))
+        model = _learner(kind, params).fit(train)
         f2 = _f2_on(score(model, val))
         if f2 > best[1]:
             best = (params, f2, model)
     return best
 
 
-def tournament(train: DataFrame, val: DataFrame, test: DataFrame, kinds=("logistic", "random_forest", "gbt"),
-               trials: int = 2) -> DataFrame:
-    """M15 + O9: search each model type, skip failures, rank survivors by test F2 (all failed → error)."""
+def tournament(train: DataFrame, val: DataFrame, test: DataFrame, kinds=("logistic", "random_forest", "gbt")) -> DataFrame:
+    """M15 + O9: search each model type's whole space, skip failures, rank survivors by test F2 (all failed → error)."""
     from pyspark.sql import SparkSession
     from .ml import best_threshold, threshold_sweep
     rows = []
+    kept = train, val, test = reduced_once(train, val, test)
     for kind in kinds:
         try:
-            params, val_f2, model = search(train, val, kind, trials)
+            params, val_f2, model = search(train, val, kind)
             val_scored = score(model, val).select("label", F.col("p_toxic").alias("score"))
             thr = float(best_threshold(threshold_sweep(val_scored)).first()["threshold"])
             test_f2 = _f2_on(score(model, test), thr)
             rows.append((kind, str(params), val_f2, thr, test_f2, None))
         except Exception as e:  # noqa: BLE001 — a failing model type is skipped, as in the original
             rows.append((kind, None, None, None, None, f"{type(e).__name__}: {str(e)[:200]}"))
+    for df in kept:
+        df.unpersist()
     if all(r[-1] is not None for r in rows):
         raise RuntimeError("every model type failed")
     spark = SparkSession.getActiveSession()

@@ -165,11 +165,12 @@ def m1_embed_documents(spark, sf_dir):
 
 @register("m15_tournament")
 def m15_tournament(spark, sf_dir):
-    """M8 + M15 + O9: seeded search per model type on the embeddings, leaderboard by test F2 (rows-only)."""
+    """M8 + M15 + O9: whole-space search per model type on the embeddings, leaderboard by test F2 (rows-only)."""
     from ..operators import training as TR
     from ..sources.tables import read_table
     emb = TR.embeddings_frame(read_table(spark, sf_dir, "embeddings"))
-    split = ML.stratified_split(emb, "label", "vec_id")
+    split = ML.stratified_split(emb, "label", "vec_id").persist()  # split once, for all fits
     train = TR.with_class_weights(split.filter(F.col("split") == "train"))
-    return TR.tournament(train, split.filter(F.col("split") == "val"), split.filter(F.col("split") == "test"),
-                         trials=1)
+    board = TR.tournament(train, split.filter(F.col("split") == "val"), split.filter(F.col("split") == "test"))
+    split.unpersist()
+    return board

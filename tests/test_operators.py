@@ -424,6 +424,24 @@ def test_tournament_leaderboard(spark):
     assert ok and all(0.0 <= r["test_f2"] <= 1.0 for r in ok)
 
 
+def test_search_fits_every_declared_setting(spark, monkeypatch):
+    from kestrel.operators import training as TR
+    from pyspark.ml.functions import array_to_vector
+    rows = [(i, [float(i % 7), float(i % 5), float(i % 3)], i % 2) for i in range(60)]
+    df = TR.with_class_weights(spark.createDataFrame(rows, "vec_id long, v array<double>, label int")
+                               .select("vec_id", array_to_vector("v").alias("vec"), "label"))
+    train, val = TR.reduced_once(df, df, k=2)
+    assert train.storageLevel.useMemory and val.storageLevel.useMemory
+    fitted, marks = [], iter([0.1, 0.2, 0.3, 0.4, 0.3, 0.2, 0.1, 0.9])
+    learner = TR._learner
+    monkeypatch.setattr(TR, "_learner", lambda kind, params: fitted.append(params) or learner(kind, params))
+    monkeypatch.setattr(TR, "_f2_on", lambda scored, threshold=0.5: next(marks))
+    params, f2, _ = TR.search(train, val, "logistic")
+    space = TR.SEARCH_SPACE["logistic"]
+    assert len(fitted) == 8 and {tuple(p.values()) for p in fitted} == {(a, b) for a in space["regParam"] for b in space["elasticNetParam"]}
+    assert f2 == 0.9 and params == fitted[-1]
+
+
 def test_degenerate_inputs_do_not_raise(spark):
     # All-negative labels (M9–M12) and an empty current side (drift) under ANSI division rules.
     neg = spark.createDataFrame([(0, .2), (0, .7)], "label int, score double")
