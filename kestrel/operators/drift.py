@@ -335,10 +335,23 @@ def lgamma(x: Column) -> Column:
     return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(a)
 
 
-def gamma_q(s: Column, x: Column, terms: int = 300) -> Column:
-    """Q(s, x) = Γ(s, x) / Γ(s): series for x < s + 1, Lentz continued fraction otherwise."""
-    pref = F.exp(-x + s * F.log(x) - lgamma(s))
-    seq = F.sequence(F.lit(1), F.lit(terms))
+def _log_pref(s: Column, x: Column) -> Column:
+    """log(x^s e^-x / Γ(s)); for large s by Stirling's series, whose parts do not cancel."""
+    mu = (x - s) / s
+    inv = F.lit(1.0) / s
+    stirling = (-s * (mu - F.log1p(mu)) + 0.5 * F.log(s / (2 * math.pi))
+                - inv / 12 + inv * inv * inv / 360 - inv * inv * inv * inv * inv / 1260)
+    return F.when(s < 50, -x + s * F.log(x) - lgamma(s)).otherwise(stirling)
+
+
+def gamma_q(s: Column, x: Column) -> Column:
+    """Q(s, x) = Γ(s, x) / Γ(s): series for x < s + 1, Lentz continued fraction otherwise.
+
+    Both need about √s steps: the n-th term is at most exp(-n²/2s), so that with 300 + 10√s of
+    them what is left out is below the precision of a double at any s.
+    """
+    pref = F.exp(_log_pref(s, x))
+    seq = F.sequence(F.lit(1).cast("long"), F.lit(300).cast("long") + F.ceil(10 * F.sqrt(s)))
     series = F.aggregate(seq, F.struct((F.lit(1.0) / s).alias("term"), (F.lit(1.0) / s).alias("sum")),
                          lambda acc, n: F.struct((acc["term"] * x / (s + n)).alias("term"),
                                                  (acc["sum"] + acc["term"] * x / (s + n)).alias("sum")))

@@ -442,6 +442,26 @@ def test_search_fits_every_declared_setting(spark, monkeypatch):
     assert f2 == 0.9 and params == fitted[-1]
 
 
+def test_chi2_survival_at_many_degrees_of_freedom(spark):
+    # References: the series of P(s, x) in 60-digit decimals.
+    rows = [
+        (20000.0, 20000.0, 0.4986701916600448),
+        (20400.0, 20000.0, 0.023287322133598805),
+        (19700.0, 20000.0, 0.93373876636026),
+        (200000.0, 200000.0, 0.4995794778896348),
+        (200500.0, 200000.0, 0.2144820796553828),
+        (201500.0, 200000.0, 0.008969901996309764),
+        (199000.0, 200000.0, 0.9432581767872077),
+        (203000.0, 200000.0, 1.173684513722169e-06),
+        (101.0, 99.0, 0.4252386445229945),
+        (2000000.0, 2000000.0, 0.4998670192391274),
+        (2003000.0, 2000000.0, 0.06686110423589776),
+    ]
+    df = spark.createDataFrame(rows, "x double, k double, p double")
+    for r in df.select("x", "k", "p", D.chi2_sf(F.col("x"), F.col("k")).alias("q")).collect():
+        assert r["q"] == pytest.approx(r["p"], rel=1e-7), r
+
+
 def test_degenerate_inputs_do_not_raise(spark):
     # All-negative labels (M9–M12) and an empty current side (drift) under ANSI division rules.
     neg = spark.createDataFrame([(0, .2), (0, .7)], "label int, score double")
