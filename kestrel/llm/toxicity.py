@@ -3,9 +3,9 @@
 Method.  Tokens are words; a token's features are its trimmed, lower-cased form and its first
 four, five and six bytes, hashed.  Labels exist for documents only, so token labels are derived
 from the training sample: features that occur in significantly more toxic than clean documents,
-and a greedy cover of the toxic documents left over.  A two-state chain over runs of ``RUN``
-tokens is trained on them by exact gradients (forward-backward).  Forward-backward marginals of
-every token of a whole text give the offending spans; a document's score is its largest
+and a greedy cover of the toxic documents left over.  A two-state chain over whole texts is
+trained on them by exact gradients (forward-backward).  Texts lie in rows of ``RUN`` tokens, and
+messages pass from row to row both ways.  Forward-backward marginals of every token give the offending spans; a document's score is its largest
 marginal.
 
 The model is fitted on a bounded sample: at most ``TOXIC_DOCS`` toxic and ``CLEAN_DOCS`` clean
@@ -73,8 +73,8 @@ class Chain:
 
     def marginals(self, emission: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Probability of the toxic state of every token; ``starts``: of the texts in the flat array."""
-        grid, where = _runs(emission, starts)
-        return forward_backward(grid, np.isfinite(grid), self.trans)[0][where]
+        grid, where, head = _runs(emission, starts)
+        return chained(grid, np.isfinite(grid), self.trans, head)[0][where]
 
     def tag(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Score of every text, every token's marginal, and the starts of the texts' tokens."""
@@ -93,8 +93,8 @@ class Chain:
         return (np.where(self.keys[at] == features, self.weights[at], 0).sum(axis=1) + self.bias).astype(np.float32)
 
 
-def _runs(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Lay texts out as rows of at most ``RUN`` tokens, padded with -inf, and each token's cell."""
+def _runs(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Lay texts out as rows of at most ``RUN`` tokens, padded with -inf; each token's cell, and which rows begin a text."""
     n = np.diff(starts)
     rows = (n + RUN - 1) // RUN
     first = np.cumsum(rows) - rows
@@ -102,16 +102,74 @@ def _runs(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, tuple[np.
     cell = (np.repeat(first, n) + place // RUN, place % RUN)
     grid = np.full((int(rows.sum()), RUN), -np.inf, np.float32)
     grid[cell] = values
-    return grid, cell
+    head = np.zeros(len(grid), bool)
+    head[first[n > 0]] = True
+    return grid, cell, head
 
 
-def forward_backward(grid: np.ndarray, live: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of state 1 per cell and expected transitions (2x2), for all rows at once."""
+def row_messages(grid: np.ndarray, live: np.ndarray, trans: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages into the rows of texts of several rows: forward (nan: the row begins a text) and backward.
+
+    A row is a 2x2 product of its tokens' steps, made for all rows at once; the messages then go
+    from row to row, for all texts at once.
+    """
+    t = np.exp(trans)
+    long = ~head
+    long[:-1] |= ~head[1:]
+    at = np.nonzero(long)[0]
+    phi = np.exp(np.clip(np.where(live[at], grid[at], 0), -30, 30)).astype(np.float64)
+    begins = head[at]
+    step = np.where(begins, np.eye(2)[:, :, None], t[:, :, None])
+    step[:, 1] *= phi[:, 0]
+    for k in range(1, grid.shape[1]):
+        to0 = step[:, 0] * t[0, 0] + step[:, 1] * t[1, 0]
+        to1 = (step[:, 0] * t[0, 1] + step[:, 1] * t[1, 1]) * phi[:, k]
+        total = (to0 + to1).sum(axis=0)
+        use = live[at, k]
+        step[:, 0], step[:, 1] = np.where(use, to0 / total, step[:, 0]), np.where(use, to1 / total, step[:, 1])
+    first = np.nonzero(begins)[0]
+    rows = np.diff(np.append(first, len(at)))
+    order = np.argsort(-rows, kind="stable")
+    first, rows = first[order], rows[order]
+    enter, leave = np.full((2, len(grid)), np.nan), np.ones((2, len(grid)))
+    most = int(rows[0])
+    active = np.searchsorted(-rows, -np.arange(most))       # texts with more than so many rows
+    a = np.ones((2, len(rows)))
+    for j in range(most - 1):
+        a = a[:, :active[j + 1]]
+        m = step[:, :, first[:active[j + 1]] + j]
+        a = a[0] * m[0] + a[1] * m[1]
+        a /= a.sum(axis=0)
+        enter[:, at[first[:active[j + 1]] + j + 1]] = a
+    b = np.ones((2, len(rows)))
+    for j in range(most - 1, 0, -1):
+        m = step[:, :, first[:active[j]] + j]
+        back = m[:, 0] * b[0, :active[j]] + m[:, 1] * b[1, :active[j]]
+        b[:, :active[j]] = back / back.sum(axis=0)
+        leave[:, at[first[:active[j]] + j - 1]] = b[:, :active[j]]
+    return enter, leave
+
+
+def chained(grid: np.ndarray, live: np.ndarray, trans: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``forward_backward`` of one chain over each whole text; a row that is not ``head`` goes on where the row above ends."""
+    return forward_backward(grid, live, trans, *(() if head.all() else row_messages(grid, live, trans, head)))
+
+
+def forward_backward(grid: np.ndarray, live: np.ndarray, trans: np.ndarray, enter: np.ndarray | None = None,
+                     leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of state 1 per cell and expected transitions (2x2), for all rows at once.
+
+    ``enter`` and ``leave``: messages from the row above (nan: none) and from the row below.
+    """
     phi = np.exp(np.clip(np.where(live, grid, 0), -30, 30)).astype(np.float64)
     t = np.exp(trans)
     rows, width = grid.shape
     alpha = np.zeros((width, 2, rows))
     a0, a1 = np.ones(rows), phi[:, 0].copy() if width else np.ones(rows)
+    if enter is not None:
+        on = ~np.isnan(enter[0])
+        a0 = np.where(on, enter[0] * t[0, 0] + enter[1] * t[1, 0], a0)
+        a1 = np.where(on, (enter[0] * t[0, 1] + enter[1] * t[1, 1]) * phi[:, 0], a1)
     for k in range(width):
         if k:
             b0, b1 = a0 * t[0, 0] + a1 * t[1, 0], (a0 * t[0, 1] + a1 * t[1, 1]) * phi[:, k]
@@ -121,17 +179,18 @@ def forward_backward(grid: np.ndarray, live: np.ndarray, trans: np.ndarray) -> t
         alpha[k, 0], alpha[k, 1] = a0, a1
     out = np.zeros((rows, width), np.float32)
     moves = np.zeros((2, 2))
-    b0, b1 = np.ones(rows), np.ones(rows)
+    b0, b1 = (np.ones(rows), np.ones(rows)) if leave is None else leave
     for k in range(width - 1, -1, -1):
         p0, p1 = alpha[k, 0] * b0, alpha[k, 1] * b1
         out[:, k] = np.where(live[:, k], p1 / (p0 + p1), 0)
-        if not k:
+        if not k and enter is None:
             break
         e1 = phi[:, k] * b1
-        c00, c01 = alpha[k - 1, 0] * t[0, 0] * b0, alpha[k - 1, 0] * t[0, 1] * e1
-        c10, c11 = alpha[k - 1, 1] * t[1, 0] * b0, alpha[k - 1, 1] * t[1, 1] * e1
+        before = alpha[k - 1] if k else enter
+        c00, c01 = before[0] * t[0, 0] * b0, before[0] * t[0, 1] * e1
+        c10, c11 = before[1] * t[1, 0] * b0, before[1] * t[1, 1] * e1
         total = c00 + c01 + c10 + c11
-        use = live[:, k]
+        use = live[:, k] if k else on
         for i, j, c in ((0, 0, c00), (0, 1, c01), (1, 0, c10), (1, 1, c11)):
             moves[i, j] += (c / total)[use].sum()
         n0, n1 = t[0, 0] * b0 + t[0, 1] * e1, t[1, 0] * b0 + t[1, 1] * e1
@@ -189,13 +248,8 @@ def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 30) -> Chain:
     gold = mark[features].any(axis=1)[codes] & toxic[doc]
     if not gold.any():
         return nothing
-    y, cell = _runs(gold.astype(np.float32), starts)
-    live = np.isfinite(y)
-    seen = np.zeros((2, 2))
-    both = live[:, 1:]
-    for i in (0, 1):
-        for j in (0, 1):
-            seen[i, j] = ((y[:, :-1] == i) & (y[:, 1:] == j) & both).sum()
+    same = doc[1:] == doc[:-1]
+    seen = np.array([[((gold[:-1] == i) & (gold[1:] == j) & same).sum() for j in (0, 1)] for i in (0, 1)], np.float64)
     seen_f = np.bincount(features[codes[gold]].ravel(), minlength=size).astype(np.float64)
     # Parameters: feature weights, the bias, and the transitions; Adam on the exact gradient.
     theta = np.zeros(size + 5)
@@ -203,8 +257,9 @@ def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 30) -> Chain:
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     n = len(codes)
     for step in range(1, rounds + 1):
-        e = (theta[features].sum(axis=1) + theta[size])[codes]
-        p, moves = forward_backward(_runs(e.astype(np.float32), starts)[0], live, theta[size + 1:].reshape(2, 2))
+        e = (theta[features].sum(axis=1) + theta[size]).astype(np.float32)
+        grid, cell, head = _runs(e[codes], starts)
+        p, moves = chained(grid, np.isfinite(grid), theta[size + 1:].reshape(2, 2), head)
         p = p[cell].astype(np.float64)
         by_word = np.bincount(codes, weights=p, minlength=len(vocab))
         grad = np.zeros_like(theta)

@@ -202,6 +202,23 @@ def test_chain_marginals_equal_enumeration():
     assert np.allclose(p[0], want / total, atol=1e-5) and np.allclose(moves, pairs / total, atol=1e-5)
 
 
+def test_chain_over_rows_equals_one_pass():
+    rng = np.random.default_rng(6)
+    lens = [1, 64, 0, 65, 128, 129, 700, 3, 200]
+    starts = np.concatenate([[0], np.cumsum(lens)])
+    e, trans = rng.normal(-0.5, 2, starts[-1]).astype(np.float32), np.array([[1.0, -2.0], [-1.5, 2.5]])
+    got = toxicity.Chain(np.zeros(0, np.uint64), np.zeros(0, np.float32), 0.0, trans).marginals(e, starts)
+    grid, cell, head = toxicity._runs(e, starts)
+    moves = toxicity.chained(grid, np.isfinite(grid), trans, head)[1]
+    total = np.zeros((2, 2))
+    for a, b in zip(starts[:-1], starts[1:]):
+        if b > a:
+            want, m = toxicity.forward_backward(e[None, a:b], np.ones((1, b - a), bool), trans)
+            assert np.allclose(got[a:b], want[0], atol=1e-6)
+            total += m
+    assert np.allclose(moves, total, rtol=1e-6)
+
+
 def test_toxicity_finds_spans_and_odd_rows(spark, odd, empty):
     rng = np.random.default_rng(4)
     plain = lambda n: [f"{a}{b}" for a, b in zip(rng.choice(list("abcdefgh"), n), rng.integers(0, 400, n))]
