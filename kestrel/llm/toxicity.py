@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.common import byte_view, hash_spans, mix64, text_slices, words_of
 
-TOXIC_DOCS, CLEAN_DOCS = 1000, 1500
+TOXIC_DOCS, CLEAN_DOCS = 1500, 3000
 #: Weights nearer to zero than this are left out of the fitted model.
 LEAST_WEIGHT = 0.02
 PREFIXES = (4, 5, 6)
 RUN = 64
+#: Tokens handled at once in training; only codes and distinct (document, feature) pairs are kept of the others.
+BLOCK_TOKENS = 1 << 18
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = True
@@ -199,21 +201,41 @@ def forward_backward(grid: np.ndarray, live: np.ndarray, trans: np.ndarray, ente
     return out, moves
 
 
-def toxic_features(doc: np.ndarray, codes: np.ndarray, features: np.ndarray, before: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
-    """Which features (below ``size``, 0: none) mark toxic tokens, from each token's document, word, word before and the documents' labels.
+def _blocks(starts: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of texts of about ``BLOCK_TOKENS`` tokens; a longer text is a run of its own."""
+    out, a = [], 0
+    while a < len(starts) - 1:
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + BLOCK_TOKENS, side="right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
+def toxic_features(starts: np.ndarray, codes: np.ndarray, features: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+    """Which features (below ``size``, 0: none) mark toxic tokens, from the documents' words and labels.
 
     A feature's toxic documents count as often as the words before it differ, so that copies of
     one toxic document do not make all of its words suspicious.
     """
-    in_toxic = toxic[doc]
-    pairs, contexts = [], []
-    for column in features.T:       # one kind of feature at a time: the driver's memory is small
-        f = column.astype(np.int64)[codes]
-        pairs.append(np.unique(doc * size + f))
-        contexts.append(np.unique((before[in_toxic] + 1) * size + f[in_toxic]))
-    pair = np.unique(np.concatenate(pairs))
-    pair = pair[pair % size > 0]
-    d, f = pair // size, pair % size
+    docs, found, contexts = [], [], []
+    for a, b in _blocks(starts):    # a document is in one block, so pairs are distinct over all blocks
+        c, n = codes[starts[a]: starts[b]], np.diff(starts[a: b + 1])
+        doc = np.repeat(np.arange(a, b), n)
+        before = np.roll(c, 1).astype(np.int64)
+        before[(starts[a:b] - starts[a])[n > 0]] = -1
+        bad = toxic[doc]
+        own, near = [], []
+        for column in features.T:
+            f = column[c].astype(np.int64)
+            own.append(np.unique(doc * size + f))
+            near.append(np.unique((before[bad] + 1) * size + f[bad]))
+        pair = np.unique(np.concatenate(own))
+        pair = pair[pair % size > 0]
+        docs.append((pair // size).astype(np.int32))
+        found.append((pair % size).astype(np.int32))
+        contexts.append(np.unique(np.concatenate(near)))
+    d, f = np.concatenate(docs), np.concatenate(found)
+    del docs, found
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     misses = np.bincount(f[~toxic[d]], minlength=size)
     places = np.unique(np.concatenate(contexts)) % size
@@ -234,23 +256,25 @@ def toxic_features(doc: np.ndarray, codes: np.ndarray, features: np.ndarray, bef
         covered[d[f == best]] = True
 
 
-def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 30) -> Chain:
+def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 60) -> Chain:
     """Train the chain on sampled texts and their document labels."""
     nothing = Chain(np.zeros(0, np.uint64), np.zeros(0, np.float32), -np.inf, np.zeros((2, 2)))
     codes, vocab, starts = words_of(texts, "utf8")
     if not toxic.any() or toxic.all() or not len(codes):
         return nothing
     keys, features = np.unique(np.concatenate([[np.uint64(0)], token_features(vocab).ravel()]), return_inverse=True)
-    features, size = features[1:].reshape(len(vocab), -1), len(keys)
-    doc = np.repeat(np.arange(len(toxic)), np.diff(starts))
-    before = np.where(np.diff(doc, prepend=-1) == 0, np.roll(codes, 1), -1).astype(np.int64)
-    mark = toxic_features(doc, codes, features, before, toxic, size)
-    gold = mark[features].any(axis=1)[codes] & toxic[doc]
+    features, size = features[1:].reshape(len(vocab), -1).astype(np.int32), len(keys)
+    words = len(vocab)
+    del texts, vocab
+    mark = toxic_features(starts, codes, features, toxic, size)
+    gold = mark[features].any(axis=1)[codes] & np.repeat(toxic, np.diff(starts))
     if not gold.any():
         return nothing
-    same = doc[1:] == doc[:-1]
+    same = np.ones(len(codes) + 1, bool)
+    same[starts] = False            # no transition into a text's first token
+    same = same[1:-1]
     seen = np.array([[((gold[:-1] == i) & (gold[1:] == j) & same).sum() for j in (0, 1)] for i in (0, 1)], np.float64)
-    seen_f = np.bincount(features[codes[gold]].ravel(), minlength=size).astype(np.float64)
+    seen_f = np.bincount(features.ravel(), weights=np.repeat(np.bincount(codes[gold], minlength=words), features.shape[1]), minlength=size)
     # Parameters: feature weights, the bias, and the transitions; Adam on the exact gradient.
     theta = np.zeros(size + 5)
     theta[size] = -4.0
@@ -258,18 +282,21 @@ def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 30) -> Chain:
     n = len(codes)
     for step in range(1, rounds + 1):
         e = (theta[features].sum(axis=1) + theta[size]).astype(np.float32)
-        grid, cell, head = _runs(e[codes], starts)
-        p, moves = chained(grid, np.isfinite(grid), theta[size + 1:].reshape(2, 2), head)
-        p = p[cell].astype(np.float64)
-        by_word = np.bincount(codes, weights=p, minlength=len(vocab))
+        moves, by_word = np.zeros((2, 2)), np.zeros(words)
+        for a, b in _blocks(starts):
+            c = codes[starts[a]: starts[b]]
+            grid, cell, head = _runs(e[c], starts[a: b + 1] - starts[a])
+            p, some = chained(grid, np.isfinite(grid), theta[size + 1:].reshape(2, 2), head)
+            moves += some
+            by_word += np.bincount(c, weights=p[cell], minlength=words)
         grad = np.zeros_like(theta)
         grad[:size] = seen_f - np.bincount(features.ravel(), weights=np.repeat(by_word, features.shape[1]), minlength=size)
-        grad[size] = gold.sum() - p.sum()
+        grad[size] = gold.sum() - by_word.sum()
         grad[size + 1:] = (seen - moves).ravel()
         grad = grad / n * 100 - 1e-4 * theta
         grad[0] = 0  # the index that stands for no feature
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        theta += 0.4 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-6)
+        theta += 0.25 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-6)
     keep = np.abs(theta[:size]) >= LEAST_WEIGHT
     return Chain(keys[keep], theta[:size][keep].astype(np.float32), float(theta[size]), theta[size + 1:].reshape(2, 2))
 

@@ -219,6 +219,19 @@ def test_chain_over_rows_equals_one_pass():
     assert np.allclose(moves, total, rtol=1e-6)
 
 
+def test_toxicity_sample_and_blocks(monkeypatch):
+    assert (toxicity.TOXIC_DOCS, toxicity.CLEAN_DOCS) == (1500, 3000)
+    assert toxicity.fit_chain.__defaults__ == (60,)
+    rng = np.random.default_rng(9)
+    toxic = np.arange(120) % 4 == 0
+    texts = pa.array([" ".join([f"w{x}" for x in rng.integers(0, 300, 90)] + ["vileword"] * int(t) + ["tail"]) for t in toxic])
+    whole = toxicity.fit_chain(texts, toxic)
+    monkeypatch.setattr(toxicity, "BLOCK_TOKENS", 500)
+    parts = toxicity.fit_chain(texts, toxic)
+    assert len(whole.keys) and np.array_equal(whole.keys, parts.keys)
+    assert np.allclose(whole.weights, parts.weights, atol=1e-4) and np.allclose(whole.trans, parts.trans, atol=1e-4)
+
+
 def test_toxicity_finds_spans_and_odd_rows(spark, odd, empty):
     rng = np.random.default_rng(4)
     plain = lambda n: [f"{a}{b}" for a, b in zip(rng.choice(list("abcdefgh"), n), rng.integers(0, 400, n))]
