@@ -32,6 +32,25 @@ def stash(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a looked-up table that may be sent to every task; beyond it, the look-up is a shuffled join.
+BROADCAST_ROWS, SALTS = 20_000, 64
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+    """``rows`` left-joined to ``table`` (one row for each value of ``key``, null included).
+
+    The table is counted: a small one is broadcast.  A large one is repeated under ``SALTS`` salts
+    and joined on (key, salt), the rows' salt being a hash of column ``spread``, so that a key
+    with a third of all rows is dealt to many tasks.
+    """
+    other = table.withColumnRenamed(key, "__key")
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(other), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    salted = other.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = rows.withColumn("__own", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return left.join(salted, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__salt")), "left").drop("__key", "__salt", "__own")
+
+
 def crc_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import crc_remainder, read_table
+from kestrel.llm.oracles import WARC_SQL, centroids_sql, vector_codes_sql
 
 
 def vocabulary() -> str:
@@ -82,11 +83,34 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every embedding from codebooks of 8 parts, nearest entries by memoised grid cells."""
+    from kestrel.llm.vector_codes import compressed_with_errors
+    found = compressed_with_errors(read_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of every embedding of 64 components around 16 centroids, by a pivot table."""
+    from kestrel.llm.centroids import clustered_with_inertia
+    found = clustered_with_inertia(read_table(spark, sf_dir, "embeddings"), dims=64, centroids=16, rounds=3, scale=64, seed=1)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back, with every record checked."""
+    from kestrel.llm.warc import archive_round_trip
+    found = archive_round_trip(read_table(spark, sf_dir, "pages"))
+    sound = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat("archive", F.lit(": "), "problem"))).otherwise(F.col("record_type"))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", sound.alias("record_type"), F.col("refers_to_id").alias("refers_to"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_packing, op4_near_dup, op5_language, op6_bpe, op7_threshold, op8_token_files, op9_lm_score, op10_ann, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_packing, op4_near_dup, op5_language, op6_bpe, op7_threshold, op8_token_files, op9_lm_score, op10_ann,
+                                 op11_vector_codes, op12_centroids, op13_warc, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op11_vector_codes": vector_codes_sql(), "op12_centroids": centroids_sql(), "op13_warc": WARC_SQL}
