@@ -1,9 +1,9 @@
 """Text, hash, time and JSON scalar functions as native Spark column expressions.
 
 Everything here returns a ``Column`` built from built-in functions, so it runs inside
-whole-stage codegen with no Python on the executors.  Counting features are written as
-single regular-expression passes (``regexp_count``) instead of materialising token arrays;
-that keeps per-row memory flat for very long texts.
+whole-stage codegen with no Python on the executors.  No feature makes an array of tokens or
+matches: a count is the difference of the text's length before and after a replacement, so a row
+never holds more than a few copies of its text, however long.
 
 Tokenisation follows Python's ``str.split()``: maximal runs of non-whitespace, where
 whitespace is the ``str.isspace`` set (``WS_CLASS``).
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as lx
 
+WS = f"[{lx.WS_CLASS_JAVA}]"
 TOKEN = f"[^{lx.WS_CLASS_JAVA}]"
 # A token boundary: start of text or whitespace before, end of text or whitespace after.
 _TOK_START = f"(?<!{TOKEN})"
@@ -39,6 +40,28 @@ def safe_text(c: str | Column) -> Column:
     return F.coalesce(_col(c), F.lit(""))
 
 
+# --- counting without arrays ---------------------------------------------------------------
+
+def _left(t: Column, rx: str) -> Column:
+    """Number of characters of ``t`` outside all matches of ``rx``."""
+    return F.length(F.regexp_replace(t, F.lit(rx), F.lit("")))
+
+
+def _matches(t: Column, rx: str) -> Column:
+    """Number of matches of ``rx``, for rare ones: every match is kept and followed by one more character."""
+    return F.length(F.regexp_replace(t, F.lit(rx), F.lit("$0."))) - F.length(t)
+
+
+def words_line(t: Column) -> Column:
+    """The tokens of a text with a single space between them."""
+    return F.trim(F.regexp_replace(t, F.lit(f"{WS}+"), F.lit(" ")))
+
+
+def _with_value(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 # --- F1–F9: message features -------------------------------------------------------------
 
 def msg_len(c) -> Column:
@@ -48,11 +71,14 @@ def msg_len(c) -> Column:
 
 def word_count(c) -> Column:
     """number of whitespace-separated tokens."""
-    return F.regexp_count(safe_text(c), F.lit(f"{TOKEN}+")).cast("bigint")
+    def spaces(line: Column) -> Column:
+        return F.when(line == "", F.lit(0)).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    return _with_value(words_line(safe_text(c)), spaces).cast("bigint")
 
 
 def upper_count(c) -> Column:
-    return F.regexp_count(safe_text(c), F.lit(r"\p{IsUppercase}")).cast("bigint")
+    t = safe_text(c)
+    return (F.length(t) - _left(t, r"\p{IsUppercase}+")).cast("bigint")
 
 
 def caps_ratio(c) -> Column:
@@ -72,13 +98,17 @@ def ellipsis_count(c) -> Column:
     return char_count(c, "...")
 
 
-def token_in_list_count(c, words: Sequence[str], lower: bool = True) -> Column:
-    """tokens (lower-cased) equal to one of ``words``."""
-    t = F.lower(safe_text(c)) if lower else safe_text(c)
+def _token_of(words: Sequence[str]) -> str:
     alt = "|".join(_rx_quote(w) for w in sorted(words, key=len, reverse=True))
     # Cheap first-character guard before the look-behind: most positions fail on it at once.
     firsts = "".join(sorted({_rx_quote(w[0]) for w in words if w}))
-    return F.regexp_count(t, F.lit(f"(?=[{firsts}]){_TOK_START}(?:{alt}){_TOK_END}")).cast("bigint")
+    return f"(?=[{firsts}]){_TOK_START}(?:{alt}){_TOK_END}"
+
+
+def token_in_list_count(c, words: Sequence[str], lower: bool = True) -> Column:
+    """tokens (lower-cased) equal to one of ``words``."""
+    t = F.lower(safe_text(c)) if lower else safe_text(c)
+    return _matches(t, _token_of(words)).cast("bigint")
 
 
 def personal_pronoun_count(c, words: Sequence[str] = lx.PERSONAL_PRONOUNS) -> Column:
@@ -87,14 +117,15 @@ def personal_pronoun_count(c, words: Sequence[str] = lx.PERSONAL_PRONOUNS) -> Co
 
 def char_repetition(c) -> Column:
     """runs of three or more equal characters in the lower-cased text (newline excluded)."""
-    return F.regexp_count(F.lower(safe_text(c)), F.lit(r"(?d)(.)\1{2,}")).cast("bigint")
+    return _matches(F.lower(safe_text(c)), r"(?d)(.)\1{2,}").cast("bigint")
 
 
 def all_caps_words(c) -> Column:
     """F8: tokens of length > 1 with an upper-case letter and no lower/title-case letter."""
     no_lower = rf"[^{lx.WS_CLASS_JAVA}\p{{IsLowercase}}\p{{IsTitlecase}}]"
-    rx = rf"{_TOK_START}(?={TOKEN}{{2}}){no_lower}*\p{{IsUppercase}}{no_lower}*{_TOK_END}"
-    return F.regexp_count(safe_text(c), F.lit(rx)).cast("bigint")
+    no_case = rf"[^{lx.WS_CLASS_JAVA}\p{{IsLowercase}}\p{{IsTitlecase}}\p{{IsUppercase}}]"
+    rx = rf"(?!\p{{IsLowercase}}){_TOK_START}(?={TOKEN}{{2}}){no_case}*+\p{{IsUppercase}}{no_lower}*+{_TOK_END}"
+    return _matches(safe_text(c), rx).cast("bigint")
 
 
 def substring_hits(c, lexicon: Sequence[str] = lx.BAD_WORDS) -> Column:
@@ -141,30 +172,33 @@ def text_features(df, text_col: str = "text", **kw):
 
 def avg_word_len(c) -> Column:
     """mean token length (lower-cased tokens), 0.0 when there are none."""
-    t = F.lower(safe_text(c))
-    words = F.regexp_count(t, F.lit(f"{TOKEN}+"))
-    chars = F.regexp_count(t, F.lit(TOKEN))
-    return F.when(words > 0, chars / words).otherwise(F.lit(0.0))
+    def mean(line: Column) -> Column:
+        chars = F.length(F.replace(line, F.lit(" "), F.lit("")))
+        return F.when(line == "", F.lit(0.0)).otherwise(chars / (F.length(line) - chars + 1))
+    return _with_value(F.lower(words_line(safe_text(c))), mean)
 
 
 def punctuation_ratio(c, chars: str = lx.PUNCTUATION_CHARS) -> Column:
     """share of code points that are one of ``chars``."""
     t = safe_text(c)
-    cls = "".join("\\" + ch if ch in _RX_META or ch == "-" else ch for ch in chars)
+    without = t
+    for ch in chars:
+        without = F.replace(without, F.lit(ch), F.lit(""))
     n = F.length(t)
-    return F.when(n > 0, F.regexp_count(t, F.lit(f"[{cls}]")) / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, (n - F.length(without)) / n).otherwise(F.lit(0.0))
 
 
 def emoji_count(c, min_cp: int = lx.EMOJI_MIN_CODEPOINT) -> Column:
     """code points at or above ``min_cp``."""
-    return F.regexp_count(safe_text(c), F.lit(f"[\\x{{{min_cp:X}}}-\\x{{10FFFF}}]")).cast("bigint")
+    return _matches(safe_text(c), f"[\\x{{{min_cp:X}}}-\\x{{10FFFF}}]").cast("bigint")
 
 
 def keyword_token_count(c, terms: Sequence[str]) -> Column:
     """lower-cased tokens that contain any of ``terms`` as a substring."""
     alt = "|".join(_rx_quote(w) for w in terms)
-    rx = f"{_TOK_START}{TOKEN}*?(?:{alt}){TOKEN}*{_TOK_END}"
-    return F.regexp_count(F.lower(safe_text(c)), F.lit(rx)).cast("bigint")
+    rx = f"{_TOK_START}{TOKEN}*?(?:{alt}){TOKEN}*+"
+    # A plain search decides first whether the text holds a term at all.
+    return _with_value(F.lower(safe_text(c)), lambda t: F.when(contains_any(t, terms), _matches(t, rx)).otherwise(F.lit(0))).cast("bigint")
 
 
 def alt_feature_columns(c="text", categories=lx.KEYWORD_CATEGORIES,
@@ -252,18 +286,17 @@ def non_letter_pct(c) -> Column:
     """percentage of code points that are neither letters nor whitespace."""
     t = safe_text(c)
     n = F.length(t)
-    other = F.regexp_count(t, F.lit(rf"[^\p{{L}}{lx.WS_CLASS_JAVA}]"))
-    return F.when(n > 0, other * 100.0 / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, _left(t, rf"[\p{{L}}{lx.WS_CLASS_JAVA}]++") * 100.0 / n).otherwise(F.lit(0.0))
 
 
 def has_trigger_word(c, words: Sequence[str] = lx.TRIGGER_WORDS) -> Column:
     """any lower-cased token equal to a trigger word."""
-    return token_in_list_count(c, words) > 0
+    return F.lower(safe_text(c)).rlike(_token_of(words))
 
 
 def emphasis(c) -> Column:
     """a run of two or more ``!``/``?``."""
-    return F.regexp_count(safe_text(c), F.lit(r"[!?]{2,}")).cast("bigint") > 0
+    return safe_text(c).rlike(r"[!?]{2}")
 
 
 # --- F24–F27: time and JSON --------------------------------------------------------------

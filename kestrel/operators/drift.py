@@ -1,98 +1,68 @@
 """Drift detection between a reference and a current data set.
 
-Both sides are unpivoted once into ``(side, feature, value)`` so every test is a single grouped
-plan over all features at once.  Rows are never brought to the driver: the heaviest state is
-one row per (feature, distinct value) for the KS running sums, and per-feature statistics
-(min/max, counts) are tiny tables joined back with a broadcast whose size is the number of
-features, fixed at plan time.
+Both sides are unpivoted into ``(side, feature, value)`` and reduced once to a count table, one row per
+(feature, distinct value) with its rows on either side.  Every statistic is derived from that
+table; running sums and percentiles over its values are split into ranges (``ordered``), so no
+task holds a whole feature.  Per-feature statistics are tiny tables joined back with a
+broadcast whose size is the number of features (times runs), fixed when the plan is built.  Nothing here
+starts a job while a plan is built.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import percentiles, running_sums
+
 REF, CUR = "ref", "cur"
 EPS_PSI = 1e-10
 N_BINS = 10
+FEATURE = ("feature",)
 
 
-def unpivot(ref: DataFrame, cur: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(side, feature, value) over both data sets; nulls dropped as the tests do."""
+def unpivot(ref: DataFrame, cur: DataFrame, features: Sequence[str], keep_nulls: bool = False) -> DataFrame:
+    """(side, feature, value) over both data sets; nulls are dropped, as the tests do, unless kept."""
     def one(df, side):
         d = df.select(*[F.col(f).cast("double").alias(f) for f in features]).withColumn("side", F.lit(side))
         return d.unpivot("side", list(features), "feature", "value")
-    return one(ref, REF).unionByName(one(cur, CUR)).filter(F.col("value").isNotNull())
+    both = one(ref, REF).unionByName(one(cur, CUR))
+    return both if keep_nulls else both.filter(F.col("value").isNotNull())
 
 
 def _is(side: str) -> Column:
     return F.col("side") == side
 
 
-def value_counts(long: DataFrame) -> DataFrame:
-    """The one pass over rows: (feature, value) → rows on the reference (r) and current (c) side.
-
-    Every statistic below is derived from this table, so rows are read once and the shared
-    exchange is reused by all branches of a plan.
-    """
-    return long.groupBy("feature", "value").agg(F.count_if(_is(REF)).alias("r"), F.count_if(_is(CUR)).alias("c"))
+def value_counts(long: DataFrame, by: Sequence[str] = FEATURE) -> DataFrame:
+    """The one pass over rows: (feature, value) → rows on the reference (r) and current (c) side."""
+    return long.groupBy(*by, "value").agg(F.count_if(_is(REF)).alias("r"), F.count_if(_is(CUR)).alias("c"))
 
 
 def _counts(x: DataFrame) -> DataFrame:
     return x if "r" in x.columns else value_counts(x)
 
 
-def side_counts(x: DataFrame) -> DataFrame:
-    g = _counts(x)
-    return g.groupBy("feature").agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
+def side_counts(x: DataFrame, by: Sequence[str] = FEATURE) -> DataFrame:
+    return _counts(x).groupBy(*by).agg(F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
+
 
+def _cdf_gap() -> Column:
+    return F.abs(F.try_divide(F.col("cr"), F.col("n_ref")) - F.try_divide(F.col("cc"), F.col("n_cur")))
 
-def ks_statistic(long: DataFrame, strategy: str = "window", buckets: int = 256) -> DataFrame:
-    """Two-sample KS statistic per feature, sup |F_ref − F_cur| over all observed values.
 
-    Rows are first reduced to one per (feature, value).  ``window``: the running sums sort the
-    distinct values of a feature in one task.  ``prefix``: approximate quantile cut points split
-    every feature into ``buckets`` value ranges (one bounded cut list per feature, inlined as a
-    search tree); bucket totals give offsets and a local window adds the rest, so
-    a continuous feature with billions of distinct values is spread over many tasks.  Cut
-    points only decide the split — the sums, and so the statistic, stay exact.
+def ks_statistic(long: DataFrame, by: Sequence[str] = FEATURE, **ranges) -> DataFrame:
+    """Two-sample KS statistic, the largest gap of the two distribution functions.
+
+    Running sums are taken range by range over the distinct values (``ordered.running_sums``).
     """
     g = _counts(long)
-    n = side_counts(g)
-    if strategy == "window":
-        w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        g = g.withColumns({"cr": F.sum("r").over(w), "cc": F.sum("c").over(w)})
-    elif strategy == "prefix":
-        g = _bucketed_cdf(g, buckets)
-    else:
-        raise ValueError(strategy)
-    g = g.join(F.broadcast(n), "feature")
-    d = F.abs(F.try_divide(F.col("cr"), F.col("n_ref")) - F.try_divide(F.col("cc"), F.col("n_cur")))
-    return g.groupBy("feature").agg(F.max(d).alias("ks_statistic"), F.first("n_ref").alias("n_ref"),
-                                    F.first("n_cur").alias("n_cur"))
-
-
-def _bucketed_cdf(g: DataFrame, buckets: int) -> DataFrame:
-    from .ml import _count_below
-    probs = [i / buckets for i in range(1, buckets)]
-    # One bounded cut list per feature (features × buckets values) → a CASE search tree per feature.
-    rows = g.groupBy("feature").agg(F.percentile_approx("value", probs, 10_000).alias("c")).collect()
-    bucket = F.lit(0)
-    for r in rows:
-        bucket = F.when(F.col("feature") == r["feature"],
-                        _count_below(F.col("value"), sorted(float(c) for c in (r["c"] or [])))).otherwise(bucket)
-    d = g.withColumn("__b", bucket)
-    tot = d.groupBy("feature", "__b").agg(F.sum("r").alias("__tr"), F.sum("c").alias("__tc"))
-    wk = Window.partitionBy("feature").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("feature", "__b", F.coalesce(F.sum("__tr").over(wk), F.lit(0)).alias("__or"),
-                      F.coalesce(F.sum("__tc").over(wk), F.lit(0)).alias("__oc"))
-    wl = Window.partitionBy("feature", "__b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    j = d.join(offs, ["feature", "__b"])
-    return j.withColumns({"cr": F.col("__or") + F.sum("r").over(wl),
-                          "cc": F.col("__oc") + F.sum("c").over(wl)}).drop("__b", "__or", "__oc")
+    d = running_sums(g, by, "value", {"cr": "r", "cc": "c"}, **ranges).join(F.broadcast(side_counts(g, by)), list(by))
+    return d.groupBy(*by).agg(F.max(_cdf_gap()).alias("ks_statistic"), F.first("n_ref").alias("n_ref"),
+                              F.first("n_cur").alias("n_cur"))
 
 
 def kolmogorov_sf(lam: Column, terms: int = 100) -> Column:
@@ -116,105 +86,125 @@ def ks_test(long: DataFrame, alpha: float = 0.05) -> DataFrame:
     return ks.withColumn("ks_p_value", kolmogorov_sf(lam)).withColumn("ks_drifted", F.col("ks_p_value") < alpha)
 
 
-def _psi_bins(counts: DataFrame) -> DataFrame:
-    """Bin index (0..9) of each value on the reference's equal-width edges; null outside the range.
+def _bin_of(v: Column, lo: Column, hi: Column, bins: int = N_BINS) -> Column:
+    """NumPy's equal-width bin of ``v`` on [lo, hi] (last bin right-closed); null outside."""
+    step = (hi - lo) / F.lit(float(bins))
 
-    Reproduces NumPy's histogram: edges ``lo + i·step`` with the last edge exactly ``hi``,
-    last bin right-closed, constant reference → range [v − .5, v + .5].
-    """
-    st = counts.filter(F.col("r") > 0).groupBy("feature").agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
-    st = st.select("feature",
-                   F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
-                   F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"))
-    d = counts.join(F.broadcast(st), "feature")
-    return d.withColumn("bin", _bin_of(F.col("value"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    def edge(i: Column) -> Column:
+        return F.when(i == bins, hi).otherwise(i * step + lo)
 
+    idx0 = F.floor((v - lo) * (F.lit(float(bins)) / (hi - lo)))
+    i = F.when(idx0 == bins, bins - 1).otherwise(idx0)
+    fixed = F.when(v < edge(i), i - 1).when((v >= edge(i + 1)) & (i != bins - 1), i + 1).otherwise(i)
+    return F.when((v >= lo) & (v <= hi), fixed).cast("int")
 
-def _bin_of(v: Column, lo: Column, hi: Column) -> Column:
-    """NumPy's equal-width bin of ``v`` on [lo, hi] (10 bins, last right-closed); null outside."""
-    step = (hi - lo) / F.lit(float(N_BINS))
 
-    def edge(i: Column) -> Column:
-        return F.when(i == N_BINS, hi).otherwise(i * step + lo)
+def _feature_stats(g: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per feature: rows and sums of both sides and the reference's range (constant v → [v − .5, v + .5])."""
+    is_r = F.col("r") > 0
+    st = g.groupBy(*by).agg(
+        F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"),
+        F.min(F.when(is_r, F.col("value"))).alias("mn"), F.max(F.when(is_r, F.col("value"))).alias("mx"),
+        F.sum(F.col("value") * F.col("r")).alias("sr"), F.sum(F.col("value") * F.col("c")).alias("sc"))
+    return st.withColumns({"lo": F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")),
+                           "hi": F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx"))}).drop("mn", "mx")
 
-    idx0 = F.floor((v - lo) * (F.lit(float(N_BINS)) / (hi - lo)))
-    i = F.when(idx0 == N_BINS, N_BINS - 1).otherwise(idx0)
-    fixed = F.when(v < edge(i), i - 1).when((v >= edge(i + 1)) & (i != N_BINS - 1), i + 1).otherwise(i)
-    return F.when((v >= lo) & (v <= hi), fixed).cast("int")
 
+_SIDES = ("n_ref", "n_cur", "sr", "sc")
 
-def psi(long: DataFrame, bins: int = N_BINS) -> DataFrame:
-    """Population stability index per feature (ε = 1e-10, quirk Q14), binned per distinct value."""
+
+def _psi_term() -> Column:
+    """A bin's share of PSI (ε = 1e-10, quirk Q14); null for the values outside all bins."""
+    r = F.try_divide(F.col("rb"), F.col("n_ref")) + EPS_PSI
+    c = F.try_divide(F.col("cb"), F.col("n_cur")) + EPS_PSI
+    return F.when(F.col("bin").isNotNull(), (c - r) * F.log(c / r))
+
+
+def psi(long: DataFrame, bins: int = N_BINS, by: Sequence[str] = FEATURE) -> DataFrame:
+    """Population stability index per feature on ``bins`` equal-width bins of the reference's range.
+
+    Bins empty on both sides add exactly 0, so no grid of bins is made.
+    """
     g = _counts(long)
-    n = side_counts(g)
-    b = _psi_bins(g)
-    cnt = b.filter(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
-        F.sum("r").alias("r"), F.sum("c").alias("c"))
-    grid = n.select("feature", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    g = grid.join(cnt, ["feature", "bin"], "left").join(F.broadcast(n), "feature")
-    r = F.try_divide(F.coalesce(F.col("r"), F.lit(0)), F.col("n_ref")) + EPS_PSI
-    c = F.try_divide(F.coalesce(F.col("c"), F.lit(0)), F.col("n_cur")) + EPS_PSI
-    return g.groupBy("feature").agg(F.sum((c - r) * F.log(c / r)).alias("psi"))
-
-
-def mean_shift(long: DataFrame, eps: float = 1e-10) -> DataFrame:
+    d = g.join(F.broadcast(_feature_stats(g, by)), list(by))
+    d = d.withColumn("bin", _bin_of(F.col("value"), F.col("lo"), F.col("hi"), bins))
+    per_bin = d.groupBy(*by, "bin").agg(F.sum("r").alias("rb"), F.sum("c").alias("cb"), F.first("n_ref").alias("n_ref"),
+                                        F.first("n_cur").alias("n_cur"))
+    return per_bin.groupBy(*by).agg(F.coalesce(F.sum(_psi_term()), F.lit(0.0)).alias("psi"))
+
+
+def mean_shift(long: DataFrame, eps: float = 1e-10, by: Sequence[str] = FEATURE) -> DataFrame:
     """|mean_cur − mean_ref| / (mean_ref + ε)."""
-    g = _counts(long)
-    m = g.groupBy("feature").agg(F.try_divide(F.sum(F.col("value") * F.col("r")), F.sum("r")).alias("ref_mean"),
-                                 F.try_divide(F.sum(F.col("value") * F.col("c")), F.sum("c")).alias("cur_mean"))
+    m = _feature_stats(_counts(long), by)
+    m = m.select(*by, F.try_divide("sr", "n_ref").alias("ref_mean"), F.try_divide("sc", "n_cur").alias("cur_mean"))
     return m.withColumn("mean_shift", F.try_divide(F.abs(F.col("cur_mean") - F.col("ref_mean")), F.col("ref_mean") + eps))
 
 
-def feature_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str], psi_threshold: float = 0.2,
-                  alpha: float = 0.05) -> DataFrame:
+def drift_statistics(long: DataFrame, by: Sequence[str] = FEATURE, psi_threshold: float = 0.2, alpha: float = 0.05,
+                     bins: int = N_BINS, **ranges) -> DataFrame:
     """D1–D6 fused: one row per feature with KS, PSI, means, mean shift and the verdict.
 
-    From the (feature, value) count table: per-feature totals, sums and reference range in
-    one aggregate (a row per feature, broadcast); one ordered window gives the CDF difference
-    and the same pass assigns the PSI bin; a (feature, bin) aggregate then a per-feature one
-    finish both statistics.  Bins empty on both sides add exactly 0 to PSI, so no bin grid is
-    needed.
+    ``long`` is (side, feature, value) or its count table.  Per-feature totals and the reference's range
+    are one small aggregate, broadcast; running sums give the gap of the distribution functions and the
+    same rows are binned; a (feature, bin) aggregate and then a per-feature one finish
+    both statistics.
     """
-    g = value_counts(unpivot(ref, cur, features))
-    is_r = F.col("r") > 0
-    st = g.groupBy("feature").agg(
-        F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"),
-        F.min(F.when(is_r, F.col("value"))).alias("mn"), F.max(F.when(is_r, F.col("value"))).alias("mx"),
-        F.sum(F.col("value") * F.col("r")).alias("sr"), F.sum(F.col("value") * F.col("c")).alias("sc"))
-    st = st.withColumns({"lo": F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5).otherwise(F.col("mn")),
-                         "hi": F.when(F.col("mn") == F.col("mx"), F.col("mx") + 0.5).otherwise(F.col("mx"))})
-    d = g.join(F.broadcast(st), "feature")
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("kd", F.abs(F.try_divide(F.sum("r").over(w), F.col("n_ref"))
-                                 - F.try_divide(F.sum("c").over(w), F.col("n_cur"))))
-    d = d.withColumn("bin", _bin_of(F.col("value"), F.col("lo"), F.col("hi")))
-    per_bin = d.groupBy("feature", "bin").agg(
-        F.sum("r").alias("rb"), F.sum("c").alias("cb"), F.max("kd").alias("kd"),
-        *[F.first(c).alias(c) for c in ("n_ref", "n_cur", "sr", "sc")])
-    rr = F.try_divide(F.col("rb"), F.col("n_ref")) + EPS_PSI
-    cc = F.try_divide(F.col("cb"), F.col("n_cur")) + EPS_PSI
-    out = per_bin.groupBy("feature").agg(
-        F.max("kd").alias("ks_statistic"),
-        F.sum(F.when(F.col("bin").isNotNull(), (cc - rr) * F.log(cc / rr))).alias("psi"),
-        *[F.first(c).alias(c) for c in ("n_ref", "n_cur", "sr", "sc")])
+    g = long if "r" in long.columns else value_counts(long, by)
+    d = running_sums(g, by, "value", {"cr": "r", "cc": "c"}, **ranges).join(F.broadcast(_feature_stats(g, by)), list(by))
+    d = d.withColumns({"kd": _cdf_gap(), "bin": _bin_of(F.col("value"), F.col("lo"), F.col("hi"), bins)})
+    per_bin = d.groupBy(*by, "bin").agg(F.sum("r").alias("rb"), F.sum("c").alias("cb"), F.max("kd").alias("kd"),
+                                        *[F.first(c).alias(c) for c in _SIDES])
+    out = per_bin.groupBy(*by).agg(F.max("kd").alias("ks_statistic"), F.sum(_psi_term()).alias("psi"),
+                                   *[F.first(c).alias(c) for c in _SIDES])
     en = F.try_divide(F.col("n_ref") * F.col("n_cur"), F.col("n_ref") + F.col("n_cur"))
     out = out.withColumns({"ks_p_value": kolmogorov_sf(F.col("ks_statistic") * F.sqrt(en)),
-                           "ref_mean": F.try_divide(F.col("sr"), F.col("n_ref")),
-                           "cur_mean": F.try_divide(F.col("sc"), F.col("n_cur"))})
+                           "ref_mean": F.try_divide("sr", "n_ref"), "cur_mean": F.try_divide("sc", "n_cur")})
     out = out.withColumns({"ks_drifted": F.col("ks_p_value") < alpha,
                            "mean_shift": F.try_divide(F.abs(F.col("cur_mean") - F.col("ref_mean")), F.col("ref_mean") + 1e-10)})
     return out.withColumn("drifted", F.col("ks_drifted") | (F.col("psi") > psi_threshold)).drop("sr", "sc")
 
 
-def data_quality(long: DataFrame, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """Per side and feature — count, min, max, mean, population std and median.
+def feature_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str], psi_threshold: float = 0.2,
+                  alpha: float = 0.05, bins: int = N_BINS) -> DataFrame:
+    """D1–D6 of the named columns of two data sets (``drift_statistics``)."""
+    return drift_statistics(unpivot(ref, cur, features), FEATURE, psi_threshold, alpha, bins)
+
+
+QUARTILES = {0.25: "q25_value", 0.5: "median_value", 0.75: "q75_value"}
+
 
-    ``exact=False`` uses ``percentile_approx`` for the median (bounded memory for any domain).
+def data_quality(long: DataFrame, by: Sequence[str] = ("side", "feature"), **ranges) -> DataFrame:
+    """Per side and feature — rows, missing, distinct, min, max, mean, population std and exact quartiles.
+
+    ``long`` comes from ``unpivot(..., keep_nulls=True)``.  Quartiles are found by selection over value
+    ranges, the variance around the mean by a second look at the count table.
     """
-    med = (F.percentile("value", 0.5) if exact else F.percentile_approx("value", 0.5, accuracy))
-    return long.groupBy("side", "feature").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
-        F.avg("value").alias("mean_value"), F.stddev_pop("value").alias("std_value"), med.alias("median_value"))
+    g = long.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("k"))
+    v, k = F.col("value"), F.col("k")
+    st = g.groupBy(*by).agg(
+        F.sum(F.when(v.isNotNull(), k).otherwise(0)).alias("n"), F.sum(F.when(v.isNull(), k).otherwise(0)).alias("missing"),
+        F.count("value").alias("distinct_values"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
+        F.sum(v * k).alias("__s"))
+    st = st.withColumns({"mean_value": F.try_divide("__s", "n"),
+                         "missing_share": F.try_divide(F.col("missing"), F.col("n") + F.col("missing"))}).drop("__s")
+    held = g.filter(v.isNotNull())
+    around = (held.join(F.broadcast(st.select(*by, F.col("mean_value").alias("__m"), F.col("n").alias("__n"))), list(by))
+              .groupBy(*by).agg(F.sqrt(F.sum(k * (v - F.col("__m")) * (v - F.col("__m"))) / F.first("__n")).alias("std_value")))
+    q = percentiles(held, by, "value", "k", list(QUARTILES), **ranges)
+    q = q.groupBy(*by).agg(*[F.max(F.when(F.col("p") == p, F.col("percentile"))).alias(name) for p, name in QUARTILES.items()])
+    # One row per (side, feature) on every side of these joins.
+    return st.join(around, list(by), "left").join(q, list(by), "left").select(
+        *by, "n", "missing", "missing_share", "distinct_values", "min_value", "max_value", "mean_value", "std_value", *QUARTILES.values())
+
+
+def missing_values(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Missing values of any columns, per side and column: (side, column, missing, missing_share)."""
+    def one(df, side):
+        m = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"m_{i}") for i, c in enumerate(columns)])
+        cells = [F.struct(F.lit(c).alias("column"), F.col(f"m_{i}").alias("missing"), F.try_divide(f"m_{i}", "n").alias("missing_share"))
+                 for i, c in enumerate(columns)]
+        return m.select(F.lit(side).alias("side"), F.explode(F.array(*cells)).alias("x")).select("side", "x.*")
+    return one(ref, REF).unionByName(one(cur, CUR))
 
 
 def label_shift(ref: DataFrame, cur: DataFrame, label: str = "label", threshold: float = 0.15,
@@ -248,23 +238,29 @@ def drift_summary(feat: DataFrame, lab: DataFrame | None, share_threshold: float
                            .otherwise("no_action_needed")})
 
 
-def chi_square(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
-    """D3 (+J8): two-sample homogeneity χ² on a categorical column; statistic and dof (Q23)."""
-    both = (ref.select(F.lit(REF).alias("side"), F.col(column).alias("v"))
-            .unionByName(cur.select(F.lit(CUR).alias("side"), F.col(column).alias("v"))))
-    # Grouping takes null as one category, on whichever side it occurs.
-    t = both.groupBy("v").agg(F.count_if(_is(REF)).alias("o_ref"), F.count_if(_is(CUR)).alias("o_cur"))
-    # Side totals and the category count are three scalars: one aggregate, inlined as literals,
-    # so a high-cardinality column is never gathered into one task.
-    tot = t.agg(F.sum("o_ref").alias("n_ref"), F.sum("o_cur").alias("n_cur"), F.count(F.lit(1)).alias("k")).first()
-    j = t.withColumns({"n_ref": F.lit(tot["n_ref"] or 0), "n_cur": F.lit(tot["n_cur"] or 0),
-                       "k": F.lit(tot["k"] or 0)})
+def chi_square_columns(ref: DataFrame, cur: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """D3 (+J8): two-sample homogeneity χ² of categorical columns: (column, chi2_statistic, dof) (Q23).
+
+    All columns go through one count table.  Null is a category of its own, on whichever side it
+    occurs.  An empty side has no expected counts: the statistic is null then.
+    """
+    def one(df, side):
+        d = df.select(F.lit(side).alias("side"), *[F.col(c).cast("string").alias(c) for c in columns])
+        return d.unpivot("side", list(columns), "column", "v")
+    t = one(ref, REF).unionByName(one(cur, CUR)).groupBy("column", "v").agg(
+        F.count_if(_is(REF)).alias("o_ref"), F.count_if(_is(CUR)).alias("o_cur"))
+    tot = t.groupBy("column").agg(F.sum("o_ref").alias("n_ref"), F.sum("o_cur").alias("n_cur"))  # one row per column
+    j = t.join(F.broadcast(tot), "column")
     n = F.col("n_ref") + F.col("n_cur")
     row = F.col("o_ref") + F.col("o_cur")
     e_ref, e_cur = F.try_divide(row * F.col("n_ref"), n), F.try_divide(row * F.col("n_cur"), n)
-    # An empty side has no expected counts: the statistic is null then.
     term = F.try_divide(F.pow(F.col("o_ref") - e_ref, 2), e_ref) + F.try_divide(F.pow(F.col("o_cur") - e_cur, 2), e_cur)
-    return j.agg(F.sum(term).alias("chi2_statistic"), (F.first("k") - 1).alias("dof"))
+    return j.groupBy("column").agg(F.sum(term).alias("chi2_statistic"), (F.count(F.lit(1)) - 1).alias("dof"))
+
+
+def chi_square(ref: DataFrame, cur: DataFrame, column: str) -> DataFrame:
+    """D3 on one column: statistic and degrees of freedom."""
+    return chi_square_columns(ref, cur, [column]).drop("column")
 
 
 def quick_drift(ref: DataFrame, cur: DataFrame, features: Sequence[str], label: str = "label",
@@ -298,25 +294,66 @@ def vocabulary(ref: DataFrame, id_col: str, text: str, min_count: int = 2) -> Da
             .filter(F.col("n") >= min_count).select("token"))
 
 
+def token_counts(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """(keys, token, k): occurrences of each lower-cased token in each text, a frequent word once per text."""
+    from ..functions.lexicons import WS_CLASS_JAVA
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), f"[{WS_CLASS_JAVA}]+")
+    return df.select(*keys, F.explode(words).alias("token")).filter(F.col("token") != "").groupBy(*keys, "token").agg(
+        F.count(F.lit(1)).alias("k"))
+
+
 def oov_share(df: DataFrame, id_col: str, text: str, vocab: DataFrame) -> DataFrame:
-    """per text, share of tokens outside the vocabulary.
+    """per text, share of tokens outside the vocabulary; texts without tokens have no row.
 
-    Tokens are first counted per (text, token), so a frequent word is one row per text before
-    the join; the join itself is a plain equi-join that AQE may broadcast or split when skewed.
+    The join on the token is a plain equi-join that AQE may broadcast or split when skewed.
     """
-    per = tokens(df, id_col, text).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("k"))
-    j = per.join(vocab.withColumn("__in", F.lit(1)), "token", "left")
+    j = token_counts(df, [id_col], text).join(vocab.withColumn("__in", F.lit(1)), "token", "left")
     return j.groupBy(id_col).agg((F.sum(F.when(F.col("__in").isNull(), F.col("k")).otherwise(0)) / F.sum("k"))
                                  .alias("oov_share"))
 
 
 def lexicon_score(df: DataFrame, id_col: str, text: str, lexicon: DataFrame) -> DataFrame:
     """F23 (re-aimed sentiment): sum of (word, weight) lexicon weights over a text's tokens."""
-    per = tokens(df, id_col, text).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("k"))
-    j = per.join(lexicon.withColumnRenamed("word", "token"), "token", "inner")
+    j = token_counts(df, [id_col], text).join(lexicon.withColumnRenamed("word", "token"), "token", "inner")
     return j.groupBy(id_col).agg(F.sum(F.col("k") * F.col("weight")).alias("lexicon_score"))
 
 
+def lexicon_from_labels(texts: DataFrame, id_col: str, text: str, label: str, min_texts: int = 5) -> DataFrame:
+    """a (word, weight) lexicon from labelled texts, for words that at least ``min_texts`` of them hold.
+
+    Weight: share of the clean texts that hold the word less the share of the toxic ones, to six decimals.
+    """
+    known = texts.filter(F.col(label).isNotNull())
+    sizes = known.agg(F.struct(F.count_if(F.col(label) == 0).alias("clean"), F.count_if(F.col(label) == 1).alias("toxic")).alias("s")).scalar()
+    per = token_counts(known, [id_col, label], text).groupBy("token").agg(
+        F.count_if(F.col(label) == 0).alias("clean"), F.count_if(F.col(label) == 1).alias("toxic"), F.count(F.lit(1)).alias("n"))
+    share = [F.coalesce(F.try_divide(F.col(c), F.col(f"__sizes.{c}")), F.lit(0.0)) for c in ("clean", "toxic")]
+    return (per.filter(F.col("n") >= min_texts).withColumn("__sizes", sizes)
+            .select(F.col("token").alias("word"), F.round(share[0] - share[1], 6).cast("decimal(18,6)").alias("weight")))
+
+
+def token_descriptors(texts: DataFrame, id_col: str, text: str, lexicon: DataFrame, min_count: int = 2) -> DataFrame:
+    """F22 + F23 of both sides in one pass: (id, side, oov_share, lexicon_score), a row for every text.
+
+    ``texts`` has a ``side`` column; ids are unique.  Weights are taken to six decimals and summed exactly, so
+    that equal texts score alike.  Tokens are counted once per text; the vocabulary (tokens of the
+    reference side seen at least ``min_count`` times) and the lexicon are one table of token facts,
+    joined to the counts once.  A text without tokens has share and score 0.
+    """
+    per = token_counts(texts, [id_col, "side"], text)
+    known = per.filter(_is(REF)).groupBy("token").agg(F.sum("k").alias("n")).filter(F.col("n") >= min_count)
+    zero = F.lit(0).cast("decimal(18,6)")
+    facts = known.select("token", F.lit(1).alias("known"), zero.alias("weight")).unionByName(
+        lexicon.select(F.col("word").alias("token"), F.lit(0).alias("known"), F.col("weight").cast("decimal(18,6)").alias("weight")))
+    facts = facts.groupBy("token").agg(F.max("known").alias("known"), F.sum("weight").alias("weight"))
+    seen = per.join(facts, "token", "left").select(
+        id_col, "side", "k", F.when(F.col("known") == 1, 0).otherwise(F.col("k")).alias("out"),
+        (F.col("k") * F.coalesce("weight", zero)).alias("w"))
+    every = texts.select(id_col, "side", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("out"), zero.alias("w"))
+    return seen.unionByName(every).groupBy(id_col, "side").agg(
+        F.coalesce(F.try_divide(F.sum("out"), F.sum("k")), F.lit(0.0)).alias("oov_share"), F.sum("w").cast("double").alias("lexicon_score"))
+
+
 # --- χ² p-values without scipy: regularized upper incomplete gamma as column expressions -----
 
 # Lanczos approximation (g = 7, nine coefficients) — standard published constants.
@@ -388,10 +425,9 @@ def dataset_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], catego
         ks = feature_drift(ref, cur, numeric, alpha=alpha)  # the fused one-pass KS
         parts.append(ks.select(F.col("feature").alias("column"), F.lit("ks").alias("test"),
                                F.col("ks_statistic").alias("statistic"), F.col("ks_p_value").alias("p_value")))
-    for c in categorical:
-        x = chi_square(ref, cur, c)
-        parts.append(x.select(F.lit(c).alias("column"), F.lit("chi2").alias("test"),
-                              F.col("chi2_statistic").alias("statistic"),
+    if categorical:
+        x = chi_square_columns(ref, cur, categorical)
+        parts.append(x.select("column", F.lit("chi2").alias("test"), F.col("chi2_statistic").alias("statistic"),
                               chi2_sf(F.col("chi2_statistic"), F.col("dof").cast("double")).alias("p_value")))
     out = parts[0]
     for p in parts[1:]:
@@ -400,3 +436,57 @@ def dataset_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], catego
     everything = Window.partitionBy()  # over the per-column result (one row per column)
     share = F.avg(F.col("drifted").cast("double")).over(everything)
     return out.withColumns({"drift_share": share, "dataset_drift": share > share_threshold})
+
+
+# --- D14: drift over runs ---------------------------------------------------------------------
+
+def drift_runs(ref: DataFrame, runs: Mapping[str, DataFrame], features: Sequence[str], label: str = "label",
+               psi_threshold: float = 0.2, alpha: float = 0.05, share_threshold: float = 0.3,
+               label_threshold: float = 0.15) -> DataFrame:
+    """One summary row per run, each run's data against the same reference, in one pass.
+
+    The reference's rows count for every run, so all runs go through one count table keyed by
+    (run, feature).  Runs are few and named when the plan is built.
+    """
+    names = F.array(*[F.lit(name) for name in runs])
+    columns = [F.col(f).cast("double").alias(f) for f in features]
+    keep = [*columns, F.col(label).cast("double").alias("__label")]
+    wide = ref.select(F.lit(REF).alias("side"), *keep).withColumn("run", F.explode(names))
+    for name, cur in runs.items():
+        wide = wide.unionByName(cur.select(F.lit(CUR).alias("side"), *keep, F.lit(name).alias("run")))
+    g = wide.unpivot(["run", "side"], [*features, "__label"], "feature", "value").filter(F.col("value").isNotNull())
+    by = ("run", "feature")
+    g = value_counts(g, by)
+    fd = drift_statistics(g.filter(F.col("feature") != "__label"), by, psi_threshold, alpha)
+    per_run = fd.groupBy("run").agg(
+        F.max("n_cur").alias("current_samples"), F.count(F.lit(1)).alias("n_features"), F.count_if("drifted").alias("n_drifted"),
+        F.max("ks_statistic").alias("max_ks"), F.max("psi").alias("max_psi"),
+        F.array_sort(F.collect_list(F.when(F.col("drifted"), F.col("feature")))).alias("drifted_features"))
+    in_run = Window.partitionBy("run")                              # one row per class and run
+    lab = g.filter(F.col("feature") == "__label").withColumns(
+        {"__r": F.try_divide(F.col("r"), F.sum("r").over(in_run)), "__c": F.try_divide(F.col("c"), F.sum("c").over(in_run))})
+    lab = lab.filter((F.col("r") > 0) & (F.col("c") > 0)).groupBy("run").agg(F.max(F.abs(F.col("__c") - F.col("__r"))).alias("label_shift"))
+    out = per_run.join(lab, "run", "left").withColumn("label_drifted", F.coalesce(F.col("label_shift") > label_threshold, F.lit(False)))
+    out = out.withColumn("drift_share", (F.col("n_drifted") + F.col("label_drifted").cast("int")) / F.greatest(F.col("n_features"), F.lit(1)))
+    return out.withColumn("overall_drift_detected", F.col("drift_share") > share_threshold)
+
+
+def drift_history(runs: DataFrame, run_time: str = "run_time", score: str = "drift_share", run: str = "run") -> DataFrame:
+    """Runs in order of time with the change against the run before, the trend and the streak.
+
+    Trend: least-squares slope of ``score`` over the numbers of the runs so far.  Streak: how many runs in
+    succession, up to this one, found drift.  One row per run: the ordered windows are over a small table.
+    """
+    w = Window.orderBy(run_time, run)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = runs.withColumn("run_no", F.row_number().over(w))
+    d = d.withColumns({
+        "previous": F.lag(score).over(w),
+        "trend": F.regr_slope(F.col(score), F.col("run_no").cast("double")).over(so_far),
+        "__calm": F.max(F.when(~F.col("overall_drift_detected"), F.col("run_no")).otherwise(0)).over(so_far)})
+    return d.withColumns({"change": F.col(score) - F.col("previous"), "drift_streak": F.col("run_no") - F.col("__calm")}).drop("__calm")
+
+
+def append_runs(summary: DataFrame, path: str, run: str = "run") -> None:
+    """Add runs to the table of runs at ``path``, one partition a run; a repeated run replaces itself."""
+    summary.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)

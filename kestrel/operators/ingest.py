@@ -7,13 +7,14 @@ which here inspect ``df.columns`` / ``df.schema`` and never touch the data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .history import first_per_key
+from .ordered import percentiles
 
 
 class MissingColumns(ValueError):
@@ -64,27 +65,18 @@ def add_ingested_at(df: DataFrame, as_of) -> DataFrame:
     return df.withColumn("ingested_at", F.lit(as_of).cast("timestamp_ntz"))
 
 
-HISTORY_DEFAULT_NAMES = ["user_bad_ratio_7d", "user_bad_ratio_30d", "user_toxicity_trend",
-                         "user_msg_count_7d", "channel_toxicity_ratio", "hours_since_last_msg",
-                         "is_new_to_channel", "user_report_count"]
+# FIXED VALUES: the history columns a log may lack and the value each gets then.
+HISTORY_DEFAULTS = {
+    "user_bad_ratio_7d": 0.0, "user_bad_ratio_30d": 0.0, "user_toxicity_trend": 0.0, "user_msg_count_7d": 0,
+    "channel_toxicity_ratio": 0.0, "hours_since_last_msg": 1.0, "is_new_to_channel": 0, "user_report_count": 0,
+}
+HISTORY_DEFAULT_NAMES = list(HISTORY_DEFAULTS)
+_COUNTS = ("user_msg_count_7d", "user_report_count")
 
 
-def default_for(name: str) -> Column | None:
-    """P6 naming rule: ratio/trend → 0.0, count → 0, hours → 1.0, is_ → 0."""
-    if "ratio" in name or "trend" in name:
-        return F.lit(0.0)
-    if "count" in name:
-        return F.lit(0).cast("bigint")
-    if "hours" in name:
-        return F.lit(1.0)
-    if "is_" in name:
-        return F.lit(0)
-    return None
-
-
-def fill_missing_history(df: DataFrame, names: Sequence[str] = HISTORY_DEFAULT_NAMES) -> DataFrame:
-    """Add absent history columns with their rule default."""
-    add = {n: default_for(n) for n in names if n not in df.columns and default_for(n) is not None}
+def fill_missing_history(df: DataFrame, defaults: Mapping[str, float] = HISTORY_DEFAULTS) -> DataFrame:
+    """Add absent history columns with their default."""
+    add = {c: F.lit(v).cast("bigint") if c in _COUNTS else F.lit(v) for c, v in defaults.items() if c not in df.columns}
     return df.withColumns(add) if add else df
 
 
@@ -157,50 +149,57 @@ def positive_weight(df: DataFrame, label: str = "label") -> DataFrame:
 
 def quality_report(df: DataFrame, label: str = "label", key_features=("msg_len", "caps_ratio", "slur_count"),
                    max_null_ratio: float = 0.3, col_null_ratio: float = 0.2, minority_min: float = 0.1,
-                   outlier_share: float = 0.05, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+                   outlier_share: float = 0.05, **ranges) -> DataFrame:
     """Every check as a row (check, column, value, threshold, failed).
 
-    ``exact=False`` takes the q99 from ``percentile_approx`` (bounded sketch per column) for
-    features whose distinct values are not bounded.
-
-    Pass 1 computes the q99 of the key features (three scalars, the only values brought to
-    the driver).  Pass 2 is one wide aggregate: null counts, distinct counts and rows above
-    each q99, unpivoted into check rows.  The class-balance check comes from a grouped count.
-    Exact ``percentile`` keeps one counter per distinct value; the key features have bounded
-    domains after the length filter.
+    One pass over the batch: its cells become one count table with a row per (column, null or not,
+    value); only key features and the label keep their values there, any other column has at
+    most two rows.  Null ratios, value ranges, class balance, the exact q99 (selection over value ranges)
+    and the rows above it all come from that table.
     """
     cols = df.columns
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     feats = [c for c in key_features if c in cols]
-    q99 = {}
-    if feats:
-        pct = ((lambda c: F.percentile(F.col(c).cast("double"), 0.99)) if exact
-               else (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.99, accuracy)))
-        qrow = df.agg(*[pct(c).alias(c) for c in feats]).first()
-        q99 = {c: qrow[c] for c in feats}
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    aggs += [F.count_if(F.col(c).isNull()).alias(f"null__{c}") for c in cols]
-    # Constant column ⇔ max = min over non-null values: exact, and no distinct-count expansion.
-    aggs += [(F.max(F.col(c)) - F.min(F.col(c))).alias(f"rng__{c}") for c in numeric]
-    aggs += [F.count_if(F.col(c) > F.lit(q99[c])).alias(f"out__{c}") for c in feats]
-    stats = df.agg(*aggs)
-
-    def row(check, column, value, threshold):
-        return F.struct(F.lit(check).alias("check"), F.lit(column).cast("string").alias("column"),
-                        value.cast("double").alias("value"), F.lit(threshold).cast("double").alias("threshold"))
-
-    n = F.when(F.col("__n") > 0, F.col("__n"))  # empty input: ratios are null, not an error
-    rows = [row("null_ratio_mean", None, sum((F.col(f"null__{c}") for c in cols), F.lit(0)) / (n * len(cols)),
-                max_null_ratio)]
-    rows += [row("column_null_ratio", c, F.col(f"null__{c}") / n, col_null_ratio) for c in cols]
-    rows += [row("value_range", c, F.col(f"rng__{c}"), 0.0) for c in numeric]
-    rows += [row("q99", c, F.lit(q99[c]), None) for c in feats]
-    rows += [row("outlier_share", c, F.col(f"out__{c}") / n, outlier_share) for c in feats]
-    long = stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    minority = (df.groupBy(label).agg(F.count(F.lit(1)).alias("k"))
-                .agg(F.try_divide(F.min("k"), F.sum("k")).alias("v"))
-                .select(row("minority_ratio", label, F.col("v"), minority_min).alias("r")).select("r.*"))
-    out = long.unionByName(minority)
+    none = F.lit(None).cast("double")
+
+    def cell(kind, c):
+        number = F.col(c).cast("double") if c in numeric else none
+        return F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("column"), F.col(c).isNull().alias("empty"),
+                        (F.col(c).cast("double") if kind == "key" else F.col(c).cast("string").cast("double") if kind == "class" else none).alias("value"),
+                        number.alias("number"))
+    cells = [cell("key" if c in feats else "any", c) for c in cols] + [cell("class", label)]
+    s = (df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").groupBy("kind", "column", "empty", "value")
+         .agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("lo"), F.max("number").alias("hi")))
+    # Every branch refers to all three aggregates, so that they share one exchange.
+    s = s.filter(F.col("n") + F.coalesce(F.col("hi") - F.col("lo"), F.lit(0.0)) > 0)
+    null = F.lit(None).cast("string")
+
+    def rows(frame, check, value, threshold, column=None):
+        return frame.select(F.lit(check).alias("check"), (F.col("column") if column is None else column).alias("column"),
+                            value.cast("double").alias("value"), F.lit(threshold).cast("double").alias("threshold"))
+
+    per = s.filter(F.col("kind") != "class").groupBy("column").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("empty"), F.col("n")).otherwise(0)).alias("nulls"),
+        (F.max("hi") - F.min("lo")).alias("range"))
+    held = s.filter((F.col("kind") == "key") & ~F.col("empty"))
+    q99 = percentiles(held, ["column"], "value", "n", [0.99], **ranges).select("column", F.col("percentile").alias("q99"))
+    total = per.select("column", F.col("n").alias("all"))
+    above = (held.join(F.broadcast(q99), "column").groupBy("column")
+             .agg(F.sum(F.when(F.col("value") > F.col("q99"), F.col("n")).otherwise(0)).alias("out"), F.first("q99").alias("q99"))
+             .join(F.broadcast(total), "column"))
+    classes = s.filter(F.col("kind") == "class")
+    # An empty batch has no cells: its checks have null values and do not fail.
+    names = df.sparkSession.createDataFrame([(c, c in numeric, c in feats) for c in cols], "column string, numeric boolean, key boolean")
+    per = names.join(per, "column", "left").join(above.select("column", "out", "q99"), "column", "left")
+    out = rows(per.agg(F.try_divide(F.sum("nulls"), F.sum("n")).alias("v")), "null_ratio_mean", F.col("v"), max_null_ratio, null)
+    checks = F.array(
+        F.struct(F.lit("column_null_ratio").alias("check"), F.try_divide("nulls", "n").alias("value"), F.lit(float(col_null_ratio)).alias("threshold"), F.lit(True).alias("on")),
+        F.struct(F.lit("value_range").alias("check"), F.col("range").alias("value"), F.lit(0.0).alias("threshold"), F.col("numeric").alias("on")),
+        F.struct(F.lit("q99").alias("check"), F.col("q99").alias("value"), none.alias("threshold"), F.col("key").alias("on")),
+        F.struct(F.lit("outlier_share").alias("check"), F.try_divide(F.coalesce("out", F.lit(0)), F.col("n")).alias("value"), F.lit(float(outlier_share)).alias("threshold"), F.col("key").alias("on")))
+    each = per.select("column", F.explode(checks).alias("x")).filter("x.on").select("x.check", "column", "x.value", "x.threshold")
+    minority = rows(classes.agg(F.try_divide(F.min("n"), F.sum("n")).alias("v")), "minority_ratio", F.col("v"), minority_min, F.lit(label))
+    out = out.unionByName(each).unionByName(minority)
     failed = (F.when(F.col("check") == "minority_ratio", F.col("value") < F.col("threshold"))
               .when(F.col("check") == "value_range", F.col("value") == F.col("threshold"))
               .when(F.col("check") == "q99", F.lit(False))

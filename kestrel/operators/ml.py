@@ -2,7 +2,7 @@
 
 Metrics are computed from small histograms instead of repeated scans: the threshold sweep
 reduces every row to its threshold bucket once (≤ 101 buckets), and ROC-AUC / average
-precision reduce rows to one per distinct score before any ordered window.
+precision reduce rows to one per distinct score, whose running sums are split into score ranges.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 
 # --- M6: exact stratified split with bounded tasks --------------------------------------
 
@@ -114,59 +116,16 @@ def _score_groups(scores: DataFrame, label: str, score: str) -> DataFrame:
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def _count_below(v: Column, cuts: list[float], lo: int = 0, hi: int | None = None) -> Column:
-    """Number of ``cuts`` (sorted) strictly below ``v`` as a balanced CASE tree (depth log₂ n)."""
-    if hi is None:
-        hi = len(cuts)
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(v > F.lit(cuts[mid]), _count_below(v, cuts, mid + 1, hi)).otherwise(_count_below(v, cuts, lo, mid))
-
+def roc_auc(scores: DataFrame, label: str = "label", score: str = "score", **ranges) -> DataFrame:
+    """ROC-AUC with ties (trapezoid = Mann–Whitney), over one row per distinct score, range by range."""
+    g = running_sums(_score_groups(scores, label, score), [], "s", {"neg_below": "neg"}, inclusive=False, **ranges)
+    below = F.coalesce("neg_below", F.lit(0))
+    return g.agg(F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
-def ordered_sums(g: DataFrame, order: str, sums: dict[str, str], inclusive: bool, descending: bool = False,
-                 strategy: str = "window", buckets: int = 256) -> DataFrame:
-    """Running sums over the whole table in ``order`` (one row per distinct value).
 
-    ``window`` sorts everything in one task.  ``prefix`` splits the value range at approximate
-    quantile cut points (a bounded list, broadcast), adds bucket offsets from a ≤ ``buckets``-row
-    table and finishes with a window inside each bucket — exact sums, bounded tasks.
-    """
-    end = 0 if inclusive else -1
-    o = F.col(order).desc() if descending else F.col(order).asc()
-    if strategy == "window":
-        w = Window.orderBy(o).rowsBetween(Window.unboundedPreceding, end)
-        return g.withColumns({out: F.coalesce(F.sum(v).over(w), F.lit(0)) for out, v in sums.items()})
-    probs = [i / buckets for i in range(1, buckets)]
-    # The cut list is bounded by ``buckets``: bring it to the driver and inline it as a search tree.
-    cuts = sorted(float(c) for c in (g.agg(F.percentile_approx(order, probs, 10_000).alias("c")).first()["c"] or []))
-    b = _count_below(F.col(order), cuts)
-    d = g.withColumn("__b", (F.lit(buckets) - b) if descending else b)
-    tot = d.groupBy("__b").agg(*[F.sum(v).alias(f"__t_{out}") for out, v in sums.items()])
-    wk = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # ≤ buckets rows
-    offs = tot.select("__b", *[F.coalesce(F.sum(f"__t_{out}").over(wk), F.lit(0)).alias(f"__o_{out}")
-                               for out in sums])
-    wl = Window.partitionBy("__b").orderBy(o).rowsBetween(Window.unboundedPreceding, end)
-    j = d.join(offs, "__b")
-    return j.withColumns({out: F.col(f"__o_{out}") + F.coalesce(F.sum(v).over(wl), F.lit(0))
-                          for out, v in sums.items()}).drop("__b", *[f"__o_{out}" for out in sums])
-
-
-def roc_auc(scores: DataFrame, label: str = "label", score: str = "score", strategy: str = "prefix",
-            buckets: int = 256) -> DataFrame:
-    """ROC-AUC with ties (trapezoid = Mann–Whitney), over one row per distinct score."""
-    g = _score_groups(scores, label, score)
-    g = ordered_sums(g, "s", {"neg_below": "neg"}, inclusive=False, strategy=strategy, buckets=buckets)
-    return g.agg(F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)),
-                              F.sum("pos") * F.sum("neg")).alias("roc_auc"))
-
-
-def average_precision(scores: DataFrame, label: str = "label", score: str = "score",
-                      strategy: str = "prefix", buckets: int = 256) -> DataFrame:
-    """Step-wise AP = Σ (R_n − R_{n−1}) · P_n over distinct scores, highest first."""
-    g = _score_groups(scores, label, score)
-    g = ordered_sums(g, "s", {"tp": "pos", "fp": "neg"}, inclusive=True, descending=True,
-                     strategy=strategy, buckets=buckets)
+def average_precision(scores: DataFrame, label: str = "label", score: str = "score", **ranges) -> DataFrame:
+    """Step-wise AP = Σ (R_n − R_{n−1}) · P_n over distinct scores, highest first, range by range."""
+    g = running_sums(_score_groups(scores, label, score), [], "s", {"tp": "pos", "fp": "neg"}, descending=True, **ranges)
     # Σ (pos/P) · precision = (1/P) · Σ pos · precision: P comes out of the same aggregate.
     return g.agg(F.try_divide(F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))), F.sum("pos"))
                  .alias("avg_precision"))
@@ -183,14 +142,15 @@ def confusion_matrix(scores: DataFrame, threshold: float = 0.5, label: str = "la
 # --- M4/M5/M7: scaling, assembly, training ----------------------------------------------
 
 def standard_scale(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
-    """M4: (x − mean) / population std, std 0 → 1 (Q20); statistics from one aggregate."""
-    st = df.agg(*[F.avg(c).alias(f"m__{c}") for c in cols], *[F.stddev_pop(c).alias(f"s__{c}") for c in cols])
-    row = st.first()  # 2·len(cols) scalars
+    """M4: (x − mean) / population std, std 0 → 1 (Q20); the statistics are one scalar subquery."""
+    st = df.agg(F.struct(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)],
+                         *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(cols)]).alias("s")).scalar()
+    d = df.withColumn("__s", st)
     out = {}
-    for c in cols:
-        s = row[f"s__{c}"] or 0.0
-        out[c + suffix] = (F.col(c) - F.lit(row[f"m__{c}"])) / F.lit(s if s > 0 else 1.0)
-    return df.withColumns(out)
+    for i, c in enumerate(cols):
+        s = F.col(f"__s.s_{i}")
+        out[c + suffix] = (F.col(c) - F.col(f"__s.m_{i}")) / F.when(s > 0, s).otherwise(F.lit(1.0))
+    return d.withColumns(out).drop("__s")
 
 
 def promotion(versions: DataFrame, score: str = "f2", version: str = "version") -> DataFrame:

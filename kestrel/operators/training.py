@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 
 def with_class_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
-    """A3 → M7: positives weighted by negatives/positives (a two-row aggregate joined as literals)."""
-    r = df.agg(F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")).first()
-    w = (r["neg"] / r["pos"]) if r["pos"] else 1.0
-    return df.withColumn(weight, F.when(F.col(label) == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
+    """A3 → M7: positives weighted by negatives/positives, 1 if there are none (a scalar subquery)."""
+    w = df.agg(F.try_divide(F.count_if(F.col(label) == 0).cast("double"), F.count_if(F.col(label) == 1)).alias("w")).scalar()
+    return df.withColumn(weight, F.when(F.col(label) == 1, F.coalesce(w, F.lit(1.0))).otherwise(F.lit(1.0)))
 
 
 def training_pipeline(vec_col: str, tabular: Sequence[str], k: int = 16, reg: float = 0.01) -> Pipeline:

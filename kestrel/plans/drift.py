@@ -94,8 +94,8 @@ def d1_ks(spark, sf_dir):
 
 @register("d1_ks_prefix", _q("SELECT feature, ks_statistic, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur FROM ks"))
 def d1_ks_prefix(spark, sf_dir):
-    """D1 through value buckets from approximate quantiles (bounded tasks per feature, exact statistic)."""
-    return D.ks_statistic(_long(spark, sf_dir), strategy="prefix", buckets=64)
+    """D1 with value ranges of about 64 distinct values each: the split that large inputs get."""
+    return D.ks_statistic(_long(spark, sf_dir), range_rows=64)
 
 
 @register("d2_ks_pvalue", _q(f"SELECT feature, round(ks_p_value, {R9}) AS ks_p_value, ks_p_value < 0.05 AS ks_drifted FROM ksp"))
@@ -179,14 +179,32 @@ def d9_quick_drift(spark, sf_dir):
 
 
 @register("d11_data_quality", _q(f"""
-SELECT side, feature, CAST(count(*) AS BIGINT) AS n, min(value) AS min_value, max(value) AS max_value,
+SELECT side, feature, CAST(count(value) AS BIGINT) AS n, CAST(count(*) - count(value) AS BIGINT) AS missing,
+       round((count(*) - count(value)) / count(*), {R9}) AS missing_share, CAST(count(DISTINCT value) AS BIGINT) AS distinct_values,
+       min(value) AS min_value, max(value) AS max_value,
        round(avg(value), {R9}) AS mean_value, round(stddev_pop(value), {R9}) AS std_value,
-       quantile_cont(value, 0.5) AS median_value
-FROM long GROUP BY side, feature"""))
+       round(quantile_cont(value, 0.25), {R9}) AS q25_value, round(quantile_cont(value, 0.5), {R9}) AS median_value,
+       round(quantile_cont(value, 0.75), {R9}) AS q75_value
+FROM ({" UNION ALL ".join(f"SELECT side, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM f" for c in [*FEATURES, "label"])})
+GROUP BY side, feature"""))
 def d11_data_quality(spark, sf_dir):
-    """Per side and feature — count, min, max, mean, population std, median."""
-    dq = D.data_quality(_long(spark, sf_dir))
-    return dq.withColumns({"mean_value": F.round("mean_value", R9), "std_value": F.round("std_value", R9)})
+    """Per side and feature — rows, missing, distinct, min, max, mean, population std, exact quartiles."""
+    ref, cur = _sides(spark, sf_dir)
+    dq = D.data_quality(D.unpivot(ref, cur, [*FEATURES, "label"], keep_nulls=True))
+    return dq.withColumns({c: F.round(c, R9) for c in ("missing_share", "mean_value", "std_value", *D.QUARTILES.values())})
+
+
+_MISSING_COLUMNS = ["text", "lang", "source", "label", "user_id"]
+
+
+@register("d11_missing_values", with_views(f"""
+WITH s AS (SELECT CASE WHEN CAST(substring(source, 4) AS INTEGER) < 10 THEN 'ref' ELSE 'cur' END AS side, * FROM texts)
+""" + "\nUNION ALL ".join(f"""SELECT side, '{c}' AS "column", CAST(count(*) - count({c}) AS BIGINT) AS missing,
+  round((count(*) - count({c})) / count(*), {R9}) AS missing_share FROM s GROUP BY side""" for c in _MISSING_COLUMNS), "texts"))
+def d11_missing_values(spark, sf_dir):
+    """Missing values of text, categorical and numeric columns on either side."""
+    ref, cur = _sides(spark, sf_dir)
+    return D.missing_values(ref, cur, _MISSING_COLUMNS).withColumn("missing_share", F.round("missing_share", R9))
 
 
 @register("d14_drift_history", with_views(f"""
@@ -205,42 +223,163 @@ def d14_drift_history(spark, sf_dir):
         "rate_change", F.col("toxic_rate") - F.col("prev_rate"))
 
 
-DESCRIPTORS = ["msg_len", "non_letter_pct", "has_trigger_word", "emphasis"]
+NATIVE_DESCRIPTORS = ["msg_len", "non_letter_pct", "has_trigger_word", "emphasis"]
+DESCRIPTORS = [*NATIVE_DESCRIPTORS, "oov_share", "lexicon_score"]
+
+def lexicon_table(spark, sf_dir):
+    """The sentiment stand-in's lexicon: words of at least 5 labelled reference texts."""
+    t = _with_sides(spark, sf_dir)
+    return D.lexicon_from_labels(t.filter(F.col("side") == D.REF), "doc_id", "text", "label", 5)
+
+
+_TOKEN_CTE = f"""
+WITH d AS (SELECT doc_id, CASE WHEN CAST(substring(source, 4) AS INTEGER) < 10 THEN 'ref' ELSE 'cur' END AS side,
+                  coalesce(text, '') AS text FROM texts),
+tok AS (SELECT doc_id, side, unnest({_tokens("lower(text)")}) AS token FROM d),
+vocab AS (SELECT token FROM tok WHERE side = 'ref' GROUP BY token HAVING count(*) >= 2),
+held AS (SELECT DISTINCT doc_id, token, label FROM tok JOIN texts USING (doc_id) WHERE side = 'ref' AND label IS NOT NULL),
+sizes AS (SELECT count(*) FILTER (WHERE label = 0) AS clean, count(*) FILTER (WHERE label = 1) AS toxic
+  FROM texts JOIN d USING (doc_id) WHERE d.side = 'ref'),
+lexicon AS (SELECT token AS word, CAST(round(CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) / any_value(clean)
+  - CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) / any_value(toxic), 6) AS DECIMAL(18, 6)) AS weight
+  FROM held, sizes GROUP BY token HAVING count(*) >= 5),
+td AS (SELECT d.doc_id, d.side, coalesce(oov, 0.0) AS oov_share, coalesce(CAST(score AS DOUBLE), 0.0) AS lexicon_score FROM d LEFT JOIN (
+  SELECT doc_id, CAST(count(*) FILTER (WHERE v.token IS NULL) AS DOUBLE) / count(*) AS oov, sum(weight) AS score
+  FROM tok LEFT JOIN vocab v ON v.token = tok.token LEFT JOIN lexicon l ON l.word = tok.token GROUP BY doc_id) x ON x.doc_id = d.doc_id)"""
+
+
+def _with_sides(spark, sf_dir):
+    side = F.when(F.substring("source", 4, 10).cast("int") < 10, D.REF).otherwise(D.CUR)
+    return texts(spark, sf_dir).withColumn("side", side)
+
+
+@register("f22_oov_share", with_views(_TOKEN_CTE + f"\nSELECT doc_id, round(oov_share, {R9}) AS oov_share FROM td WHERE doc_id IN (SELECT doc_id FROM tok)", "texts"))
+def f22_oov_share(spark, sf_dir):
+    """share of each text's tokens that the reference side's vocabulary (two or more occurrences) lacks."""
+    t = _with_sides(spark, sf_dir)
+    vocab = D.vocabulary(t.filter(F.col("side") == D.REF), "doc_id", "text", 2)
+    return D.oov_share(t, "doc_id", "text", vocab).withColumn("oov_share", F.round("oov_share", R9))
+
+
+@register("f23_lexicon_score", with_views(_TOKEN_CTE + "\nSELECT doc_id, lexicon_score FROM td WHERE doc_id IN (SELECT doc_id FROM tok JOIN lexicon ON word = token)", "texts"))
+def f23_lexicon_score(spark, sf_dir):
+    """weighted-lexicon score of every text that holds a lexicon word (re-aimed sentiment)."""
+    found = D.lexicon_score(texts(spark, sf_dir), "doc_id", "text", lexicon_table(spark, sf_dir))
+    return found.withColumn("lexicon_score", F.col("lexicon_score").cast("double"))
+
 
 _DESC_SELECT = f"""CAST(length(coalesce(text, '')) AS DOUBLE) AS msg_len,
          CASE WHEN length(coalesce(text, '')) > 0
               THEN length(regexp_replace(text, '[\\p{{L}}{lx.WS_CLASS}]', '', 'g')) * 100.0 / length(text)
               ELSE 0.0 END AS non_letter_pct,
          CAST(len(list_intersect({_tokens("lower(coalesce(text, ''))")}, [{', '.join("'" + w + "'" for w in lx.TRIGGER_WORDS)}])) > 0 AS DOUBLE) AS has_trigger_word,
-         CAST(regexp_matches(coalesce(text, ''), '[!?]{{2,}}') AS DOUBLE) AS emphasis
-  FROM texts),"""
+         CAST(regexp_matches(coalesce(text, ''), '[!?]{{2,}}') AS DOUBLE) AS emphasis,
+         td.oov_share, td.lexicon_score
+  FROM texts JOIN td USING (doc_id)),"""
 
 
 def _descriptor_sql() -> str:
     a = _FEAT_CTE.index("CAST(length(coalesce(text, '')) AS DOUBLE) AS msg_len,")
     b = _FEAT_CTE.index("FROM texts),") + len("FROM texts),")
     body = _FEAT_CTE[:a] + _DESC_SELECT + _FEAT_CTE[b:]
-    body = body.replace("ON msg_len, caps_ratio, slur_count, word_count",
-                        "ON msg_len, non_letter_pct, has_trigger_word, emphasis")
+    body = body.replace("ON msg_len, caps_ratio, slur_count, word_count", "ON " + ", ".join(DESCRIPTORS))
+    body = _TOKEN_CTE + "," + body.replace("\nWITH f AS", "\nf AS", 1)
     return with_views(body, "texts") + f"""
-SELECT feature, ks_statistic, round(psi, {R9}) AS psi, drifted FROM fd"""
+SELECT feature, round(ks_statistic, {R9}) AS ks_statistic, round(psi, {R9}) AS psi, drifted FROM fd"""
 
 
 @register("d10_descriptor_drift", _descriptor_sql())
 def d10_descriptor_drift(spark, sf_dir):
-    """Text-descriptor drift — length, non-letter share, trigger words, emphasis through KS and PSI."""
-    t = texts(spark, sf_dir).withColumns({
-        "msg_len": T.msg_len("text"), "non_letter_pct": T.non_letter_pct("text"),
-        "has_trigger_word": T.has_trigger_word("text").cast("double"), "emphasis": T.emphasis("text").cast("double")})
-    is_ref = F.substring("source", 4, 10).cast("int") < 10
-    fd = D.feature_drift(t.filter(is_ref), t.filter(~is_ref), DESCRIPTORS)
-    return fd.select("feature", "ks_statistic", F.round("psi", R9).alias("psi"), "drifted")
+    """Text-descriptor drift — length, non-letter share, trigger words, emphasis, OOV share and sentiment through KS and PSI.
+
+    The token descriptors come from one pass over (text, token) counts and are folded into the same
+    (side, feature, value) table as the others.
+    """
+    t = _with_sides(spark, sf_dir)
+    native = t.select("side", T.msg_len("text").cast("double").alias("msg_len"), T.non_letter_pct("text").alias("non_letter_pct"),
+                      T.has_trigger_word("text").cast("double").alias("has_trigger_word"),
+                      T.emphasis("text").cast("double").alias("emphasis"))
+    by_token = D.token_descriptors(t, "doc_id", "text", lexicon_table(spark, sf_dir))
+    long = native.unpivot("side", NATIVE_DESCRIPTORS, "feature", "value").unionByName(
+        by_token.unpivot("side", ["oov_share", "lexicon_score"], "feature", "value"))
+    fd = D.drift_statistics(long)
+    return fd.select("feature", F.round("ks_statistic", R9).alias("ks_statistic"), F.round("psi", R9).alias("psi"), "drifted")
+
+
+# Upper tail of χ² as 1 - P, P by its series with the logarithm of the gamma function.
+_CHI2_SF = """1.0 - list_sum(list_transform(range(0, 600), lambda i:
+  exp((dof / 2.0 + i) * ln(x / 2.0) - x / 2.0 - lgamma(dof / 2.0 + i + 1.0))))"""
+
+
+def _dataset_drift_sql() -> str:
+    def chi(column: str) -> str:
+        return f"""SELECT '{column}' AS "column", sum(pow(o_ref - e_ref, 2) / e_ref + pow(o_cur - e_cur, 2) / e_cur) AS x, count(*) - 1 AS dof
+FROM (SELECT *, (o_ref + o_cur) * n_ref / (n_ref + n_cur) AS e_ref, (o_ref + o_cur) * n_cur / (n_ref + n_cur) AS e_cur
+      FROM (SELECT *, sum(o_ref) OVER () AS n_ref, sum(o_cur) OVER () AS n_cur FROM (
+              SELECT {column}, count(*) FILTER (WHERE side = 'ref') AS o_ref, count(*) FILTER (WHERE side = 'cur') AS o_cur
+              FROM f GROUP BY {column})))"""
+    return _q(f""", chi AS ({chi("lang")} UNION ALL {chi("label")}),
+tests AS (SELECT feature AS "column", 'ks' AS test, ks_statistic AS statistic, ks_p_value AS p_value FROM ksp
+  UNION ALL SELECT "column", 'chi2', x, CASE WHEN x <= 0 THEN 1.0 ELSE {_CHI2_SF} END FROM chi)
+SELECT "column", test, round(statistic, {R9}) AS statistic, round(p_value, {R9}) AS p_value, p_value < 0.05 AS drifted,
+       avg(CAST(p_value < 0.05 AS DOUBLE)) OVER () AS drift_share, avg(CAST(p_value < 0.05 AS DOUBLE)) OVER () > 0.3 AS dataset_drift
+FROM tests""")
 
 
-@register("d12_dataset_drift")
+@register("d12_dataset_drift", _dataset_drift_sql())
 def d12_dataset_drift(spark, sf_dir):
-    """All-column drift — KS on the numeric text features, χ² on language and label (rows-only)."""
+    """All-column drift — KS on the numeric text features, χ² on language and label, dataset verdict."""
+    ref, cur = _sides(spark, sf_dir)
+    out = D.dataset_drift(ref, cur, FEATURES, ["lang", "label"])
+    return out.withColumns({"statistic": F.round("statistic", R9), "p_value": F.round("p_value", R9)})
+
+
+#: Three runs made of slices of the current side's sources, with their times.
+RUNS = {"run-1": ("2024-01-08 00:00:00", 10, 12), "run-2": ("2024-01-15 00:00:00", 13, 15), "run-3": ("2024-01-22 00:00:00", 16, 19)}
+
+
+def _runs_sql() -> str:
+    cases = " ".join(f"WHEN no BETWEEN {lo} AND {hi} THEN '{run}'" for run, (_, lo, hi) in RUNS.items())
+    times = ", ".join(f"('{run}', TIMESTAMP '{t}')" for run, (t, _, _) in RUNS.items())
+    body = _FEAT_CTE[_FEAT_CTE.index("long AS ("):]
+    f = _FEAT_CTE[:_FEAT_CTE.index("long AS (")].replace("\nWITH f AS (", "\nWITH times(run, run_time) AS (VALUES " + times + "),\nf0 AS (").replace(
+        "AS side, label, lang,", "AS side, CAST(substring(source, 4) AS INTEGER) AS no, label, lang,")
+    f += f"""f AS (SELECT run, f0.* EXCLUDE (no) FROM f0 JOIN times ON side = 'ref' UNION ALL
+  SELECT CASE {cases} END AS run, * EXCLUDE (no) FROM f0 WHERE side = 'cur'),
+"""
+    # The same statistics keyed by (run, feature): both columns stand for the feature throughout.
+    body = (body.replace("UNPIVOT f ON", "UNPIVOT (SELECT * EXCLUDE (label, lang) FROM f) ON").replace("SELECT side, feature, value FROM (UNPIVOT", "SELECT side, run || '/' || feature AS feature, value FROM (UNPIVOT"))
+    body = body[:body.index("ld AS (")]
+    label = """lc AS (SELECT run, label, CAST(count(*) FILTER (WHERE side = 'ref') AS DOUBLE) AS r, CAST(count(*) FILTER (WHERE side = 'cur') AS DOUBLE) AS c
+  FROM f WHERE label IS NOT NULL GROUP BY run, label),
+ls AS (SELECT run, max(d) AS label_shift FROM (SELECT run, r, c, abs(c / sum(c) OVER w - r / sum(r) OVER w) AS d FROM lc WINDOW w AS (PARTITION BY run))
+  WHERE r > 0 AND c > 0 GROUP BY run),
+per AS (SELECT split_part(feature, '/', 1) AS run, max(n_cur) AS current_samples, count(*) AS n_features,
+  count(*) FILTER (WHERE drifted) AS n_drifted, max(ks_statistic) AS max_ks, max(psi) AS max_psi,
+  array_to_string(list_sort(list(split_part(feature, '/', 2)) FILTER (WHERE drifted)), ',') AS drifted_features
+  FROM fd JOIN n USING (feature) GROUP BY 1),
+runs AS (SELECT per.*, run_time, label_shift, coalesce(label_shift > 0.15, false) AS label_drifted,
+  (n_drifted + CAST(coalesce(label_shift > 0.15, false) AS INTEGER)) / greatest(n_features, 1) AS drift_share
+  FROM per JOIN times USING (run) LEFT JOIN ls USING (run)),
+h AS (SELECT *, row_number() OVER w AS run_no, lag(drift_share) OVER w AS previous FROM runs WINDOW w AS (ORDER BY run_time, run))"""
+    return with_views(f + body + label, "texts") + f"""
+SELECT run, run_time, CAST(current_samples AS BIGINT) AS current_samples, CAST(n_features AS BIGINT) AS n_features,
+  CAST(n_drifted AS BIGINT) AS n_drifted, round(max_ks, {R9}) AS max_ks, round(max_psi, {R9}) AS max_psi, coalesce(drifted_features, '') AS drifted_features,
+  round(label_shift, {R9}) AS label_shift, label_drifted, round(drift_share, {R9}) AS drift_share, drift_share > 0.3 AS overall_drift_detected,
+  CAST(run_no AS INTEGER) AS run_no, round(previous, {R9}) AS previous,
+  round(regr_slope(drift_share, run_no) OVER s, {R9}) AS trend, round(drift_share - previous, {R9}) AS change,
+  CAST(run_no - max(CASE WHEN drift_share > 0.3 THEN 0 ELSE run_no END) OVER s AS INTEGER) AS drift_streak
+FROM h WINDOW s AS (ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+@register("d14_drift_runs", _runs_sql())
+def d14_drift_runs(spark, sf_dir):
+    """Three drift runs over slices of the current side, with change, trend and streak from run to run."""
     ref, cur = _sides(spark, sf_dir)
-    ref = ref.withColumn("label", F.col("label").cast("string"))
-    cur = cur.withColumn("label", F.col("label").cast("string"))
-    return D.dataset_drift(ref, cur, FEATURES, ["lang", "label"])
+    no = F.substring("source", 4, 10).cast("int")
+    found = D.drift_runs(ref, {run: cur.filter(no.between(lo, hi)) for run, (_, lo, hi) in RUNS.items()}, FEATURES)
+    time = F.lit(None).cast("timestamp_ntz")
+    for run, (t, _, _) in RUNS.items():
+        time = F.when(F.col("run") == run, F.lit(t).cast("timestamp_ntz")).otherwise(time)
+    h = D.drift_history(found.withColumn("run_time", time)).withColumn("drifted_features", F.array_join("drifted_features", ","))
+    return h.withColumns({c: F.round(c, R9) for c in ("max_ks", "max_psi", "label_shift", "drift_share", "previous", "trend", "change")})

@@ -91,8 +91,8 @@ def m11_roc_auc(spark, sf_dir):
 
 @register("m11_roc_auc_prefix", _AUC_SQL)
 def m11_roc_auc_prefix(spark, sf_dir):
-    """M11 through score buckets from approximate quantiles (bounded tasks, exact value)."""
-    return ML.roc_auc(_scores(spark, sf_dir), strategy="prefix", buckets=16).select(
+    """M11 with score ranges of about 4 distinct scores each: the split that continuous scores get."""
+    return ML.roc_auc(_scores(spark, sf_dir), range_rows=4).select(
         F.round("roc_auc", 12).alias("roc_auc"))
 
 
@@ -112,8 +112,8 @@ def m12_avg_precision(spark, sf_dir):
 
 @register("m12_avg_precision_prefix", _AP_SQL)
 def m12_avg_precision_prefix(spark, sf_dir):
-    """M12 through score buckets (bounded tasks, exact value)."""
-    return ML.average_precision(_scores(spark, sf_dir), strategy="prefix", buckets=16).select(
+    """M12 with score ranges of about 4 distinct scores each."""
+    return ML.average_precision(_scores(spark, sf_dir), range_rows=4).select(
         F.round("avg_precision", 12).alias("avg_precision"))
 
 

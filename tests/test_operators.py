@@ -232,7 +232,7 @@ def test_psi_and_ks_against_numpy(spark):
     ks = np.max(np.abs(np.searchsorted(np.sort(ref), allv, "right") / len(ref)
                        - np.searchsorted(np.sort(cur), allv, "right") / len(cur)))
     assert D.ks_statistic(long).first()["ks_statistic"] == pytest.approx(ks)
-    assert D.ks_statistic(long, strategy="prefix", buckets=16).first()["ks_statistic"] == pytest.approx(ks)
+    assert D.ks_statistic(long, range_rows=16).first()["ks_statistic"] == pytest.approx(ks)
     same = D.unpivot(r, r, ["x"])
     assert D.psi(same).first()["psi"] == pytest.approx(0.0, abs=1e-12)
 
@@ -280,8 +280,8 @@ def test_auc_ap(spark):
     ap = 1 / 3 * 1 + 1 / 3 * 2 / 3 + 1 / 3 * 3 / 5
     assert ML.average_precision(df).first()["avg_precision"] == pytest.approx(ap)
     for b in (2, 4):
-        assert ML.roc_auc(df, strategy="prefix", buckets=b).first()["roc_auc"] == pytest.approx(auc)
-        assert ML.average_precision(df, strategy="prefix", buckets=b).first()["avg_precision"] == pytest.approx(ap)
+        assert ML.roc_auc(df, range_rows=b).first()["roc_auc"] == pytest.approx(auc)
+        assert ML.average_precision(df, range_rows=b).first()["avg_precision"] == pytest.approx(ap)
 
 
 def test_split_proportions(spark):
