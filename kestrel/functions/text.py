@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
+from .folding import one_to_many, one_to_one
 
 WS = f"[{lx.WS_CLASS_JAVA}]"
 TOKEN = f"[^{lx.WS_CLASS_JAVA}]"
@@ -227,28 +228,23 @@ def alt_feature_columns(c="text", categories=lx.KEYWORD_CATEGORIES,
 
 # --- F16–F18: cleaning, hard terms, hashing ----------------------------------------------
 
-# Latin letters with diacritics → ASCII base letter.  Built from a rule, not a copied table:
-# every code point of the Latin blocks whose canonical decomposition (NFD) is one ASCII letter
-# followed only by combining marks.
-def _latin_fold_table() -> tuple[str, str]:
-    import unicodedata
-    src, dst = [], []
-    for cp in list(range(0xC0, 0x250)) + list(range(0x1E00, 0x1F00)):
-        ch = chr(cp)
-        nfd = unicodedata.normalize("NFD", ch)
-        if (len(nfd) > 1 and nfd[0].isascii() and nfd[0].isalpha()
-                and all(unicodedata.category(m) == "Mn" for m in nfd[1:])):
-            src.append(ch)
-            dst.append(nfd[0])
-    return "".join(src), "".join(dst)
-
+def ascii_fold(c) -> Column:
+    """Fold compatibility forms, accents, ligatures, Cyrillic and Greek letters to ASCII (``folding``).
 
-_FOLD_FROM, _FOLD_TO = _latin_fold_table()
+    Characters that fold to one, or to none, go through one ``translate``.  Those that become several are
+    replaced only in texts that hold one; what is neither ASCII, letter, digit nor white space then goes.
+    """
+    t = _col(c)
+    many = one_to_many()
+    every = "".join(many.values())
 
-
-def ascii_fold(c) -> Column:
-    """Fold accented Latin letters to their ASCII base letter (native ``translate``)."""
-    return F.translate(_col(c), _FOLD_FROM, _FOLD_TO)
+    def expand(x: Column) -> Column:
+        for to, chars in many.items():
+            x = F.regexp_replace(x, F.lit(f"[{chars}]"), F.lit(to))
+        return x
+    t = _with_value(t, lambda x: F.when(x.rlike(f"[{every}]"), expand(x)).otherwise(x))
+    src, dst = one_to_one()
+    return F.regexp_replace(F.translate(t, src, dst), F.lit(rf"[^\x{{00}}-\x{{7F}}\p{{L}}\p{{N}}{lx.WS_CLASS_JAVA}]"), F.lit(""))
 
 
 def clean_text(c, leet: dict[str, str] = lx.LEET_MAP) -> Column:
@@ -272,7 +268,12 @@ def contains_any(c, terms: Iterable[str]) -> Column:
 def has_hard_term(c, terms: Iterable[str] | None = None) -> Column:
     if terms is None:
         terms = lx.load_hard_terms()
-    return contains_any(clean_text(c), terms)
+    terms = list(terms)
+    if not terms:
+        return F.lit(False)
+    # One alternation over the cleaned text, which is made once; most positions fail on its first letters.
+    firsts = "".join(sorted({_rx_quote(t[0]) for t in terms}))
+    return clean_text(c).rlike(f"(?=[{firsts}])(?:" + "|".join(_rx_quote(t) for t in terms) + ")")
 
 
 def text_hash(c) -> Column:

@@ -65,12 +65,10 @@ def select_candidates(log: DataFrame, labelled_hashes: DataFrame, as_of, n: int
 
 def candidate_stats(cands: DataFrame) -> DataFrame:
     """Counts by priority, by action and by report count in one GROUPING SETS aggregate."""
-    return (cands.groupingSets([["priority_score"], ["action_taken"], ["report_count"]],
-                               "priority_score", "action_taken", "report_count")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("dimension", F.when(F.col("priority_score").isNotNull(), "priority_score")
-                        .when(F.col("report_count").isNotNull(), "report_count")
-                        .otherwise("action_taken")))
+    dims = ["priority_score", "action_taken", "report_count"]
+    # The grouping flag tells the sets apart, also for groups whose own value is null.
+    dimension = F.coalesce(*[F.when(F.grouping(c) == 0, F.lit(c)) for c in dims])
+    return cands.groupingSets([[c] for c in dims], *dims).agg(F.count(F.lit(1)).alias("n"), dimension.alias("dimension"))
 
 
 def report_counts(log: DataFrame) -> DataFrame:
@@ -79,6 +77,17 @@ def report_counts(log: DataFrame) -> DataFrame:
                                                  F.sum("report_count").cast("bigint").alias("reports"))
 
 
+USER_REPORT = "USER_REPORT"
+
+
+def with_user_reports(log: DataFrame) -> DataFrame:
+    """``report_count`` = USER_REPORT rows about the same user and message, on every row of the log."""
+    reports = log.filter(F.col("severity") == USER_REPORT).groupBy(F.col("user_id").alias("__u"), F.col("message").alias("__m")).agg(
+        F.count(F.lit(1)).alias("__n"))
+    j = log.drop("report_count").join(reports, F.col("user_id").eqNullSafe(F.col("__u")) & F.col("message").eqNullSafe(F.col("__m")), "left")
+    return j.withColumn("report_count", F.coalesce("__n", F.lit(0)).cast("bigint")).drop("__u", "__m", "__n")
+
+
 def mark_reviewed(log: DataFrame, reviewed: DataFrame, as_of, keys=("user_id", "message")) -> DataFrame:
     """Set action HUMAN_REVIEWED and a review time on rows whose keys were labelled.
 

@@ -67,6 +67,36 @@ def fallback_score(hard: Column) -> Column:
                     F.when(hard, F.lit(0.95)).otherwise(F.lit(0.0)).alias("confidence"))
 
 
+def _held_and_more(d: DataFrame, keys: list[str], ts: str, id_col: str, bucket_us: int) -> DataFrame:
+    """Per row: violations held before it by the first rule (``__held``) and, from two on, by the second (``__more``).
+
+    What a bucket adds to ``__more`` depends on how many violations its key holds at its start only as
+    far as these are none, one, or two and more.  So each bucket is summed up for all three cases from its
+    own rows; a window over the few bucket rows finds the case and the sums each bucket
+    starts with, and they are joined back to the rows, which stay where they are.
+    """
+    d = d.withColumn("__bucket", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_us)))
+    local = Window.partitionBy(*keys, "__bucket").orderBy(ts, id_col).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("__in", F.coalesce(F.sum("__base").over(local), F.lit(0)))
+    counted = {s: F.when(F.col("__in") + s >= 2, F.coalesce("__repeat", F.lit(0))).otherwise(0) for s in (0, 1, 2)}
+    d = d.withColumns({f"__c{s}": c for s, c in counted.items()})
+    per = d.groupBy(*keys, "__bucket").agg(F.sum("__base").alias("__base"), *[F.sum(f"__c{s}").alias(f"__c{s}") for s in (0, 1, 2)])
+    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__start", F.coalesce(F.sum("__base").over(earlier), F.lit(0)))
+    per = per.withColumn("__added", F.when(F.col("__start") >= 2, F.col("__c2")).when(F.col("__start") == 1, F.col("__c1")).otherwise(F.col("__c0")))
+    per = per.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("__kb"), "__start",
+                     F.coalesce(F.sum("__added").over(earlier), F.lit(0)).alias("__before"))
+    on = F.col("__bucket").eqNullSafe(F.col("__kb"))
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    d = d.join(per, on)
+    mine = F.when(F.col("__start") >= 2, F.col("__c2")).when(F.col("__start") == 1, F.col("__c1")).otherwise(F.col("__c0"))
+    d = d.withColumn("__mine", mine)
+    return d.withColumns({"__held": F.col("__start") + F.col("__in"),
+                          "__more": F.col("__before") + F.coalesce(F.sum("__mine").over(local), F.lit(0))}).drop(
+        "__bucket", "__kb", "__start", "__before", "__in", "__mine", "__c0", "__c1", "__c2", *[f"__k{i}" for i in range(len(keys))])
+
+
 def strike_history(df: DataFrame, *, user: str = "user_id", ts: str = "ts", id_col: str = "msg_id",
                    hard: str = "hard_term", toxic: str = "is_toxic", conf: str = "confidence",
                    reset: str | None = None, band=(0.45, 0.55), bucket_us: int = 24 * 3_600_000_000) -> DataFrame:
@@ -91,11 +121,7 @@ def strike_history(df: DataFrame, *, user: str = "user_id", ts: str = "ts", id_c
         d = running_sum(d, [user], ts, id_col, {"__epoch": "__reset"}, bucket_us, inclusive=True)
     else:
         d = df.withColumn("__epoch", F.lit(0))
-    keys = [user, "__epoch"]
-    d = d.withColumns({"__base": b, "__repeat": r})
-    d = running_sum(d, keys, ts, id_col, {"__held": "__base"}, bucket_us)
-    d = d.withColumn("__counted", F.when(F.col("__held") >= 2, F.col("__repeat")).otherwise(0))
-    d = running_sum(d, keys, ts, id_col, {"__more": "__counted"}, bucket_us)
+    d = _held_and_more(d.withColumns({"__base": b, "__repeat": r}), [user, "__epoch"], ts, id_col, bucket_us)
     prior = F.when(F.col("__held") >= 2, F.lit(2) + F.col("__more")).otherwise(F.col("__held")).cast("bigint")
     d = d.withColumn("prior_violations", prior)
     d = d.withColumn("severity", severity(h, t, p, F.col("prior_violations"), band))
@@ -105,7 +131,7 @@ def strike_history(df: DataFrame, *, user: str = "user_id", ts: str = "ts", id_c
     d = d.withColumn("action_taken", action(F.col("severity"), F.col("strike_after")))
     if reset:
         d = d.filter(~is_reset)
-    return d.drop("__epoch", "__base", "__repeat", "__held", "__counted", "__more", "__reset")
+    return d.drop("__epoch", "__base", "__repeat", "__held", "__more", "__reset")
 
 
 def moderation_stats(log: DataFrame, as_of, days: int = 7, ts: str = "ts") -> DataFrame:

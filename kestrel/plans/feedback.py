@@ -72,8 +72,8 @@ def p15_priority_filter(spark, sf_dir):
 @register("a9_candidate_stats", with_views(_CAND_CTES + """
 SELECT CAST(priority_score AS INTEGER) AS priority_score, action_taken, CAST(report_count AS INTEGER) AS report_count,
        CAST(count(*) AS BIGINT) AS n,
-       CASE WHEN priority_score IS NOT NULL THEN 'priority_score'
-            WHEN report_count IS NOT NULL THEN 'report_count' ELSE 'action_taken' END AS dimension
+       CASE WHEN grouping(priority_score) = 0 THEN 'priority_score'
+            WHEN grouping(report_count) = 0 THEN 'report_count' ELSE 'action_taken' END AS dimension
 FROM cands GROUP BY GROUPING SETS ((priority_score), (action_taken), (report_count))""", "action_log"))
 def a9_candidate_stats(spark, sf_dir):
     """Candidate counts by priority, action and report count (one GROUPING SETS aggregate)."""
@@ -88,6 +88,21 @@ def a15_report_counts(spark, sf_dir):
     return FB.report_counts(action_log(spark, sf_dir))
 
 
+_REPORTED = """WITH l AS (SELECT user_id, message, CASE WHEN action_taken IS NULL AND severity = 'SAFE' AND confidence < 0.1 THEN 'USER_REPORT'
+  ELSE severity END AS severity, msg_id FROM action_log)"""
+
+
+@register("a15_user_reports", with_views(_REPORTED + """
+SELECT msg_id, CAST(count(*) FILTER (WHERE severity = 'USER_REPORT') OVER (PARTITION BY user_id, message) AS BIGINT) AS report_count
+FROM l""", "action_log"))
+def a15_user_reports(spark, sf_dir):
+    """Reports counted from the log's USER_REPORT rows (here: its quietest safe rows) onto every row."""
+    log = action_log(spark, sf_dir)
+    quiet = F.col("action_taken").isNull() & (F.col("severity") == "SAFE") & (F.col("confidence") < 0.1)
+    log = log.withColumn("severity", F.when(quiet, F.lit(FB.USER_REPORT)).otherwise(F.col("severity")))
+    return FB.with_user_reports(log).select("msg_id", "report_count")
+
+
 @register("p22_mark_reviewed", with_views(_CAND_CTES + f"""
 SELECT a.msg_id,
        CASE WHEN r.user_id IS NOT NULL THEN 'HUMAN_REVIEWED' ELSE a.action_taken END AS action_taken,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
+from ..functions.folding import fold_table
 from ..functions import text as T
 from ..sources.tables import messages, read_table, with_views
 from . import register
@@ -89,16 +90,22 @@ def f_alt_features(spark, sf_dir):
     return d.select("doc_id", *[c.alias(n) for n, c in T.alt_feature_columns("text").items()])
 
 
+_FOLD_MAP = "MAP {" + ", ".join(f"'{c}': '{f.replace(chr(39), chr(39) * 2)}'" for c, f in fold_table().items()) + "}"
+
+
 def _clean_sql(expr: str) -> str:
     src, dst = "".join(lx.LEET_MAP), "".join(lx.LEET_MAP.values())
-    return (f"lower(trim(translate(regexp_replace(strip_accents(coalesce({expr}, '')), '[{WS}]+', '', 'g'), "
-            f"'{src}', '{dst}')))")
+    folded = (f"array_to_string(list_transform(string_split(coalesce({expr}, ''), ''), "
+              f"lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE coalesce(m[c], c) END), '')")
+    signs = f"regexp_replace({folded}, '[^\\x{{00}}-\\x{{7F}}\\p{{L}}\\p{{N}}{WS}]', '', 'g')"
+    return f"lower(trim(translate(regexp_replace({signs}, '[{WS}]+', '', 'g'), '{src}', '{dst}')))"
 
 
 @register("f16_clean_text", f"""
+WITH fold AS (SELECT {_FOLD_MAP} AS m)
 SELECT conv_id, turn, md5({_clean_sql('text')}) AS clean_hash,
        CAST(length({_clean_sql('text')}) AS BIGINT) AS clean_len
-FROM conversations""")
+FROM conversations, fold""")
 def f16_clean_text(spark, sf_dir):
     """F16: evasion-normalising cleaner on every conversation turn (hash + length of the result)."""
     c = read_table(spark, sf_dir, "conversations")
@@ -108,8 +115,9 @@ def f16_clean_text(spark, sf_dir):
 
 
 def _hard_terms_sql():
-    cond = " OR ".join(f"contains({_clean_sql('text')}, '{t}')" for t in lx.load_hard_terms())
-    return f"SELECT doc_id, ({cond}) AS has_hard_term, md5(text) AS text_hash FROM documents"
+    cond = " OR ".join(f"contains(x, '{t}')" for t in lx.load_hard_terms())
+    return (f"WITH fold AS (SELECT {_FOLD_MAP} AS m), d AS (SELECT doc_id, text, {_clean_sql('text')} AS x FROM documents, fold) "
+            f"SELECT doc_id, ({cond}) AS has_hard_term, md5(text) AS text_hash FROM d")
 
 
 @register("f17_f18_hard_terms_hash", _hard_terms_sql())

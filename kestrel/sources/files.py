@@ -131,9 +131,10 @@ def read_users(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 def read_action_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """S5/F-7: action log; ``metadata`` JSON → map, plus the candidate-query view columns
-    (confidence, channel_id from metadata, review_timestamp)."""
+    (confidence, channel_id from metadata, report_count from the USER_REPORT rows, review_timestamp)."""
+    from ..operators.feedback import with_user_reports
     df = spark.read.schema(LOGS_SCHEMA).format(fmt).load(path)
     meta = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return df.withColumns({"metadata": meta, "confidence": F.col("toxicity_score"),
-                           "channel_id": meta["channel_id"],
-                           "review_timestamp": F.lit(None).cast("timestamp_ntz")})
+    return with_user_reports(df.withColumns({"metadata": meta, "confidence": F.col("toxicity_score"),
+                                             "channel_id": meta["channel_id"],
+                                             "review_timestamp": F.lit(None).cast("timestamp_ntz")}))

@@ -521,3 +521,36 @@ def test_session_sets_no_master_unless_asked(monkeypatch):
     with pytest.raises(KeyboardInterrupt):
         session.build_session()
     assert "master" not in seen and seen["spark.ui.enabled"] == "false"
+
+
+def test_folding_of_look_alikes(spark):
+    from kestrel.functions import folding, text as TX
+    cases = {"ｈａｔｅ": "hate", "løser": "loser", "straße": "strasse", "кill": "kill", "k\u200bi\u0301ll": "kill", "𝓴𝖎𝐥𝟏": "kili", "ﬂat Ｆ": "flatf",
+             "Щука": "shchuka", "ΑΒΓ": "abg", "h😀a—t’e": "ha--t'e", "ⓗⓐⓣⓔ": "hate", "日本": "日本", "": "", "x\u00a0y": "xy", "Æø": "aeo"}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, "")], "t string, want string")
+    got = df.select("t", "want", TX.clean_text("t").alias("got"), TX.has_hard_term("t", ["hate", "loser", "(x"]).alias("hard")).collect()
+    assert [(r["t"], r["got"]) for r in got] == [(r["t"], r["want"]) for r in got]
+    assert [r["t"] for r in got if r["hard"]] == ["ｈａｔｅ", "løser", "ⓗⓐⓣⓔ"]
+    assert TX.clean_text and all(f.isascii() for f in folding.fold_table().values())
+
+
+def test_candidate_stats_with_null_values(spark):
+    from kestrel.operators import feedback as FB
+    rows = spark.createDataFrame([(None, "A", 1), (10, None, None), (10, "A", 1)], "priority_score int, action_taken string, report_count int")
+    got = {(r["dimension"], r["priority_score"], r["action_taken"], r["report_count"]): r["n"] for r in FB.candidate_stats(rows).collect()}
+    assert got == {("priority_score", None, None, None): 1, ("priority_score", 10, None, None): 2, ("action_taken", None, "A", None): 2,
+                   ("action_taken", None, None, None): 1, ("report_count", None, None, 1): 2, ("report_count", None, None, None): 1}
+
+
+def test_first_per_key_with_text_and_time_keys(spark):
+    rows = spark.createDataFrame([(1, "b", 1, "x"), (1, "a", 2, "y"), (1, "b", 3, "z"), (None, "q", 4, "n"), (2, None, 5, "m")], "k long, s string, i long, v string")
+    down = {r["k"]: r["v"] for r in H.first_per_key(rows, "k", [(F.col("s"), False), (F.col("i"), False)]).collect()}
+    up = {r["k"]: r["v"] for r in H.first_per_key(rows, "k", [(F.col("s"), True), (F.col("i"), True)]).collect()}
+    assert down == {1: "z", None: "n", 2: "m"} and up == {1: "y", None: "n", 2: "m"}
+
+
+def test_user_reports_are_rows(spark):
+    from kestrel.operators import feedback as FB
+    log = spark.createDataFrame([(1, "u", "m", "LOW"), (2, "u", "m", "USER_REPORT"), (3, "u", "m", "USER_REPORT"), (4, "u", None, "USER_REPORT"),
+                                 (5, "v", "m", None)], "id long, user_id string, message string, severity string")
+    assert {r["id"]: r["report_count"] for r in FB.with_user_reports(log).collect()} == {1: 2, 2: 2, 3: 2, 4: 1, 5: 0}

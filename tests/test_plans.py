@@ -25,9 +25,19 @@ def test_no_python_or_cross_joins_in_batch_plans(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
-def test_feature_build_two_exchanges(spark):
-    plan = _plan(load_all()["e1_feature_build"].build(spark, SF001))
-    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+def _final_plan(df) -> str:
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("Final Plan"): plan.index("Initial Plan")]
+
+
+def test_history_exchanges_and_reads(spark):
+    """Totals, their window, rows by user, rows by channel; two reads.  H9: rows, bucket totals, their way back."""
+    for name, exchanges, reads in (("e1_feature_build", 4, 2), ("h1_user_7d", 3, 2), ("h9_strike_history", 4, 2)):
+        plan = _final_plan(load_all()[name].build(spark, SF001))
+        shuffles = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "ReusedExchange" not in x]
+        assert len(shuffles) <= exchanges, name
+        assert len(re.findall(r"FileScan|Scan parquet", plan)) <= reads, name
 
 
 def test_lookback_filter_pushed_down(spark):
