@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCAModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .svd import PopulationScaler, TruncatedSVD
+
 
 def with_class_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
     """A3 → M7: positives weighted by negatives/positives, 1 if there are none (a scalar subquery)."""
@@ -22,13 +25,28 @@ def with_class_weights(df: DataFrame, label: str = "label", weight: str = "weigh
     return df.withColumn(weight, F.when(F.col(label) == 1, F.coalesce(w, F.lit(1.0))).otherwise(F.lit(1.0)))
 
 
+def feature_stages(vec_col: str, tabular: Sequence[str], k: int, output: str = "features") -> list:
+    """M3 (uncentred truncated SVD to k) and M4 (standard scaling of the tabular columns) fused by M5.
+
+    The scaler is fitted with the pipeline, on the training rows; std 0 counts as 1.
+    """
+    stages = [TruncatedSVD(k, vec_col, "reduced")]
+    if tabular:
+        stages += [VectorAssembler(inputCols=list(tabular), outputCol="tabular", handleInvalid="keep"),
+                   PopulationScaler("tabular", "scaled")]
+    return [*stages, VectorAssembler(inputCols=["reduced", *(["scaled"] if tabular else [])], outputCol=output, handleInvalid="keep")]
+
+
 def training_pipeline(vec_col: str, tabular: Sequence[str], k: int = 16, reg: float = 0.01) -> Pipeline:
-    """M3 (PCA to k) → M5 (assemble with tabular columns) → M7 (weighted logistic regression)."""
-    stages = [PCA(k=k, inputCol=vec_col, outputCol="reduced"),
-              VectorAssembler(inputCols=["reduced", *tabular], outputCol="features", handleInvalid="keep"),
-              LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
-                                 regParam=reg, maxIter=50, probabilityCol="probability")]
-    return Pipeline(stages=stages)
+    """M3 + M4 → M5 (fuse) → M7 (weighted logistic regression)."""
+    return Pipeline(stages=[*feature_stages(vec_col, tabular, k),
+                            LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
+                                               regParam=reg, maxIter=50, probabilityCol="probability")])
+
+
+def variance_retained(model) -> float:
+    """M3: share of the vectors' variance that a fitted pipeline's projection keeps."""
+    return float(next(s for s in model.stages if isinstance(s, PCAModel)).explainedVariance.toArray().sum())
 
 
 def score(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -39,14 +57,32 @@ def score(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
         "confidence": F.greatest(F.col("p_toxic"), 1 - F.col("p_toxic"))})
 
 
-def coefficient_importance(model, names: Sequence[str], n: int = 20) -> DataFrame:
-    """M14 + O8: |coefficient| per assembled feature, top ``n`` (a bounded top-k)."""
+def feature_names(k: int, tabular: Sequence[str] = ()) -> list[str]:
+    """Names of the fused features, in their order."""
+    return [*(f"svd_{i}" for i in range(k)), *tabular]
+
+
+def feature_importance(model, names: Sequence[str], n: int = 20) -> DataFrame | None:
+    """M14 + O8: the ``n`` most important features of a fitted model or pipeline (a bounded top-k).
+
+    Tree models: their importances.  Linear models: mean |coefficient| over the classes.  Others: None.
+    """
     from pyspark.sql import SparkSession
-    lr = model.stages[-1]
-    coefs = lr.coefficients.toArray().tolist()
+    last = model.stages[-1] if hasattr(model, "stages") else model
+    if hasattr(last, "featureImportances"):
+        found = last.featureImportances.toArray()
+    elif hasattr(last, "coefficientMatrix"):
+        found = np.abs(last.coefficientMatrix.toArray()).mean(axis=0)
+    elif hasattr(last, "coefficients"):
+        found = np.abs(last.coefficients.toArray())
+    else:
+        return None
+    rows = [(names[i] if i < len(names) else f"f{i}", float(x)) for i, x in enumerate(found)]
     spark = SparkSession.getActiveSession()
-    rows = [(names[i] if i < len(names) else f"f{i}", abs(float(c))) for i, c in enumerate(coefs)]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance")).limit(n)
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
+
+
+coefficient_importance = feature_importance
 
 
 def embeddings_frame(emb: DataFrame) -> DataFrame:
@@ -79,10 +115,11 @@ SEARCH_SPACE = {
 }
 
 
-def reduced_once(train: DataFrame, *others: DataFrame, vec_col: str = "vec", k: int = 16) -> list[DataFrame]:
-    """M3: PCA fitted on ``train`` once; all frames with their ``features``, kept until unpersisted."""
-    model = PCA(k=k, inputCol=vec_col, outputCol="features").fit(train)
-    return [model.transform(df).drop(vec_col).persist() for df in (train, *others)]
+def reduced_once(train: DataFrame, *others: DataFrame, vec_col: str = "vec", k: int = 16, tabular: Sequence[str] = ()) -> list[DataFrame]:
+    """M3–M5 fitted on ``train`` once; all frames with their ``features``, kept until unpersisted."""
+    model = Pipeline(stages=feature_stages(vec_col, tabular, k)).fit(train)
+    made = [c for c in ("reduced", "tabular", "scaled", vec_col)]
+    return [model.transform(df).drop(*made).persist() for df in (train, *others)]
 
 
 def search(train: DataFrame, val: DataFrame, kind: str) -> tuple[dict, float, object]:
@@ -103,12 +140,13 @@ def search(train: DataFrame, val: DataFrame, kind: str) -> tuple[dict, float, ob
     return best
 
 
-def tournament(train: DataFrame, val: DataFrame, test: DataFrame, kinds=("logistic", "random_forest", "gbt")) -> DataFrame:
+def tournament(train: DataFrame, val: DataFrame, test: DataFrame, kinds=("logistic", "random_forest", "gbt"),
+               tabular: Sequence[str] = ()) -> DataFrame:
     """M15 + O9: search each model type's whole space, skip failures, rank survivors by test F2 (all failed → error)."""
     from pyspark.sql import SparkSession
     from .ml import best_threshold, threshold_sweep
     rows = []
-    kept = train, val, test = reduced_once(train, val, test)
+    kept = train, val, test = reduced_once(train, val, test, tabular=tabular)
     for kind in kinds:
         try:
             params, val_f2, model = search(train, val, kind)

@@ -137,21 +137,52 @@ def m4_standard_scale(spark, sf_dir):
     return z.select("msg_id", F.round("confidence_z", 9).alias("confidence_z"))
 
 
+TABULAR = ["msg_len", "caps_ratio", "slur_count", "word_count"]
+
+
+def _training_rows(spark, sf_dir):
+    """Vectors with label and the tabular features of the text of the same id (0 where there is none), split by M6."""
+    from ..functions import text as T
+    from ..operators import training as TR
+    from ..sources.tables import read_table
+    fc = T.feature_columns("text")
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), *[fc[c].cast("double").alias(c) for c in TABULAR])
+    emb = TR.embeddings_frame(read_table(spark, sf_dir, "embeddings")).join(d, "vec_id", "left").fillna(0.0, TABULAR)
+    return ML.stratified_split(emb, "label", "vec_id")
+
+
 @register("m7_train_score")
 def m7_train_score(spark, sf_dir):
-    """M3 + M5 + M7 + M17: PCA → assemble → weighted logistic regression; score the test split.
+    """M3 + M4 + M5 + M7 + M17: SVD and scaled tabular columns fused, weighted logistic regression, test split scored.
 
     Rows-only check (learned weights have no SQL oracle); metrics M10–M13 apply to the output.
     """
     from ..operators import training as TR
-    from ..sources.tables import read_table
-    emb = TR.embeddings_frame(read_table(spark, sf_dir, "embeddings"))
-    split = ML.stratified_split(emb, "label", "vec_id")
+    split = _training_rows(spark, sf_dir)
     train = TR.with_class_weights(split.filter(F.col("split") == "train"))
-    model = TR.training_pipeline("vec", [], k=16).fit(train)
+    model = TR.training_pipeline("vec", TABULAR, k=16).fit(train)
     return TR.score(model, split.filter(F.col("split") == "test")).select("vec_id", "label", "prediction", "confidence")
 
 
+@register("m3_variance_retained", """
+WITH x AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT i, avg(CAST(x AS DOUBLE)) AS mean, var_pop(CAST(x AS DOUBLE)) AS var FROM x GROUP BY i)
+SELECT CAST((SELECT count(*) FROM embeddings) AS BIGINT) AS n, round(sum(var), 6) AS total_variance,
+       CAST(1.0 AS DOUBLE) AS variance_retained FROM m""")
+def m3_variance_retained(spark, sf_dir):
+    """M3: the vectors' total variance, all of it retained by as many components as columns (projected and measured)."""
+    from ..operators.svd import TruncatedSVD
+    from ..operators import training as TR
+    from ..sources.tables import read_table
+    from pyspark.ml.functions import vector_to_array
+    emb = TR.embeddings_frame(read_table(spark, sf_dir, "embeddings"))
+    model = TruncatedSVD(64, "vec", "z").fit(emb)
+    z = model.transform(emb).select(F.posexplode(vector_to_array("z")).alias("i", "z"))
+    per = z.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.var_pop("z").alias("v"))
+    return per.agg(F.max("n").alias("n"), F.round(F.sum("v"), 6).alias("total_variance"),
+                   F.round(F.lit(model.svd.variance_retained), 6).alias("variance_retained"))
+
+
 @register("m1_embed_documents")
 def m1_embed_documents(spark, sf_dir):
     """M1: 64-d hashed, L2-normalised embedding of every whole document (native encoder; rows-only)."""
@@ -167,10 +198,8 @@ def m1_embed_documents(spark, sf_dir):
 def m15_tournament(spark, sf_dir):
     """M8 + M15 + O9: whole-space search per model type on the embeddings, leaderboard by test F2 (rows-only)."""
     from ..operators import training as TR
-    from ..sources.tables import read_table
-    emb = TR.embeddings_frame(read_table(spark, sf_dir, "embeddings"))
-    split = ML.stratified_split(emb, "label", "vec_id").persist()  # split once, for all fits
+    split = _training_rows(spark, sf_dir).persist()  # split once, for all fits
     train = TR.with_class_weights(split.filter(F.col("split") == "train"))
-    board = TR.tournament(train, split.filter(F.col("split") == "val"), split.filter(F.col("split") == "test"))
+    board = TR.tournament(train, split.filter(F.col("split") == "val"), split.filter(F.col("split") == "test"), tabular=TABULAR)
     split.unpersist()
     return board

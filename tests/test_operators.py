@@ -554,3 +554,39 @@ def test_user_reports_are_rows(spark):
     log = spark.createDataFrame([(1, "u", "m", "LOW"), (2, "u", "m", "USER_REPORT"), (3, "u", "m", "USER_REPORT"), (4, "u", None, "USER_REPORT"),
                                  (5, "v", "m", None)], "id long, user_id string, message string, severity string")
     assert {r["id"]: r["report_count"] for r in FB.with_user_reports(log).collect()} == {1: 2, 2: 2, 3: 2, 4: 1, 5: 0}
+
+
+def test_truncated_svd_equals_numpy(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from kestrel.operators import svd as SVD
+    from kestrel.operators import training as TR
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (200, 6)) * [5, 3, 2, 1, .5, .1] + 2.0
+    df = spark.createDataFrame([(i, [float(v) for v in row], float(i % 7), 3.0, i % 2) for i, row in enumerate(x)],
+                               "id long, a array<double>, t double, const double, label int").withColumn("vec", array_to_vector("a"))
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    got = SVD.decompose(df, "vec", 3)
+    assert np.allclose(got.singular_values, s[:3], rtol=1e-9) and np.allclose(np.abs(got.components.T), np.abs(vt[:3]), atol=1e-6)
+    ratio = (x @ vt[:3].T).var(axis=0) / x.var(axis=0).sum()
+    assert np.allclose(got.variance_ratio, ratio, atol=1e-9) and SVD.decompose(df, "vec", 6).variance_retained == pytest.approx(1.0)
+    model = Pipeline(stages=TR.feature_stages("vec", ["t", "const"], 3)).fit(df)
+    assert TR.variance_retained(model) == pytest.approx(ratio.sum())
+    model.write().overwrite().save(str(tmp_path / "m"))
+    out = PipelineModel.load(str(tmp_path / "m")).transform(df).orderBy("id").select(vector_to_array("features").alias("f")).toPandas()["f"]
+    f = np.array(out.tolist())
+    assert np.allclose(np.abs(f[:, :3]), np.abs(x @ vt[:3].T), atol=1e-6)
+    t = np.array([i % 7 for i in range(200)], float)
+    assert np.allclose(f[:, 3], (t - t.mean()) / t.std()) and not f[:, 4].any()
+
+
+def test_importances_of_trees_and_linear_models(spark):
+    from pyspark.ml.functions import array_to_vector
+    from kestrel.operators import training as TR
+    rows = [(i, [float(i % 2), float((i * 7) % 5)], i % 2) for i in range(80)]
+    df = TR.with_class_weights(spark.createDataFrame(rows, "id long, a array<double>, label int").withColumn("features", array_to_vector("a")))
+    for kind in ("logistic", "random_forest", "gbt"):
+        params = {"logistic": {"regParam": 0.01}, "random_forest": {"numTrees": 3}, "gbt": {"maxIter": 2}}[kind]
+        top = TR.feature_importance(TR._learner(kind, params).fit(df), ["signal", "noise"], 1).collect()
+        assert [r["feature"] for r in top] == ["signal"]
+    assert TR.feature_importance(object(), []) is None
