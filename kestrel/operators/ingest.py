@@ -207,6 +207,28 @@ def quality_report(df: DataFrame, label: str = "label", key_features=("msg_len",
     return out.withColumn("failed", F.coalesce(failed, F.lit(False)))
 
 
+def prepare_batch(raw: DataFrame, as_of, text: str = "text", user: str = "user_id", lo: int = 3, hi: int = 5000) -> DataFrame:
+    """The ingestion pipeline for raw log rows: P1 contract, P2 lengths, P3 labels, P5 time, hash, O4 first per hash, features,
+    P6 history defaults and H10 user statistics; numeric nulls become 0 (P7)."""
+    from ..functions.text import feature_columns
+    from .history import group_stats_onto_rows
+    b = length_filter(require_columns(raw, [text, user]), text, lo, hi)
+    b = ensure_hash(add_ingested_at(resolve_labels(b), as_of), text)
+    by_time = [(F.unix_micros(F.col("ts").cast("timestamp")), False)] if "ts" in raw.columns else [(F.xxhash64(text, user), True)]
+    b = dedupe_first(b, "text_hash", by_time)
+    b = fill_missing_history(b.withColumns(feature_columns(text)))
+    return fill_numeric(group_stats_onto_rows(b, user, "label", "user_msg_count_total", "user_toxicity_rate"))
+
+
+#: Checks whose failure keeps a batch out; the others are warnings.
+BLOCKING = ("null_ratio_mean", "minority_ratio")
+
+
+def quality_failed(batch: DataFrame, blocking: Sequence[str] = BLOCKING, **limits) -> bool:
+    """Whether a blocking check of the quality report failed (one small aggregate)."""
+    return quality_report(batch, **limits).filter(F.col("check").isin(*blocking) & F.col("failed")).limit(1).count() > 0
+
+
 def ingestion_summary(master: DataFrame, new: DataFrame, merged: DataFrame) -> DataFrame:
     """A10: new rows, master size before and after, duplicates removed — one aggregate, one row."""
     tagged = (master.select(F.lit(0).alias("__s")).unionByName(new.select(F.lit(1).alias("__s")))

@@ -6,8 +6,8 @@ batch expressions unchanged; the per-user strike counter (X4) is keyed state; co
 and hourly user aggregates (X7) are watermarked tumbling windows; ingestion (X8) merges each
 micro-batch into the master snapshot inside ``foreachBatch``.
 
-Late data policy: watermark 1 hour.  Rows later than that are dropped by windowed
-aggregations (X6, X7); X4 processes rows in arrival order, sorted by event time inside each
+Late data policy: watermark 1 hour.  Rows later than that are dropped by the windowed
+aggregations here; ``late`` keeps them in a table of their own and merges them later.  X4 processes rows in arrival order, sorted by event time inside each
 micro-batch, and flags rows older than the user's last processed event.  A micro-batch is bounded
 by the source's ``maxFilesPerTrigger``; X4 shuffles only ids, times and two verdicts per message.
 """
@@ -176,23 +176,52 @@ def dedupe_stream(stream: DataFrame, key: str = "text_hash", ts: str = "ts", wat
 
 def ingest_batches(master_path: str, key: str = "text_hash", order_col: str = "ts",
                    prepare: Callable[[DataFrame], DataFrame] | None = None):
-    """``foreachBatch`` handler merging each micro-batch into a new master snapshot.
+    """``foreachBatch`` handler merging each micro-batch into the master.
 
-    ``prepare`` is the batch pipeline applied to the new rows (P2, P3, features, quality gate).  The
-    batch is deduped even when there is no master yet.  Snapshot ids only grow, whatever the
-    stream's own batch ids are, so a new checkpoint never hides new rows behind an old snapshot
-    and no folder is overwritten while it is read; a replayed batch merges to the same rows.
+    The master is cut into buckets by a hash of the key (``sinks.hashed``): a batch reads and rewrites the buckets its rows
+    fall into, a new version carries all others over.  ``prepare`` turns raw rows into master rows.  The batch is
+    deduped even when there is no master yet.  Versions only grow, whatever the stream's own batch
+    ids are, and nothing is overwritten while it is read; a replayed batch merges to the same rows.
     """
-    from ..operators.history import first_per_key
-    from ..operators.ingest import merge_dedupe
-    from ..sinks.snapshots import latest_snapshot, next_snapshot_id, write_snapshot
+    from ..sinks.hashed import merge_into
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
         new = prepare(batch) if prepare else batch
-        order = [(micros(order_col), False)]
-        prev = latest_snapshot(spark, master_path)
-        merged = (merge_dedupe(prev, new, key, order) if prev is not None
-                  else first_per_key(new, key, order).select(*new.columns))
-        write_snapshot(merged, master_path, next_snapshot_id(spark, master_path))
+        new = new.persist()
+        try:
+            merge_into(new, master_path, key, [(micros(order_col), False)])
+        finally:
+            new.unpersist()
+    return handle
+
+
+def ingest_logs(master_path: str, report_path: str, as_of=None, min_rows: int = 10, key: str = "text_hash"):
+    """X8 with its whole pipeline: each micro-batch of log rows is prepared, checked and merged.
+
+    ``ingest.prepare_batch`` (P1–P3, P5, P6, O4, features) and the gates (P4 sample gate, A4–A8 quality verdict) decide; a batch that fails
+    a gate is not merged.  One report row per batch is appended to ``report_path`` under its epoch: status, sizes of batch and
+    master, duplicates removed (A10).  ``as_of`` fixes the ingestion time; by default it is the batch's newest ``ts``.
+    """
+    from ..operators import ingest as I
+    from ..sinks.hashed import merge_into, read_master
+
+    def handle(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        time = as_of or batch.agg(F.max("ts")).first()[0]
+        new = I.prepare_batch(batch, time).persist()
+        try:
+            n = new.count()
+            before = read_master(spark, master_path)
+            had = before.count() if before is not None else 0
+            status = "too_few" if n < min_rows else "quality_failed" if I.quality_failed(new) else "merged"
+            if status == "merged":
+                merge_into(new, master_path, key, [(micros("ts"), False)])
+            now = read_master(spark, master_path)
+            has = now.count() if now is not None else 0
+            row = [(status, n, had, has, had + n - has if status == "merged" else 0)]
+            (spark.createDataFrame(row, "status string, new_samples bigint, master_size_before bigint, master_size_after bigint, duplicates_removed bigint")
+             .withColumn("epoch", F.lit(epoch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("epoch").parquet(report_path))
+        finally:
+            new.unpersist()
     return handle

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from kestrel.operators import moderation as M
+from kestrel.sinks import hashed as HM
 from kestrel.sinks import snapshots as K
 from kestrel.sources import files as S
 from kestrel.sources.tables import messages
@@ -78,13 +79,13 @@ def test_ingest_first_batch_new_checkpoint_and_replay(spark):
     batch = lambda *rows: spark.createDataFrame(
         [(h, t0 + dt.timedelta(hours=n), v) for h, n, v in rows], "text_hash string, ts timestamp_ntz, v int")
     handle = X.ingest_batches(f"{d}/m", prepare=lambda b: b.filter("v > 0"))
-    held = lambda: {r["text_hash"]: r["v"] for r in K.latest_snapshot(spark, f"{d}/m").collect()}
+    held = lambda: {r["text_hash"]: r["v"] for r in HM.read_master(spark, f"{d}/m").collect()}
     handle(batch(("a", 0, 1), ("a", 1, 2), ("b", 0, 3), ("z", 0, 0)), 0)
-    assert held() == {"a": 2, "b": 3} and K.latest_snapshot(spark, f"{d}/m").count() == 2
+    assert held() == {"a": 2, "b": 3} and HM.read_master(spark, f"{d}/m").count() == 2
     handle(batch(("c", 0, 4)), 0)  # a new checkpoint restarts the stream's batch ids
     assert held() == {"a": 2, "b": 3, "c": 4}
     handle(batch(("c", 0, 4)), 0)  # the same batch again
-    assert held() == {"a": 2, "b": 3, "c": 4} and K.snapshot_ids(spark, f"{d}/m") == [0, 1, 2]
+    assert held() == {"a": 2, "b": 3, "c": 4} and K.snapshot_ids(spark, f"{d}/m/manifests") == [0, 1, 2]
 
 
 def test_featurize_and_counters_stream(spark):
@@ -107,11 +108,13 @@ def test_ingest_foreach_batch_snapshots(spark):
     q = (stream.writeStream.foreachBatch(X.ingest_batches(f"{d}/master", "text_hash", "ts"))
          .option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
-    ids = K.snapshot_ids(spark, f"{d}/master")
+    ids = K.snapshot_ids(spark, f"{d}/master/manifests")
     assert len(ids) == 2
-    latest = K.latest_snapshot(spark, f"{d}/master")
+    latest = HM.read_master(spark, f"{d}/master")
     assert latest.count() == messages(spark, SF001).select("user_id").distinct().count()
-    assert K.retain(spark, f"{d}/master", 1) == ids[:1]
+    K.write_snapshot(latest, f"{d}/backup", 0)
+    K.write_snapshot(latest, f"{d}/backup", 1)
+    assert K.retain(spark, f"{d}/backup", 1) == [0] and K.latest_snapshot(spark, f"{d}/backup").count() == latest.count()
 
 
 def test_sources(spark):
