@@ -34,12 +34,13 @@ def embed_hashing(df: DataFrame, text: str = "text", dim: int = 64, out: str = "
 
 
 def embed_with_model(df: DataFrame, text: str, load_encoder: Callable[[], Callable[[list[str]], np.ndarray]],
-                     dim: int, batch_size: int = 32, max_chars: int | None = None,
+                     dim: int, batch_size: int = 32, chunk_chars: int | None = None,
                      out: str = "embedding") -> DataFrame:
     """Pluggable encoder, loaded once per task, applied to batches of ``batch_size`` texts.
 
-    ``load_encoder()`` returns ``encode(list[str]) -> ndarray[n, dim]``.  ``max_chars`` lets an
-    encoder with a fixed context truncate its own input; the stored text is untouched.
+    ``load_encoder()`` returns ``encode(list[str]) -> ndarray[n, dim]``.  For an encoder with a fixed context,
+    ``chunk_chars`` cuts each whole text into pieces of at most that length; a text's vector is the
+    mean of its pieces' vectors weighted by their lengths.
     """
     schema = f"{', '.join(f'`{c}` {t}' for c, t in df.dtypes)}, `{out}` array<float>"
 
@@ -47,13 +48,16 @@ def embed_with_model(df: DataFrame, text: str, load_encoder: Callable[[], Callab
         encode = load_encoder()
         for pdf in batches:
             texts = pdf[text].fillna("").astype(str).tolist()
-            if max_chars:
-                texts = [t[:max_chars] for t in texts]
-            vecs = []
-            for i in range(0, len(texts), batch_size):
-                v = np.asarray(encode(texts[i:i + batch_size]), dtype=np.float32).reshape(-1, dim)
-                vecs.extend(list(v))
-            yield pdf.assign(**{out: vecs})
+            pieces = [(i, t[at: at + chunk_chars] if chunk_chars else t)
+                      for i, t in enumerate(texts) for at in (range(0, max(len(t), 1), chunk_chars) if chunk_chars else (0,))]
+            total, weight = np.zeros((len(texts), dim)), np.zeros(len(texts))
+            for i in range(0, len(pieces), batch_size):
+                part = pieces[i: i + batch_size]
+                v = np.asarray(encode([t for _, t in part]), dtype=np.float32).reshape(-1, dim)
+                at, w = np.array([j for j, _ in part]), np.array([max(len(t), 1) for _, t in part], float)
+                np.add.at(total, at, v * w[:, None])
+                np.add.at(weight, at, w)
+            yield pdf.assign(**{out: list((total / np.maximum(weight, 1)[:, None]).astype(np.float32))})
     return df.mapInPandas(run, schema)
 
 

@@ -183,6 +183,17 @@ def m3_variance_retained(spark, sf_dir):
                    F.round(F.lit(model.svd.variance_retained), 6).alias("variance_retained"))
 
 
+@register("m17_batch_scoring")
+def m17_batch_scoring(spark, sf_dir):
+    """A packaged scorer learnt from the labelled texts; every text featurized, enriched, scored, folded and logged (rows-only)."""
+    from pyspark.ml.classification import LogisticRegression
+    from ..operators.scoring import train_scorer
+    from ..sources.tables import texts
+    t = texts(spark, sf_dir).select("doc_id", "user_id", "text", "label")
+    learner = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=0.01, maxIter=50)
+    return train_scorer(t, "v1", learner).log_rows(t.drop("label"))
+
+
 @register("m1_embed_documents")
 def m1_embed_documents(spark, sf_dir):
     """M1: 64-d hashed, L2-normalised embedding of every whole document (native encoder; rows-only)."""

@@ -61,22 +61,40 @@ REQUEST = r"^(\w+) (\S+) - Status: (\d+) - Duration: ([0-9.]+)s$"
 def read_service_log(spark: SparkSession, path: str) -> DataFrame:
     """``ts - logger - level - message`` lines; continuation lines attach to their entry.
 
-    The line order inside a file comes from ``monotonically_increasing_id`` (stable within a
-    file split); a continuation takes the last timestamped line before it, per file.
+    A large file is read in many blocks (splits of ``spark.sql.files.maxPartitionBytes``).  Within its
+    block, a continuation takes the last timestamped line before it; the entry that a block ends in, one row
+    per block, is carried into the next block as one more row.  So a file is as many tasks as it has blocks,
+    and lines are exchanged once, on (file, block).  ``line_no`` grows along a block.
     """
-    raw = spark.read.text(path).select(F.col("value").alias("line"),
-                                       F.col("_metadata.file_path").alias("file"),
+    raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+                                       F.col("_metadata.file_block_start").alias("block"),
                                        F.monotonically_increasing_id().alias("line_no"))
     ts = F.regexp_extract("line", LOG_LINE, 1)
     d = raw.withColumns({
-        "ts": F.when(ts != "", F.to_timestamp(F.concat(ts, F.lit("."), F.regexp_extract("line", LOG_LINE, 2)))
+        "ts": F.when(ts != "", F.try_to_timestamp(F.concat(ts, F.lit("."), F.regexp_extract("line", LOG_LINE, 2)))
                      .cast("timestamp_ntz")),
         "logger": F.regexp_extract("line", LOG_LINE, 3), "level": F.regexp_extract("line", LOG_LINE, 4),
         "message": F.regexp_extract("line", LOG_LINE, 5)})
-    d = d.withColumn("entry_no", F.when(F.col("ts").isNotNull(), F.col("line_no")))
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("entry_no", F.last("entry_no", ignorenulls=True).over(w))
-    return d.withColumn("is_continuation", F.col("ts").isNull())
+    d = d.withColumns({"entry_no": F.when(F.col("ts").isNotNull(), F.col("line_no")), "__row": F.lit(1)})
+    ends = d.groupBy("file", "block").agg(F.max("entry_no").alias("entry_no"))          # lines are numbered along a block
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "block", F.last("entry_no", ignorenulls=True).over(before).alias("entry_no"), F.lit(0).alias("__row"))
+    inside = Window.partitionBy("file", "block").orderBy("__row", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    both = d.unionByName(carried, allowMissingColumns=True)
+    both = both.withColumn("entry_no", F.last("entry_no", ignorenulls=True).over(inside)).filter(F.col("__row") == 1)
+    return both.drop("__row", "block").withColumn("is_continuation", F.col("ts").isNull())
+
+
+def log_entries(log: DataFrame) -> DataFrame:
+    """One row per entry with its continuation lines joined to the message in their order.
+
+    Lines before a file's first entry have none and form one row without a time.
+    """
+    first = F.min_by(F.struct("ts", "logger", "level", "message"), "line_no").alias("e")
+    rest = F.array_sort(F.collect_list(F.when(F.col("is_continuation"), F.struct("line_no", "line")))).alias("rest")
+    g = log.groupBy("file", "entry_no").agg(first, rest)
+    lines = F.concat(F.when(F.col("e.ts").isNotNull(), F.array("e.message")).otherwise(F.array().cast("array<string>")), F.col("rest.line"))
+    return g.select("file", "entry_no", "e.ts", "e.logger", "e.level", F.array_join(lines, "\n").alias("message"))
 
 
 def requests_from_log(log: DataFrame) -> DataFrame:
