@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
@@ -59,7 +59,10 @@ def enrich_stream(stream: DataFrame, store: DataFrame, key: str = "user_id") ->
 STRIKE_OUT = ("msg_id BIGINT, user_id BIGINT, at BIGINT, prior_violations BIGINT, severity STRING, "
               "strike_after BIGINT, first_offense BIGINT, last_offense BIGINT, late BOOLEAN")
 STRIKE_STATE = "violations BIGINT, first_offense BIGINT, last_offense BIGINT, seen BIGINT"
+HISTORY_STATE = "at BIGINT, severity STRING"
 STRIKES = ("MEDIUM", "HIGH")
+#: Keyed state with lists needs the state store that keeps them outside the heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _running_violations(held: int, base: np.ndarray, repeat: np.ndarray) -> np.ndarray:
@@ -75,44 +78,72 @@ def _offenses(at: np.ndarray, struck: np.ndarray, held: int) -> np.ndarray:
     return np.maximum.accumulate(np.concatenate([[held], np.where(struck, at, 0)]))[1:]
 
 
-def _strike_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One user's new messages, sorted by time, over the stored counter (closed form per reset)."""
-    held, first, last, seen = (int(v) for v in (state.get if state.exists else (0, 0, 0, 0)))
-    rows = pd.concat(list(pdfs)).sort_values(["at", "msg_id"], kind="stable", ignore_index=True)
-    for part in np.split(np.arange(len(rows)), np.flatnonzero(rows["is_reset"])):
-        if not len(part):
-            continue
-        span = rows.iloc[part]
-        if span["is_reset"].iloc[0]:
-            held = 0
-            span = span.iloc[1:]
-        if span.empty:
-            continue
-        base, repeat = (span[c].isin(STRIKES).to_numpy() for c in ("base", "repeat"))
-        prior = _running_violations(held, base.astype("int64"), repeat)
-        verdict = np.where(prior >= 2, span["repeat"], span["base"])
-        struck = np.where(prior >= 2, repeat, base)
-        at = span["at"].to_numpy()
-        latest = _offenses(at, struck, last)
-        if not first and struck.any():
-            first = int(at[struck][0])
-        yield pd.DataFrame({
-            "msg_id": span["msg_id"], "user_id": span["user_id"], "at": at, "prior_violations": prior,
-            "severity": verdict, "strike_after": prior + struck,
-            "first_offense": np.where(latest > 0, first, 0), "last_offense": latest, "late": at < seen})
-        held, last = int(prior[-1] + struck[-1]), int(latest[-1])
-    state.update((held, first, last, max(seen, int(rows["at"].max()))))
+class StrikeProcessor(StatefulProcessor):
+    """Per user: the counter as value state, the severities since the last reset as list state.
+
+    Rows come in Arrow batches; each is folded on its own, in time order, over the counter so far, and its strikes are
+    appended to the list.  Neither a user's rows nor their history are ever held together.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counter = handle.getValueState("counter", STRIKE_STATE)
+        self.history = handle.getListState("history", HISTORY_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = tuple(int(v) for v in self.counter.get()) if self.counter.exists() else (0, 0, 0, 0)
+        for pdf in rows:
+            if len(pdf):
+                state, out = self._fold(state, pdf.sort_values(["at", "msg_id"], kind="stable", ignore_index=True))
+                yield from out
+        self.counter.update(state)
+
+    def _fold(self, state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[pd.DataFrame]]:
+        """A batch over the stored counter, in closed form from one reset to the next."""
+        held, first, last, seen = state
+        out = []
+        for part in np.split(np.arange(len(rows)), np.flatnonzero(rows["is_reset"])):
+            if not len(part):
+                continue
+            span = rows.iloc[part]
+            if span["is_reset"].iloc[0]:
+                held = 0
+                self.history.clear()
+                span = span.iloc[1:]
+            if span.empty:
+                continue
+            base, repeat = (span[c].isin(STRIKES).to_numpy() for c in ("base", "repeat"))
+            prior = _running_violations(held, base.astype("int64"), repeat)
+            verdict = np.where(prior >= 2, span["repeat"], span["base"])
+            struck = np.where(prior >= 2, repeat, base)
+            at = span["at"].to_numpy()
+            latest = _offenses(at, struck, last)
+            if not first and struck.any():
+                first = int(at[struck][0])
+            if struck.any():
+                self.history.appendList([(int(t), str(v)) for t, v in zip(at[struck], verdict[struck])])
+            out.append(pd.DataFrame({
+                "msg_id": span["msg_id"], "user_id": span["user_id"], "at": at, "prior_violations": prior,
+                "severity": verdict, "strike_after": prior + struck,
+                "first_offense": np.where(latest > 0, first, 0), "last_offense": latest, "late": at < seen}))
+            held, last = int(prior[-1] + struck[-1]), int(latest[-1])
+        return (held, first, last, max(seen, int(rows["at"].max()))), out
+
+    def close(self) -> None:
+        pass
 
 
 def strike_stream(stream: DataFrame, reset: str | None = None) -> DataFrame:
     """Keyed per-user strike counter (no state TTL: strikes never expire).
 
     A message's severity is one of two verdicts, below or from two strikes on.  Both are columns
-    (``moderation.severity``); the state holds the counter, the first and last offense and the newest time
-    seen.  ``reset`` names a boolean column that marks admin resets: they clear the counter, leave
-    the offense times and yield no row.  The rows since the last reset are the severity history.  A null flag
-    counts as false; a message without a time sorts first, as if of 1970.
+    (``moderation.severity``); the state holds the counter, the first and last offense, the newest time
+    seen and the list of severities since the last reset (``strike_histories``).  ``reset`` names a boolean column that
+    marks admin resets: they clear the counter and the list, leave the offense times and yield no row.  A null flag
+    counts as false; a message without a time sorts first, as if of 1970.  A user's rows are put in time
+    order within each Arrow batch of a micro-batch (``spark.sql.execution.arrow.maxRecordsPerBatch`` rows); a row older
+    than one already folded is flagged as late.  The session's state store is set to ``STATE_STORE``.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     hard = F.coalesce(F.col("hard_term").cast("boolean"), F.lit(False))
     toxic = F.coalesce(F.col("label") == 1, F.lit(False))
     p = M.fold_confidence(F.col("confidence"))
@@ -120,8 +151,8 @@ def strike_stream(stream: DataFrame, reset: str | None = None) -> DataFrame:
         "msg_id", "user_id", F.coalesce(micros("ts"), F.lit(0)).alias("at"),
         M.severity(hard, toxic, p, F.lit(0)).alias("base"), M.severity(hard, toxic, p, F.lit(2)).alias("repeat"),
         (F.coalesce(F.col(reset).cast("boolean"), F.lit(False)) if reset else F.lit(False)).alias("is_reset"))
-    out = judged.groupBy("user_id").applyInPandasWithState(
-        _strike_fold, STRIKE_OUT, STRIKE_STATE, "append", GroupStateTimeout.NoTimeout)
+    out = judged.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=StrikeProcessor(), outputStructType=STRIKE_OUT, outputMode="append", timeMode="None")
 
     def time(col: str):
         return F.when(F.col(col) > 0, F.timestamp_micros(F.col(col)).cast("timestamp_ntz"))
@@ -131,6 +162,13 @@ def strike_stream(stream: DataFrame, reset: str | None = None) -> DataFrame:
                       time("last_offense").alias("last_offense_time"), "late")
 
 
+def strike_histories(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(user_id, ts, severity) of every user's strikes since their last reset, read from a query's state."""
+    state = (spark.read.format("statestore").option("stateVarName", "history").option("flattenCollectionTypes", "true").load(checkpoint))
+    return state.select(F.col("key.user_id").alias("user_id"), F.timestamp_micros("list_element.at").cast("timestamp_ntz").alias("ts"),
+                        F.col("list_element.severity").alias("severity"))
+
+
 # --- X5–X8 ------------------------------------------------------------------------------------
 
 def append_sink(df: DataFrame, path: str, checkpoint: str, fmt: str = "json"):

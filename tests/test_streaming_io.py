@@ -70,6 +70,28 @@ def test_strike_stream_resets_and_offense_times(spark):
         (4, 0, "LOW", "WARN_SOFT"), (5, 0, "MEDIUM", "DELETE_STRIKE_1")]
     assert [(r["first_offense_time"], r["last_offense_time"]) for r in got] == [
         (at[0], at[0]), (at[0], at[1]), (at[0], at[2]), (at[0], at[2]), (at[0], at[5])]  # a reset keeps the times
+    assert [tuple(r) for r in X.strike_histories(spark, f"{d}/ck").collect()] == [(7, at[5], "MEDIUM")]  # since the reset
+
+
+def test_strike_state_of_a_busy_user_in_many_arrow_batches(spark):
+    import datetime as dt
+    d = tempfile.mkdtemp(prefix="kestrel-busy-")
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, 1 if i % 10 else 2, 0, t0 + dt.timedelta(seconds=i), int(i % 3 == 0), int(i % 50 == 0), (i * 37 % 100) / 100, "x") for i in range(900)]
+    for at in range(0, 900, 300):
+        spark.createDataFrame(rows[at: at + 300], X.MESSAGE_SCHEMA).coalesce(1).write.mode("append").parquet(f"{d}/in")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = _run(X.strike_stream(X.message_stream(spark, f"{d}/in", max_files_per_trigger=1)), spark, "strikes_busy", f"{d}/ck").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    batch = spark.createDataFrame(rows, X.MESSAGE_SCHEMA).withColumns(
+        {"is_toxic": F.col("label") == 1, "confidence": M.fold_confidence(F.col("confidence"))})
+    want = M.strike_history(batch).select("msg_id", "prior_violations", "severity", "action_taken").toPandas().sort_values("msg_id", ignore_index=True)
+    assert got[want.columns].sort_values("msg_id", ignore_index=True).astype(str).equals(want.astype(str))
+    kept = X.strike_histories(spark, f"{d}/ck").toPandas().sort_values(["user_id", "ts"])
+    struck = got[got.severity.isin(X.STRIKES)].sort_values(["user_id", "ts"])
+    assert kept.severity.tolist() == struck.severity.tolist() and kept.user_id.tolist() == struck.user_id.tolist()
 
 
 def test_ingest_first_batch_new_checkpoint_and_replay(spark):
