@@ -102,7 +102,7 @@ SELECT (SELECT count(*) FROM master) AS master_size_before, (SELECT count(*) FRO
                                               "texts"))
 def a10_ingest_summary(spark, sf_dir):
     """A10: rows before, new, after and duplicates removed."""
-    return I.ingestion_summary(_master(spark, sf_dir), batch(spark, sf_dir), _merged(spark, sf_dir))
+    return I.merge_summary(_master(spark, sf_dir), batch(spark, sf_dir))
 
 
 @register("a2_class_distribution", with_views("""
@@ -168,3 +168,59 @@ SELECT CAST(count(*) AS BIGINT) AS n, count(*) >= 10 AS passed FROM batch""", "t
 def p4_sample_gate(spark, sf_dir):
     """The validated batch must hold at least 10 rows to be ingested (one status row)."""
     return I.sample_gate(batch(spark, sf_dir), 10)
+
+
+_SOURCES = ("documents", "conversations", "benchmark")
+
+
+@register("s4_union_sources", """
+SELECT 'documents' AS origin, md5(text) AS text_hash, doc_id, lang, CAST(NULL AS BIGINT) AS conv_id, CAST(NULL AS VARCHAR) AS role,
+       CAST(NULL AS BIGINT) AS item_id FROM documents
+UNION ALL SELECT 'conversations', md5(text), NULL, NULL, conv_id, role, NULL FROM conversations
+UNION ALL SELECT 'benchmark', md5(text), NULL, NULL, NULL, NULL, item_id FROM benchmark""")
+def s4_union_sources(spark, sf_dir):
+    """Three sources of different columns in one frame, aligned by name, missing columns null."""
+    from ..sources.files import union_frames
+    from ..sources.tables import read_table
+    keep = ("doc_id", "lang", "conv_id", "role", "item_id")
+    frames = []
+    for name in _SOURCES:
+        df = read_table(spark, sf_dir, name)
+        frames.append(df.select(F.lit(name).alias("origin"), F.md5("text").alias("text_hash"),
+                                *[F.col(c).cast("bigint") if c.endswith("_id") else F.col(c) for c in df.columns if c in keep]))
+    return union_frames(frames).select("origin", "text_hash", *keep)
+
+
+@register("p7_null_fill", with_views("""
+SELECT doc_id, CAST(coalesce(label, 0) AS INTEGER) AS label, CAST(coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE length(text) END, 0) AS BIGINT) AS msg_len,
+       CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS source FROM texts""", "texts"))
+def p7_null_fill(spark, sf_dir):
+    """Nulls of numeric columns become 0, text columns keep theirs."""
+    t = texts(spark, sf_dir).select("doc_id", F.col("label").cast("int").alias("label"),
+                                    F.when(F.col("doc_id") % 3 != 0, F.length("text").cast("bigint")).alias("msg_len"),
+                                    F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("source"))
+    return I.fill_numeric(t)
+
+
+@register("p8_common_columns", with_views("""
+SELECT 'ref' AS side, doc_id, label, text_hash FROM texts WHERE CAST(substring(source, 4) AS INTEGER) < 10
+UNION ALL SELECT 'cur', doc_id, label, text_hash FROM texts WHERE CAST(substring(source, 4) AS INTEGER) >= 10""", "texts"))
+def p8_common_columns(spark, sf_dir):
+    """Reference and current data of different columns, both projected onto the shared ones."""
+    t = texts(spark, sf_dir)
+    is_ref = F.substring("source", 4, 10).cast("int") < 10
+    ref = t.filter(is_ref).select("doc_id", "channel_id", "label", "text_hash")
+    cur = t.filter(~is_ref).select("user_id", "text_hash", "doc_id", "label")
+    ref, cur = I.common_columns(ref, cur)
+    return ref.withColumn("side", F.lit("ref")).unionByName(cur.withColumn("side", F.lit("cur"))).select("side", "doc_id", "label", "text_hash")
+
+
+@register("p16_cast_features", with_views("""
+SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS msg_len, CAST(coalesce(label, 0) AS BIGINT) AS is_new_to_channel,
+       CAST(user_id AS DOUBLE) AS hours_since_last_msg, CAST(0 AS DOUBLE) AS user_bad_ratio_7d FROM texts""", "texts"))
+def p16_cast_features(spark, sf_dir):
+    """The model's columns cast by their declared sets (bigint or double), 0 where null or absent."""
+    from ..operators.scoring import cast_features
+    t = texts(spark, sf_dir).select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("string").alias("msg_len"),
+                                    F.col("label").cast("double").alias("is_new_to_channel"), F.col("user_id").alias("hours_since_last_msg"))
+    return cast_features(t, ["msg_len", "is_new_to_channel", "hours_since_last_msg", "user_bad_ratio_7d"], ["msg_len", "is_new_to_channel"])

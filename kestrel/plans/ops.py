@@ -31,3 +31,15 @@ def a14_prediction_counters(spark, sf_dir):
     """Toxic and other predictions and mean confidence, here per channel."""
     m = messages(spark, sf_dir).withColumn("prediction", F.col("label"))
     return O.prediction_counters(m, "channel_id").withColumn("mean_confidence", F.round("mean_confidence", 9))
+
+
+@register("a12_request_counts", with_views("""
+SELECT upper(event_type) AS method, '/channel/' || CAST(channel_id % 5 AS VARCHAR) AS endpoint, CASE WHEN label = 1 THEN 500 ELSE 200 END AS status,
+       CAST(count(*) AS BIGINT) AS n
+FROM messages GROUP BY ALL""", "messages"))
+def a12_request_counts(spark, sf_dir):
+    """Requests per method, endpoint and status, with the messages taken for requests."""
+    m = messages(spark, sf_dir).select(F.upper("event_type").alias("method"),
+                                       F.concat(F.lit("/channel/"), (F.col("channel_id") % 5).cast("string")).alias("endpoint"),
+                                       F.when(F.col("label") == 1, 500).otherwise(200).alias("status"))
+    return O.request_counts(m)

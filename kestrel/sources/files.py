@@ -45,13 +45,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str,
     return good, bad
 
 
+def union_frames(frames: Sequence[DataFrame]) -> DataFrame:
+    """Union of sources of different columns, aligned by name; a column that a source lacks is null there."""
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def union_sources(spark: SparkSession, paths: Sequence[str], schema: StructType | str) -> DataFrame:
     """Union of every readable source, columns aligned by name (missing → null)."""
-    out = None
-    for p in paths:
-        good, _ = read_jsonl(spark, p, schema)
-        out = good if out is None else out.unionByName(good, allowMissingColumns=True)
-    return out if out is not None else read_jsonl(spark, "/nonexistent-path", schema)[0]
+    found = [read_jsonl(spark, p, schema)[0] for p in paths]
+    return union_frames(found) if found else read_jsonl(spark, "/nonexistent-path", schema)[0]
 
 
 LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) - (\S+) - (\w+) - (.*)$"

@@ -132,3 +132,11 @@ def test_late_rows_in_a_running_stream(spark, tmp_path):
     q.awaitTermination()
     counted = L.late_share(spark, root).first()
     assert counted["timely"] + counted["late"] == 200 and counted["late"] > 0
+
+
+def test_merge_summary_equals_the_merge(spark):
+    master = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "text_hash string, v int")
+    new = spark.createDataFrame([("b", 5), ("c", 6), (None, 7)], "text_hash string, v int")
+    merged = I.merge_dedupe(master, new, "text_hash", [(F.col("v"), False)])
+    assert I.merge_summary(master, new).first() == I.ingestion_summary(master, new, merged).first()
+    assert I.merge_summary(master.limit(0), new.limit(0)).first()["master_size_after"] == 0
