@@ -11,7 +11,7 @@ starts a job while a plan is built.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +33,12 @@ def unpivot(ref: DataFrame, cur: DataFrame, features: Sequence[str], keep_nulls:
     return both if keep_nulls else both.filter(F.col("value").isNotNull())
 
 
+def unpivot_sides(df: DataFrame, features: Sequence[str], keep_nulls: bool = False, ids: Sequence[str] = ("side",)) -> DataFrame:
+    """(ids, feature, value) of one frame whose ``side`` column tells reference from current: one read for both."""
+    long = df.select(*ids, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(list(ids), list(features), "feature", "value")
+    return long if keep_nulls else long.filter(F.col("value").isNotNull())
+
+
 def _is(side: str) -> Column:
     return F.col("side") == side
 
@@ -440,21 +446,16 @@ def dataset_drift(ref: DataFrame, cur: DataFrame, numeric: Sequence[str], catego
 
 # --- D14: drift over runs ---------------------------------------------------------------------
 
-def drift_runs(ref: DataFrame, runs: Mapping[str, DataFrame], features: Sequence[str], label: str = "label",
+def drift_runs(rows: DataFrame, features: Sequence[str], label: str = "label", runs: str = "runs",
                psi_threshold: float = 0.2, alpha: float = 0.05, share_threshold: float = 0.3,
                label_threshold: float = 0.15) -> DataFrame:
-    """One summary row per run, each run's data against the same reference, in one pass.
+    """One summary row per run, each run's data against the same reference, in one read.
 
-    The reference's rows count for every run, so all runs go through one count table keyed by
-    (run, feature).  Runs are few and named when the plan is built.
+    ``rows`` has a ``side`` column and in ``runs`` the array of the runs that a row counts for: all of them for a row of the
+    reference, its own for a current one.  All runs go through one count table keyed by (run, feature).
     """
-    names = F.array(*[F.lit(name) for name in runs])
-    columns = [F.col(f).cast("double").alias(f) for f in features]
-    keep = [*columns, F.col(label).cast("double").alias("__label")]
-    wide = ref.select(F.lit(REF).alias("side"), *keep).withColumn("run", F.explode(names))
-    for name, cur in runs.items():
-        wide = wide.unionByName(cur.select(F.lit(CUR).alias("side"), *keep, F.lit(name).alias("run")))
-    g = wide.unpivot(["run", "side"], [*features, "__label"], "feature", "value").filter(F.col("value").isNotNull())
+    wide = rows.withColumns({"run": F.explode(runs), "__label": F.col(label)})
+    g = unpivot_sides(wide, [*features, "__label"], ids=("run", "side"))
     by = ("run", "feature")
     g = value_counts(g, by)
     fd = drift_statistics(g.filter(F.col("feature") != "__label"), by, psi_threshold, alpha)

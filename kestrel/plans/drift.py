@@ -81,9 +81,19 @@ def _q(body: str) -> str:
     return _DRIFT_SQL + "\n" + body
 
 
+def _with_sides(spark, sf_dir):
+    side = F.when(F.substring("source", 4, 10).cast("int") < 10, D.REF).otherwise(D.CUR)
+    return texts(spark, sf_dir).withColumn("side", side)
+
+
+def _tagged(spark, sf_dir):
+    """Texts with their features and a side column: both sides in one read."""
+    fc = T.feature_columns("text")
+    return _with_sides(spark, sf_dir).withColumns({f: fc[f] for f in FEATURES})
+
+
 def _long(spark, sf_dir):
-    ref, cur = _sides(spark, sf_dir)
-    return D.unpivot(ref, cur, FEATURES)
+    return D.unpivot_sides(_tagged(spark, sf_dir), FEATURES)
 
 
 @register("d1_ks", _q("SELECT feature, ks_statistic, CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur FROM ks"))
@@ -117,8 +127,7 @@ SELECT feature, ks_statistic, round(ks_p_value, {R9}) AS ks_p_value, round(psi,
 FROM fd"""))
 def d5_d6_feature_drift(spark, sf_dir):
     """D5 mean shift + D6 verdict (KS drifted or PSI > .2), with D1/D2/D4 alongside."""
-    ref, cur = _sides(spark, sf_dir)
-    fd = D.feature_drift(ref, cur, FEATURES)
+    fd = D.drift_statistics(_long(spark, sf_dir))
     return fd.select("feature", "ks_statistic", *[F.round(c, R9).alias(c) for c in
                                                   ["ks_p_value", "psi", "ref_mean", "cur_mean", "mean_shift"]],
                      "drifted")
@@ -145,7 +154,7 @@ FROM fd"""))
 def d8_d13_drift_summary(spark, sf_dir):
     """D8 drift share and overall flag (label counted in the numerator, Q13) and D13 advice."""
     ref, cur = _sides(spark, sf_dir)
-    s = D.drift_summary(D.feature_drift(ref, cur, FEATURES), D.label_shift(ref, cur, "label"))
+    s = D.drift_summary(D.drift_statistics(_long(spark, sf_dir)), D.label_shift(ref, cur, "label"))
     return s.withColumn("drifted_features", F.array_join("drifted_features", ","))
 
 
@@ -189,8 +198,7 @@ FROM ({" UNION ALL ".join(f"SELECT side, '{c}' AS feature, CAST({c} AS DOUBLE) A
 GROUP BY side, feature"""))
 def d11_data_quality(spark, sf_dir):
     """Per side and feature — rows, missing, distinct, min, max, mean, population std, exact quartiles."""
-    ref, cur = _sides(spark, sf_dir)
-    dq = D.data_quality(D.unpivot(ref, cur, [*FEATURES, "label"], keep_nulls=True))
+    dq = D.data_quality(D.unpivot_sides(_tagged(spark, sf_dir), [*FEATURES, "label"], keep_nulls=True))
     return dq.withColumns({c: F.round(c, R9) for c in ("missing_share", "mean_value", "std_value", *D.QUARTILES.values())})
 
 
@@ -248,11 +256,6 @@ td AS (SELECT d.doc_id, d.side, coalesce(oov, 0.0) AS oov_share, coalesce(CAST(s
   FROM tok LEFT JOIN vocab v ON v.token = tok.token LEFT JOIN lexicon l ON l.word = tok.token GROUP BY doc_id) x ON x.doc_id = d.doc_id)"""
 
 
-def _with_sides(spark, sf_dir):
-    side = F.when(F.substring("source", 4, 10).cast("int") < 10, D.REF).otherwise(D.CUR)
-    return texts(spark, sf_dir).withColumn("side", side)
-
-
 @register("f22_oov_share", with_views(_TOKEN_CTE + f"\nSELECT doc_id, round(oov_share, {R9}) AS oov_share FROM td WHERE doc_id IN (SELECT doc_id FROM tok)", "texts"))
 def f22_oov_share(spark, sf_dir):
     """share of each text's tokens that the reference side's vocabulary (two or more occurrences) lacks."""
@@ -375,9 +378,12 @@ FROM h WINDOW s AS (ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT
 @register("d14_drift_runs", _runs_sql())
 def d14_drift_runs(spark, sf_dir):
     """Three drift runs over slices of the current side, with change, trend and streak from run to run."""
-    ref, cur = _sides(spark, sf_dir)
     no = F.substring("source", 4, 10).cast("int")
-    found = D.drift_runs(ref, {run: cur.filter(no.between(lo, hi)) for run, (_, lo, hi) in RUNS.items()}, FEATURES)
+    own = F.array().cast("array<string>")
+    for run, (_, lo, hi) in RUNS.items():
+        own = F.when(no.between(lo, hi), F.array(F.lit(run))).otherwise(own)
+    every = F.array(*[F.lit(run) for run in RUNS])
+    found = D.drift_runs(_tagged(spark, sf_dir).withColumn("runs", F.when(F.col("side") == D.REF, every).otherwise(own)), FEATURES)
     time = F.lit(None).cast("timestamp_ntz")
     for run, (t, _, _) in RUNS.items():
         time = F.when(F.col("run") == run, F.lit(t).cast("timestamp_ntz")).otherwise(time)

@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from kestrel.plans import load_all  # noqa: E402
 from kestrel.session import build_session  # noqa: E402
 
-EAGER = {"m7_train_score", "m15_tournament"}  # Spark ML fits happen while building
+EAGER = {"m7_train_score", "m15_tournament", "m17_batch_scoring", "m3_variance_retained"}  # Spark ML fits happen while building
 
 
 def summarise(plan: str) -> dict:

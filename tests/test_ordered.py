@@ -124,7 +124,10 @@ def test_token_descriptors(spark):
 def test_drift_runs_history_and_repeated_append(spark, tmp_path):
     ref = spark.createDataFrame([(float(i % 50), float(i % 3), i % 2) for i in range(600)], "x double, y double, label int")
     same, moved = ref, ref.withColumn("x", F.col("x") + 60).withColumn("y", F.col("y") * 9)
-    runs = D.drift_runs(ref, {"r1": same, "r2": moved, "r3": moved}, ["x", "y"])
+    rows = ref.withColumns({"side": F.lit("ref"), "runs": F.array(F.lit("r1"), F.lit("r2"), F.lit("r3"))})
+    for df, own in ((same, ["r1"]), (moved, ["r2", "r3"])):
+        rows = rows.unionByName(df.withColumns({"side": F.lit("cur"), "runs": F.array(*map(F.lit, own))}))
+    runs = D.drift_runs(rows, ["x", "y"])
     path = str(tmp_path / "runs")
     for _ in range(2):                                                # a run that is appended again replaces itself
         D.append_runs(runs.filter("run <> 'r3'"), path)
