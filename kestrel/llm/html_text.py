@@ -249,7 +249,7 @@ class ContentModel:
         return [" ".join("".join([t if n < 0 or content[n] else " " for n, t in runs]).split()) for runs in forest.runs]
 
 
-def labelled_pages(count: int = 600, seed: int = 7) -> list[str]:
+def labelled_pages(count: int = 900, seed: int = 7) -> list[str]:
     """Pages of many layouts; content elements carry ``data-y="1"``, what is not content inside them ``data-y="0"``."""
     rng = np.random.default_rng(seed)
     pick = lambda *xs: xs[rng.integers(len(xs))]
@@ -259,8 +259,18 @@ def labelled_pages(count: int = 600, seed: int = 7) -> list[str]:
     items = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.integers(2, 9))) + "</ul>"
     filler = lambda: pick(words(2, 14), f"<p>{words(2, 30)}</p>", items(), link() + " " + link(), f"<h3>{words(1, 5)}</h3>" + items())
 
-    def part() -> str:
+    def wrapped(body: str) -> str:
+        """Article blocks inside layout boxes, whose names say nothing."""
+        for _ in range(rng.integers(1, 4)):
+            tag = pick("div", "div", "section")
+            name = pick("", "", f' class="{word()}"', f' id="{word()}"', f' class="{pick("row", "col", "inner", "wrapper", "block", "chapter", "intro", "column", "grid", "lead")}"')
+            body = f"<{tag}{name}>{body}</{tag}>"
+        return body
+
+    def part(boxes: bool = True) -> str:
         """One block of an article."""
+        if boxes and rng.random() < 0.2:
+            return wrapped(words(3, 60) if rng.random() < 0.5 else "".join(part(False) for _ in range(rng.integers(1, 5))))
         kind = rng.integers(12)
         if kind < 6:
             return f"<p>{words(1, 90)}</p>"
@@ -280,14 +290,17 @@ def labelled_pages(count: int = 600, seed: int = 7) -> list[str]:
         """Something that is not part of the article, as found around and inside it."""
         name = pick("ad", "ads", "advert", "advertisement", "banner", "sponsor", "promo", "share", "social", "related", "newsletter", "cookie",
                     "notice", "consent", "popup", "modal", "breadcrumb", "sidebar", "widget", "comments", "comment", "replies", "subscribe",
-                    "menu", "nav", "footer", "copyright", "login", "search", "tags", "pagination", "disqus", "alert", "toolbar")
+                    "menu", "nav", "footer", "copyright", "login", "search", "tags", "pagination", "disqus", "alert", "toolbar", "sponsored", "recommended",
+                    "recommendations", "discussion", "responses", "feedback", "gdpr", "privacy", "cookies", "trending", "popular", "signup", "donate",
+                    "teaser", "outbrain", "taboola", "overlay", "dialog", "bar", "links", "follow", "more", "reviews", "thread", "reactions")
         body = filler()
-        if name in ("comments", "comment", "replies", "disqus"):
+        if name in ("comments", "comment", "replies", "disqus", "discussion", "responses", "feedback", "reviews", "thread", "reactions"):
             body = "".join(f'<div class="comment"><b>{word()}</b><p>{words(3, 60)}</p></div>' for _ in range(rng.integers(1, 6)))
         return pick(f'<div class="{name}" {LABEL}="0">{body}</div>', f'<div id="{name}" {LABEL}="0">{body}</div>',
                     f'<section class="{name}" {LABEL}="0">{body}</section>', f'<aside {LABEL}="0">{body}</aside>',
                     f'<aside class="{name}" {LABEL}="0">{body}</aside>', f'<form {LABEL}="0">{words(1, 6)}<label>{words(1, 4)}</label><button>{word()}</button></form>',
-                    f'<nav {LABEL}="0">{items()}</nav>', f'<div role="{pick("complementary", "navigation", "banner", "contentinfo", "search")}" {LABEL}="0">{body}</div>')
+                    f'<nav {LABEL}="0">{items()}</nav>', f'<footer {LABEL}="0">{body}</footer>', f'<dialog {LABEL}="0">{body}</dialog>',
+                    f'<menu {LABEL}="0">{items()}</menu>', f'<div role="{pick("complementary", "navigation", "banner", "contentinfo", "search")}" {LABEL}="0">{body}</div>')
 
     def embedded() -> str:
         """An element with content of its own kind, in an article."""
@@ -304,12 +317,12 @@ def labelled_pages(count: int = 600, seed: int = 7) -> list[str]:
     for _ in range(count):
         inner = [f"<h1>{words(2, 10)}</h1>"] if rng.random() < 0.8 else []
         inner += [part() for _ in range(rng.integers(1, 12))]
-        for _ in range(rng.integers(0, 4)):
-            if rng.random() < 0.8:
+        for _ in range(rng.integers(0, 5)):
+            if rng.random() < 0.9:
                 inner.insert(int(rng.integers(len(inner) + 1)), aside())
         inner = "".join(inner)
         name = pick("content", "article", "post", "entry", "story", "main", "text", "body", "post content", "entry content", "article body")
-        kind = rng.integers(8)
+        kind = rng.integers(10)
         if kind < 4:
             body = f'<article {LABEL}="1">{inner}</article>'
         elif kind == 4:
@@ -318,8 +331,12 @@ def labelled_pages(count: int = 600, seed: int = 7) -> list[str]:
             body = f'<main {LABEL}="1">{inner}</main>'
         elif kind == 6:
             body = f'<div id="{pick("wrap", "page", "container")}"><div class="{name}" {LABEL}="1">{inner}</div></div>'
-        else:
+        elif kind == 7:
             body = f'<div class="{name}" {LABEL}="1"><div>{inner}</div></div>'
+        elif kind == 8:
+            body = f'<article {LABEL}="1">{wrapped(inner)}</article>'
+        else:
+            body = f'<{(box := pick("div", "section"))} {LABEL}="1">{inner}</{box}>'
         head = pick(f"<nav>{items()}</nav>", f"<header><h2>{words(1, 4)}</h2><nav>{items()}</nav></header>", f"<header>{words(1, 8)}</header><nav>{items()}</nav>")
         foot = pick(f"<footer>&copy; {words(2, 12)}</footer>", f"<footer><p>{words(3, 20)}</p>{items()}</footer>", f'<div class="footer">{filler()}</div>')
         around = [aside() if rng.random() < 0.5 else f'<div class="{pick("ad", "ads", "banner")}">{words(3, 30)}</div>' for _ in range(rng.integers(0, 3))]
