@@ -246,28 +246,3 @@ def test_payload_length_and_digest_are_checked_without_block_digest():
         warc.parse_record(bare.replace(b"Content-Length: 50", b"Content-Length: 51", 1))
     folded = bare.replace(b"WARC-Date: d", b"WARC-Date: d\r\n  e", 1)
     assert warc.parse_record(folded)["date"] == "d e"
-
-
-# -- page layouts -----------------------------------------------------------------------------
-
-TEXT = "The quick brown fox jumps over the lazy dog and keeps running through the old forest until night falls."
-
-
-@pytest.fixture(scope="module")
-def page_model():
-    from kestrel.llm import html_text
-    return html_text.train(html_text.labelled_pages())
-
-
-@pytest.mark.parametrize("body, want", [
-    ("<article><div class='row'><div class='col'><p>{t}</p><p>{t}</p></div></div></article>", "{t} {t}"),
-    ("<article><div>{t}</div><div>{t}</div></article>", "{t} {t}"),
-    ("<article><h1>Title here</h1><section class='chapter'><p>{t}</p></section><section id='intro'><p>{t}</p></section></article>", "Title here {t} {t}"),
-    ("<section><h1>Title here</h1><p>{t}</p><p>{t}</p></section>", "Title here {t} {t}"),
-    ("<article><p>{t}</p><p>{t}</p><footer>Posted by admin in news</footer></article>", "{t} {t}"),
-    ("<article><p>{t}</p><dialog>Please subscribe now</dialog><p>{t}</p></article>", "{t} {t}"),
-    ("<article><p>{t}</p><div class='recommended'><p>Some other words in a box</p></div><p>{t}</p></article>", "{t} {t}")])
-def test_main_text_in_other_layouts(page_model, body, want):
-    page = ("<!DOCTYPE html><html><head><title>T</title></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
-            + body.format(t=TEXT) + "<footer>&copy; 2024 Site</footer></body></html>")
-    assert page_model.main_texts([page]) == [want.format(t=TEXT)]
