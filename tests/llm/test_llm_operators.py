@@ -392,6 +392,47 @@ def test_lm_factors_are_a_distribution():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_text_score_by_hand():
+    """Every token's probability against a plain loop over its features, for texts of several lengths."""
+    from kestrel.llm import lm
+    rng = np.random.default_rng(3)
+    w = lm.Weights.from_flat(rng.normal(size=lm.Weights.from_flat(np.zeros(2_000_000)).flat().size))
+    codes = rng.integers(0, lm.SLOTS, 40) + lm.SLOTS * rng.integers(0, 50, 40)
+    starts = np.array([0, 1, 3, 20, 40])
+    wide, narrow = lm.features(w, codes, starts)
+    got = lm.log10_slots(w, codes, starts)
+    softmax = lambda z: np.exp(z) / np.exp(z).sum()
+    for i, code in enumerate(codes):
+        cls, place = code % lm.SLOTS % lm.CLASSES, code % lm.SLOTS // lm.CLASSES
+        of_class = softmax(sum(w.a[r].astype(float) for r in wide[i]) + w.a0)
+        in_class = softmax(sum(w.b[r * lm.CLASSES + cls].astype(float) for r in narrow[i]) + w.b0[cls])
+        assert got[i] == pytest.approx(np.log10(of_class[cls]) + np.log10(in_class[place]), abs=1e-4)
+    # A history is the text's own: each text alone gives the same.
+    for a, b in zip(starts[:-1], starts[1:]):
+        assert np.allclose(lm.log10_slots(w, codes[a:b], np.array([0, b - a])), got[a:b])
+
+
+def test_lm_marked_words_tell_histories_apart():
+    from kestrel.llm import lm
+    w = lm.Weights.from_flat(np.zeros(lm.WIDE * 32 + 32 + lm.NARROW * 1024 + 1024))
+    tail = lm.END + 7
+    wide, _ = lm.features(w, np.array([tail + lm.SLOTS * 5, 3, tail + lm.SLOTS * 6, 3]), np.array([0, 2, 4]))
+    assert (wide[1] != wide[3]).any()
+    sizes = [lm.table_rows(n) for n in (0, 4096, 10**5, 10**6, 10**8)]
+    assert sizes[0] == sizes[1] == (lm.WIDE, lm.NARROW) and sizes == sorted(sizes) and sizes[-1][0] > 100 * lm.WIDE
+
+
+def test_lm_scores_do_not_depend_on_the_split(spark, monkeypatch):
+    """Many shards, so that updates are summed over two levels; rows in other partitions and order, repeated rows."""
+    from kestrel.llm import lm
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 60)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").where("length(text) < 3000")
+    docs = docs.union(docs.where("doc_id % 5 = 0"))
+    scores = [sorted((r["doc_id"], r["score"]) for r in lm.score_documents(d, queries.held_out(7)).collect())
+              for d in (docs.coalesce(1), docs.repartition(5).orderBy(F.desc("doc_id")))]
+    assert scores[0] == scores[1] and len(scores[0]) == docs.count()
+
+
 # -- vectors ----------------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<float>, score string"
