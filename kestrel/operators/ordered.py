@@ -45,7 +45,8 @@ def with_ranges(counts: DataFrame, by: Sequence[str], order: str, reads: Sequenc
     range_rows, most = range_rows or RANGE_ROWS, most or MOST
     place = F.shiftrightunsigned(F.xxhash64(order), 1)          # a uniform number below 2^63
     read = sum((F.col(c) for c in reads[1:]), F.col(reads[0]))
-    sample = counts.filter((read > 0) & (place < F.lit((1 << 63) // range_rows))).select(*by, order, place.alias("__place"))
+    # The condition reads the counts, so it stays above their aggregate: pushed below, it would make all rows anew.
+    sample = counts.filter(F.greatest(place, -read) < F.lit((1 << 63) // range_rows)).select(*by, order, place.alias("__place"))
     first = Window.partitionBy(*by).orderBy("__place", order)
     sample = sample.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") < most)
     if not by:
