@@ -35,6 +35,22 @@ def _starts(totals: DataFrame, key: Sequence[str], columns: Sequence[str]) -> Da
 
 
 _MESSAGE, _MOVE, _START = 1, 0, 2
+TASK_BYTES = 1 << 20    # of the messages' columns by the plan's statistics (for Parquet: as stored), to one task
+MOST_TASKS = 20_000
+
+
+def _tasks_for(df: DataFrame) -> int | None:
+    """Tasks that the events of ``df`` are dealt to; None if the session's own number is enough, or the size unknown."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    found = -(-size // TASK_BYTES)
+    if size >= 1 << 60 or found <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return None
+    return min(found, MOST_TASKS)
+
+
+def _dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """``df`` as it is, or exchanged on ``keys`` to so many tasks, for windows within them."""
+    return df.repartition(tasks, *keys) if tasks else df
 
 
 def _specs_moves(specs) -> tuple[list[dict[str, Column]], list[str]]:
@@ -148,8 +164,10 @@ def user_channel_features(msgs: DataFrame, *, user: str = "user_id", channel: st
 
     The totals of all keys (user, channel, user in channel) are one small table.  The rows are
     exchanged twice, on (user, day) for both user frames, the previous time and the running number in the
-    channel, and on (channel, day) for the channel frame.  Missing values become 0 only at the end (Q2).
+    channel, and on (channel, day) for the channel frame, to as many tasks as their size asks for.  The first
+    two share one sort; the exits of frames are gone before the next.  Missing values become 0 only at the end (Q2).
     """
+    tasks = _tasks_for(msgs)
     lab = F.col(label).cast("bigint")
     by_user = [(7 * US_PER_DAY, {"user_7d_bad_count": lab}, "user_7d_msg_count"),
                (30 * US_PER_DAY, {"user_30d_bad_count": lab}, "user_30d_msg_count")]
@@ -171,20 +189,21 @@ def user_channel_features(msgs: DataFrame, *, user: str = "user_id", channel: st
         F.col("__key").alias(user), "__bucket", F.col("__last").alias("__at"), *held(by_user)).withColumns(begin)
     pair = of(_PAIR).select(F.col("__key").alias(user), F.col("__key2").alias(channel), "__bucket", "__n").withColumns(
         begin | {"__pair": F.lit(1)})
-    d = rows.unionByName(own, allowMissingColumns=True).unionByName(pair, allowMissingColumns=True)
+    d = _dealt(rows.unionByName(own, allowMissingColumns=True).unionByName(pair, allowMissingColumns=True), tasks, user, "__bucket")
     in_order = Window.partitionBy(user, "__bucket").orderBy("__t", F.col("__kind").desc(), id_col)
     in_channel = (Window.partitionBy(user, "__bucket", channel).orderBy(F.col("__pair").asc_nulls_last(), ts, id_col)
                   .rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumns(_trailing(d, [user], user_outs) | {
-        "__prev_us": F.last("__at", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1)),
-        "user_channel_msg_count": F.sum("__n").over(in_channel)})
+    # The order of the first window is one that the next can use.
+    d = d.withColumn("__prev_us", F.last("__at", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.withColumns(_trailing(d, [user], user_outs)).filter(F.col("__kind") != _MOVE)
+    d = d.withColumn("user_channel_msg_count", F.sum("__n").over(in_channel))
     d = d.filter(F.col("__kind") == _MESSAGE).select(*msgs.columns, *user_outs, "__prev_us", "user_channel_msg_count")
 
     # Channel pass.
     rows = _exploded(d, [channel], ts, by_channel, US_PER_DAY)
     own = of(_CHANNEL).filter(F.col("__bucket").isNotNull()).select(F.col("__key2").alias(channel), "__bucket", *held(by_channel)).withColumns(begin)
     columns = [*d.columns, *channel_outs]
-    d = rows.unionByName(own, allowMissingColumns=True)
+    d = _dealt(rows.unionByName(own, allowMissingColumns=True), tasks, channel, "__bucket")
     d = d.withColumns(_trailing(d, [channel], channel_outs)).filter(F.col("__kind") == _MESSAGE).select(*columns)
     r7 = _ratio(F.col("user_7d_bad_count"), F.col("user_7d_msg_count"))
     r30 = _ratio(F.col("user_30d_bad_count"), F.col("user_30d_msg_count"))
