@@ -95,3 +95,11 @@ def test_tasks_follow_the_size_of_the_table(spark, tmp_path, monkeypatch):
     assert found and found > int(spark.conf.get("spark.sql.shuffle.partitions"))
     monkeypatch.setattr(H, "MOST_TASKS", 7)
     assert H._tasks_for(spark.read.parquet(path)) == 7
+
+
+def test_small_frames_take_few_tasks(spark, monkeypatch):
+    from kestrel.operators import training as TR
+    kept = spark.range(0, 100, 1, 4)
+    assert TR.in_few_tasks(kept).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(TR, "ROWS_TO_A_TASK", 40)
+    assert TR.in_few_tasks(kept).rdd.getNumPartitions() == 3 and TR.in_few_tasks(kept.limit(0)).count() == 0
