@@ -40,12 +40,18 @@ MOST_TASKS = 20_000
 
 
 def _tasks_for(df: DataFrame) -> int | None:
-    """Tasks that the events of ``df`` are dealt to; None if the session's own number is enough, or the size unknown."""
+    """Tasks that the events of ``df`` are dealt to; None if they fit one task, or their size is unknown.
+
+    The number is always a fixed one: adaptive execution would merge the session's partitions into about one
+    a core, so that a task grew with the table however many partitions the session has.
+    """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     found = -(-size // TASK_BYTES)
-    if size >= 1 << 60 or found <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+    if size >= 1 << 60 or found <= 1:
         return None
-    return min(found, MOST_TASKS)
+    session = df.sparkSession
+    least = min(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return min(max(found, least), MOST_TASKS)
 
 
 def _dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
