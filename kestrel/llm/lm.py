@@ -53,6 +53,8 @@ OWN_WORDS = 4096                # words with a mark that the least tables are me
 CHUNK_BYTES = 12 << 20
 ROUNDS = 3
 STEP_TOKENS = 16384
+CACHE_TOKENS = 2048             # tokens whose factors are computed at once
+EXP_SAFE = 60.0                 # exp of single precision and sums of CLASSES of them are finite and not 0 within this
 SHARD_TOKENS = 3_000_000
 BLOCK = 1 << 16                 # weights to a block when updates are summed
 FAN_IN = 64                     # updates of a block that one group sums
@@ -110,15 +112,36 @@ def features(w: Weights, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndar
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+    """Softmax of the rows, in place; the rows' maxima are taken off only where exp could overflow or vanish."""
+    if z.max(initial=0.0) > EXP_SAFE or z.min(initial=0.0) < -EXP_SAFE:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z *= (1 / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+    return z
+
+
+def _rows_sum(table: np.ndarray, index: np.ndarray, out: np.ndarray, row: np.ndarray) -> None:
+    """Sum of the table rows that each token's features name, into ``out``; all indexes are within the table."""
+    table.take(index[:, 0], axis=0, out=out, mode="clip")
+    for k in range(1, index.shape[1]):
+        out += table.take(index[:, k], axis=0, out=row[:len(out)], mode="clip")
 
 
 def _factors(w: Weights, wide: np.ndarray, narrow: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities of both factors and the rows of the slot factor, in blocks that stay in the processor's cache."""
     rows = narrow * CLASSES + cls[:, None]
-    za = w.a[wide[:, 0]] + w.a[wide[:, 1]] + w.a[wide[:, 2]] + w.a[wide[:, 3]] + w.a0
-    zb = w.b[rows[:, 0]] + w.b[rows[:, 1]] + w.b0[cls]
-    return _softmax(za), _softmax(zb), rows
+    pa_, pb = (np.empty((len(cls), CLASSES), np.float32) for _ in range(2))
+    row = np.empty((CACHE_TOKENS, CLASSES), np.float32)
+    for i in range(0, len(cls), CACHE_TOKENS):
+        at = slice(i, i + CACHE_TOKENS)
+        za, zb = pa_[at], pb[at]
+        _rows_sum(w.a, wide[at], za, row)
+        _rows_sum(w.b, rows[at], zb, row)
+        za += w.a0
+        zb += w.b0.take(cls[at], axis=0, out=row[:len(zb)], mode="clip")
+        _softmax(za)
+        _softmax(zb)
+    return pa_, pb, rows
 
 
 def log10_slots(w: Weights, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -136,13 +159,70 @@ def log10_slots(w: Weights, codes: np.ndarray, starts: np.ndarray) -> np.ndarray
     return out
 
 
-def _add_rows(index: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sum ``values`` into the table rows that ``index`` (tokens by features) names: the touched rows and their sums."""
+def _order(keys: np.ndarray, size: int) -> np.ndarray:
+    """Stable order of keys below ``size``: by their low 16 bits, then by the next, each by radix."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    for shift in range(16, int(size - 1).bit_length(), 16):
+        order = order[np.argsort((keys >> shift).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
+def _add_rows(index: np.ndarray, values: np.ndarray, size: int, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sum ``values`` into the table rows that ``index`` (tokens by features) names: the touched rows, in any order, and their sums.
+
+    Neighbours among the values of a row are added pair by pair until one is left, so every step is a few
+    operations on whole rows; rows that are done leave.  ``room``: three buffers of half as many rows as ``index`` has
+    numbers, to be used again and again.
+    """
     flat = index.T.ravel()
-    order = np.argsort(flat.astype(np.uint16) if size <= 1 << 16 else flat, kind="stable")
+    if room is None:
+        room = np.empty((3, len(flat) // 2, values.shape[1]), values.dtype)
+    order = _order(flat, size)
     sorted_ = flat[order]
-    first = np.nonzero(np.diff(sorted_, prepend=-1))[0]
-    return sorted_[first], np.add.reduceat(values[order % len(values)], first, axis=0)
+    start = np.nonzero(np.diff(sorted_, prepend=-1))[0]
+    left, to = np.diff(start, append=len(flat)), sorted_[start]     # values left to each row, and the row
+    touched, sums, filled = np.empty_like(to), np.empty((len(to), values.shape[1]), values.dtype), 0
+    take, source, level = np.tile(np.arange(len(values)), index.shape[1])[order], values, 0
+    while len(to):
+        done = left == 1
+        gone = start[done]
+        touched[filled: filled + len(gone)] = to[done]
+        source.take(take[gone], axis=0, out=sums[filled: filled + len(gone)], mode="clip")
+        filled += len(gone)
+        more = ~done
+        to, start, left = to[more], start[more], left[more]
+        half = left >> 1
+        ends = np.cumsum(half)
+        n = int(ends[-1]) if len(ends) else 0
+        at = np.arange(n) * 2 + np.repeat(start - 2 * (ends - half), half)     # first place of every pair
+        pairs = source.take(take[at], axis=0, out=room[level % 2, :n], mode="clip")
+        pairs += source.take(take[at + 1], axis=0, out=room[2, :n], mode="clip")
+        odd = np.nonzero(left & 1)[0]       # the value without a partner joins the row's last pair
+        pairs[ends[odd] - 1] += source.take(take[start[odd] + left[odd] - 1], axis=0)
+        take, source, start, left, level = np.arange(n), pairs, ends - half, half, level + 1
+    return touched, sums
+
+
+def _add_few(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sum of ``values`` by ``index`` for a table of few rows, all of them."""
+    order = _order(index, size)
+    ends = np.cumsum(np.bincount(index, minlength=size))
+    held = values.take(order, axis=0)
+    return np.stack([held[a:b].sum(axis=0) for a, b in zip([0, *ends[:-1]], ends)])
+
+
+def _step(table: np.ndarray, acc: np.ndarray, touched: np.ndarray, total: np.ndarray, rate: float) -> None:
+    """One Adagrad step on the touched rows, each named once; a row's coordinates share a pace."""
+    now = acc[touched] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+    acc[touched] = now
+    total *= (rate / np.sqrt(now))[:, None]
+    whole = np.dtype((np.void, total.itemsize * total.shape[1]))      # a row as one value, which is quicker to put back
+    held = np.empty((CACHE_TOKENS, total.shape[1]), total.dtype)
+    for i in range(0, len(touched), CACHE_TOKENS):
+        at = touched[i: i + CACHE_TOKENS]
+        rows = table.take(at, axis=0, out=held[:len(at)], mode="clip")
+        rows -= total[i: i + CACHE_TOKENS]
+        table.view(whole)[at, 0] = rows.view(whole)[:, 0]
 
 
 def train_share(w: Weights, docs: Iterator[tuple[np.ndarray, np.ndarray]], rate: float) -> tuple[Weights, int]:
@@ -150,6 +230,7 @@ def train_share(w: Weights, docs: Iterator[tuple[np.ndarray, np.ndarray]], rate:
     w = Weights(w.a.copy(), w.a0.copy(), w.b.copy(), w.b0.copy())
     ga, gb, g0 = (np.full(len(x), 1e-2, np.float32) for x in (w.a, w.b, w.b0))
     class_of, place_in = slot_place()
+    room = np.empty((3, STEP_TOKENS * 2, CLASSES), np.float32)      # enough for the class factor's four features
     seen = 0
     for codes, starts in docs:
         wide, narrow = features(w, codes, starts)
@@ -161,14 +242,14 @@ def train_share(w: Weights, docs: Iterator[tuple[np.ndarray, np.ndarray]], rate:
             cls, place = class_of[s], place_in[s]
             f = wide[i: i + n]
             da, db, rows = _factors(w, f, narrow[i: i + n], cls)
-            at = np.arange(n)
-            da[at, cls] -= 1
-            db[at, place] -= 1
-            for table, acc, index, grad, pace in ((w.a, ga, f, da, rate), (w.b, gb, rows, db, rate), (w.b0, g0, cls[:, None], db, 0.02 * rate)):
-                touched, total = _add_rows(index, grad, len(table))
+            row = np.arange(n) * CLASSES
+            da.ravel()[row + cls] -= 1
+            db.ravel()[row + place] -= 1
+            for table, acc, index, grad in ((w.a, ga, f, da), (w.b, gb, rows, db)):
+                touched, total = _add_rows(index, grad, len(table), room)
                 total /= index.shape[1]
-                acc[touched] += (total * total).mean(axis=1)
-                table[touched] -= pace * total / np.sqrt(acc[touched])[:, None]
+                _step(table, acc, touched, total, rate)
+            _step(w.b0, g0, np.arange(CLASSES), _add_few(cls, db, CLASSES), 0.02 * rate)
             w.a0 -= 0.02 * da.mean(axis=0)
     return w, seen
 
