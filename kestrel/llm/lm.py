@@ -397,18 +397,16 @@ def _summing(kind: type) -> Callable[[pa.Table], pa.Table]:
     return summed
 
 
-def _train(coded: DataFrame, start: Weights, tokens: int) -> Weights:
-    """Synchronous rounds over shards; each document takes part in one round."""
+def _train(coded: DataFrame, now: np.ndarray, wide: int, narrow: int, tokens: int) -> np.ndarray:
+    """Synchronous rounds over shards; each document takes part in one round.  ``now``: the flat weights, changed in place."""
     spark = coded.sparkSession
     shards = max(1, -(-tokens // (ROUNDS * SHARD_TOKENS)))
-    wide, narrow = len(start.a), len(start.b) // CLASSES
-    now = start.flat()
     place = F.xxhash64("doc_id", "n_tokens", "n_known")
     for step in range(ROUNDS):
         share = (coded.where("NOT held").where(F.pmod(place, F.lit(ROUNDS)) == step)
                  .select(F.pmod(F.xxhash64(place), F.lit(shards)).cast("int").alias("shard"), "doc_id", "n_tokens", "n_known", "codes")
                  .repartitionById(shards, F.col("shard")).sortWithinPartitions("doc_id", "n_tokens", "n_known", "codes"))
-        shared = spark.sparkContext.broadcast(now.astype(np.float32))
+        shared = spark.sparkContext.broadcast(now)
         rate = 0.3 / (1 + step)
 
         def run(batches):
@@ -429,13 +427,12 @@ def _train(coded: DataFrame, start: Weights, tokens: int) -> Weights:
         while kind is np.float16 or groups > 1:
             rows = rows.groupBy((F.col("part") / FAN_IN).cast("long"), "block").applyInArrow(_summing(kind), CHANGE)
             groups, kind = -(-groups // FAN_IN), np.float32
-        parts = sorted(rows.collect(), key=lambda r: r["block"])        # one row a block of the weights
-        if parts:
-            opener = zstandard.ZstdDecompressor()
-            total = np.concatenate([np.frombuffer(opener.decompress(r["change"]), np.float32) for r in parts])
-            now = now + total / np.float32(parts[0]["seen"])
-        shared.unpersist()
-    return Weights.from_flat(now, wide, narrow)
+        opener = zstandard.ZstdDecompressor()
+        for r in rows.collect():        # one row a block of the weights
+            at = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
+            now[at] += np.frombuffer(opener.decompress(r["change"]), np.float32) / np.float32(r["seen"])
+        shared.destroy()        # the driver's copy goes as well
+    return now
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -469,8 +466,8 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     grid[cls, place] = events
     wide, narrow = table_rows(sum(r["own"] for r in by_slot))
     start = Weights(np.zeros((wide, CLASSES), np.float32), np.log(grid.sum(axis=1) / grid.sum()).astype(np.float32),
-                    np.zeros((narrow * CLASSES, CLASSES), np.float32), np.log(grid / grid.sum(axis=1, keepdims=True)).astype(np.float32))
-    model = docs.sparkSession.sparkContext.broadcast(_train(coded, start, total).flat().astype(np.float32))
+                    np.zeros((narrow * CLASSES, CLASSES), np.float32), np.log(grid / grid.sum(axis=1, keepdims=True)).astype(np.float32)).flat()
+    model = docs.sparkSession.sparkContext.broadcast(_train(coded, start, wide, narrow, total))
 
     def run(batches):
         w = Weights.from_flat(model.value, wide, narrow)
